@@ -1,0 +1,13 @@
+"""Checked queries by inventory id."""
+
+from importlib import import_module
+
+from .base import REGISTRY, Check
+
+MODULES = ("sources", "pages", "rules", "texts")
+
+
+def all_checks() -> dict[str, Check]:
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
+    return REGISTRY

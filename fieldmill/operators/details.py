@@ -18,6 +18,8 @@ DETAIL_COLUMNS = (
 def lowest_row(items: DataFrame, key: str, cols: Sequence[str], id_col: str) -> DataFrame:
     """One row per key: the one with the lowest id. The choice runs on keys and ids alone, so copies of a name
     combine in the map and heavy columns are only read for the chosen rows."""
+    if key == id_col:
+        return items.select(key, *cols)
     chosen = items.select(key, id_col).groupBy(key).agg(F.min(id_col).alias(id_col)).select(id_col)
     return items.select(id_col, key, *cols).join(chosen, id_col, "left_semi").drop(id_col)
 

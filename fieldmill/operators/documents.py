@@ -32,9 +32,11 @@ def mentions(col: Column | str, window: int, keywords: Sequence[str], max_words:
             start = F.greatest(i - window + 1, F.lit(1))
             return F.lower(F.array_join(F.slice(toks, start, F.least(i, F.lit(window))), " "))
 
-        sizes = [F.transform(toks, lambda t, i, n=n: F.struct(
-            F.array_join(F.slice(toks, i + 1, F.lit(n)), " ").alias("name"), before(i).alias("before")))
-            for n in range(1, max_words + 1)]
+        def runs(n):
+            return F.transform(toks, lambda t, i: F.struct(
+                F.array_join(F.slice(toks, i + 1, F.lit(n)), " ").alias("name"), before(i).alias("before")))
+
+        sizes = [runs(n) for n in range(1, max_words + 1)]
         every = sizes[0] if len(sizes) == 1 else F.flatten(F.array(*sizes))
         return F.filter(every, lambda m: F.rlike(m["before"], pattern))
 
