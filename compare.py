@@ -34,11 +34,17 @@ def rows_of(names, rows):
 
 def main(prefixes):
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+                                                        "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    con = duckdb.connect()
-    for name in TABLES:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+
+    def connect():
+        con = duckdb.connect()
+        for name in TABLES:
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+        return con
+
+    con = connect()
     bad = 0
     for name, item in all_checks().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
@@ -67,7 +73,8 @@ def main(prefixes):
                         print("   only", label, repr(r)[:700])
         except Exception as error:  # report and go on with the next query
             bad += 1
-            print(f"FAIL  {name}: {type(error).__name__}: {str(error)[:900]}")
+            con = connect()
+            print(f"FAIL  {name}: {type(error).__name__}: {str(error)[:600]}")
     print("bad:", bad)
     spark.stop()
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import REGISTRY, Check
 
-MODULES = ("sources", "pages", "rules", "texts")
+MODULES = ("sources", "pages", "rules", "texts", "retrieval")
 
 
 def all_checks() -> dict[str, Check]:

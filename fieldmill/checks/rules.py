@@ -114,11 +114,10 @@ def c10(t):
 
 SQL_C11 = f"""
 WITH toks AS (SELECT item_id, regexp_extract_all({context()}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS ts FROM {{listings}} AS l),
-  pos AS (SELECT item_id, ts, unnest(generate_series(1, len(ts))) AS i FROM toks WHERE len(ts) > 0),
-  named AS (SELECT item_id, ts[i] AS name, lower(array_to_string(ts[greatest(i - 5, 1):i - 1], ' ')) AS before
-            FROM pos WHERE ts[i] LIKE 'NATION%'),
-  hits AS (SELECT item_id, name, {contains_any('before', K.HOST_KEYWORDS)} AS h, {contains_any('before', K.NATIONALITY_KEYWORDS)} AS n
-           FROM named JOIN nation ON n_name = name)
+  win AS (SELECT item_id, unnest(list_transform(list_filter(generate_series(1, len(ts)), lambda i: ts[i] LIKE 'NATION%'),
+            lambda i: ts[i] || '#' || lower(array_to_string(ts[greatest(i - 5, 1):i - 1], ' ')))) AS w FROM toks),
+  hits AS (SELECT item_id, string_split(w, '#')[1] AS name, {contains_any('w', K.HOST_KEYWORDS)} AS h, {contains_any('w', K.NATIONALITY_KEYWORDS)} AS n
+           FROM win WHERE string_split(w, '#')[1] IN (SELECT n_name FROM nation))
 SELECT item_id, string_agg(DISTINCT CASE WHEN h THEN name END, ', ' ORDER BY CASE WHEN h THEN name END) AS hosts,
   string_agg(DISTINCT CASE WHEN n AND NOT h THEN name END, ', ' ORDER BY CASE WHEN n AND NOT h THEN name END) AS nationalities
 FROM hits WHERE h OR n GROUP BY item_id"""

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed as K
-from .text import alternation, as_col, is_null_like, strip, title_case, truncate, word_count
+from .text import alternation, as_col, has_words, is_null_like, let, strip, title_case, truncate
 
 
 def expand_context(cols: Sequence[Column | str], nulls: Sequence[str] = K.CONTEXT_NULLS) -> Column:
@@ -171,8 +171,10 @@ def status(date_col: Column | str, ref: str | datetime) -> Column:
 
 def impute_short(col: Column | str, nulls: Sequence[str] = K.STEPS_NULLS, min_words: int = 10,
                  message: str = K.STEPS_FALLBACK) -> Column:
-    text = strip(F.coalesce(as_col(col), F.lit("")))
-    return F.when(F.lower(text).isin(list(nulls)) | (word_count(text) < min_words), F.lit(message)).otherwise(text)
+    def imputed(text):
+        return F.when(~F.lower(text).isin(list(nulls)) & has_words(text, min_words), text).otherwise(F.lit(message))
+
+    return let(strip(F.coalesce(as_col(col), F.lit(""))), imputed)
 
 
 def safe_meta(col: Column | str, default: str = K.UNSPECIFIED) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -26,9 +26,20 @@ def strip(col: Column | str) -> Column:
 
 
 def is_null_like(col: Column | str, values: Sequence[str], *, trimmed: bool = True) -> Column:
+    """Null or one of the (lower-case) spellings. Anchored, so a long text is refused at its first characters."""
     col = as_col(col)
-    probe = F.lower(strip(col) if trimmed else col)
-    return col.isNull() | probe.isin(list(values))
+    edge = r"\s*" if trimmed else ""
+    return col.isNull() | F.rlike(col, F.lit(rf"(?iU)\A{edge}(?:{alternation(values)}){edge}\z"))
+
+
+def let(col: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; Spark does not share work between branches of a condition."""
+    return F.get(F.transform(F.array(col), body), F.lit(0))
+
+
+def has_words(col: Column | str, n: int) -> Column:
+    """Whether a stripped text has at least ``n`` words; looks no further than word ``n``."""
+    return F.rlike(as_col(col), F.lit(rf"(?U)^(?:\S++\s++){{{n - 1}}}\S"))
 
 
 def word_count(col: Column | str) -> Column:
@@ -60,8 +71,8 @@ def clean_text(col: Column | str, min_words: int = 10) -> Column:
         (K.SPACES, " "),
     ):
         text = F.regexp_replace(text, pattern, replacement)
-    text = strip(text)
-    return F.when(is_null_like(col, K.META_NULLS) | (word_count(text) < min_words), F.lit("")).otherwise(text)
+    cleaned = let(strip(text), lambda t: F.when(has_words(t, min_words), t).otherwise(F.lit("")))
+    return F.when(is_null_like(col, K.META_NULLS), F.lit("")).otherwise(cleaned)
 
 
 def collapse_ws(col: Column | str) -> Column:

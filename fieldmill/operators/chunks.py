@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..functions.text import as_col, strip
+from ..functions.text import as_col, let, strip
 
 SEPARATORS = ("\n\n", "\n", ".", " ")
 
 
 def visible_lines(text: Column | str) -> Column:
     """Each line stripped and freed of non-printing characters; blank runs become one markdown line break."""
-    col = F.regexp_replace(as_col(text), r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}&&[^\n]]|[\p{Zs}&&[^ ]]", "")
+    col = F.regexp_replace(as_col(text), r"[\p{C}\p{Z}&&[^\n ]]+", "")
     col = F.regexp_replace(col, r"(?m)^ +| +$", "")
     return F.regexp_replace(strip(col), r"\n{2,}", "  \n")
 
@@ -25,9 +25,10 @@ def mask_fences(text: Column) -> Column:
     def hide(parts):
         return F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?m)^#", "\x01")).otherwise(p))
 
-    for fence in ("```", "~~~"):
-        text = F.when(F.contains(text, F.lit(fence)), F.array_join(hide(F.split(text, fence)), fence)).otherwise(text)
-    return text
+    def masked(fence):
+        return lambda t: F.when(F.contains(t, F.lit(fence)), F.array_join(hide(F.split(t, fence)), fence)).otherwise(t)
+
+    return let(let(text, masked("```")), masked("~~~"))
 
 
 def header_title(part: Column, mark: str) -> Column:
@@ -82,9 +83,11 @@ def split_sections(df: DataFrame, text: str, *, id_col: str = "doc_id") -> DataF
     pairs = lambda ps: F.exists(F.sequence(F.lit(1), F.greatest(F.size(ps) - 1, F.lit(1))), lambda i: F.coalesce(
         same(F.try_element_at(ps, i), F.try_element_at(ps, i + 1))
         | bare(F.try_element_at(ps, i), F.try_element_at(ps, i + 1)), F.lit(False)) & (F.size(ps) > 1))
-    sections = F.flatten(F.transform(F.array(parts), lambda ps: F.when(pairs(ps), merged(ps)).otherwise(ps)))
+    sections = let(parts, lambda ps: F.when(pairs(ps), merged(ps)).otherwise(ps))
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(sections).alias("section_no", "_s")).select(*keep, "section_no", "_s.*")
+    # outer: a plain explode makes the optimizer test the array's size first, which computes it twice
+    rows = df.select(*keep, F.posexplode_outer(sections).alias("section_no", "_s")).filter("_s is not null")
+    return rows.select(*keep, "section_no", "_s.*")
 
 
 def merge_pieces(pieces: list[str], size: int, overlap: int) -> list[str]:
@@ -142,7 +145,8 @@ def stride_pieces(text: Column, size: Column, overlap: Column) -> Column:
 
 def _explode_pieces(df: DataFrame, pieces: Column, text_col: str) -> DataFrame:
     keep = [c for c in df.columns if c != text_col]
-    return df.withColumn("_pieces", pieces).select(*keep, F.posexplode("_pieces").alias("chunk_no", text_col))
+    rows = df.select(*keep, F.posexplode_outer(pieces).alias("chunk_no", text_col))
+    return rows.filter(F.col(text_col).isNotNull())
 
 
 def split_recursive(df: DataFrame, size: int = 500, overlap: int = 50, *, text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K, rules as R
-from ..functions.text import alternation, as_col, clean_text, not_contained, title_case
+from ..functions.text import alternation, as_col, clean_text, let, not_contained, title_case
 
 TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SECTIONS = (("Scholarship Details", "scholarship_details"), ("Eligibility Criteria", "eligibility"))
@@ -19,29 +19,32 @@ def tokens(col: Column | str) -> Column:
     return F.regexp_extract_all(as_col(col), F.lit(TOKENS), F.lit(0))
 
 
-def mentions(col: Column | str, window: int, keywords: Sequence[str], max_words: int = 1) -> Column:
+def mentions(col: Column | str, window: int, keywords: Sequence[str], max_words: int = 1,
+             start: str = r"^\p{Lu}") -> Column:
     """Name candidates whose ``window`` preceding tokens hold a keyword: array<struct<name, before>>.
 
-    Candidates are every run of 1..max_words tokens. The keyword test is row-local, so only a small part of a
-    text ever leaves its row.
+    Candidates are the runs of 1..max_words tokens whose first token matches ``start`` (a capital). Windows are
+    built for those places only, and the keyword test is row-local: little of a text ever leaves its row.
     """
     pattern = F.lit(alternation(keywords))
 
     def at(toks):
         def before(i):
-            start = F.greatest(i - window + 1, F.lit(1))
-            return F.lower(F.array_join(F.slice(toks, start, F.least(i, F.lit(window))), " "))
+            first = F.greatest(i - window, F.lit(1))
+            return F.lower(F.array_join(F.slice(toks, first, F.least(i - 1, F.lit(window))), " "))
+
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))),
+                          lambda i: F.rlike(F.coalesce(F.get(toks, i - 1), F.lit("")), F.lit(start)))
+        near = F.filter(F.transform(places, lambda i: F.struct(i.alias("i"), before(i).alias("before"))),
+                        lambda m: F.rlike(m["before"], pattern))
 
         def runs(n):
-            return F.transform(toks, lambda t, i: F.struct(
-                F.array_join(F.slice(toks, i + 1, F.lit(n)), " ").alias("name"), before(i).alias("before")))
+            return F.transform(near, lambda m: F.struct(
+                F.array_join(F.slice(toks, m["i"], F.lit(n)), " ").alias("name"), m["before"].alias("before")))
 
-        sizes = [runs(n) for n in range(1, max_words + 1)]
-        every = sizes[0] if len(sizes) == 1 else F.flatten(F.array(*sizes))
-        return F.filter(every, lambda m: F.rlike(m["before"], pattern))
+        return F.flatten(F.array(*[runs(n) for n in range(1, max_words + 1)]))
 
-    # one evaluation of the tokenizer: bind the token array as a lambda variable
-    return F.flatten(F.transform(F.array(tokens(col)), at))
+    return let(tokens(col), at)
 
 
 def context_entities(df: DataFrame, text: str, gazetteer: DataFrame, *, id_col: str, name_col: str = "name",
@@ -53,8 +56,9 @@ def context_entities(df: DataFrame, text: str, gazetteer: DataFrame, *, id_col:
     a small gazetteer and shuffles against a large one. Values are distinct, sorted and joined; rows without
     any hit are absent.
     """
-    found = df.select(F.col(id_col), F.explode(
-        mentions(text, window, list(host_keywords) + list(nat_keywords), max_words)).alias("m"))
+    # explode_outer: a plain explode makes the optimizer test the array's size first, which computes it twice
+    found = df.select(F.col(id_col), F.explode_outer(
+        mentions(text, window, list(host_keywords) + list(nat_keywords), max_words)).alias("m")).filter("m is not null")
     found = found.select(F.col(id_col), F.col("m.name").alias("name"),
                          F.rlike(F.col("m.before"), F.lit(alternation(host_keywords))).alias("is_host"))
     names = gazetteer.select(F.col(name_col).alias("name")).distinct()

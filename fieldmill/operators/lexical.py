@@ -27,7 +27,7 @@ def tokenised(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf). The tokens of one document meet in one task, so the map-side combine does the count."""
-    return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(
+    return docs.select("doc_id", F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("doc_id", "term").agg(
         F.count("*").alias("tf"))
 
 
@@ -37,7 +37,7 @@ def bm25_index(df: DataFrame, doc_id: str, text: str, epsilon: float = K.BM25_EP
     docs = tokenised(df, doc_id, text)
     # a scalar subquery: a single aggregate row, computed once and used as a literal
     size = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).alias("size")).scalar()
-    counts = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
+    counts = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).filter("term is not null").groupBy("term").agg(
         F.count("*").alias("df"))
     raw = counts.withColumn("raw_idf", F.log(size["n_docs"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw_idf")).scalar()
@@ -49,8 +49,8 @@ def bm25_index(df: DataFrame, doc_id: str, text: str, epsilon: float = K.BM25_EP
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): a repeated query term counts again."""
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(words(text)).alias("term")).groupBy(
-        "query_id", "term").agg(F.count("*").alias("qtf"))
+    return queries.select(F.col(query_id).alias("query_id"), F.explode_outer(words(text)).alias("term")).filter(
+        "term is not null").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K.BM25_K1, b: float = K.BM25_B) -> Column:
@@ -73,7 +73,7 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, *, query_id: str = "
     idf = index.terms.select("term", "idf").join(known, "term", "left_semi")
     weighted = broadcast_if_small(terms.join(idf, "term"), basis=queries)
     avgdl = index.stats.select("avgdl").scalar()
-    tokens = index.docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(known, "term", "left_semi")
+    tokens = index.docs.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).join(known, "term", "left_semi")
     tf = tokens.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     weight = bm25_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
     scores = tf.join(weighted, "term").groupBy("doc_id", "query_id").agg(

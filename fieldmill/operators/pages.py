@@ -22,7 +22,9 @@ def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, id_
     """
     found = pages.select(
         F.col(id_col).alias("page"),
-        F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1))).alias("pos", "href"))
+        # outer: a plain explode makes the optimizer test the array's size first, which computes it twice
+        F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1))).alias("pos", "href")
+    ).filter("href is not null")
     link = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(root), F.col("href"))).otherwise(F.col("href"))
     place = F.min(F.struct("page", "pos"))
     return (found.groupBy(link.alias("link")).agg(place.alias("first"), F.count("*").alias("n_places"))
