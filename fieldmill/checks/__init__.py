@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import REGISTRY, Check
 
-MODULES = ("sources", "pages", "rules", "texts", "retrieval")
+MODULES = ("sources", "pages", "rules", "texts", "retrieval", "sessions", "reports", "scores")
 
 
 def all_checks() -> dict[str, Check]:

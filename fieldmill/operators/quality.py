@@ -12,9 +12,14 @@ from ..functions.text import count_marker, deep_links, strip, word_count
 from .ranking import top_n
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Scale, round to the even neighbour, scale back: how the reports round (``round`` rounds half up)."""
+    return F.rint(value * 10.0 ** digits) / 10.0 ** digits
+
+
 def share(part: Column, whole: Column, digits: int = 2) -> Column:
     """Percentage, null for an empty whole."""
-    return F.round(part * 100.0 / F.nullif(whole, F.lit(0)), digits)
+    return round_half_even(part * 100.0 / F.nullif(whole, F.lit(0)), digits)
 
 
 def count_where(cond: Column) -> Column:
@@ -50,7 +55,7 @@ def completeness(df: DataFrame, cols: Sequence[str] | None = None, nulls: Sequen
 
     out = per_column(df, cols, {"n_missing": missing})
     exact = F.col("n_missing") * 100.0 / F.nullif("_rows", F.lit(0))
-    return out.select("column_name", "n_missing", F.round(exact, 2).alias("pct_missing"), band(exact).alias("band"))
+    return out.select("column_name", "n_missing", round_half_even(exact, 2).alias("pct_missing"), band(exact).alias("band"))
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
