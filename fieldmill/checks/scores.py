@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import eligibility as EL, evaluation as E, lexical as B
+from ..operators.ranking import broadcast_if_small
 from ..plans import etl
 from . import retrieval as RT, rules as RL
 from .base import check
@@ -26,8 +27,11 @@ def truth(t):
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     bench = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest.alias("word"))
-    docs = t.documents.select("doc_id", "text", F.explode_outer(F.array_distinct(words)).alias("word"))
-    return docs.join(bench, "word").filter(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    docs = t.documents.select("doc_id", F.explode_outer(F.array_distinct(words)).alias("word"))
+    met = docs.join(broadcast_if_small(bench, t.benchmark), "word").select("query_id", "passage", "doc_id")
+    met = broadcast_if_small(met, t.benchmark)
+    return t.documents.select("doc_id", "text").join(met, "doc_id").filter(F.contains("text", "passage")).select(
+        "query_id", "doc_id")
 
 
 @check("i1_with_distractors", """

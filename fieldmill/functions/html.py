@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, functions as F
 
 from . import fixed as K
-from .text import alternation, as_col, decode_entities, strip
+from .text import alternation, as_col, decode_entities, let, strip
 
 NODE = "\x01"  # separates text nodes while tags are removed
 
@@ -17,7 +17,7 @@ def first_element_text(html: Column | str, tag: str) -> Column:
     """Tag-free, decoded text of the first ``tag`` element, or 'N/A'."""
     inner = F.regexp_extract(as_col(html), rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
     text = strip(decode_entities(F.regexp_replace(inner, K.HTML_TAG, "")))
-    return F.when(text == "", F.lit("N/A")).otherwise(text)
+    return let(text, lambda t: F.when(t == "", F.lit("N/A")).otherwise(t))
 
 
 def html_to_text(html: Column | str, root: str, junk: list[str] = K.JUNK_CLASSES) -> Column:

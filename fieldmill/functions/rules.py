@@ -26,8 +26,7 @@ def funding_text(col: Column | str, context: Column | str, boilerplate: str = K.
 
 def money(col: Column | str, pattern: str = K.MONEY) -> Column:
     """First amount with a currency, or null."""
-    found = F.regexp_extract(as_col(col), f"(?i){pattern}", 1)
-    return F.when(found != "", strip(found))
+    return let(F.regexp_extract(as_col(col), f"(?i){pattern}", 1), lambda m: F.when(m != "", strip(m)))
 
 
 def first_category(col: Column | str, taxonomy: Mapping[str, Sequence[str]], default: str | None) -> Column:
@@ -129,15 +128,18 @@ def parse_date(col: Column | str, formats=DATE_FORMATS) -> Column:
     text = F.regexp_replace(text, r"(\d)(?:st|nd|rd|th)\b", "$1")
     text = F.regexp_replace(text, r"[ t]+\d{1,2}:\d{2}(?::\d{2})?(?: ?[ap]m)?$", "")
     text = strip(F.regexp_replace(text, r"[ ,]+", " "))
-    shown = F.initcap(text)
-    tries = [F.when(F.rlike(text, F.lit(shape)), F.try_to_timestamp(shown, F.lit(fmt))) for shape, fmt in formats]
-    return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
+
+    def first_fit(t):
+        return F.coalesce(*[F.when(F.rlike(t, F.lit(shape)), F.try_to_timestamp(F.initcap(t), F.lit(fmt)))
+                            for shape, fmt in formats])
+
+    return F.date_format(let(text, first_fit), "yyyy-MM-dd")
 
 
 def find_date(col: Column | str) -> Column:
     """First ISO date inside a text that is a real date, or null."""
     found = F.regexp_extract(as_col(col), r"\b(\d{4}-\d{2}-\d{2})\b", 1)
-    return F.date_format(F.try_to_timestamp(F.when(found != "", found), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
+    return F.date_format(F.try_to_timestamp(found, F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
 
 
 def standardise_deadline(raw: Column | str, context: Column | str, *, max_len: int = 30,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import as_col
+from .text import as_col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -20,5 +20,4 @@ def norm(v: Column | str) -> Column:
 def l2_normalise(v: Column | str) -> Column:
     """Unit vector as array<double>; null for the zero vector."""
     v = as_col(v)
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))

@@ -12,22 +12,30 @@ from ..functions.vectors import dot, norm
 from .ranking import top_n
 
 
+SLICE_ROWS = 50_000
+BLOCK_ROWS = 4_096
+
+
+def layout(queries: DataFrame, vectors: DataFrame) -> tuple[int, int]:
+    """(slices, blocks) that keep a slice and a block within their row bounds. Counts of files come from footers."""
+    return (max(1, math.ceil(vectors.count() / SLICE_ROWS)), max(1, math.ceil(queries.count() / BLOCK_ROWS)))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec",
         vec_id: str = "vec_id", vec: str = "embedding", facet: str | None = None, query_facets: str | None = None,
-        slice_rows: int = 50_000, block_rows: int = 4_096, slices: int | None = None, blocks: int | None = None,
-        digits: int = 6) -> DataFrame:
+        slices: int | None = None, blocks: int | None = None, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` best cosine scores per query, exact.
 
     Vectors are hashed into slices and queries into blocks, both of bounded size; a task multiplies one block by
     one slice as two matrices and keeps ``k`` rows per query, so no query-vector pair becomes a row and nothing
     passes through the driver or a broadcast. Vectors are copied once per query block only. Ids are unique, so
-    slices are even. ``slices``/``blocks`` follow from row counts (read from file footers) unless given.
+    slices are even. ``slices`` and ``blocks`` follow from row counts (see ``layout``) unless given.
 
     With ``facet`` (a column of the vectors) and ``query_facets`` (an array column of the queries) only vectors
     whose facet is in the query's list take part: the filter runs before the ranking, inside the task.
     """
-    slices = slices or max(1, math.ceil(vectors.count() / slice_rows))
-    blocks = blocks or max(1, math.ceil(queries.count() / block_rows))
+    if not slices or not blocks:
+        slices, blocks = layout(queries, vectors)
     v = vectors.select(
         F.pmod(F.xxhash64(vec_id), F.lit(slices)).alias("slice"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
@@ -81,7 +89,7 @@ def knn_among(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int,
     scored = (pairs.select(query_id, vec_id)
               .join(queries.select(query_id, query_vec), query_id)
               .join(vectors.select(vec_id, vec), vec_id))
-    cosine = dot(query_vec, vec) / F.nullif(norm(query_vec) * norm(vec), F.lit(0.0))
+    cosine = F.try_divide(dot(query_vec, vec), norm(query_vec) * norm(vec))
     scored = scored.select(F.col(query_id).alias("query_id"), F.col(vec_id).alias("vec_id"),
                            F.round(cosine, digits).alias("score")).filter("score is not null")
     return top_n(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)

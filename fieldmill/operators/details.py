@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import as_col
+from .ranking import broadcast_if_small
 
 DETAIL_COLUMNS = (
     "scholarship_name", "host_country", "academic_level", "academic_major", "funding_category", "funding_amount",
@@ -24,16 +25,17 @@ def lowest_row(items: DataFrame, key: str, cols: Sequence[str], id_col: str) ->
     return items.select(id_col, key, *cols).join(chosen, id_col, "left_semi").drop(id_col)
 
 
-def wanted(items: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The items whose key is asked for: heavy text is cut down before it is moved."""
-    return items.join(keys.select(key).distinct(), key, "left_semi")
+def wanted(items: DataFrame, keys: DataFrame, key: str, basis: DataFrame | None = None) -> DataFrame:
+    """The items whose key is asked for: heavy text is cut down before it is moved. ``basis`` is the table the
+    keys grow with (the requests behind a hit list), whose size decides about a broadcast."""
+    return items.join(broadcast_if_small(keys.select(key).distinct(), basis), key, "left_semi")
 
 
 def late_enrich(hits: DataFrame, items: DataFrame, *, key: str, col: str = "application_process",
                 text_col: str = "text", id_col: str = "item_id", heading: str = "Application Process",
-                default: str = "Process not specified.") -> DataFrame:
+                default: str = "Process not specified.", basis: DataFrame | None = None) -> DataFrame:
     """Append a heavy column to the text of the final hits only."""
-    heavy = lowest_row(wanted(items, hits, key), key, [col], id_col)
+    heavy = lowest_row(wanted(items, hits, key, basis), key, [col], id_col)
     found = F.when(F.coalesce(col, F.lit("")) == "", F.lit(default)).otherwise(F.col(col))
     out = hits.drop(col).join(heavy, key, "left")
     return out.withColumn(text_col, F.concat(F.col(text_col), F.lit(f"\n\n## {heading}\n"), found)).drop(col)

@@ -89,31 +89,29 @@ def with_places(df: DataFrame, gazetteer: DataFrame, *, id_col: str, context_col
             .drop("hosts", "nationalities"))
 
 
-def document_text(columns: Sequence[str], name: str = "scholarship_name", link: str = "application_link",
-                  description: str = "description", sections: Sequence[tuple[str, str]] = SECTIONS) -> Column:
-    """Markdown text of a listing: title, link line, description and cleaned sections, blank line between.
+def build_document(df: DataFrame, out_col: str = "rag_document", *, name: str = "scholarship_name",
+                   link: str = "application_link", description: str = "description",
+                   sections: Sequence[tuple[str, str]] = SECTIONS) -> DataFrame:
+    """Adds the markdown text of a listing: title, link line, description and cleaned sections, blank line between.
 
-    The description is left out when the first section already holds its beginning.
+    The description is left out when the first section already holds its beginning. Each text is cleaned once,
+    in a projection of its own; the pieces then only refer to it.
     """
     def pick(col: str) -> Column:
-        return F.col(col) if col in columns else F.lit(None).cast("string")
+        return F.col(col) if col in df.columns else F.lit(None).cast("string")
 
-    first_section = clean_text(pick(sections[0][1]))
+    cleaned = {f"_clean_{c}": clean_text(pick(c)) for c in [description, *[c for _, c in sections]]}
     url = R.safe_meta(pick(link))
-    kept = not_contained(clean_text(pick(description)), first_section)
+    kept = not_contained(f"_clean_{description}", f"_clean_{sections[0][1]}")
     parts = [
         F.concat(F.lit("# Scholarship: "), R.safe_meta(pick(name))),
         F.when(url != K.UNSPECIFIED, F.concat(F.lit("**Application Link:** "), url)),
         F.concat(F.lit("## Program Description\n"), kept),
     ]
     for title, col in sections:
-        text = clean_text(pick(col))
+        text = F.col(f"_clean_{col}")
         parts.append(F.when(text != "", F.concat(F.lit(f"## {title}\n"), text)))
-    return F.concat_ws("\n\n", *parts)
-
-
-def build_document(df: DataFrame, out_col: str = "rag_document", **kw) -> DataFrame:
-    return df.withColumn(out_col, document_text(df.columns, **kw))
+    return df.withColumns(cleaned).withColumn(out_col, F.concat_ws("\n\n", *parts)).drop(*cleaned)
 
 
 def standardise(df: DataFrame, ref: str | datetime, *, major_col: str | None = None) -> DataFrame:

@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..functions.text import as_col, words
+from ..functions.text import as_col, let, words
 from .ranking import top_n
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = K.RRF_K, *, query_id: str = "query_id",
-        doc_id: str = "doc_id", digits: int = 9) -> DataFrame:
+        doc_id: str = "doc_id", digits: int = 9, dense_score: str | None = None) -> DataFrame:
     """Reciprocal-rank fusion of two hit lists (query, document, rank): score is the sum of 1 / (k + rank).
 
-    Ties go to the better dense rank, then the better sparse rank, then the lowest id.
+    Ties go to the better dense rank, then the better sparse rank, then the lowest id. ``dense_score`` names a
+    column that carries the dense hits' own score along.
     """
-    both = dense.select(query_id, doc_id, F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias(
-        "sparse_rank")).unionByName(sparse.select(query_id, doc_id, F.lit(None).cast("int").alias("dense_rank"),
-                                                  F.col("rank").alias("sparse_rank")))
+    no_rank, carried = F.lit(None).cast("int"), [dense_score] if dense_score else []
+    both = dense.select(query_id, doc_id, F.col("rank").alias("dense_rank"), no_rank.alias("sparse_rank"), *[
+        F.col("score").alias(c) for c in carried]).unionByName(sparse.select(
+            query_id, doc_id, no_rank.alias("dense_rank"), F.col("rank").alias("sparse_rank"), *[
+                F.lit(None).cast("double").alias(c) for c in carried]))
     share = 1.0 / (F.lit(k) + F.coalesce("dense_rank", "sparse_rank"))
     fused = both.groupBy(query_id, doc_id).agg(
         F.round(F.sum(share), digits).alias("score"),
-        F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"))
+        F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"),
+        *[F.max(c).alias(c) for c in carried])
     return top_n(fused, [query_id], [F.desc("score"), F.asc_nulls_last("dense_rank"),
                                      F.asc_nulls_last("sparse_rank"), F.asc(doc_id)])
 
@@ -44,8 +48,12 @@ def cap(hits: DataFrame, n: int = K.FETCH_K) -> DataFrame:
 def overlap_score(a: Column | str, b: Column | str) -> Column:
     """Jaccard overlap of the lower-cased token sets; 0 for two empty texts."""
     a, b = (F.array_distinct(words(F.lower(as_col(c)))) for c in (a, b))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+    def jaccard(s):
+        both = F.size(F.array_intersect(s["a"], s["b"]))
+        return let(both, lambda n: F.try_divide(n, F.size(s["a"]) + F.size(s["b"]) - n))
+
+    return F.coalesce(let(F.struct(a.alias("a"), b.alias("b")), jaccard), F.lit(0.0))
 
 
 def blended_scorer(query: str = "query", text: str = "text", cosine: str | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
 from ..functions.html import clean_lines, first_element_text, html_to_text, parse_tree
-from ..functions.text import alternation, as_col, decode_entities, strip, strip_literal
+from ..functions.text import alternation, as_col, decode_entities, let, strip, strip_literal
 
 ANY_ANCHOR = r'(?i)<a\b[^>]*\bhref="([^"]+)"'
 
@@ -167,8 +167,8 @@ def deadline_block(html: Column | str, heading: str = "Application deadline") ->
         return F.regexp_replace(F.array_join(parts, " | "), r"(?:\s*\|\s*)+", " | ")
 
     lines = F.filter(F.transform(F.split(body, BLOCK_END), block_text), lambda line: line != "")
-    joined = F.array_join(lines, "\n")
-    return F.when(F.coalesce(joined, F.lit("")) == "", F.lit(K.NOT_SPECIFIED)).otherwise(joined)
+    return let(F.array_join(lines, "\n"), lambda t: F.when(
+        F.coalesce(t, F.lit("")) == "", F.lit(K.NOT_SPECIFIED)).otherwise(t))
 
 
 def clean_name(col: Column | str, literal: str = "• DAAD") -> Column:

@@ -85,14 +85,11 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 5) -> DataFrame:
 def text_stats(df: DataFrame, cols: Sequence[str], placeholders: Sequence[str] = ("N/A", "None", ""),
                dead_below: int = 10, overflow_above: int = 300) -> DataFrame:
     """Words per text column over non-empty texts: min, max, mean, dead (short) texts, overflow flag."""
-    def counted(c):
-        n = word_count(c)
-        return F.when(~F.col(c).isin(list(placeholders)) & (n > 0), n)
-
-    out = per_column(df, cols, {
-        "min_words": lambda c: F.min(counted(c)), "max_words": lambda c: F.max(counted(c)),
-        "avg_words": lambda c: F.round(F.avg(counted(c)), 1),
-        "n_dead": lambda c: count_where(counted(c) < dead_below)})
+    counted = df.select(*[F.when(~F.col(c).isin(list(placeholders)), F.nullif(word_count(c), F.lit(0))).alias(c)
+                          for c in cols])
+    out = per_column(counted, cols, {
+        "min_words": F.min, "max_words": F.max, "avg_words": lambda c: F.round(F.avg(c), 1),
+        "n_dead": lambda c: count_where(F.col(c) < dead_below)})
     return out.withColumn("overflow", F.col("max_words") > overflow_above).drop("_rows")
 
 
@@ -236,33 +233,34 @@ def redundancy(df: DataFrame, a: str, b: str, min_len: int = 20) -> DataFrame:
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95)
 
 
-def describe_counts(df: DataFrame, value: Column, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """count, mean, std, min, exact percentiles and max of an integer measure.
+def describe_counts(df: DataFrame, value: Column, percentiles: Sequence[float] = PERCENTILES,
+                    flags: Mapping[str, Column] | None = None) -> DataFrame:
+    """count, mean, std, min, exact percentiles and max of an integer measure, and the rows of each flag.
 
-    Values are counted per distinct value first, so the exact percentiles work on (value, frequency) rows: as
-    many as there are different word counts or lengths, not as many as there are texts.
+    One scan: values are counted per distinct value, and the rest works on (value, frequency) rows, as many as
+    there are different word counts or lengths, not as many as there are texts. Sums are exact decimals.
     """
-    hist = df.select(value.cast("bigint").alias("v")).filter("v is not null").groupBy("v").agg(
-        F.count("*").alias("f"))
-    v, f = F.col("v").cast("double"), F.col("f").cast("double")
-    pct = F.percentile("v", F.array(*[F.lit(p) for p in percentiles]), F.col("f")).alias("p")
-    out = hist.agg(F.sum("f").alias("n"), F.sum(v * f).alias("s"), F.min("v").alias("min"), F.max("v").alias("max"),
-                   pct)
-    # second moment around the mean, for a stable deviation
-    mean = out.select(F.col("s") / F.col("n")).scalar()
-    spread = hist.agg(F.sum(f * (v - mean) * (v - mean))).scalar()
+    flags = dict(flags or {})
+    hist = df.select(value.cast("bigint").alias("v"), *[c.alias(n) for n, c in flags.items()]).filter(
+        "v is not null").groupBy("v").agg(F.count("*").alias("f"), *[count_where(F.col(n)).alias(n) for n in flags])
+    v, f = F.col("v").cast("decimal(19,0)"), F.col("f").cast("decimal(19,0)")
+    out = hist.agg(
+        F.sum("f").alias("n"), F.sum(v * f).cast("decimal(38,0)").alias("s"),
+        F.sum((v * v * f).cast("decimal(38,0)")).alias("ss"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.percentile("v", F.array(*[F.lit(p) for p in percentiles]), F.col("f")).alias("p"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in flags])
+    n, s = F.col("n").cast("double"), F.col("s").cast("double")
+    spread = (F.col("ss") * F.col("n") - F.col("s") * F.col("s")).cast("double")
     return out.select(
-        "n", F.round(F.col("s") / F.col("n"), 4).alias("mean"),
-        F.round(F.sqrt(spread / F.nullif(F.col("n") - 1, F.lit(0))), 4).alias("std"), "min",
-        *[F.round(F.col("p")[i], 4).alias(f"p{round(p * 100)}") for i, p in enumerate(percentiles)], "max")
+        F.coalesce("n", F.lit(0)).alias("n"), F.round(F.try_divide(s, n), 4).alias("mean"),
+        F.round(F.sqrt(F.try_divide(spread, n * (n - 1))), 4).alias("std"), "min",
+        *[F.round(F.col("p")[i], 4).alias(f"p{round(p * 100)}") for i, p in enumerate(percentiles)], "max", *flags)
 
 
 def size_stats(df: DataFrame, col: str, huge_above: int = 800) -> DataFrame:
     """Word-count statistics of documents, with empty and oversized ones."""
-    n = word_count(F.coalesce(col, F.lit("")))
-    sizes = df.agg(count_where(n == 0).alias("n_empty"), count_where(n > huge_above).alias("n_huge"))
-    return describe_counts(df, n).select("*", sizes.select("n_empty").scalar().alias("n_empty"),
-                                         sizes.select("n_huge").scalar().alias("n_huge"))
+    counted = df.select(word_count(F.coalesce(col, F.lit(""))).alias("n"))
+    return describe_counts(counted, F.col("n"), flags={"n_empty": F.col("n") == 0, "n_huge": F.col("n") > huge_above})
 
 
 def metadata_valid(fields: Sequence[str], meta: str = "rag_metadata") -> Column:
@@ -287,9 +285,8 @@ def chunk_diagnostics(chunks: DataFrame, text: str = "text") -> DataFrame:
     orphan = F.col("document_title").isNull() & F.col("section_title").isNull()
     nested = sum(1 for f in chunks.schema.fields if f.dataType.typeName() in ("struct", "map")
                  and any(g.dataType.typeName() in ("struct", "map") for g in getattr(f.dataType, "fields", [])))
-    orphans = chunks.agg(count_where(orphan)).scalar()
-    return describe_counts(chunks, F.length(text)).select(
-        "*", orphans.alias("n_orphans"), F.lit(nested).alias("n_nested_columns"))
+    return describe_counts(chunks, F.length(text), flags={"n_orphans": orphan}).withColumn(
+        "n_nested_columns", F.lit(nested))
 
 
 def link_report(df: DataFrame, link: str = "application_link", texts: Sequence[str] = ("eligibility",

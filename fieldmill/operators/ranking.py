@@ -22,14 +22,19 @@ BROADCAST_BASIS_BYTES = 4 * 1024 * 1024
 
 
 def small_enough(basis: DataFrame, limit: int = BROADCAST_BASIS_BYTES) -> bool:
-    """Whether Catalyst's size estimate of ``basis`` (from file sizes; no job runs) is within the limit."""
-    return int(str(basis._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    """Whether the tables that ``basis`` reads are within the limit by Catalyst's file sizes; no job runs.
+
+    The sum over the leaves bounds scans, filters and joins on unique keys. (A plan's own estimate multiplies
+    the sizes of joined tables, which says nothing.)
+    """
+    leaves = basis._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= limit
 
 
 def broadcast_if_small(df: DataFrame, basis: DataFrame | None = None,
                        limit: int = BROADCAST_BASIS_BYTES) -> DataFrame:
     """Hint a broadcast only where the table that bounds ``df`` is small; otherwise Spark shuffles as usual.
 
-    ``basis`` is the input that ``df`` grows with. Derived tables need it: an estimate multiplies through joins.
+    ``basis`` is the input that ``df`` grows with: the query table for query terms and for top-k hits.
     """
     return F.broadcast(df) if small_enough(df if basis is None else basis, limit) else df

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..operators.dense import knn
+from ..operators.dense import knn, layout
 from ..operators.details import late_enrich
 from ..operators.eligibility import (accepted_facets, detect_intents, enrich_query, is_eligible, visible_items,
                                      with_facet, with_signature)
 from ..operators.fusion import blended_scorer, cap, rerank, rrf, threshold_topk
 from ..operators.lexical import Bm25Index, bm25_topk
-from ..operators.ranking import top_n
+from ..operators.ranking import broadcast_if_small, top_n
 
 
 def prepare_requests(requests: DataFrame, profiles: DataFrame, *, session: str = "session_id") -> DataFrame:
@@ -49,24 +49,25 @@ def match(requests: DataFrame, items: DataFrame, chunks: DataFrame, index: Bm25I
         "scholarship_status", "application_link")
 
     faceted = chunks.join(with_facet(visible_items(items)).select("item_id", "facet"), "item_id")
+    slices, blocks = layout(requests, chunks)
     dense = knn(request_facets(requests, items), faceted, fetch_k, vec_id="doc_id", facet="facet",
-                query_facets="facets").withColumnRenamed("vec_id", "doc_id")
+                query_facets="facets", slices=slices, blocks=blocks).withColumnRenamed("vec_id", "doc_id")
 
     wide = bm25_topk(requests, index, fetch_k * overfetch, text="search_query")
     asked = requests.select("query_id", "nationality", F.col("academic_level").alias("profile_level"),
                             "bypass_filters", "target_funding")
-    known = wide.join(chunks.select("doc_id", "item_id"), "doc_id").join(attributes, "item_id").join(asked, "query_id")
+    # hits grow with the requests alone, so a small request table lets them meet the big tables unshuffled
+    known = broadcast_if_small(wide, requests).join(chunks.select("doc_id", "item_id"), "doc_id")
+    known = broadcast_if_small(known, requests).join(attributes, "item_id").join(asked, "query_id")
     fit = known.filter(is_eligible("nationality", "profile_level", "bypass_filters", "target_funding"))
     sparse = top_n(fit.select("query_id", "doc_id", "score"), ["query_id"],
                    [F.desc("score"), F.asc("doc_id")], fetch_k)
 
-    fused = cap(rrf(dense, sparse), fetch_k)
-    cosine = dense.select("query_id", "doc_id", F.col("score").alias("cosine"))
-    pairs = (fused.select("query_id", "doc_id", F.col("score").alias("fused_score"))
-             .join(cosine, ["query_id", "doc_id"], "left")
-             .join(chunks.select("doc_id", "item_id", "text"), "doc_id")
-             .join(requests.select("query_id", "search_query"), "query_id"))
+    fused = cap(rrf(dense, sparse, dense_score="cosine"), fetch_k)
+    pairs = broadcast_if_small(fused.select("query_id", "doc_id", "cosine"), requests).join(
+        chunks.select("doc_id", "item_id", "text"), "doc_id").join(requests.select("query_id", "search_query"), "query_id")
     scored = rerank(pairs, blended_scorer("search_query", "text", "cosine") if scorer is None else scorer)
     final = threshold_topk(scored, threshold, top_k)
-    final = final.join(attributes, "item_id").withColumnRenamed("item_level", "academic_level")
-    return late_enrich(final, items.select("item_id", "application_process"), key="item_id")
+    final = broadcast_if_small(final, requests).join(attributes, "item_id").withColumnRenamed(
+        "item_level", "academic_level")
+    return late_enrich(final, items.select("item_id", "application_process"), key="item_id", basis=requests)
