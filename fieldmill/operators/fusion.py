@@ -18,16 +18,19 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = K.RRF_K, *, query_id: str
     Ties go to the better dense rank, then the better sparse rank, then the lowest id. ``dense_score`` names a
     column that carries the dense hits' own score along.
     """
-    no_rank, carried = F.lit(None).cast("int"), [dense_score] if dense_score else []
-    both = dense.select(query_id, doc_id, F.col("rank").alias("dense_rank"), no_rank.alias("sparse_rank"), *[
-        F.col("score").alias(c) for c in carried]).unionByName(sparse.select(
-            query_id, doc_id, no_rank.alias("dense_rank"), F.col("rank").alias("sparse_rank"), *[
-                F.lit(None).cast("double").alias(c) for c in carried]))
-    share = 1.0 / (F.lit(k) + F.coalesce("dense_rank", "sparse_rank"))
-    fused = both.groupBy(query_id, doc_id).agg(
-        F.round(F.sum(share), digits).alias("score"),
-        F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"),
-        *[F.max(c).alias(c) for c in carried])
+    def folded(hits, name, scores=()):
+        """One row per document of a list; a document that a list holds twice scores twice."""
+        return hits.groupBy(query_id, doc_id).agg(
+            F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias(f"{name}_share"), F.min("rank").alias(f"{name}_rank"),
+            *[F.max("score").alias(s) for s in scores])
+
+    # A full join, not a union: a union whose sides are already partitioned by query keeps that partitioning in
+    # the plan, and adaptive execution may coalesce the two sides differently, which splits a query's rows.
+    both = folded(dense, "dense", [dense_score] if dense_score else []).join(
+        folded(sparse, "sparse"), [query_id, doc_id], "full")
+    score = F.coalesce("dense_share", F.lit(0.0)) + F.coalesce("sparse_share", F.lit(0.0))
+    fused = both.select(query_id, doc_id, F.round(score, digits).alias("score"), "dense_rank", "sparse_rank",
+                        *([dense_score] if dense_score else []))
     return top_n(fused, [query_id], [F.desc("score"), F.asc_nulls_last("dense_rank"),
                                      F.asc_nulls_last("sparse_rank"), F.asc(doc_id)])
 

@@ -14,6 +14,7 @@ from ..operators.eligibility import (accepted_facets, detect_intents, enrich_que
 from ..operators.fusion import blended_scorer, cap, rerank, rrf, threshold_topk
 from ..operators.lexical import Bm25Index, bm25_topk
 from ..operators.ranking import broadcast_if_small, top_n
+from ..session import written
 
 
 def prepare_requests(requests: DataFrame, profiles: DataFrame, *, session: str = "session_id") -> DataFrame:
@@ -68,6 +69,8 @@ def match(requests: DataFrame, items: DataFrame, chunks: DataFrame, index: Bm25I
         chunks.select("doc_id", "item_id", "text"), "doc_id").join(requests.select("query_id", "search_query"), "query_id")
     scored = rerank(pairs, blended_scorer("search_query", "text", "cosine") if scorer is None else scorer)
     final = threshold_topk(scored, threshold, top_k)
-    final = broadcast_if_small(final, requests).join(attributes, "item_id").withColumnRenamed(
-        "item_level", "academic_level")
+    # The final hits (at most top_k rows per request) feed the late lookup twice. Writing them cuts the lineage,
+    # runs a costly scorer once, and gives the lookup a table of known size.
+    final = written(final, "hits")
+    final = broadcast_if_small(final).join(attributes, "item_id").withColumnRenamed("item_level", "academic_level")
     return late_enrich(final, items.select("item_id", "application_process"), key="item_id", basis=requests)
