@@ -8,6 +8,7 @@ from ..functions import fixed as K
 from ..functions.vectors import l2_normalise
 from ..operators import dense as V, details as X, eligibility as E, fusion as U, lexical as B
 from ..plans import matching as M
+from ..session import fresh_path
 from .base import check
 from .snippets import contains_any, strip, words
 
@@ -65,6 +66,10 @@ def bench_queries(t):
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def index_of(docs):
+    return B.stored_index(docs, "doc_id", "text", fresh_path(docs.sparkSession, "bm25"))
+
+
 def bm25_hits(t, k):
     return B.bm25_topk(bench_queries(t), B.bm25_index(t.documents, "doc_id", "text"), k)
 
@@ -180,6 +185,11 @@ def f7_stats(t):
     return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
+@check("f8_bm25_topk_stored", INDEX + "SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 15")
+def f8_stored(t):
+    return B.bm25_topk(bench_queries(t), index_of(t.documents), 15)
+
+
 @check("f8_bm25_topk", INDEX + "SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 45")
 def f8(t):
     return bm25_hits(t, 45)

@@ -71,7 +71,7 @@ SELECT count(*) AS n_cases, round(avg(CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 E
 def flagship(t):
     """Clean the documents, index them, search every benchmark text, score against the ground truth."""
     cleaned = t.documents.select("doc_id", clean_text("text").alias("text"))
-    hits = B.bm25_topk(RT.bench_queries(t), B.bm25_index(cleaned, "doc_id", "text"), 5)
+    hits = B.bm25_topk(RT.bench_queries(t), RT.index_of(cleaned), 5)
     return E.dashboard(E.retrieval_scores(hits, truth(t)), ["recall", "reciprocal_rank"])
 
 

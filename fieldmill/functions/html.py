@@ -11,6 +11,16 @@ from . import fixed as K
 from .text import alternation, as_col, decode_entities, let, strip
 
 NODE = "\x01"  # separates text nodes while tags are removed
+OPEN, CLOSE = "\x02", "\x03"  # frame the text of a link, whose own nodes join without a gap
+
+
+def join_links(text: Column) -> Column:
+    def unframe(part, i):
+        link = strip(F.regexp_replace(F.substring_index(part, CLOSE, 1), rf"\s*{NODE}\s*", ""))
+        rest = F.substring(part, F.instr(part, CLOSE) + 1, F.length(part))
+        return F.when(i == 0, part).otherwise(F.concat(link, rest))
+
+    return F.array_join(F.transform(F.split(text, OPEN), unframe), "")
 
 
 def first_element_text(html: Column | str, tag: str) -> Column:
@@ -34,15 +44,15 @@ def html_to_text(html: Column | str, root: str, junk: list[str] = K.JUNK_CLASSES
         (r"(?is)<style\b.*?</style>", NODE),
         (r"(?s)<!--.*?-->", NODE),
         (rf'(?is)<(\w+)[^>]*\bclass="[^"]*(?<![\w-])(?:{alternation(junk)})(?![\w-])[^"]*"[^>]*>.*?</\1>', NODE),
-        (r'(?is)<a\b[^>]*\bhref="(/[^"]*)"[^>]*>(.*?)</a>', rf"{NODE}$2 [{root}$1]{NODE}"),
-        (r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>', rf"{NODE}$2 [$1]{NODE}"),
+        (r'(?is)<a\b[^>]*\bhref="(/[^"]*)"[^>]*>(.*?)</a>', rf"{NODE}{OPEN}$2{CLOSE} [{root}$1]{NODE}"),
+        (r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>', rf"{NODE}{OPEN}$2{CLOSE} [$1]{NODE}"),
         (r"(?i)<li(?:\s[^>]*)?>", f"{NODE}•{NODE}"),
         (r"(?i)<h[23](?:\s[^>]*)?>", f"{NODE}---{NODE}"),
         (r"(?i)</h[23]>", f"{NODE}---{NODE}"),
         (K.HTML_TAG, NODE),
     ):
         text = F.regexp_replace(text, pattern, replacement)
-    nodes = F.filter(F.transform(F.split(decode_entities(text), NODE), lambda n: strip(n)), lambda n: n != "")
+    nodes = F.filter(F.transform(F.split(decode_entities(join_links(text)), NODE), lambda n: strip(n)), lambda n: n != "")
     joined = F.array_join(nodes, "\n")
     joined = F.regexp_replace(F.regexp_replace(joined, K.PLACEHOLDER, ""), K.NEWLINES, "\n\n")
     return F.when(F.coalesce(col, F.lit("")) == "", F.lit("N/A")).otherwise(strip(joined))

@@ -31,22 +31,28 @@ def postings(docs: DataFrame) -> DataFrame:
         F.count("*").alias("tf"))
 
 
-def bm25_index(df: DataFrame, doc_id: str, text: str, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
-    """Index tables. A negative idf (a term in more than half of the documents) becomes ``epsilon`` times the
-    mean idf over all terms. Frequent terms are safe: df is a count with a map-side combine."""
-    docs = tokenised(df, doc_id, text)
-    # a scalar subquery: a single aggregate row, computed once and used as a literal
+def index_tables(docs: DataFrame, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
+    """Term table and statistics of tokenised documents. A negative idf (a term in more than half of the
+    documents) becomes ``epsilon`` times the mean idf over all terms. Frequent terms are safe: df is a count with
+    a map-side combine."""
+    # scalar subqueries: single aggregate rows, computed once and used as literals
     size = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).alias("size")).scalar()
-    counts = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).filter("term is not null").groupBy("term").agg(
-        F.count("*").alias("df"))
+    counts = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).filter(
+        "term is not null").groupBy("term").agg(F.count("*").alias("df"))
     raw = counts.withColumn("raw_idf", F.log(size["n_docs"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw_idf")).scalar()
     idf = F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("raw_idf"))
     terms = raw.select("term", "df", idf.alias("idf"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("mean_idf", mean_idf)
+    stats = docs.sparkSession.range(1).select(
+        size["n_docs"].alias("n_docs"), size["avgdl"].alias("avgdl"), mean_idf.alias("mean_idf"))
     return Bm25Index(docs, terms, stats)
 
 
+def bm25_index(df: DataFrame, doc_id: str, text: str, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
+    """Index tables as a lazy plan. Every use reads the text again; see ``stored_index`` for repeated searches."""
+    return index_tables(tokenised(df, doc_id, text), epsilon)
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """(query_id, term, qtf): a repeated query term counts again."""
     return queries.select(F.col(query_id).alias("query_id"), F.explode_outer(words(text)).alias("term")).filter(
@@ -89,11 +95,17 @@ def post_filter(hits: DataFrame, allowed: DataFrame, k: int, *, query_id: str =
     return top_n(kept, [query_id], [F.desc("score"), F.asc(doc_id)], k)
 
 
-def write_index(index: Bm25Index, path: str) -> None:
-    """Persist the index; terms sorted by term, so a lookup of few terms skips most row groups."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+def stored_index(df: DataFrame, doc_id: str, text: str, path: str, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
+    """Build and persist the index, then hand out the stored tables: the text is tokenised once.
+
+    Terms are sorted inside each file, so a lookup of few terms skips most row groups.
+    """
+    spark = df.sparkSession
+    tokenised(df, doc_id, text).write.mode("overwrite").parquet(f"{path}/docs")
+    index = index_tables(spark.read.parquet(f"{path}/docs"), epsilon)
+    index.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Bm25Index:
