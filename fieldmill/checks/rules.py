@@ -128,6 +128,14 @@ def c11(t):
     return D.context_entities(_context(t), "context", t.nation, id_col="item_id", name_col="n_name")
 
 
+@check("c11_context_places", SQL_C11)
+def c11_row(t):
+    """The same lookup inside the row, for a short list of names."""
+    names = [f"NATION_{i}" for i in range(25)]
+    found = _context(t).select("item_id", D.context_places("context", names).alias("p")).select("item_id", "p.*")
+    return found.filter("hosts is not null or nationalities is not null")
+
+
 @check("c12_parse_date", """
 SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS parsed, CAST(NULL AS STRING) AS partial FROM orders""")
 def c12(t):

@@ -152,15 +152,25 @@ def m1(t):
     return etl.master_table(t.listings, "2026-01-01").select(*MASTER_COLS)
 
 
-@check("m2_master_table_with_places", MASTER + """ SELECT m.item_id, CASE WHEN host_country = 'Unspecified' THEN coalesce(hosts, host_country) ELSE host_country END AS host_country,
+PLACED = """ SELECT m.item_id, CASE WHEN host_country = 'Unspecified' THEN coalesce(hosts, host_country) ELSE host_country END AS host_country,
   CASE WHEN eligible_nationality = 'International / All' THEN coalesce(nationalities, eligible_nationality) ELSE eligible_nationality END AS eligible_nationality
-FROM m LEFT JOIN pl ON pl.item_id = m.item_id""")
+FROM m LEFT JOIN pl ON pl.item_id = m.item_id"""
+
+
+@check("m2_master_table_with_places", MASTER + PLACED)
 def m2(t):
     places = t.nation.select(F.col("n_name").alias("name"))
     return etl.master_table(t.listings, "2026-01-01", gazetteer=places, id_col="item_id").select(
         "item_id", "host_country", "eligible_nationality")
 
 
+@check("m2_master_table_with_place_list", MASTER + PLACED)
+def m2_list(t):
+    names = [f"NATION_{i}" for i in range(25)]
+    return etl.master_table(t.listings, "2026-01-01", gazetteer=names).select(
+        "item_id", "host_country", "eligible_nationality")
+
+
 @check("m3_chunk_table")
 def m3(t):
     chunks = etl.chunk_table(etl.master_table(t.listings, "2026-01-01"), id_col="item_id")

@@ -12,7 +12,7 @@ from ..functions.vectors import dot, norm
 from .ranking import top_n
 
 
-SLICE_ROWS = 50_000
+SLICE_ROWS = 20_000
 BLOCK_ROWS = 4_096
 
 

@@ -72,21 +72,48 @@ def context_entities(df: DataFrame, text: str, gazetteer: DataFrame, *, id_col:
                                     joined(~F.col("is_host")).alias("nationalities"))
 
 
-def with_places(df: DataFrame, gazetteer: DataFrame, *, id_col: str, context_col: str, **kw) -> DataFrame:
+def context_places(text: Column | str, names: Sequence[str], *, window: int = 5, max_words: int = 1,
+                   host_keywords: Sequence[str] = K.HOST_KEYWORDS,
+                   nat_keywords: Sequence[str] = K.NATIONALITY_KEYWORDS) -> Column:
+    """struct<hosts, nationalities> for a short list of names, inside the row: no join and no shuffle.
+
+    The names become a literal of the plan; a gazetteer of more than a few thousand names belongs in a table
+    (``context_entities``).
+    """
+    known = F.array(*[F.lit(n) for n in names])
+    host_rx = F.lit(alternation(host_keywords))
+
+    def joined(found, keep):
+        kept = F.transform(F.filter(found, lambda m: F.rlike(m["before"], host_rx) == F.lit(keep)), lambda m: m["name"])
+        return F.nullif(F.array_join(F.array_sort(F.array_distinct(kept)), ", "), F.lit(""))
+
+    near = F.filter(mentions(text, window, list(host_keywords) + list(nat_keywords), max_words),
+                    lambda m: F.array_contains(known, m["name"]))
+    return let(near, lambda found: F.struct(joined(found, True).alias("hosts"),
+                                            joined(found, False).alias("nationalities")))
+
+
+def with_places(df: DataFrame, gazetteer: DataFrame | Sequence[str], *, context_col: str, id_col: str | None = None,
+                **kw) -> DataFrame:
     """Fill unresolved host countries and open nationalities from the context.
 
-    Only rows that still hold a default take part in the scan of their text; the rest pass by untouched.
+    Only rows that still hold a default have their text searched. A list of names is looked up inside the row;
+    a table joins by name and its findings join back on ``id_col``.
     """
-    open_row = (F.col("host_country") == K.UNSPECIFIED) | (F.col("eligible_nationality") == K.ANY_NATIONALITY)
-    found = context_entities(df.filter(open_row), context_col, gazetteer, id_col=id_col, **kw)
-    out = df.join(found, id_col, "left")
-    nat_open = F.col("eligible_nationality") == K.ANY_NATIONALITY
-    return (out
-            .withColumn("host_country", F.when(F.col("host_country") == K.UNSPECIFIED, F.coalesce(
-                "hosts", "host_country")).otherwise(F.col("host_country")))
-            .withColumn("eligible_nationality", F.when(nat_open, F.coalesce(
-                "nationalities", "eligible_nationality")).otherwise(F.col("eligible_nationality")))
-            .drop("hosts", "nationalities"))
+    host_open, nat_open = F.col("host_country") == K.UNSPECIFIED, F.col("eligible_nationality") == K.ANY_NATIONALITY
+    if isinstance(gazetteer, DataFrame):
+        if id_col is None:
+            raise ValueError("a gazetteer table needs id_col")
+        found = context_entities(df.filter(host_open | nat_open), context_col, gazetteer, id_col=id_col, **kw)
+        out = df.join(found, id_col, "left")
+    else:
+        out = df.withColumn("_places", F.when(host_open | nat_open, context_places(context_col, gazetteer, **kw)))
+        out = out.withColumns({c: F.col(f"_places.{c}") for c in ("hosts", "nationalities")}).drop("_places")
+    return out.withColumns({
+        "host_country": F.when(host_open, F.coalesce("hosts", "host_country")).otherwise(F.col("host_country")),
+        "eligible_nationality": F.when(nat_open, F.coalesce("nationalities", "eligible_nationality")).otherwise(
+            F.col("eligible_nationality")),
+    }).drop("hosts", "nationalities")
 
 
 def build_document(df: DataFrame, out_col: str = "rag_document", *, name: str = "scholarship_name",

@@ -27,6 +27,8 @@ def small_enough(basis: DataFrame, limit: int = BROADCAST_BASIS_BYTES) -> bool:
     The sum over the leaves bounds scans, filters and joins on unique keys. (A plan's own estimate multiplies
     the sizes of joined tables, which says nothing.)
     """
+    if not hasattr(basis, "_jdf"):  # no plan statistics over a remote session: take the way that always works
+        return False
     leaves = basis._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= limit
 

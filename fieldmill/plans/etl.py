@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,17 +13,15 @@ from ..operators.documents import build_document, standardise, with_places
 from ..sources.stores import item_columns, require_and_filter
 
 
-def master_table(listings: DataFrame, ref: str | datetime, *, gazetteer: DataFrame | None = None,
+def master_table(listings: DataFrame, ref: str | datetime, *, gazetteer: DataFrame | Sequence[str] | None = None,
                  id_col: str | None = None, major_col: str | None = None) -> DataFrame:
     """Raw listings to the enriched table: standardised columns, document text and metadata.
 
-    Without a gazetteer the plan is a chain of projections over the scan, with no shuffle. With one, rows whose
-    host or nationality is still open are looked up by context.
+    Without a gazetteer, or with a list of place names, the plan is a chain of projections over the scan, with
+    no shuffle. A gazetteer table adds a join for the rows whose host or nationality is still open.
     """
     out = standardise(listings, ref, major_col=major_col)
     if gazetteer is not None:
-        if id_col is None:
-            raise ValueError("a gazetteer lookup needs id_col")
         out = with_places(out, gazetteer, id_col=id_col, context_col="_context", max_words=3)
     out = build_document(out.drop("_context"))
     return out.withColumn("rag_metadata", metadata(out.columns))
