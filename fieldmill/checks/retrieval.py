@@ -8,7 +8,7 @@ from ..functions import fixed as K
 from ..functions.vectors import l2_normalise
 from ..operators import dense as V, details as X, eligibility as E, fusion as U, lexical as B
 from ..plans import matching as M
-from ..session import fresh_path
+from ..session import fresh_path, written
 from .base import check
 from .snippets import contains_any, strip, words
 
@@ -269,12 +269,17 @@ def item_hits(t):
     return hits.join(t.items, "item_id")
 
 
+def stored_hits(t):
+    """Hits as a table: a late lookup reads its hits twice."""
+    return written(item_hits(t), "hits")
+
+
 @check("f14_late_enrich", HITS + """, low AS (SELECT scholarship_name, arg_min(application_process, item_id) AS ap FROM
     (SELECT scholarship_name, coalesce(application_process, '') AS application_process, item_id FROM i) AS z GROUP BY 1)
 SELECT query_id, rank, h.item_id, text || chr(10) || chr(10) || '## Application Process' || chr(10) || CASE WHEN ap = '' THEN 'Process not specified.' ELSE ap END AS text
 FROM hits AS h LEFT JOIN low USING (scholarship_name)""")
 def f14(t):
-    out = X.late_enrich(item_hits(t), t.items, key="scholarship_name")
+    out = X.late_enrich(stored_hits(t), t.items, key="scholarship_name")
     return out.select("query_id", "rank", "item_id", "text")
 
 

@@ -157,7 +157,7 @@ CONTEXT = RT.HITS + """, low AS (SELECT scholarship_name, arg_min({'v': applicat
 
 @check("g10_context_blocks", CONTEXT + " SELECT query_id, context FROM ctx")
 def g10(t):
-    return H.context_blocks(RT.item_hits(t), t.items)
+    return H.context_blocks(RT.stored_hits(t), t.items)
 
 
 @check("g11_chat_prompts", f"""

@@ -34,7 +34,8 @@ def wanted(items: DataFrame, keys: DataFrame, key: str, basis: DataFrame | None
 def late_enrich(hits: DataFrame, items: DataFrame, *, key: str, col: str = "application_process",
                 text_col: str = "text", id_col: str = "item_id", heading: str = "Application Process",
                 default: str = "Process not specified.", basis: DataFrame | None = None) -> DataFrame:
-    """Append a heavy column to the text of the final hits only."""
+    """Append a heavy column to the text of the final hits only. The hits are read twice, for the keys and for
+    the join: pass a written table when they come out of a long plan."""
     heavy = lowest_row(wanted(items, hits, key, basis), key, [col], id_col)
     found = F.when(F.coalesce(col, F.lit("")) == "", F.lit(default)).otherwise(F.col(col))
     out = hits.drop(col).join(heavy, key, "left")

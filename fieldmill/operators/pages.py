@@ -26,10 +26,18 @@ def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, id_
         F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1))).alias("pos", "href")
     ).filter("href is not null")
     link = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(root), F.col("href"))).otherwise(F.col("href"))
-    place = F.min(F.struct("page", "pos"))
-    return (found.groupBy(link.alias("link")).agg(place.alias("first"), F.count("*").alias("n_places"))
-            .select("link", F.col("first.page").alias("first_page"), F.col("first.pos").alias("first_pos"),
-                    "n_places"))
+    if pages.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        firsts = found.groupBy(link.alias("link")).agg(
+            F.min(F.struct("page", "pos")).alias("first"), F.count("*").alias("n_places"))
+        return firsts.select("link", F.col("first.page").alias("first_page"), F.col("first.pos").alias("first_pos"),
+                             "n_places")
+    # one number per place (page, then position) keeps this a hash aggregation; a struct would sort every anchor
+    base = F.lit(2 ** 31).cast("decimal(10,0)")
+    place = (F.col("page").cast("decimal(19,0)") * base + F.col("pos")).cast("decimal(38,0)")
+    firsts = found.groupBy(link.alias("link")).agg(F.min(place).alias("first"), F.count("*").alias("n_places"))
+    page = F.floor(F.col("first") / base)
+    return firsts.select("link", page.cast("bigint").alias("first_page"),
+                         (F.col("first") - page * base).cast("int").alias("first_pos"), "n_places")
 
 
 FIELDS = (
