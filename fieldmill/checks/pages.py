@@ -9,14 +9,14 @@ from .base import check
 from .snippets import WS, strip as sql_strip
 
 ROOT = "https://site.example"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&")]
+ENTITIES = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&copy;?", "©"),
+            ("&middot;?", "·"), ("&amp;?", "&")]
 
 
 def sql_decode(x: str) -> str:
-    x = f"replace({x}, '&nbsp;', chr(160))"
+    x = f"regexp_replace({x}, '&nbsp;?', chr(160), 'g')"
     for name, char in ENTITIES:
-        x = f"replace({x}, '{name}', '{char}')"
+        x = f"regexp_replace({x}, '{name}', '{char}', 'g')"
     return x
 
 

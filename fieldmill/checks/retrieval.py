@@ -239,7 +239,7 @@ def jaccard(a: str, b: str) -> str:
 
 
 SCORED = f"""
-WITH {bm25_ctes(DOCS, BENCH)}, sc AS (SELECT h.query_id, h.doc_id, round(CAST({jaccard('query', 'text')} AS DOUBLE), 6) AS rerank_score
+WITH {bm25_ctes(DOCS, BENCH)}, sc AS (SELECT h.query_id, h.doc_id, round(CAST({jaccard('query', 'text')} AS DOUBLE), 12) AS rerank_score
     FROM bm AS h JOIN queries USING (query_id) JOIN corpus USING (doc_id) WHERE rank <= 15)"""
 
 
@@ -296,7 +296,7 @@ WITH r AS ({ASKED}), i AS {{items}},
   u AS (SELECT query_id, doc_id, rank AS dr, NULL AS sr FROM dn UNION ALL SELECT query_id, doc_id, NULL, rank FROM sp),
   fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + coalesce(dr, sr))), 9) AS score, min(dr) AS d, min(sr) AS s FROM u GROUP BY 1, 2),
   cp AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d NULLS LAST, s NULLS LAST, doc_id) <= 15),
-  sc AS (SELECT cp.query_id, cp.doc_id, ch.text, round(0.5 * coalesce(dn.score, 0.0) + 0.5 * CAST({jaccard('asked.search_query', 'ch.text')} AS DOUBLE), 6) AS rerank_score
+  sc AS (SELECT cp.query_id, cp.doc_id, ch.text, round(0.5 * coalesce(dn.score, 0.0) + 0.5 * CAST({jaccard('asked.search_query', 'ch.text')} AS DOUBLE), 12) AS rerank_score
          FROM cp JOIN asked ON asked.query_id = cp.query_id JOIN ch ON ch.doc_id = cp.doc_id LEFT JOIN dn ON dn.query_id = cp.query_id AND dn.doc_id = cp.doc_id),
   fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM sc WHERE rerank_score >= 0.05 QUALIFY rank <= 5)"""
 

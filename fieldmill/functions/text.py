@@ -109,11 +109,11 @@ def deep_links(link: Column | str, texts: Sequence[Column | str]) -> Column:
 
 
 def decode_entities(col: Column) -> Column:
-    """The common named character references; the ampersand last so nothing is decoded twice."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", K.NBSP),
-                       ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+    """The common named character references, whose semicolon may be missing; the ampersand last so nothing is
+    decoded twice."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", K.NBSP), ("copy", "©"), ("middot", "·")):
+        col = F.regexp_replace(col, f"&{name};?", char)
+    return F.regexp_replace(F.replace(col, F.lit("&#39;"), F.lit("'")), "&amp;?", "&")
 
 
 def count_marker(col: Column | str, marker: str) -> Column:

@@ -69,8 +69,9 @@ def blended_scorer(query: str = "query", text: str = "text", cosine: str | None
 
 
 def rerank(pairs: DataFrame, scorer: Column | Callable[[DataFrame], Column], *, out_col: str = "rerank_score",
-           digits: int = 6) -> DataFrame:
-    """Score every (query, text) row. The scorer is a column: native, or the caller's own pandas UDF applied to
+           digits: int = 12) -> DataFrame:
+    """Score every (query, text) row; rounded far below any real difference, so that equal scores tie by id.
+    The scorer is a column: native, or the caller's own pandas UDF applied to
     columns of the pairs."""
     score = scorer(pairs) if callable(scorer) and not isinstance(scorer, Column) else scorer
     return pairs.withColumn(out_col, F.round(score.cast("double"), digits))
