@@ -292,7 +292,7 @@ WITH r AS ({ASKED}), i AS {{items}},
   dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 15),
   {bm25_ctes('SELECT doc_id, text FROM ch', 'SELECT query_id, search_query AS query FROM asked')},
   sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-         FROM (SELECT bm.* FROM bm JOIN ok ON ok.query_id = bm.query_id AND ok.item_id = bm.doc_id WHERE rank <= 45) AS z QUALIFY rank <= 15),
+         FROM (SELECT bm.query_id, bm.doc_id, bm.score FROM bm JOIN ok ON ok.query_id = bm.query_id AND ok.item_id = bm.doc_id WHERE rank <= 45) AS z QUALIFY rank <= 15),
   u AS (SELECT query_id, doc_id, rank AS dr, NULL AS sr FROM dn UNION ALL SELECT query_id, doc_id, NULL, rank FROM sp),
   fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + coalesce(dr, sr))), 9) AS score, min(dr) AS d, min(sr) AS s FROM u GROUP BY 1, 2),
   cp AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d NULLS LAST, s NULLS LAST, doc_id) <= 15),
