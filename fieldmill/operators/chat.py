@@ -28,9 +28,10 @@ def sessions_to_create(messages: DataFrame, sessions: DataFrame, *, key: str = "
 def append_messages(log: DataFrame, messages: DataFrame, sessions: DataFrame, *,
                     key: str = "session_id") -> tuple[DataFrame, DataFrame]:
     """(log, sessions) after the append: every message has a parent session."""
-    created = sessions_to_create(messages, sessions, key=key)
-    return (log.unionByName(messages, allowMissingColumns=True),
-            sessions.unionByName(created, allowMissingColumns=True))
+    # a full join adds the missing keys; a union of two sides that are both partitioned by the key is not safe to
+    # join on afterwards (see the README)
+    with_created = sessions.join(messages.select(key).distinct(), key, "full")
+    return log.unionByName(messages, allowMissingColumns=True), with_created.select(*sessions.columns)
 
 
 def speaker_line(role: Column | str, content: Column | str) -> Column:

@@ -19,6 +19,9 @@ def build_session(app: str = "fieldmill", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # adaptive execution may coalesce the two sides of a union differently, which breaks the partitioning
+        # that Spark 4.1 keeps for it; a shuffle after a union is the safe way
+        "spark.sql.unionOutputPartitioning": "false",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
