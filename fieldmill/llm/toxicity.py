@@ -89,7 +89,7 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str
 
     totals = sample.groupBy().agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
-    least = max(2, math.ceil(0.005 * n_toxic))
+    least = max(3, math.ceil(0.015 * n_toxic))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     counted = sample.select("text", "toxic").mapInPandas(count, "key string, clean long, toxic long")
     rows = (counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
