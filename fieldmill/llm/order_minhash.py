@@ -30,28 +30,24 @@ POSITION_BITS = 24
 
 
 def kmers(text: Column) -> Column:
-    """Occurrence-numbered k-mers of a text as hashes, in text order."""
-    words = F.filter(F.split(text, r"[ \n\t\r]+", -1), lambda w: w != "")
+    """Occurrence-numbered k-mers of a text: structs of a hash ``h`` and the place ``i``, in any order."""
+    words = F.split(F.btrim(text, F.lit(" \n\t\r")), r"[ \n\t\r]+", -1)
 
-    def numbered(plain: Column) -> Column:
-        # equal k-mers next to each other after sorting; the place in such a run is the occurrence
-        placed = F.array_sort(F.transform(plain, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-        def runs(order: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(1), F.size(order)), lambda k: (k == 1) | (F.element_at(order, k)["h"] != F.element_at(order, F.greatest(k - 1, F.lit(1)))["h"]))
-            return let(starts, lambda s: F.flatten(F.transform(s, lambda k, at: F.transform(
-                F.slice(order, k, F.coalesce(F.try_element_at(s, at + 2), F.size(order) + 1) - k),
-                lambda x, n: F.struct(x["i"].alias("i"), F.when(n == 0, x["h"]).otherwise(F.xxhash64(x["h"], n)).alias("h"))))))
-
-        repeated = let(placed, lambda order: F.transform(F.array_sort(runs(order)), lambda x: x["h"]))
-        return F.when(F.size(F.array_distinct(plain)) == F.size(plain), plain).otherwise(repeated)
+    def numbered(order: Column) -> Column:
+        # equal k-mers stand next to each other; the place in such a run is the occurrence
+        starts = F.filter(F.sequence(F.lit(0), F.size(order) - 1), lambda k: (k == 0) | (F.get(order, k)["h"] != F.get(order, F.greatest(k - 1, F.lit(0)))["h"]))
+        run = lambda s: F.flatten(F.transform(s, lambda k, at: F.transform(
+            F.slice(order, k + 1, F.coalesce(F.get(s, at + 1), F.size(order)) - k),
+            lambda x, n: F.struct(F.when(n == 0, x["h"]).otherwise(F.xxhash64(x["h"], n)).alias("h"), x["i"].alias("i")))))
+        return let(starts, lambda s: F.when(F.size(s) == F.size(order), order).otherwise(run(s)))
 
     def of_words(w: Column) -> Column:
-        last = F.size(w) - KMER + 1
-        plain = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(
-            *[F.try_element_at(w, k + j) for j in range(KMER)]))).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(
-            F.array().cast("array<bigint>"))
-        return let(plain, numbered)
+        last = F.size(w) - KMER
+        plain = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64(*[F.get(w, k + j) for j in range(KMER)]).alias("h"), k.alias("i")))
+        short = F.array(F.struct(F.xxhash64(F.array_join(w, " ")).alias("h"), F.lit(0).alias("i")))
+        none = F.array().cast("array<struct<h:bigint,i:int>>")
+        return (F.when(last >= 0, let(F.sort_array(plain), numbered))
+                .when((F.size(w) > 1) | (F.get(w, F.lit(0)) != ""), short).otherwise(none))
 
     return let(words, of_words)
 
@@ -64,7 +60,7 @@ def packed(h: Column, place: Column, sketch: int) -> Column:
 
 def fingerprints(texts: DataFrame, keys: list[str], sketches: int = SKETCHES) -> DataFrame:
     """``keys`` and ``fingerprint`` (hexadecimal, eight digits per sketch) for every row of ``keys`` and ``text``."""
-    rows = texts.select(*keys, F.posexplode_outer(kmers(F.col("text"))).alias("__llm_at", "__llm_h"))
+    rows = texts.select(*keys, F.inline_outer(kmers(F.col("text"))).alias("__llm_h", "__llm_at"))
     h, at = F.col("__llm_h"), F.col("__llm_at")
     # one order from the bits of a second hash: both halves of the space, for each of the sketches
     half = F.when(h.bitwiseAND(F.lit(1)) == 0, True).otherwise(False)
