@@ -56,53 +56,51 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int =
         if len(seq) < 2:
             break
         codes = (seq[:-1] << 32) | seq[1:]
-        inner = np.flatnonzero(~last[:-1])
-        ordered = np.sort(codes[inner])
-        if not len(ordered):
-            break
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(ordered)]]))
-        top = int(counts.max())
+        codes[last[:-1]] = -1
+        ordered = np.sort(codes)
+        ordered = ordered[np.searchsorted(ordered, 0):]
+        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        counts = np.diff(starts, append=len(ordered))
+        top = int(counts.max(initial=0))
         if top < min_count:
             break
-        often = np.flatnonzero(counts >= max(min_count, top // 16))
+        often = np.flatnonzero(counts >= max(min_count, top // 32))
         pairs, counts = ordered[starts[often]], counts[often]
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
-        # the frequent pair at each position: a table of hashes first, a search only where it says maybe
+        # where frequent pairs stand: a table of hashes first, a search only where it says maybe
         maybe = np.zeros(1 << 20, bool)
         maybe[bucket(pairs)] = True
-        near = inner[maybe[bucket(codes[inner])]]
+        near = np.flatnonzero(maybe[bucket(codes)])
         found = np.minimum(np.searchsorted(pairs, codes[near]), len(pairs) - 1)
         right_one = pairs[found] == codes[near]
         near, found = near[right_one], found[right_one]
-        hit, at = np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
-        hit[near], at[near] = True, found
-        far = 2 * len(pairs)
-        key = np.where(hit, 2 * rank[at], far)
-        # a run of one id holds overlapping equal pairs: every other one counts
-        same = np.concatenate([[False], (codes[1:] == codes[:-1]) & hit[1:] & hit[:-1]])
+        # of two overlapping pairs the more frequent one is taken; in a run of one id every other pair
+        key = 2 * rank[found]
+        touch = np.diff(near) == 1
+        same = np.concatenate([[False], touch & (found[1:] == found[:-1])])
         if same.any():
-            places = np.arange(len(codes))
-            run_start = np.maximum.accumulate(np.where(same, 0, places))
-            key = key + np.where(hit, (places - run_start) & 1, 0)
-        left_key, right_key = np.concatenate([[far], key[:-1]]), np.concatenate([key[1:], [far]])
-        take = hit & (key < left_key) & (key < right_key)
-        chosen = at[take]
+            places = np.arange(len(near))
+            key += (places - np.maximum.accumulate(np.where(same, 0, places))) & 1
+        less = key[1:] < key[:-1]
+        take = np.ones(len(near), bool)
+        take[1:] &= ~touch | less
+        take[:-1] &= ~touch | ~less
+        places, chosen = near[take], found[take]
         used = np.bincount(chosen, minlength=len(pairs)) >= 2
         if not used.any():
             break
-        places = np.flatnonzero(take)[used[chosen]]
+        places, chosen = places[used[chosen]], chosen[used[chosen]]
         numbers = np.cumsum(used) - 1 + known
         left.append(pairs[used] >> 32)
         right.append(pairs[used] & 0xFFFFFFFF)
-        seq[places] = numbers[at[places]]
+        seq[places] = numbers[chosen]
         last[places] = last[places + 1]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq, last = seq[keep], last[keep]
         known += int(used.sum())
-        if len(places) * 200 < len(keep):  # the next rounds would save less than their rules take
+        if len(places) * 100 < len(keep):  # the next rounds would save less than their rules take
             break
     none = np.zeros(0, np.int64)
     return np.concatenate(left or [none]), np.concatenate(right or [none]), seq, last

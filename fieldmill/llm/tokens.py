@@ -1,9 +1,9 @@
 """Byte-pair ids of whole texts by the ``tokenizers`` library, with a memo of its answers per word.
 
-The pre-tokenizer of the byte-level vocabulary always starts a new piece at a single space between two characters
-that are no white space. So the ids of a text are the ids of its words (each with its leading space), one after the
-other, and the library has to be asked once per distinct word. A text with any other white space around a space is
-given to the library as a whole.
+The pre-tokenizer of the byte-level vocabulary always starts a new piece at a single space or line feed between two
+characters that are no white space, and such a line feed is a piece of its own. So the ids of a text are the ids of its
+words (each with the space or line feed before it), one after the other, and the library has to be asked once per
+distinct word. A text with any other white space next to a space or line feed is given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 
 END_ID = 0
 
-# White space (or what some Unicode versions count as such) next to which a space may not start a piece.
+# White space (or what some Unicode versions count as such) next to which a space or line feed may not start a piece.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -24,16 +24,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def regular(text: str) -> bool:
-    """Whether every space of ``text`` stands alone between characters that are no white space."""
-    return not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
-                or (_ODD.search(text) is not None))
+def words_of(text: str) -> list[str] | None:
+    """The words of a text: its parts before single spaces and single line feeds, a line feed staying with its word.
+
+    The first word gets a line feed too. None where white space stands next to a space or line feed.
+    """
+    if ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
+            or _ODD.search(text) is not None):
+        return None
+    return ("\n" + text.replace("\n", " \n")).split(" ")
 
 
 class Encoder:
     """Ids of many texts at once. Memory is bounded: the memo is emptied when it holds ``memo_words`` words."""
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -50,56 +55,35 @@ class Encoder:
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _learn(self):
-        """Ask the library for the words that the memo met since last time."""
-        new = self.memo.fresh
-        if not new:
-            return
-        self.memo.fresh = []
-        parts, counts = [], np.zeros(len(new), np.int64)
-        inner = [(k, w) for k, w in enumerate(new) if w[:1] != " "]
-        found: list[np.ndarray | None] = [None] * len(new)
-        for at in range(0, len(inner), 50_000):
-            some = inner[at:at + 50_000]
-            ids = self.plain("".join([" " + w for _, w in some]))
-            ends = np.cumsum([len(w.encode("utf-8")) + 1 for _, w in some])
+        """Ask the library for the words that the memo met since last time, many in one text."""
+        new, self.memo.fresh = self.memo.fresh, []
+        for at in range(0, len(new), 50_000):
+            some = [w if w[:1] == "\n" else " " + w for w in new[at:at + 50_000]]
+            ids = self.plain("".join(some))
+            ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) for w in some), np.int64, len(some)))
             cuts = np.searchsorted(np.cumsum(self.byte_lengths[ids]), ends) + 1
-            for (k, _), piece in zip(some, np.split(ids, cuts[:-1])):
-                found[k] = piece
-        first = [k for k, w in enumerate(new) if w[:1] == " "]  # a text's first word, marked by a space
-        if first:
-            answers = self.library.encode_batch_fast([new[k][1:] for k in first], add_special_tokens=False)
-            for k, answer in zip(first, answers):
-                found[k] = np.array(answer.ids, np.int32)
-        for k, piece in enumerate(found):
-            parts.append(piece)
-            counts[k] = len(piece)
-        before = len(self.ids)
-        self.ids = np.concatenate([self.ids, *parts]).astype(np.int32)
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.starts = np.concatenate([self.starts, before + np.cumsum(counts) - counts])
+            lengths = np.diff(cuts, prepend=0)
+            self.starts = np.concatenate([self.starts, len(self.ids) + cuts - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
         if len(self.memo) > self.memo_words:
             self._empty()
-        words: list[np.ndarray | None] = []
+        numbers: list[np.ndarray | None] = []
         for text in texts:
-            if not text:
-                words.append(np.zeros(0, np.int64))
-            elif regular(text):
-                pieces = text.split(" ")
-                pieces[0] = " " + pieces[0]
-                words.append(np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces)))
-            else:
-                words.append(None)
+            words = words_of(text) if text else None
+            numbers.append(None if words is None else np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
         self._learn()
         tail = np.array([end_id] if end_id is not None else [], np.int32)
         out, offsets = [], np.zeros(len(texts) + 1, np.int64)
-        for k, (text, index) in enumerate(zip(texts, words)):
-            ids = self.plain(text) if index is None else gather(self.ids, self.starts[index], self.lengths[index])
+        for k, (text, n) in enumerate(zip(texts, numbers)):
+            # the line feed before the first word is its first id
+            ids = self.plain(text) if n is None else gather(self.ids, self.starts[n], self.lengths[n])[1:]
             out += [ids, tail]
             offsets[k + 1] = offsets[k] + len(ids) + len(tail)
         return np.concatenate(out) if out else np.zeros(0, np.int32), offsets
