@@ -8,8 +8,9 @@ Two registers agree with the probability Jaccard similarity of the two weighted
 
 Candidates share a band of registers. In each band the members of a bucket are compared with one of them (another
 one in each band), which links large groups without listing their pairs. Where members of a bucket still lie in
-different components, all their pairs across components are estimated in blocks, and every likely pair is checked, so
-no link between different components that share a bucket goes unseen. Links are checked exactly on the texts.
+different components, all their pairs across components are estimated in blocks of a bounded size, and the likely ones
+are checked there until the components are joined, so no link that would join two components goes unseen. No list of
+pairs leaves a task. Links are checked exactly on the texts; ``n_links`` counts those that were needed.
 
 Cases: null and empty texts (no word) are alone in their class. Equal word sequences are one class without a check.
 Repeated rows of one id count once. A null id never leaves its row: its class is null. Empty table: no rows. Other
@@ -178,37 +179,86 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY
 
 
 def band_rows(sketch: DataFrame, registers: int = REGISTERS, rows: int = BAND_ROWS) -> DataFrame:
-    """``(node, bucket)``: one row per band; the bucket is a hash of the band's number and registers."""
+    """``(node, band, bucket)``: one row per band; the bucket is a hash of the band's number and registers."""
     width = 2 * rows
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(registers // rows)])
-    return sketch.select("node", F.explode(bands).alias("bucket"))
+    return sketch.select("node", F.posexplode(bands).alias("band", "bucket"))
 
 
-def across(buckets: DataFrame, registers: int, least: float) -> DataFrame:
-    """Likely pairs across components within buckets that hold several components, by blocks of a bounded size.
+def in_blocks(buckets: DataFrame) -> DataFrame:
+    """Deals the members of each bucket into blocks of a bounded size and every two blocks into a task of their own.
 
-    ``buckets``: (bucket, node, label, registers). A bucket of m members makes m / BLOCK blocks; two blocks meet in
-    one task, so a row is copied once per block of its bucket, and only likely pairs come out.
+    A bucket of m members makes m / BLOCK blocks, so a row is copied once per block of its bucket.
     """
     key = OWN + "block"
     sized = buckets.join(buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    rows = sized.select("bucket", "node", "label", "registers", own.alias("own"), F.explode(met).alias(key))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        left, right = frame[frame["own"] == i], frame[frame["own"] == j]
-        marks = np.frombuffer(b"".join(right["registers"]), np.uint16).reshape(-1, registers)
-        names, labels, out = right["node"].to_numpy(), right["label"].to_numpy(), []
-        for node, label, mine in zip(left["node"], left["label"], left["registers"]):
-            other = np.flatnonzero(labels != label)
-            same = (marks[other] == np.frombuffer(mine, np.uint16)).mean(1)
-            out += [(min(node, x), max(node, x)) for x in names[other[same >= least]]]
+    dealt = sized.withColumn("own", own).withColumn(key, F.explode(met))
+    return dealt.select(*buckets.columns, "own", f"{key}.i", f"{key}.j").repartition("bucket", "i", "j")
+
+
+def likely_pairs(frame: pd.DataFrame, least: float, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per row of the left block: the rows of the right block in another component whose estimate reaches ``least``.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    marks = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
+    label, own, band = frame["label"].to_numpy(), frame["own"].to_numpy(), int(frame["band"].iloc[0])
+    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+    right = np.flatnonzero(own == j)
+    for k in np.flatnonzero(own == i):
+        other = right[(label[right] != label[k]) & ((right > k) if i == j else True)]
+        same = marks[other] == marks[k]
+        share = same.mean(1)
+        before = same[:, :band * rows].reshape(len(other), band, rows).all(2).any(1)
+        good = (share >= least) & ~before
+        yield int(k), other[good], share[good]
+
+
+def links_across(buckets: DataFrame, docs: DataFrame, threshold: float, least: float, rows: int) -> DataFrame:
+    """Links between components within buckets that hold several: (bucket, band, node, label, registers) in.
+
+    First the members with a likely partner in another component are found, then these meet again with their texts
+    and the likely pairs are checked, best estimate first. Pairs that are connected already are passed over, so a
+    task returns a forest at most, whatever the number of its pairs.
+    """
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(frame), bool)
+        for k, others, _ in likely_pairs(frame, least, rows):
+            hit[others] = True
+            hit[k] |= len(others) > 0
+        return frame.loc[hit, ["bucket", "node"]].drop_duplicates()
+
+    def check(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(-s, k, o) for k, others, share in likely_pairs(frame, least, rows) for o, s in zip(others.tolist(), share.tolist())]
+        node, label = frame["node"].to_numpy(), frame["label"].tolist()
+        above = {x: x for x in label}
+        bags: dict[int, tuple] = {}
+
+        def root(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        def bag(k):
+            if k not in bags:
+                bags[k] = shingles(words_of(frame["text"].iloc[k]))
+            return bags[k]
+
+        out = []
+        for _, k, o in sorted(pairs):
+            a, b = root(label[k]), root(label[o])
+            if a != b and probability_jaccard(bag(k), bag(o)) >= threshold - 1e-9:
+                above[a] = b
+                out.append((min(node[k], node[o]), max(node[k], node[o])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    flat = rows.select("bucket", f"{key}.i", f"{key}.j", "own", "node", "label", "registers")
-    return flat.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    met = in_blocks(buckets).groupBy("bucket", "i", "j").applyInPandas(find, "bucket long, node long").distinct()
+    flagged = stored(buckets.join(met, ["bucket", "node"]), "open-buckets")
+    wanted = flagged.select(F.col("node").alias("doc_id")).distinct()
+    held = texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+    return in_blocks(flagged.join(held, "node")).groupBy("bucket", "i", "j").applyInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: int = REGISTERS,
@@ -233,13 +283,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: i
     labels = components(links)
 
     # buckets whose members still lie in several components
-    placed = shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = shared.select("bucket", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    open_rows = placed.join(mixed, "bucket").join(nodes, "node")
-    more = stored(across(open_rows, registers, least).join(likely, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        found = stored(check_pairs(more, docs, threshold), "links").select("a", "b")
-        links = links.unionByName(found)
+    open_rows = stored(placed.join(mixed, "bucket").join(nodes, "node"), "mixed-buckets")
+    found = stored(links_across(open_rows, docs, threshold, least, rows).distinct(), "links")
+    if not found.isEmpty():
+        links = links.unionByName(found).distinct()
         labels = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
