@@ -9,7 +9,7 @@ label of its place (an article or main element makes text, anything else boilerp
 the open ones are.
 
 Where a page has an article or main element, only its blocks take part: links or a container make a block boilerplate
-there, a long block without stop words stays open, and containers of boilerplate are no neighbours. White space inside a block becomes one space; blocks of text are joined in page order by
+there, and a long block without stop words stays open. Containers of boilerplate are no neighbours. White space inside a block becomes one space; blocks of text are joined in page order by
 a line feed.
 
 Cases: null or empty html: empty text. No block of text: empty text. Broken markup is read as far as it goes: unclosed
@@ -190,10 +190,10 @@ def extract(html: str) -> str:
 
 
 def decide(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """Whether each block is text of the page. Where the page marks its content, only what lies inside takes part, and
-    advert or comment containers in between are no neighbours of the text around them."""
+    """Whether each block is text of the page. Where the page marks its content, only what lies inside takes part.
+    Containers of boilerplate are no neighbours of the blocks around them."""
     marked = any(content for *_, content in blocks)
-    part = [k for k, (_, _, boilerplate, content) in enumerate(blocks) if not marked or (content and not boilerplate)]
+    part = [k for k, (_, _, boilerplate, content) in enumerate(blocks) if not boilerplate and (content or not marked)]
     labels = second_pass([first_pass(*blocks[k]) for k in part], [blocks[k][3] for k in part])
     kept = {k for k, label in zip(part, labels) if label}
     return [k in kept for k in range(len(blocks))]

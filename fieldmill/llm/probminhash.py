@@ -6,8 +6,8 @@ falls into one of the signature's registers, and a register keeps the shingle th
 the latest register can't matter, so a process ends there: a text of n shingles needs little more than n arrivals.
 Two registers agree with the probability Jaccard similarity of the two weighted sets.
 
-Candidates share a band of registers. In each band the members of a bucket are compared with one of them (another
-one in each band), which links large groups without listing their pairs. Where members of a bucket still lie in
+Candidates share a band of registers. In each band the members of a bucket are compared with one of them, the first in
+one random order of all documents, which links large groups through few hubs and without listing their pairs. Where members of a bucket still lie in
 different components, all their pairs across components are estimated in blocks of a bounded size, and the likely ones
 are checked there until the components are joined, so no link that would join two components goes unseen. No list of
 pairs leaves a task. Links are checked exactly on the texts; ``n_links`` counts those that were needed.
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: i
     nodes = copies.select("node", "registers")
 
     buckets = band_rows(nodes, registers, rows)
-    first = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("hub"), F.count("*").alias("n"))
+    first = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"), F.count("*").alias("n"))
     hubs = first.filter("n > 1").select("bucket", F.col("hub.node").alias("hub"))
     shared = stored(buckets.join(hubs, "bucket"), "buckets")
     pairs = (shared.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())

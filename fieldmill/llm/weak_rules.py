@@ -144,6 +144,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[fl
 
     Abstaining says nothing. Class 1 is good: there a rule votes bad at most ``MAX_FALSE_ALARMS`` of the time, which
     is what makes it a rule, and keeps a kind of bad text that only one rule sees from passing as noise of that rule.
+    A bad text breaks at least one rule on average, so the bad class can't absorb texts that break none.
     Every chance has pseudo-counts as if ``PRIOR`` texts had been seen.
     """
     bad, voted = (patterns == BAD).astype(float), (patterns != ABSTAIN).astype(float)
@@ -156,6 +157,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[fl
         fresh = (weight @ bad + PRIOR * prior[:, None]) / (weight @ voted + PRIOR)
         fresh[1] = np.minimum(fresh[1], MAX_FALSE_ALARMS)
         fresh[0] = np.maximum(fresh[0], 2 * fresh[1])
+        fresh[0] = np.minimum(fresh[0] * max(1.0, 1.0 / fresh[0].sum()), 0.95)
         share = min((weight[1].sum() + 1) / (counts.sum() + 2), MAX_GOOD)
         moved = max(abs(share - good), float(np.abs(fresh - chances).max()))
         good, chances = share, fresh
