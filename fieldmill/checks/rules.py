@@ -153,7 +153,7 @@ def c12(t):
 SQL_DEADLINE = f"""
 WITH s AS (SELECT item_id, {strip("coalesce(deadline, 'none')")} AS v, {context()} AS c FROM {{listings}} AS l),
   u AS (SELECT *, lower(v) IN ('not specified', 'varies', 'nan', 'none', 'rolling', 'continuous') AS useless FROM s),
-  w AS (SELECT *, substr(CASE WHEN useless THEN 'Scholarship Details: ' || c ELSE 'Extracted Text: ' || v || ' | Scholarship Details: ' || c END, 1, 8000) AS txt FROM u)
+  w AS (SELECT *, CASE WHEN useless THEN 'Scholarship Details: ' || c ELSE 'Extracted Text: ' || v || ' | Scholarship Details: ' || c END AS txt FROM u)
 SELECT item_id, coalesce(CASE WHEN NOT useless AND length(v) < 30 THEN strftime(coalesce(try_strptime(v, '%Y-%m-%d'),
     try_strptime(v, '%B %d, %Y'), try_strptime(v, '%m/%d/%Y')), '%Y-%m-%d') END,
   strftime(try_strptime(regexp_extract(txt, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), '%Y-%m-%d'), '%Y-%m-%d'), 'Not Specified') AS standardized_deadline

@@ -122,8 +122,7 @@ POLLUTION = [
     ("awards_available", "Varies"), ("awards_available", "N/A"),
 ]
 NOISE_TOPICS = [
-    "Italian cooking recipes", "Football match results", "History of the Roman Empire",
-    "Basic car maintenance", "Quantum computing for dummies",
+    "sourdough baking", "league fixtures", "bronze age trade", "bicycle repair", "tide tables",
 ]
 LINK_FOOTER = "**Official Application Link:**"
 CHUNK_CONFIGS = [

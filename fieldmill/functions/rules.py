@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed as K
-from .text import alternation, as_col, has_words, is_null_like, let, strip, title_case, truncate
+from .text import alternation, as_col, has_words, is_null_like, let, strip, title_case
 
 
 def expand_context(cols: Sequence[Column | str], nulls: Sequence[str] = K.CONTEXT_NULLS) -> Column:
@@ -143,14 +143,14 @@ def find_date(col: Column | str) -> Column:
 
 
 def standardise_deadline(raw: Column | str, context: Column | str, *, max_len: int = 30,
-                         nulls: Sequence[str] = K.DEADLINE_NULLS, budget: int = 8000) -> Column:
-    """Short raw values parse strictly; otherwise the first date in the labelled text decides."""
+                         nulls: Sequence[str] = K.DEADLINE_NULLS) -> Column:
+    """Short raw values parse strictly; otherwise the first date in the whole labelled text decides."""
     value = strip(F.coalesce(as_col(raw), F.lit("none")))
     useless = F.lower(value).isin(list(nulls))
     labelled = F.when(useless, F.concat(F.lit("Scholarship Details: "), as_col(context))).otherwise(
         F.concat(F.lit("Extracted Text: "), value, F.lit(" | Scholarship Details: "), as_col(context)))
     exact = F.when(~useless & (F.length(value) < max_len), parse_date(value))
-    return F.coalesce(exact, find_date(truncate(labelled, budget)), F.lit(K.NOT_SPECIFIED))
+    return F.coalesce(exact, find_date(labelled), F.lit(K.NOT_SPECIFIED))
 
 
 def reference_time(ref: str | datetime) -> Column:

@@ -88,7 +88,7 @@ def title_case(col: Column | str) -> Column:
     """Upper-case the first letter of every letter run (``initcap`` only looks at spaces)."""
     runs = F.regexp_extract_all(as_col(col), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
     return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def strip_literal(col: Column | str, literal: str) -> Column:

@@ -36,7 +36,7 @@ def append_messages(log: DataFrame, messages: DataFrame, sessions: DataFrame, *,
 
 def speaker_line(role: Column | str, content: Column | str) -> Column:
     role = as_col(role)
-    name = F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substring(role, 2, 1_000_000)))
+    name = F.concat(F.upper(F.substring(role, 1, 1)), F.lower(F.substr(role, F.lit(2))))
     return F.concat(name, F.lit(": "), as_col(content), F.lit("\n"))
 
 

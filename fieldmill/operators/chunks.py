@@ -34,7 +34,7 @@ def mask_fences(text: Column) -> Column:
 def header_title(part: Column, mark: str) -> Column:
     """Header text of a part that begins with ``mark``; null for a part before the first header."""
     first = F.substring_index(part, "\n", 1)
-    return F.when(F.rlike(first, F.lit(rf"^{mark}(?: |$)")), F.btrim(F.substring(first, len(mark) + 1, 1_000_000)))
+    return F.when(F.rlike(first, F.lit(rf"^{mark}(?: |$)")), F.btrim(F.substr(first, F.lit(len(mark) + 1))))
 
 
 def split_sections(df: DataFrame, text: str, *, id_col: str = "doc_id") -> DataFrame:

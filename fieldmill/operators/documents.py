@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K, rules as R
-from ..functions.text import alternation, as_col, clean_text, let, not_contained, title_case
+from ..functions.text import alternation, as_col, clean_text, let, not_contained
 
 TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SECTIONS = (("Scholarship Details", "scholarship_details"), ("Eligibility Criteria", "eligibility"))
@@ -164,7 +164,3 @@ def standardise(df: DataFrame, ref: str | datetime, *, major_col: str | None = N
             .withColumn("scholarship_status", R.status("parsed_date", ref))
             .withColumn("application_process", R.impute_short("application_process"))
             .drop("_tags", "_funding_text"))
-
-
-def titled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: title_case(c) for c in cols})

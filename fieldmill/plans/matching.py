@@ -13,13 +13,17 @@ from ..operators.eligibility import (accepted_facets, detect_intents, enrich_que
                                      with_facet, with_signature)
 from ..operators.fusion import blended_scorer, cap, rerank, rrf, threshold_topk
 from ..operators.lexical import Bm25Index, bm25_topk
+from ..operators.profiles import SEARCH_DEFAULTS
 from ..operators.ranking import broadcast_if_small, top_n
 from ..session import written
 
 
 def prepare_requests(requests: DataFrame, profiles: DataFrame, *, session: str = "session_id") -> DataFrame:
-    """Requests with their profile, intents and enriched query text."""
-    return enrich_query(detect_intents(requests.join(profiles, session)))
+    """Requests with their profile, intents and enriched query text. A request without a profile gets the default one."""
+    joined = requests.join(profiles.withColumn("_known", F.lit(True)), session, "left")
+    filled = {name: F.when(F.col("_known"), F.col(name)).otherwise(F.lit(value)) for name, value in SEARCH_DEFAULTS.items()
+              if name in profiles.columns}
+    return enrich_query(detect_intents(joined.withColumns(filled).drop("_known")))
 
 
 def request_facets(requests: DataFrame, items: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _scan(spark: SparkSession, folder: str, glob: str, schema: T.StructType, mul
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     return (spark.read.schema(full).option("multiLine", multi_line).option("pathGlobFilter", glob)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-            .option("ignoreCorruptFiles", True).json(folder))
+            .json(folder))
 
 
 def _readable(schema: T.StructType):

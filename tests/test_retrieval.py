@@ -232,3 +232,13 @@ def test_bm25_plan_shuffles_tokens_once(spark, corpus, tmp_path):
     spark.createDataFrame(queries, "query_id long, query string").write.parquet(path)
     plan = B.bm25_topk(spark.read.parquet(path), index, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(doc_id") == 1 and "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_a_request_without_profile_searches_with_the_default_one(spark):
+    from fieldmill.plans.matching import prepare_requests
+    requests = spark.createDataFrame([(1, "a", "grants"), (2, "none", "grants")], "query_id long, session_id string, query string")
+    profiles = spark.createDataFrame([("a", "Egypt", "PhD", "Physics", 3.5, "optics", ["lasers"])],
+                                     "session_id string, nationality string, academic_level string, academic_major string, gpa double, research_interests string, skills array<string>")
+    got = {r["query_id"]: r for r in prepare_requests(requests, profiles).collect()}
+    assert got[1]["nationality"] == "Egypt" and got[1]["academic_level"] == "PhD"
+    assert got[2]["nationality"] == "Unknown" and got[2]["academic_level"] == "Bachelor" and got[2]["gpa"] == 0.0

@@ -114,3 +114,7 @@ def test_profile_ranges(spark):
     assert {r.session_id for r in valid.collect()} == {"a", "d"}
     assert {r.session_id: list(r.errors) for r in rejected.collect()} == {
         "b": ["gpa out of range"], "c": ["age out of range"], "e": ["academic_level unknown"], "f": ["nationality missing"]}
+
+
+def test_a_date_far_back_in_the_text_counts(one):
+    assert one(R.standardise_deadline(F.lit("varies"), F.lit("word " * 4000 + "2030-05-01"))) == "2030-05-01"
