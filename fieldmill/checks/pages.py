@@ -124,6 +124,15 @@ def b4(t):
     return P.page_text(t.pages, ROOT)
 
 
+@check("b4_page_text_nested", f"""
+SELECT page_id, url, page_text || chr(10) || 'kept ' || CAST(page_id AS STRING) || chr(10) || 'more [{ROOT}/x' || CAST(page_id AS STRING) || ']' AS page_text
+FROM (SELECT page_id, url, {sql_page_text()} AS page_text FROM pages) AS p""")
+def b4_nested(t):
+    """Junk inside junk goes by nesting depth, and addresses may stand in single quotes."""
+    return P.page_text(t.sql("""SELECT page_id, url, html || '<div class="a print-only"><div>junk</div>junk <div class=''info-icon-wrapper''>junk</div></div><p>kept '
+        || CAST(page_id AS STRING) || '</p><a href=''/x' || CAST(page_id AS STRING) || '''>more</a>' AS html FROM {pages}"""), ROOT)
+
+
 @check("b5_expand_variants", """
 SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) || ' (' || c || ' - ' || s || ')' AS scholarship_name, s AS degree_level,
   'Germany' AS country, 'DAAD|' || c || '|' || s || '|Germany' AS tags

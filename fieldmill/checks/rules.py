@@ -112,15 +112,18 @@ def c10(t):
     return _tags(t).select("item_id", R.target_values("tags").alias("eligible_nationality"))
 
 
-SQL_C11 = f"""
+# every_nationality: what a row names whose host is known, where host keywords do not count
+SQL_PLACES = f"""
 WITH toks AS (SELECT item_id, regexp_extract_all({context()}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]') AS ts FROM {{listings}} AS l),
   win AS (SELECT item_id, unnest(list_transform(list_filter(generate_series(1, len(ts)), lambda i: ts[i] LIKE 'NATION%'),
             lambda i: ts[i] || '#' || lower(array_to_string(ts[greatest(i - 5, 1):i - 1], ' ')))) AS w FROM toks),
   hits AS (SELECT item_id, string_split(w, '#')[1] AS name, {contains_any('w', K.HOST_KEYWORDS)} AS h, {contains_any('w', K.NATIONALITY_KEYWORDS)} AS n
            FROM win WHERE string_split(w, '#')[1] IN (SELECT n_name FROM nation))
 SELECT item_id, string_agg(DISTINCT CASE WHEN h THEN name END, ', ' ORDER BY CASE WHEN h THEN name END) AS hosts,
-  string_agg(DISTINCT CASE WHEN n AND NOT h THEN name END, ', ' ORDER BY CASE WHEN n AND NOT h THEN name END) AS nationalities
+  string_agg(DISTINCT CASE WHEN n AND NOT h THEN name END, ', ' ORDER BY CASE WHEN n AND NOT h THEN name END) AS nationalities,
+  string_agg(DISTINCT CASE WHEN n THEN name END, ', ' ORDER BY CASE WHEN n THEN name END) AS every_nationality
 FROM hits WHERE h OR n GROUP BY item_id"""
+SQL_C11 = f"SELECT item_id, hosts, nationalities FROM ({SQL_PLACES}) AS p"
 
 
 @check("c11_context_entities", SQL_C11)

@@ -137,7 +137,7 @@ MASTER = f"""{RL.FUNDING_CTE},
   fu AS (SELECT item_id, {RL.SQL_MONEY} AS funding_amount, CASE WHEN {RL.SQL_MONEY} IS NOT NULL THEN 'Fixed Grant' ELSE {RL.SQL_CATEGORY} END AS funding_category FROM f),
   le AS (SELECT item_id, coalesce({RL.SQL_TAG_LEVEL}, {RL.SQL_PHRASE}, 'Unspecified') AS academic_level, {RL.SQL_HOST} AS host_country FROM {{listings}} AS l),
   na AS (SELECT item_id, {RL.SQL_NATS} AS eligible_nationality FROM (SELECT item_id, {RL.SQL_TAGS} AS tg FROM {{listings}} AS l) AS s),
-  de AS ({RL.SQL_DEADLINE}), dc AS ({SQL_DOCUMENT}), pl AS ({RL.SQL_C11}),
+  de AS ({RL.SQL_DEADLINE}), dc AS ({SQL_DOCUMENT}), pl AS ({RL.SQL_PLACES}),
   m AS (SELECT fu.*, le.academic_level, le.host_country, na.eligible_nationality, de.standardized_deadline, dc.rag_document,
     CASE WHEN standardized_deadline = 'Not Specified' THEN 'Rolling/Unspecified' WHEN standardized_deadline < '2026-01-01' THEN 'Expired' ELSE 'Active' END AS scholarship_status
     FROM fu JOIN le USING (item_id) JOIN na USING (item_id) JOIN de USING (item_id) JOIN dc USING (item_id))"""
@@ -151,7 +151,7 @@ def m1(t):
 
 
 PLACED = """ SELECT m.item_id, CASE WHEN host_country = 'Unspecified' THEN coalesce(hosts, host_country) ELSE host_country END AS host_country,
-  CASE WHEN eligible_nationality = 'International / All' THEN coalesce(nationalities, eligible_nationality) ELSE eligible_nationality END AS eligible_nationality
+  CASE WHEN eligible_nationality = 'International / All' THEN coalesce(CASE WHEN m.host_country = 'Unspecified' THEN nationalities ELSE every_nationality END, eligible_nationality) ELSE eligible_nationality END AS eligible_nationality
 FROM m LEFT JOIN pl ON pl.item_id = m.item_id"""
 
 

@@ -62,7 +62,7 @@ SELECT 'u' || CAST(user_id AS STRING) AS session_id, event_id AS seq,
   CASE WHEN event_id % 4 = 0 THEN CAST(NULL AS STRING) ELSE event_type END AS nationality,
   CASE WHEN event_id % 3 = 0 THEN 'Master' ELSE 'PhD' END AS academic_level, value AS gpa,
   CASE event_type WHEN 'click' THEN split('nationality,gpa', ',') WHEN 'view' THEN split('nationality', ',') WHEN 'error' THEN split('gpa', ',') ELSE split('academic_level', ',') END AS set_fields
-FROM {events} WHERE event_type <> 'purchase' OR user_id % 10 = 0
+FROM {events}
 """
 FIELDS = ("nationality", "academic_level", "gpa")
 CURRENT = "SELECT 'u' || CAST(c_custkey AS STRING) AS session_id, c_mktsegment AS nationality, 'Bachelor' AS academic_level, c_acctbal AS gpa FROM {customer}"

@@ -113,12 +113,10 @@ def a9_sample(t):
     return S.sample_rows(t.items, ["item_id", "eligible_nationality", "academic_level"], "item_id")
 
 
-@check("a10_report_csv", "SELECT item_id, deadline, coalesce(scholarship_name, '') AS scholarship_name, description FROM {listings} AS l "
-       "WHERE deadline IS NOT NULL AND description <> ''")
+@check("a10_report_csv", "SELECT item_id, deadline, coalesce(scholarship_name, '') AS scholarship_name, description FROM {listings} AS l")
 def a10(t):
     path = fresh_path(t.spark, "report")
-    rows = t.listings.filter("deadline is not null and description <> ''").select(
+    rows = t.listings.select(
         "item_id", "deadline", F.coalesce("scholarship_name", F.lit("")).alias("scholarship_name"), "description")
     S.write_report_csv(rows, path)
-    return (t.spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"')
-            .csv(path).fillna({"scholarship_name": ""}))
+    return S.read_report_csv(t.spark, path, rows.schema)

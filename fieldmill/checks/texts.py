@@ -142,7 +142,7 @@ def _sweep_sql() -> str:
 
 @check("e5_sweep_stride", _sweep_sql())
 def e5(t):
-    return C.sweep_chunk_configs(t.documents, recursive=False)
+    return C.sweep_chunk_configs(t.documents, recursive=False, by_sections=False)
 
 
 @check("e5_sweep_recursive")

@@ -1,9 +1,8 @@
-"""HTML helpers: native text conversion, and a small element tree for sibling lookups inside a task."""
+"""HTML as column expressions: texts, elements by nesting depth, and page text."""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -23,6 +22,103 @@ def join_links(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, OPEN), unframe), "")
 
 
+VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+SILENT = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+#: The value of an attribute, its quotes included.
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def start_of(tag: str, css: Sequence[str] = ()) -> str:
+    """Pattern of a start tag, of one that carries any of the classes where some are named."""
+    if not css:
+        return rf"<(?:{tag})(?=[\s/>])[^>]*>"
+    names = rf"(?<![\w-])(?:{alternation(css)})(?![\w-])"
+    return (rf"""<(?:{tag})(?=\s)[^>]*?(?<![\w-])class\s*=\s*(?:"[^">]*?{names}[^">]*"|'[^'>]*?{names}[^'>]*'|{names}(?=[\s>]))[^>]*>""")
+
+
+def cut_at(html: Column, tag: Column) -> Column:
+    """A page in pieces that each begin with a start or end tag of ``tag``, but for what stands before the first."""
+    return F.split(html, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+
+
+def held(pieces: Column, tag: Column, depth: Column) -> Column:
+    """struct<n, depth>: how many pieces stand before the end tag that brings ``depth`` to zero, and the depth there."""
+    def step(s, piece):
+        deeper = s["depth"] + F.when(F.rlike(piece, F.concat(F.lit("(?i)^</"), tag, F.lit(r"[\s/>]"))), -1).when(
+            F.rlike(piece, F.concat(F.lit("(?i)^<"), tag, F.lit(r"[\s/>]"))), 1).otherwise(0)
+        # the first piece opens the element, or is what continues it
+        going = (s["n"] == 0) | (s["depth"] > 0)
+        return F.when(going, F.struct((s["n"] + F.when(deeper > 0, 1).otherwise(0)).alias("n"), deeper.alias("depth"))).otherwise(s)
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("n"), depth.alias("depth")), step)
+
+
+def inner_html(html: Column, tag: str | Column) -> Column:
+    """What the element holds that ``html`` begins with, by nesting depth; up to the end where it is not closed."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+
+    def inside(pieces):
+        n = held(pieces, tag, F.lit(0))["n"]
+        return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.greatest(n, F.lit(1))), ""), r"^<[^>]*>", "")
+
+    return let(cut_at(html, tag), inside)
+
+
+def from_first(html: Column, pattern: str) -> Column:
+    """The page from the first match of a pattern on, null without one."""
+    return F.nullif(F.regexp_extract(html, f"(?is)({pattern}.*)", 1), F.lit(""))
+
+
+def after_first(html: Column, pattern: str) -> Column:
+    """The page after the first match of a pattern, null without one."""
+    return let(from_first(html, pattern), lambda rest: F.regexp_replace(rest, f"(?is)^{pattern}", ""))
+
+
+def drop_elements(html: Column, css: Sequence[str]) -> Column:
+    """The page without the elements that carry any of the classes, each with all it holds.
+
+    The page is cut where such elements begin. A fold over these parts keeps the tag and depth of an element that is
+    still open, so one within another goes with it; its cost grows with the elements dropped, not with the page's tags.
+    """
+    start = start_of("[a-z][a-z0-9]*", css)
+
+    def step(s, part):
+        begins = F.rlike(part, F.lit(f"(?is)^{start}"))
+        own = F.lower(F.regexp_extract(part, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+        is_open = s["depth"] > 0
+        tag = F.when(is_open, s["tag"]).otherwise(own)
+
+        def closed(pieces):
+            return let(held(pieces, tag, s["depth"]), lambda end: F.when(end["depth"] > 0, F.struct(
+                s["out"].alias("out"), tag.alias("tag"), end["depth"].alias("depth"))).otherwise(F.struct(
+                    F.concat(s["out"], F.lit(NODE), F.regexp_replace(F.array_join(F.slice(
+                        pieces, end["n"] + 1, F.size(pieces)), ""), r"^</[^>]*>", "")).alias("out"),
+                    F.lit("").alias("tag"), F.lit(0).alias("depth"))))
+
+        plain = F.struct(F.concat(s["out"], part).alias("out"), F.lit("").alias("tag"), F.lit(0).alias("depth"))
+        void = F.struct(F.concat(s["out"], F.regexp_replace(part, r"^<[^>]*>", NODE)).alias("out"), F.lit("").alias("tag"),
+                        F.lit(0).alias("depth"))
+        return (F.when(~is_open & ~begins, plain).when(~is_open & F.rlike(own, F.lit(f"^(?:{VOID})$")), void)
+                .otherwise(let(cut_at(part, tag), closed)))
+
+    first = F.struct(F.lit("").alias("out"), F.lit("").alias("tag"), F.lit(0).alias("depth"))
+    parts = F.split(html, f"(?is)(?={start})")
+    return F.when(F.size(parts) < 2, F.when(~F.rlike(html, F.lit(f"(?is)^{start}")), html).otherwise(
+        F.aggregate(parts, first, step)["out"])).otherwise(F.aggregate(parts, first, step)["out"])
+
+
+def text_nodes(html: Column) -> Column:
+    """Stripped, decoded, non-empty texts between the tags, without scripts, styles and comments."""
+    bare = F.regexp_replace(F.regexp_replace(html, SILENT, NODE), K.HTML_TAG, NODE)
+    nodes = F.transform(F.split(decode_entities(bare), NODE), lambda n: strip(n))
+    return F.filter(nodes, lambda n: n != "")
+
+
+def flat_text(html: Column) -> Column:
+    """Tag-free, decoded, stripped text."""
+    return strip(decode_entities(F.regexp_replace(html, K.HTML_TAG, "")))
+
+
 def first_element_text(html: Column | str, tag: str) -> Column:
     """Tag-free, decoded text of the first ``tag`` element, or 'N/A'."""
     inner = F.regexp_extract(as_col(html), rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
@@ -39,11 +135,12 @@ def html_to_text(html: Column | str, root: str, junk: list[str] = K.JUNK_CLASSES
     """
     col = as_col(html)
     text = col
+    for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->"):
+        text = F.regexp_replace(text, pattern, NODE)
+    text = let(text, lambda t: drop_elements(t, junk))
     for pattern, replacement in (
-        (r"(?is)<script\b.*?</script>", NODE),
-        (r"(?is)<style\b.*?</style>", NODE),
-        (r"(?s)<!--.*?-->", NODE),
-        (rf'(?is)<(\w+)[^>]*\bclass="[^"]*(?<![\w-])(?:{alternation(junk)})(?![\w-])[^"]*"[^>]*>.*?</\1>', NODE),
+        # addresses in single quotes or none get double ones
+        (rf"(?is)(<a\b[^>]*(?<![\w-])href)\s*=\s*(?:'([^'\"]*)'|([^\s\"'>]+))", '$1="$2$3"'),
         (r'(?is)<a\b[^>]*\bhref="(/[^"]*)"[^>]*>(.*?)</a>', rf"{NODE}{OPEN}$2{CLOSE} [{root}$1]{NODE}"),
         (r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>', rf"{NODE}{OPEN}$2{CLOSE} [$1]{NODE}"),
         (r"(?i)<li(?:\s[^>]*)?>", f"{NODE}•{NODE}"),
@@ -56,103 +153,3 @@ def html_to_text(html: Column | str, root: str, junk: list[str] = K.JUNK_CLASSES
     joined = F.array_join(nodes, "\n")
     joined = F.regexp_replace(F.regexp_replace(joined, K.PLACEHOLDER, ""), K.NEWLINES, "\n\n")
     return F.when(F.coalesce(col, F.lit("")) == "", F.lit("N/A")).otherwise(strip(joined))
-
-
-class Element:
-    """One parsed element; ``parts`` holds text and child elements in order."""
-
-    __slots__ = ("tag", "classes", "parent", "parts")
-
-    def __init__(self, tag, classes=(), parent=None):
-        self.tag, self.classes, self.parent, self.parts = tag, classes, parent, []
-
-    def parts_below(self):
-        """Every text and element below, in document order; iterative, since broken pages nest deeply."""
-        stack = [iter(self.parts)]
-        while stack:
-            part = next(stack[-1], None)
-            if part is None:
-                stack.pop()
-                continue
-            yield part
-            if isinstance(part, Element):
-                stack.append(iter(part.parts))
-
-    def walk(self):
-        return (part for part in self.parts_below() if isinstance(part, Element))
-
-    def strings(self):
-        return (part for part in self.parts_below() if not isinstance(part, Element))
-
-    def text(self, sep="", clean=False):
-        found = (s.strip() for s in self.strings()) if clean else self.strings()
-        return sep.join(s for s in found if s)
-
-    def only_string(self):
-        """The text of an element whose single part is a text, at any depth."""
-        el = self
-        while isinstance(el, Element):
-            if len(el.parts) != 1:
-                return ""
-            el = el.parts[0]
-        return el
-
-    def next_sibling(self, tag=None):
-        seen = False
-        for part in self.parent.parts if self.parent else ():
-            if part is self:
-                seen = True
-            elif seen and isinstance(part, Element) and tag in (None, part.tag):
-                return part
-        return None
-
-    def first(self, tag, holding=(), css=None):
-        for el in self.walk():
-            if el.tag == tag and (css is None or css in el.classes) and (
-                    not holding or any(h in el.only_string() for h in holding)):
-                return el
-        return None
-
-
-class TreeReader(HTMLParser):
-    """Builds the element tree; an end tag closes up to its nearest open element."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = Element("")
-
-    def handle_starttag(self, tag, attrs):
-        el = Element(tag, (dict(attrs).get("class") or "").split(), self.here)
-        self.here.parts.append(el)
-        if tag not in self.VOID:
-            self.here = el
-
-    def handle_startendtag(self, tag, attrs):
-        self.here.parts.append(Element(tag, (dict(attrs).get("class") or "").split(), self.here))
-
-    def handle_endtag(self, tag):
-        el = self.here
-        while el.parent is not None and el.tag != tag:
-            el = el.parent
-        if el.parent is not None:
-            self.here = el.parent
-
-    def handle_data(self, data):
-        if self.here.tag not in ("script", "style"):
-            self.here.parts.append(data)
-
-
-def parse_tree(html: str | None) -> Element:
-    reader = TreeReader()
-    reader.feed(html or "")
-    reader.close()
-    return reader.root
-
-
-def clean_lines(el: Element | None) -> list[str]:
-    """Non-empty stripped text lines of an element."""
-    if el is None:
-        return []
-    return [line for s in el.strings() for line in map(str.strip, re.split("\n", s)) if line]

@@ -106,6 +106,10 @@ DATE_FORMATS = (
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/y"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "y.M.d"),
+    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.y"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.y"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"),
@@ -117,16 +121,22 @@ DATE_FORMATS = (
 )
 
 
+CLOCK = (r"(?:,? at)?,?[ t]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]\.?m\.?)?"
+         r"(?: ?(?:z|[a-z]{3,4}|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?))?$")
+
+
 def parse_date(col: Column | str, formats=DATE_FORMATS) -> Column:
     """Strict full-date parse to ``yyyy-MM-dd`` text, or null.
 
-    A leading weekday, commas, ordinal endings and a trailing clock time are ignored. A date with a missing
-    part is not completed from the clock.
+    A leading weekday, commas, ordinal endings, the point of a shortened month and a trailing clock time with its
+    zone are ignored; a year of two digits belongs to this century. A date with a missing part is not completed
+    from the clock.
     """
     text = F.lower(strip(col))
     text = F.regexp_replace(text, r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +", "")
     text = F.regexp_replace(text, r"(\d)(?:st|nd|rd|th)\b", "$1")
-    text = F.regexp_replace(text, r"[ t]+\d{1,2}:\d{2}(?::\d{2})?(?: ?[ap]m)?$", "")
+    text = F.regexp_replace(text, CLOCK, "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\bsept\b", "sep"), r"\b([a-z]{3,})\.", "$1 ")
     text = strip(F.regexp_replace(text, r"[ ,]+", " "))
 
     def first_fit(t):

@@ -66,7 +66,7 @@ def clean_text(col: Column | str, min_words: int = 10) -> Column:
         (K.BROKEN_BULLET, "- "),
         (f"(?U){K.BOILERPLATE}", " "),
         (f"(?U){K.URL}", "[LINK]"),
-        (f"(?U){K.EMAIL}", "[EMAIL]"),
+        (rf"(?U)(?<!\S){K.EMAIL}", "[EMAIL]"),
         (K.NEWLINES, "\n\n"),
         (K.SPACES, " "),
     ):

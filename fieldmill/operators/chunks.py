@@ -189,10 +189,16 @@ def chunk_documents(df: DataFrame, *, text_col: str = "rag_document", id_col: st
 
 
 def sweep_chunk_configs(df: DataFrame, configs: Sequence[tuple[str, int, int]] = K.CHUNK_CONFIGS, *,
-                        text_col: str = "text", recursive: bool = True, min_length: int = 30) -> DataFrame:
-    """Chunk count and mean length per configuration, in one scan: the configurations are a literal array."""
+                        text_col: str = "text", id_col: str = "doc_id", recursive: bool = True, by_sections: bool = True,
+                        min_length: int = 30) -> DataFrame:
+    """Chunk count and mean length per configuration, in one scan: the configurations are a literal array.
+
+    The sections of a text are split first, once for all configurations; ``by_sections=False`` cuts the raw text.
+    """
     rows = F.array(*[F.struct(F.lit(name).alias("configuration"), F.lit(size).alias("chunk_size"),
                               F.lit(overlap).alias("overlap")) for name, size, overlap in configs])
+    if by_sections:
+        df = split_sections(df, text_col, id_col=id_col).withColumnRenamed("text", text_col)
     every = df.select(text_col, F.inline(rows))
     cut = recursive_pieces if recursive else stride_pieces
     pieces = cut(F.col(text_col), F.col("chunk_size"), F.col("overlap"))

@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..functions.html import clean_lines, first_element_text, html_to_text, parse_tree
+from ..functions.html import (SILENT, VALUE, cut_at, first_element_text, flat_text, from_first, after_first, html_to_text,
+                              inner_html, start_of, text_nodes)
 from ..functions.text import alternation, as_col, decode_entities, let, strip, strip_literal
 
-ANY_ANCHOR = r'(?i)<a\b[^>]*\bhref="([^"]+)"'
+ANY_ANCHOR = rf"(?i)<a\b[^>]*(?<![\w-])href\s*=\s*{VALUE}"
+
+QUOTES = """^["']|["']$"""
 
 
 def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, id_col: str = "page_id",
                   html_col: str = "html") -> DataFrame:
     """Distinct absolute links with their first place: (link, first_page, first_pos, n_places).
 
+    Group 1 of the pattern is the address; quotes around it do not count, and an empty one is no link.
     One aggregation with a map-side combine, so a link that sits on every page stays cheap.
     """
     found = pages.select(
         F.col(id_col).alias("page"),
         # outer: a plain explode makes the optimizer test the array's size first, which computes it twice
-        F.posexplode_outer(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1))).alias("pos", "href")
+        F.posexplode_outer(F.filter(F.transform(
+            F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)),
+            lambda href: F.regexp_replace(href, QUOTES, "")), lambda href: href != "")).alias("pos", "href")
     ).filter("href is not null")
     link = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(root), F.col("href"))).otherwise(F.col("href"))
     if pages.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -40,70 +45,84 @@ def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, id_
                          (F.col("first") - page * base).cast("int").alias("first_pos"), "n_places")
 
 
-FIELDS = (
-    "scholarship_name string, funding_type string, deadline string, awards_available string, "
-    "tags array<string>, description string, scholarship_details string, eligibility string, "
-    "application_process string, contact_lines array<string>, page_lines array<string>"
-)
 MISSING = "N/A"
+# The labels of a page, each with the element that carries it.
+AWARDS = ("span", ["Awards Available:"])
+QUALIFIED = ("h5", ["Qualified Based On:", "Eligibility Criteria:"])
+MAIN = ("h2", ["Scholarship Description"])
+PARTS = {"scholarship_details": "Details", "eligibility": "Eligibility", "application_process": "Application Process"}
+CONTACT = "contactDetail"
 
 
-def read_fields(html: str | None, strict_pair: bool) -> dict:
-    """Label and sibling lookups on one page; every miss gives 'N/A' or an empty list."""
-    root = parse_tree(html)
-
-    def shown(el, sep=None):
-        if el is None:
-            return MISSING
-        return el.text().strip() if sep is None else el.text(sep, clean=True)
-
-    h5s = [el for el in root.walk() if el.tag == "h5"]
-    amount = deadline = None
-    if len(h5s) >= 2 or (h5s and not strict_pair):
-        amount, deadline = h5s[0], (h5s[1] if len(h5s) > 1 else None)
-
-    label = root.first("span", ["Awards Available:"])
-    awards = label.parent.next_sibling("h5") if label is not None else None
-
-    heading = root.first("h5", ["Qualified Based On:", "Eligibility Criteria:"])
-    box = heading.next_sibling("div") if heading is not None else None
-    tags = [el.text().strip() for el in box.walk() if el.tag == "div"] if box is not None else []
-
-    main = root.first("h2", ["Scholarship Description"])
-    content = main.next_sibling("div") if main is not None else None
-
-    def section(title):
-        head = content.first("h2", [title]) if content is not None else None
-        return shown(head.next_sibling() if head is not None else None, "\n")
-
-    return {
-        "scholarship_name": shown(root.first("h1")),
-        "funding_type": shown(amount),
-        "deadline": shown(deadline),
-        "awards_available": shown(awards),
-        "tags": tags,
-        "description": shown(content.first("p") if content is not None else None, ""),
-        "scholarship_details": section("Details"),
-        "eligibility": section("Eligibility"),
-        "application_process": section("Application Process"),
-        "contact_lines": clean_lines(root.first("div", css="contactDetail")),
-        "page_lines": clean_lines(root),
-    }
+def labelled(element: str, labels: Sequence[str]) -> str:
+    """Pattern of an element whose text, under tags of its own or not, holds a label."""
+    return (rf"<{element}(?:\s[^>]*)?>(?:\s*<\w[^>]*>)*[^<]*(?:{alternation(labels)})[^<]*(?:</(?!{element}\b)[^>]*>\s*)*"
+            rf"</{element}\s*>")
+
+
+def or_missing(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(MISSING)).otherwise(text)
+
+
+def next_inner(html: Column) -> Column:
+    """What the next element holds, null where an enclosing one ends first."""
+    at = F.regexp_replace(html, r"^[^<]+", "")
+    return F.when(F.rlike(at, F.lit(r"^<[A-Za-z]")), inner_html(at, F.regexp_extract(at, r"^<(\w+)", 1)))
+
+
+def texts_of(html: Column, tag: str) -> Column:
+    """The texts of all elements of a kind in page order, those inside another of the kind included."""
+    def each(pieces):
+        opening = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.rlike(F.get(pieces, i - 1), F.lit(rf"(?i)^<{tag}[\s/>]")))
+        return F.transform(opening, lambda i: flat_text(inner_html(F.array_join(F.slice(pieces, i, F.size(pieces)), ""), tag)))
+
+    return let(cut_at(html, F.lit(tag)), each)
 
 
 def extract_fields(pages: DataFrame, *, html_col: str = "html", strict_pair: bool = False) -> DataFrame:
-    """Adds the page fields. ``strict_pair`` sets amount and deadline only where two h5 exist.
+    """Adds the page fields, all by column expressions inside the row. A missing text gives 'N/A', a missing list none.
 
-    Sibling lookup needs an element tree, so this is the one page job that runs in Python, page by page in
-    Arrow batches; it needs no shuffle.
+    Amount and deadline are the first two h5; ``strict_pair`` sets them only where two exist. Other fields follow a
+    labelled heading: the next h5 (awards), the inner boxes of the next one (tags), and inside the box after the main
+    heading its first paragraph and the element after each part's heading. Elements end by nesting depth. Where a page
+    misses the element a label announces, the next one of that kind on the page is taken.
     """
-    @F.pandas_udf(FIELDS)
-    def fields(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_fields(h, strict_pair) for h in html],
-                            columns=[part.split()[0] for part in FIELDS.split(", ")])
+    keep = [c for c in pages.columns if c != html_col]
+    page = F.coalesce(F.col("_page"), F.lit(""))
+    box = start_of("div")
+    main = F.coalesce(F.col("_main"), F.lit(""))
+    heads = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<h5(?:\s[^>]*)?>(.*?)</h5\s*>"), F.lit(1)), lambda h: flat_text(h))
+    awards = F.regexp_extract(page, rf"(?is){labelled(*AWARDS)}.*?<h5(?:\s[^>]*)?>(.*?)</h5\s*>", 1)
+    tags_box = inner_html(from_first(after_first(page, labelled(*QUALIFIED)), box), "div")
+    nth = {n: F.try_element_at(F.col("_heads"), F.lit(n)) for n in (1, 2)}
+    paired = F.size("_heads") >= 2 if strict_pair else F.lit(True)
+    paragraph = F.array_join(text_nodes(F.regexp_extract(main, r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>", 1)), "")
+
+    def part(title):
+        return F.array_join(text_nodes(next_inner(after_first(main, labelled("h2", [title])))), "\n")
+
+    fields = {
+        "scholarship_name": first_element_text(page, "h1"),
+        "funding_type": or_missing(F.when(paired, nth[1])),
+        "deadline": or_missing(F.when(paired, nth[2])),
+        "awards_available": or_missing(flat_text(awards)),
+        "tags": F.coalesce(texts_of(tags_box, "div"), F.array().cast("array<string>")),
+        "description": or_missing(paragraph),
+        **{name: or_missing(part(title)) for name, title in PARTS.items()},
+        "contact_lines": lines_of(inner_html(from_first(page, start_of("div", [CONTACT])), "div")),
+        "page_lines": lines_of(page),
+    }
+    # scripts, styles and comments hold no elements; each of these steps is worked out once
+    bare = pages.withColumn("_page", F.regexp_replace(html_col, SILENT, ""))
+    bare = bare.withColumns({"_main": inner_html(from_first(after_first(F.coalesce("_page", F.lit("")), labelled(*MAIN)), box), "div"),
+                             "_heads": heads})
+    return bare.select(*keep, *[value.alias(name) for name, value in fields.items()])
+
 
-    return pages.withColumn("_fields", fields(F.col(html_col))).select(
-        *[c for c in pages.columns if c != html_col], "_fields.*")
+def lines_of(html: Column) -> Column:
+    """Stripped, non-empty lines of the texts between the tags; none for null."""
+    lines = F.flatten(F.transform(text_nodes(html), lambda n: F.transform(F.split(n, "\n"), lambda line: strip(line))))
+    return F.coalesce(F.filter(lines, lambda line: line != ""), F.array().cast("array<string>"))
 
 
 def page_titles(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

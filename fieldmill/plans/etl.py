@@ -22,7 +22,7 @@ def master_table(listings: DataFrame, ref: str | datetime, *, gazetteer: DataFra
     """
     out = standardise(listings, ref, major_col=major_col)
     if gazetteer is not None:
-        out = with_places(out, gazetteer, id_col=id_col, context_col="_context", max_words=3)
+        out = with_places(out, gazetteer, id_col=id_col, context_col="_context")
     out = build_document(out.drop("_context"))
     return out.withColumn("rag_metadata", metadata(out.columns))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import fixed as K
 from ..functions.text import strip
@@ -77,5 +78,14 @@ def sample_rows(df: DataFrame, cols: Sequence[str], order: str, n: int = 5) -> D
     return df.select(*cols).orderBy(order).limit(n)
 
 
+#: Options to write and read a report with: null and the empty text differ, and white space at the ends stays.
+CSV_OPTIONS = {"header": True, "escape": '"', "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS | {"emptyValue": '""'}).csv(path)
+
+
+def read_report_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).csv(path)

@@ -53,7 +53,9 @@ def test_target_values(one):
 @pytest.mark.parametrize("text, date", [
     ("2025-03-01", "2025-03-01"), ("March 1st, 2025", "2025-03-01"), ("1 mar 2025", "2025-03-01"), ("13/02/2025", "2025-02-13"),
     ("02/03/2025", "2025-02-03"), ("Saturday, March 1, 2025", "2025-03-01"), ("2025-03-01 10:30", "2025-03-01"),
-    ("2025-02-30", None), ("March 2025", None), ("soon", None), (None, None)])
+    ("Sept 5, 2026", "2026-09-05"), ("Jan. 5, 2026", "2026-01-05"), ("12/31/25", "2025-12-31"), ("2026.03.01", "2026-03-01"),
+    ("20260301", "2026-03-01"), ("2026-03-01T23:59:00Z", "2026-03-01"), ("March 5, 2026 11:59 PM EST", "2026-03-05"),
+    ("September 5, 2026 at 17:00", "2026-09-05"), ("2025-02-30", None), ("March 2025", None), ("soon", None), (None, None)])
 def test_parse_date(one, text, date):
     assert one(R.parse_date("x"), x=text) == date
 

@@ -2,7 +2,8 @@
 
 import random
 
-
+import pytest
+from pyspark.sql import functions as F
 
 from fieldmill.functions.html import html_to_text
 from fieldmill.operators import chunks as C, documents as D, pages as P
@@ -68,10 +69,25 @@ def test_context_entities_window(spark):
         (2, "from one two three four Egypt"), (3, "from one two three four five Egypt"), (4, "open to study in New Zealand")],
         "id long, text string")
     names = spark.createDataFrame([("Germany",), ("Egypt",), ("Syria",), ("New Zealand",)], "name string")
-    got = {r.id: (r.hosts, r.nationalities) for r in D.context_entities(df, "text", names, id_col="id", max_words=2).collect()}
+    got = {r.id: (r.hosts, r.nationalities) for r in D.context_entities(df, "text", names, id_col="id").collect()}
     assert got == {1: ("Germany", "Egypt, Syria"), 2: (None, "Egypt"), 4: ("New Zealand", None)}
 
 
+@pytest.mark.parametrize("as_table", [True, False])
+def test_a_known_host_leaves_host_keywords_to_nationalities(spark, as_table):
+    text = "Our host programme is open to Egypt students. Citizens of Republic of South Sudan or Cote d'Ivoire"
+    df = spark.createDataFrame([(1, text, "Germany"), (2, text, "Unspecified")], "id long, context string, host_country string")
+    df = df.withColumn("eligible_nationality", F.lit("International / All"))
+    names = ["Egypt", "Republic of South Sudan", "Cote d'Ivoire", "kraków"]
+    places = spark.createDataFrame([(n,) for n in names], "name string") if as_table else names
+    rows = {r.id: r for r in D.with_places(df, places, context_col="context", id_col="id").collect()}
+    assert (rows[1].host_country, rows[1].eligible_nationality) == ("Germany", "Egypt, Republic of South Sudan")
+    assert (rows[2].host_country, rows[2].eligible_nationality) == ("Egypt", "Republic of South Sudan")
+    named = D.with_places(df.withColumn("context", F.lit("citizens of Cote d'Ivoire, passport from kraków")), places,
+                          context_col="context", id_col="id").first()
+    assert named.eligible_nationality == "Cote d'Ivoire, kraków"
+
+
 PAGE = """<html><body><h1> Name &amp; Co </h1><h5>$1</h5><div><p>x<span>Awards Available:</span></p><h5>3</h5></div>
 <h5>Eligibility Criteria:</h5><div><div>A</div><div>B</div></div>
 <h2>Scholarship Description</h2><div><p> Short <b>text</b> </p><h2>Details</h2><div><p>d1</p><p>d2</p></div><h2>Eligibility</h2></div>
@@ -94,8 +110,26 @@ def test_strict_pair_needs_two(spark):
     assert P.extract_fields(df, strict_pair=True).collect()[0].funding_type == "N/A"
 
 
-def test_deep_pages_do_not_overflow():
-    assert P.read_fields("<p><b>" * 5000 + "<h1>x</h1>", False)["scholarship_name"] == "x"
+def test_deep_pages_do_not_overflow(spark):
+    df = spark.createDataFrame([(1, "<p><b>" * 5000 + "<h1>x</h1>" + "<div>" * 5000)], "page_id long, html string")
+    assert P.extract_fields(df).collect()[0].scholarship_name == "x"
+
+
+def test_junk_goes_by_nesting_depth(one):
+    html = ('a<div class=\'x print-only\'><div>JUNK</div>LEFT<p class="invisible-print">in</p></div>b<img class="print-only">c'
+            "<p class=print-only>d</p><div class='print-only-not'>e</div><a href='/x'>f</a><a href=/y>g</a><span class='print-only'>open")
+    assert one(html_to_text("x", "https://s.e"), x=html) == "a\nb\nc\ne\nf [https://s.e/x]\ng [https://s.e/y]"
+
+
+def test_links_in_any_quotes(spark):
+    df = spark.createDataFrame([(1, """<a href='/x'>1</a><a href=/z>2</a><a data-href="/no" href="http://y/">3</a>""")], "page_id long, html string")
+    assert {r.link for r in P.harvest_links(df, "r:").collect()} == {"r:/x", "r:/z", "http://y/"}
+
+
+def test_sweep_splits_sections_first(spark):
+    df = spark.createDataFrame([(1, "# A\n" + "x" * 40 + "\n# B\n" + "y" * 40)], "doc_id long, text string")
+    config = [("one", 400, 0)]
+    assert [C.sweep_chunk_configs(df, config, by_sections=s).first().total_chunks for s in (True, False)] == [2, 1]
 
 
 def test_html_to_text(one):
