@@ -6,7 +6,8 @@ distinct lines of a document count, and lines travel as hashes that are counted
 have at most (mean lines per document) / (ratio) boilerplate lines, however large it is, so they fit one array.
 
 Cases: null text: empty, no lines. Lines without a word are never counted nor dropped. A line is compared without
-the white space around it. A null host is a host of its own. Repeated rows count as so many documents. A document may
+the white space around it. Hosts of one or two documents show no pattern and keep their lines. Copies count like other
+documents, so a text whose copies are more than the ratio of a host's documents is taken for boilerplate of that host. A null host is a host of its own. Repeated rows count as so many documents. A document may
 lose all its lines: its text is then empty. Empty table: no rows. Other columns are kept.
 """
 
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import OWN, let, stored, whole
 
-MAX_RATIO = 0.2
-LEAST_DOCUMENTS = 5
+# What a template puts on pages of one section or one period stands on a few per cent of a host's pages, prose does not.
+MAX_RATIO = 0.05
+# Two documents with a line in common may be a document and its copy; a third makes it a pattern of the host.
+LEAST_DOCUMENTS = 3
 BLANKS = " \t\r\x0b\x0c"
 
 

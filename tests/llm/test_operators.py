@@ -141,6 +141,17 @@ def test_site_lines(docs):
     assert site_lines.cleaned(docs([])).count() == 0
 
 
+def test_site_lines_go_that_stand_on_a_tenth_of_a_large_host(docs):
+    rows = [(i, f"text {i}\nAll rights reserved" if i % 10 == 0 else f"text {i}", "large") for i in range(400)]
+    rows += [(1000 + i, f"quoted {i // 4}\nown {i}", "prose") for i in range(400)]  # on 1 % of the pages
+    rows += [(2000 + i, f"Menu\nown {i}", "small") for i in range(3)]
+    got = {r["doc_id"]: r for r in site_lines.cleaned(docs(rows)).collect()}
+    assert all(got[i]["text"] == f"text {i}" for i in range(400))
+    assert sum(got[i][OWN + "dropped"] for i in range(400)) == 40
+    assert all(got[i][OWN + "dropped"] == 0 for i in range(1000, 1400))
+    assert all(got[2000 + i]["text"] == f"own {i}" for i in range(3))
+
+
 def brute_next(rows):
     order = sorted(rows, key=lambda r: -r[0])
     return {a[0]: b for a, b in zip(order, order[1:] + order[:1])}
