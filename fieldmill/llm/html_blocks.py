@@ -2,14 +2,19 @@
 
 The page is read as a stream of blocks (text between block tags), each with its share of linked characters, its
 share of stop words, its length, and the container it stands in. The first pass decides the clear blocks: linked
-ones, or those inside a container that says what it is (navigation, page header, footer, aside, form, advert, notice,
-comments), are boilerplate; long blocks with enough stop words are text; what is neither stays open. The second pass
+ones, or those inside a container that says what it is (navigation, page header, footer, aside, form, advert, cookie
+notice, comments), are boilerplate; long blocks with enough stop words are text; what is neither stays open. The second pass
 gives every open block the label of its nearest decided neighbour; at equal distance and with different labels, the
-label of its place (an article or main element makes text, anything else boilerplate). Where no block is clearly text,
+label of its place (a page that marks its content makes text, any other boilerplate). Where no block is clearly text,
 the open ones are.
 
-Where a page has an article or main element, only its blocks take part: links or a container make a block boilerplate
-there, and a long block without stop words stays open. Containers of boilerplate are no neighbours. White space inside a block becomes one space; blocks of text are joined in page order by
+A container is not boilerplate where it holds a main element, or most of the page's text while no long block and no
+article stands outside of it: a form around the page, a layout named after its parts. Names that layouts and sections
+of an article bear too (sidebar, header, related, widget) decide nothing: only where what they name is mostly links are
+its short blocks boilerplate. A name beside "has", "no" and the like says nothing.
+
+Where the blocks of article or main elements outside of boilerplate hold most of the page's text, only they take part:
+links or a container make a block boilerplate there, and a long block without stop words stays open. Containers of boilerplate are no neighbours. White space inside a block becomes one space; blocks of text are joined in page order by
 a line feed.
 
 Cases: null or empty html: empty text. No block of text: empty text. Broken markup is read as far as it goes: unclosed
@@ -48,40 +53,56 @@ thead title tr ul""".split())
 SILENT = frozenset("script style noscript template iframe object svg math head title select textarea button canvas audio video".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
-consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation
-newsletter notice notification pagination pager popup promo promotion recommended related replies reply respond share sharing
-sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
+# of these, an article is never inside unless it has a main element of its own
+OUTER_TAGS = BOILERPLATE_TAGS - {"form"}
+BOILERPLATE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments
+consent cookie cookies disclaimer disqus footer gdpr login masthead menu menubar modal nav navbar navigation
+newsletter notification pagination pager popup promo promotion recommended replies reply respond share sharing
+signup skip social sponsor sponsored subscribe subscription toolbar topbar""".split())
+# names that parts of an article and layouts bear too: what is inside is decided by its own length and links
+OPEN_NAMES = frozenset("banner discussion header notice related sidebar tags widget".split())
+# beside these a name tells of something else: has-sidebar, no-nav, comments-open
+MODIFIERS = frozenset("has no not non with without open closed enabled disabled free".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 # an element of the left kind ends where one of the right kinds begins in the same parent
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
             "th": {"td", "th", "tr"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OF_HEAD = frozenset("head title meta link script style base noscript template basefont bgsound noframes".split())
+# kinds of containers that say what they are
+OPEN, NAMED, OUTER = range(3)
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Blocks(HTMLParser):
-    """Collects (text, linked characters, is boilerplate by container, is in content) in page order."""
+    """Collects (text, linked characters, innermost named container or -1, is in content, is heading) in page order.
+
+    ``marks`` holds the named containers in page order: container around it or -1, its kind, whether a main element is in it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, boilerplate, content
-        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self.open: list[tuple[str, bool, int, bool]] = []  # tag, silent, mark, content
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []
+        self.marks: list[list] = []
         self.parts: list[str] = []
-        self.linked = self.links = 0
+        self.linked = self.links = self.headings = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, int, bool]:
+        return self.open[-1][1:] if self.open else (False, -1, False)
 
     def flush(self):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, boilerplate, content = self.state()
-            self.blocks.append((text, self.linked, boilerplate, content))
+            _, mark, content = self.state()
+            self.blocks.append((text, self.linked, mark, content, self.headings > 0))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if tag not in OF_HEAD:
+            self.end_head()
         if tag in BLOCKS:
             self.flush()
             while self.open and tag in ENDED_BY.get(self.open[-1][0], ()):
@@ -90,15 +111,24 @@ class Blocks(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        silent, boilerplate, content = self.state()
+        silent, mark, content = self.state()
         silent = silent or tag in SILENT or hidden(attrs)
         content = content or tag in CONTENT_TAGS
-        boilerplate = boilerplate or tag in BOILERPLATE_TAGS or (tag == "header" and not content) or (
-            tag not in ("html", "body") and names_boilerplate(attrs))
+        kind = OUTER if tag in OUTER_TAGS else NAMED if tag == "form" or (tag == "header" and not content) else (
+            None if tag in ("html", "body") else named(attrs))
         if tag in BLOCKS or tag in BOILERPLATE_TAGS:
             self.flush()
         self.links += tag == "a"
-        self.open.append((tag, silent, boilerplate, content))
+        if kind is not None:
+            self.marks.append([mark, kind, False])
+            mark = len(self.marks) - 1
+        if tag == "main" and not silent:
+            at = mark
+            while at >= 0 and not self.marks[at][2]:
+                self.marks[at][2] = True
+                at = self.marks[at][0]
+        self.headings += tag in HEADINGS
+        self.open.append((tag, silent, mark, content))
 
     def handle_startendtag(self, tag, attrs):
         # a slash does not close an element of html
@@ -117,9 +147,18 @@ class Blocks(HTMLParser):
 
     def leave(self, at: int):
         self.links -= sum(tag == "a" for tag, *_ in self.open[at:])
+        self.headings -= sum(tag in HEADINGS for tag, *_ in self.open[at:])
         del self.open[at:]
 
+    def end_head(self):
+        """The end tag of a head may be missing: what belongs to the body ends it."""
+        if self.open and self.open[-1][0] == "head":
+            self.flush()
+            self.leave(len(self.open) - 1)
+
     def handle_data(self, data):
+        if not data.isspace():
+            self.end_head()
         if not self.state()[0]:
             self.parts.append(data)
             if self.links:
@@ -134,13 +173,21 @@ def hidden(attrs) -> bool:
     return any(name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()) for name, value in attrs)
 
 
-def names_boilerplate(attrs) -> bool:
+def named(attrs) -> int | None:
+    """What the role, class and id of an element make of it."""
+    found = None
     for name, value in attrs:
-        if name in ("class", "id") and value and not BOILERPLATE_NAMES.isdisjoint(x.lower() for x in NAME.findall(value)):
-            return True
         if name == "role" and value and value.lower() in BOILERPLATE_ROLES:
-            return True
-    return False
+            return NAMED
+        for one in value.split() if name in ("class", "id") and value else ():
+            words = {x.lower() for x in NAME.findall(one)}
+            if not words.isdisjoint(MODIFIERS):
+                continue
+            if not words.isdisjoint(BOILERPLATE_NAMES):
+                return NAMED
+            if not words.isdisjoint(OPEN_NAMES):
+                found = OPEN
+    return found
 
 
 def stop_share(text: str) -> float:
@@ -159,7 +206,7 @@ def first_pass(text: str, linked: int, boilerplate: bool, content: bool) -> bool
     return None if content else False
 
 
-def second_pass(labels: list[bool | None], places: list[bool]) -> list[bool]:
+def second_pass(labels: list[bool | None], place: bool) -> list[bool]:
     """Open blocks take the label of the nearest decided block; see the module text for ties."""
     if True not in labels:  # no text is decided anywhere: what is open is all the text there is
         return [label is None for label in labels]
@@ -173,7 +220,7 @@ def second_pass(labels: list[bool | None], places: list[bool]) -> list[bool]:
                 distance, label = 0, labels[k]
             out[k] = (min(distance, far), label)
     done = []
-    for k, (label, place) in enumerate(zip(labels, places)):
+    for k, label in enumerate(labels):
         (left, a), (right, b) = before[k], after[k]
         if label is None:
             label = place if left == right and a != b else a if left <= right else b
@@ -185,17 +232,66 @@ def extract(html: str) -> str:
     reader = Blocks()
     reader.feed(html)
     reader.close()
-    keep = decide(reader.blocks)
+    keep = decide(reader.blocks, reader.marks)
     return "\n".join(text for (text, *_), kept in zip(reader.blocks, keep) if kept)
 
 
-def decide(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def boilerplate_marks(blocks: list[tuple[str, int, int, bool, bool]], marks: list[list]) -> list[bool]:
+    """Whether what lies in a named container is boilerplate by it, for every container; see the module text."""
+    n = len(marks)
+    own, heavy = [0] * (n + 1), [0] * (n + 1)  # by innermost container, the last place for none: characters, blocks that count
+    for text, linked, mark, content, _ in blocks:
+        own[mark] += len(text) - linked
+        heavy[mark] += content or (len(text) >= LONG_CHARS and linked <= MAX_LINK_SHARE * len(text))
+    mass, held = own[:], heavy[:]
+    for k in range(n - 1, -1, -1):
+        mass[marks[k][0]] += mass[k]
+        held[marks[k][0]] += held[k]
+    gone = [True] * n
+    for k, (around, kind, has_main) in enumerate(marks):
+        if around >= 0 and gone[around]:
+            continue
+        if kind == OPEN or has_main:
+            gone[k] = False
+        elif kind == NAMED and held[k] and 2 * mass[k] > mass[n]:
+            gone[k] = held[k] < held[n] and stands_outside(k, marks, gone, heavy)
+    return gone
+
+
+def stands_outside(k: int, marks: list[list], gone: list[bool], heavy: list[int]) -> bool:
+    """Whether a block that counts is outside of container ``k`` and not in other boilerplate."""
+    if heavy[len(marks)]:
+        return True
+    inside, seen = [False] * len(marks), [False] * len(marks)
+    for m, (around, kind, has_main) in enumerate(marks):
+        inside[m] = m == k or (around >= 0 and inside[around])
+        seen[m] = (around < 0 or seen[around]) and (kind == OPEN or has_main or not gone[m])
+        if heavy[m] and seen[m] and not inside[m]:
+            return True
+    return False
+
+
+def decide(blocks: list[tuple[str, int, int, bool, bool]], marks: list[list]) -> list[bool]:
     """Whether each block is text of the page. Where the page marks its content, only what lies inside takes part.
     Containers of boilerplate are no neighbours of the blocks around them."""
-    marked = any(content for *_, content in blocks)
-    part = [k for k, (_, _, boilerplate, content) in enumerate(blocks) if not boilerplate and (content or not marked)]
-    labels = second_pass([first_pass(*blocks[k]) for k in part], [blocks[k][3] for k in part])
-    kept = {k for k, label in zip(part, labels) if label}
+    gone = boilerplate_marks(blocks, marks)
+    size, links = [0] * len(marks), [0] * len(marks)
+    for text, linked, mark, *_ in blocks:
+        if mark >= 0:
+            size[mark] += len(text)
+            links[mark] += linked
+    listing = [kind == OPEN and links[k] > MAX_LINK_SHARE * size[k] for k, (_, kind, _) in enumerate(marks)]
+    free = [k for k, (*_, mark, _, _) in enumerate(blocks) if mark < 0 or not gone[mark]]
+    unlinked = lambda ks: sum(len(blocks[k][0]) - blocks[k][1] for k in ks)
+    inside = [k for k in free if blocks[k][3]]
+    marked = 2 * unlinked(inside) > unlinked(free)
+    part = inside if marked else free
+    labels = []
+    for k in part:
+        text, linked, mark, _, heading = blocks[k]
+        short = mark >= 0 and listing[mark] and len(text) < LONG_CHARS and not heading
+        labels.append(first_pass(text, linked, short, marked))
+    kept = {k for k, label in zip(part, second_pass(labels, marked)) if label}
     return [k in kept for k in range(len(blocks))]
 
 

@@ -162,5 +162,24 @@ def test_pages(html, want):
     assert H.extract(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (page(f"<div class=entry-content><h1>A</h1><p>{LONG}</p><p>{LONG} too</p></div><article class=comment>{LONG}</article>"), f"A\n{LONG}\n{LONG} too"),
+    (page(f"<div class=entry-content><p>{LONG}</p><p>{LONG} too</p></div><article><h2>Teaser</h2><a href=x>more</a></article>"), f"{LONG}\n{LONG} too"),
+    (page(f"<div class='layout has-sidebar'><p>{LONG}</p></div>"), LONG),
+    (page(f"<main class='no-sidebar'><p>{LONG}</p></main>"), LONG),
+    (page(f"<div class='comments-area'><main><p>{LONG}</p></main></div>"), LONG),
+    (page(f"<div class='post-header'><h1>Title</h1></div><p>{LONG}</p>"), f"Title\n{LONG}"),
+    (page(f"<p>{LONG}</p><section id='related-work'><h2>Related</h2><p>{LONG} too</p></section>"), f"{LONG}\nRelated\n{LONG} too"),
+    (page(f"<div class='elementor-widget'><p>{LONG}</p></div><div class='elementor-widget'><p>{LONG} too</p></div>"), f"{LONG}\n{LONG} too"),
+    (page(f"<form><div class=menu><a href=x>home</a></div><p>{LONG}</p></form>"), LONG),
+    (page(f"<p>{LONG}</p><div class=sidebar><h3><a href=y>News</a></h3><ul><li><a href=x>one</a><li><a href=x>two</a></ul>by us</div>"), LONG),
+    (page(f"<p>{LONG}</p><div class=comments><p>{LONG} one</p><p>{LONG} two</p></div>"), LONG),
+    (f"<html><head><meta charset=utf-8><title>t</title><body><p>{LONG}</p></body></html>", LONG),
+    (f"<head><title>t</title><style>p{{}}</style><p>{LONG}</p>", LONG),
+])
+def test_pages_keep_their_article(html, want):
+    assert H.extract(html) == want
+
+
 def test_crc_is_little_endian():
     assert zlib.crc32(np.array([1, 0], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\0\0\0\0")
