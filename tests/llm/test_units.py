@@ -181,5 +181,20 @@ def test_pages_keep_their_article(html, want):
     assert H.extract(html) == want
 
 
+@pytest.mark.parametrize("text", [
+    "Дом этого человека стоит в саду, и оттуда его совсем не было видно, пока не подошли ближе к самой калитке у дороги.",
+    "Dom tego człowieka stoi w ogrodzie i nie można go było stamtąd zobaczyć, dopóki nie podeszliśmy bliżej furtki przy drodze.",
+    "这个人的房子在花园里，从那里根本看不到它，直到我们走近路边的小门，才看见窗户里亮着的灯光和门口坐着的一位老人。",
+    "يقع بيت هذا الرجل في الحديقة ولم يكن من الممكن رؤيته من هناك حتى اقتربنا من البوابة الصغيرة الواقعة على جانب الطريق القديم",
+])
+def test_pages_in_other_languages_keep_their_paragraphs(text):
+    html = page(f"<div><h1>{text[:3]}</h1><p>{text}</p><p>{text[::-1]}</p></div><div><a href=a>x</a> <a href=b>y</a></div>")
+    assert H.extract(html) == f"{text[:3]}\n{text}\n{text[::-1]}"
+
+
+def test_long_blocks_without_stop_words_stay_boilerplate_on_known_pages():
+    assert H.extract(page(f"<p>{LONG}</p><p>{LONG}</p><div>{'Keyword list item ' * 6}</div>")) == f"{LONG}\n{LONG}"
+
+
 def test_crc_is_little_endian():
     assert zlib.crc32(np.array([1, 0], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\0\0\0\0")
