@@ -10,7 +10,7 @@ Candidates share a band of registers. In each band the members of a bucket are c
 one random order of all documents, which links large groups through few hubs and without listing their pairs. Where members of a bucket still lie in
 different components, all their pairs across components are estimated in blocks of a bounded size, and the likely ones
 are checked there until the components are joined, so no link that would join two components goes unseen. No list of
-pairs leaves a task. Links are checked exactly on the texts; ``n_links`` counts those that were needed.
+pairs leaves a task. Links are checked exactly on the texts.
 
 Cases: null and empty texts (no word) are alone in their class. Equal word sequences are one class without a check.
 Repeated rows of one id count once. A null id never leaves its row: its class is null. Empty table: no rows. Other
@@ -34,8 +34,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 96
 BAND_ROWS = 4
-#: Estimates this far below the threshold are not checked: with 96 registers more than three standard errors.
-MARGIN = 0.13
+#: Estimates this far below the threshold are not checked: of 96 registers fewer than 58 agree. For a pair of exactly
+#: the threshold that has a chance of 3.0 in a million (binomial), no more than sharing none of the 24 bands (3.2).
+MARGIN = 0.2
 BLOCK = 512
 
 WORD = re.compile(r"\w+")
@@ -263,7 +264,7 @@ def links_across(buckets: DataFrame, docs: DataFrame, threshold: float, least: f
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: int = REGISTERS,
                     rows: int = BAND_ROWS) -> DataFrame:
-    """``(doc_id, class_id, n_links)`` for every distinct id (and a null row where ids are null)."""
+    """``(doc_id, class_id)`` for every distinct id (and a null row where ids are null)."""
     least = threshold - MARGIN
     sketch = stored(sketches(docs, registers), "sketches")
     # exact copies of the word sequence: one representative each
@@ -288,15 +289,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: i
     open_rows = stored(placed.join(mixed, "bucket").join(nodes, "node"), "mixed-buckets")
     found = stored(links_across(open_rows, docs, threshold, least, rows).distinct(), "links")
     if not found.isEmpty():
-        links = links.unionByName(found).distinct()
-        labels = components(links)
+        labels = components(links.unionByName(found).distinct())
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = (copies.select("digest", "node").join(labels, "node", "left").join(degree, "node", "left")
-               .select("digest", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    classes = copies.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     grouped = (sketch.select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias("digest")).join(classes, "digest"))
-    out = docs.select("doc_id").distinct().join(grouped.select("doc_id", "class_id", "n_links"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = docs.select("doc_id").distinct().join(grouped.select("doc_id", "class_id"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

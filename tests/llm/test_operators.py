@@ -64,6 +64,20 @@ def test_near_duplicates(docs):
     assert probminhash.near_duplicates(docs([])).count() == 0
 
 
+def test_a_near_copy_of_low_estimate_is_checked(spark, docs):
+    # registers of one pair of near copies that agree in 60 of 96 places only, the first band among them
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base), "s"), (2, " ".join([*base[:100], "other", *base[101:]]), "s")]
+    a = np.arange(96, dtype=np.uint16)
+    b = np.where(np.arange(96) < 60, a, a + 1000).astype(np.uint16)
+    nodes = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes()))], "node long, registers binary")
+    open_rows = probminhash.band_rows(nodes).join(nodes, "node").withColumn("label", F.col("node"))
+    least = probminhash.SIMILARITY - probminhash.MARGIN
+    found = probminhash.links_across(open_rows, docs(rows), 0.8, least, probminhash.BAND_ROWS).distinct().collect()
+    assert [(r["a"], r["b"]) for r in found] == [(1, 2)]
+    assert probminhash.near_duplicates(docs(rows)).columns == ["doc_id", "class_id"]
+
+
 def test_links_across_blocks_join_what_hubs_miss(spark, docs):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:5 * i] + ["o"] + base[5 * i + 1:]), "s") for i in range(12)]

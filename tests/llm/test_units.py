@@ -1,5 +1,6 @@
 """Parts without Spark, against brute force."""
 
+import math
 import random
 import zlib
 
@@ -86,6 +87,13 @@ def test_registers_estimate_the_similarity():
     assert abs(np.mean(gaps)) < 0.03 and np.std(gaps) < 0.08
 
 
+def test_estimates_miss_no_more_than_the_bands():
+    least = math.ceil(P.REGISTERS * (P.SIMILARITY - P.MARGIN))
+    p = P.SIMILARITY
+    missed = sum(math.comb(P.REGISTERS, k) * p ** k * (1 - p) ** (P.REGISTERS - k) for k in range(least))
+    assert missed <= (1 - p ** P.BAND_ROWS) ** (P.REGISTERS // P.BAND_ROWS)
+
+
 @pytest.fixture(scope="module")
 def coder():
     return wfst.Coder(wfst.default_model())
