@@ -3,15 +3,17 @@
 The labelled rows that may be learnt from are dealt into three folds by a hash of their id. The first teaches a
 lexicon (words and word beginnings that toxic texts use far more often than others), the second the trees over the
 features, the third the calibration. So no fold judges by what it taught. Lexicon and models have a documented bound
-on the rows they are fitted on (``FIT_ROWS``); every document is scored on its whole text.
+on the rows they are fitted on (``FIT_ROWS``), drawn from both labels apart, toxic rows first, and weighted back to their
+shares; every document is scored on its whole text. Where a fold lacks rows of a label, folds are crossed instead: each
+is described by the lexicon and judged by the trees of the others, and all of them teach the final ones.
 
 Features: densities of lexicon words and beginnings in the text and how many there are, lexicon words near the
 second person, shares of capitals, exclamation and other punctuation, obfuscated words (letters mixed with digits or
 symbols, also read through the usual replacements), and length.
 
 Cases: null and empty texts have all features 0 and are scored like any other text. Repeated labels of one id count
-as toxic if one says so. Labels null, or without a document: not used. Too few labels of either kind to fit on: the
-score is the share of toxic rows among the labels (0 without labels). Empty table: no rows. Other columns are kept.
+as toxic if one says so. Labels null, or without a document: not used. Fewer than two labels of a kind teach nothing: the
+score is then the share of toxic rows among the labels (0 without labels). Empty table: no rows. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import OWN, stored, texts, whole
 
@@ -36,8 +39,9 @@ FIT_ROWS = 24_000
 #: Bound on the entries of the lexicon.
 LEXICON_ENTRIES = 2_000
 REJECT = 0.7
-#: Less than so many rows of one label in a fold, and nothing is fitted.
+#: Less than so many rows of one label in a fold, and the folds are crossed.
 LEAST_LABELS = 5
+CROSSED_FOLDS = 3
 
 BEGINNINGS = (4, 5, 6)
 # Second person in English, German, French and Spanish.
@@ -67,7 +71,7 @@ def keys_of(word: str) -> list[str]:
     return ["=" + word] + [f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n]
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES, support: int = 3) -> dict[str, float]:
     """Log odds of the keys that toxic texts hold far more often; ``sample`` has ``text`` and ``toxic``.
 
     Texts are counted per task first, so only distinct keys are shuffled. At most ``entries`` rows come back.
@@ -89,7 +93,7 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str
 
     totals = sample.groupBy().agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
-    least = max(3, math.ceil(0.015 * n_toxic))
+    least = max(support, math.ceil(0.015 * n_toxic))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     counted = sample.select("text", "toxic").mapInPandas(count, "key string, clean long, toxic long")
     rows = (counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -174,46 +178,88 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """A sample of at most about ``fit_rows`` labelled texts outside the held-out fold, with its ``part`` 0, 1 or 2."""
+    """A sample of at most about ``fit_rows`` labelled texts outside the held-out fold, with its ``part`` 0, 1 or 2.
+
+    Toxic rows come first, up to half of the bound or what clean rows leave; ``weight`` gives each label its share back.
+    """
     usable = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 1))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    n = usable.count()
-    dealt = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000))
-    picked = usable.filter(dealt < math.ceil(1_000_000 * min(1.0, fit_rows / max(n, 1))))
+    n = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    toxic = min(n_toxic, max(fit_rows // 2, fit_rows - n_clean))
+    share = F.when(F.col("toxic") == 1, toxic / max(n_toxic, 1)).otherwise(min(1.0, (fit_rows - toxic) / max(n_clean, 1)))
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000_000)) / F.lit(1e9)
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5))  # two fifths, two fifths, one fifth
-    picked = picked.select("doc_id", "toxic", F.when(part < 2, 0).when(part < 4, 1).otherwise(2).alias("part"))
+    picked = usable.withColumn("share", share).filter(dealt < F.col("share")).select(
+        "doc_id", "toxic", (1 / F.col("share")).alias("weight"), F.when(part < 2, 0).when(part < 4, 1).otherwise(2).alias("part"))
     return stored(texts(docs, "doc_id").join(picked, "doc_id"), "labelled")
 
 
+def described(sample: DataFrame, lexicon: dict[str, float], *keys: str) -> DataFrame:
+    return sample.select(*keys, "weight", F.col("toxic").cast("double").alias("label"), features(lexicon)("text").alias("x"))
+
+
+def grown(rows: DataFrame, least: int = 5) -> GBTClassificationModel:
+    return GBTClassifier(maxIter=24, maxDepth=3, stepSize=0.2, subsamplingRate=0.9, seed=7, minInstancesPerNode=least,
+                         weightCol="weight").fit(rows)
+
+
+def judged_by(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    return trees.transform(rows).select("label", "weight", vector_to_array("probability")[1].alias("raw"))
+
+
+def calibrated(raw: DataFrame) -> IsotonicRegressionModel:
+    return IsotonicRegression(labelCol="label", featuresCol="raw", weightCol="weight").fit(raw)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = labelled(docs, labels, fit_rows)
-    counts = {(r["part"], r["toxic"]): r["n"] for r in sample.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, total = sum(n for (_, t), n in counts.items() if t), sum(counts.values())
-    base = toxic / total if total else 0.0
+    found = sample.groupBy("part", "toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    counts, total = {(r["part"], r["toxic"]): r["n"] for r in found}, sum(r["w"] for r in found)
+    base = sum(r["w"] for r in found if r["toxic"]) / total if total else 0.0
     if any(counts.get((p, t), 0) < LEAST_LABELS for p in (0, 1, 2) for t in (0, 1)):
-        # too few for three folds
-        return Model({}, None, None, base)
+        return fit_crossed(sample, base)
     lexicon = learn_lexicon(sample.filter("part = 0"))
-    rows = stored(sample.filter("part > 0").select("part", F.col("toxic").cast("double").alias("label"),
-                                                  features(lexicon)("text").alias("x")), "features").coalesce(4)
+    rows = stored(described(sample.filter("part > 0"), lexicon, "part"), "features").coalesce(4)
     rows = rows.withColumn("features", array_to_vector("x")).cache()
-    trees = GBTClassifier(maxIter=24, maxDepth=3, stepSize=0.2, subsamplingRate=0.9, seed=7, minInstancesPerNode=5).fit(rows.filter("part = 1"))
-    raw = trees.transform(rows.filter("part = 2")).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(labelCol="label", featuresCol="raw").fit(raw)
+    trees = grown(rows.filter("part = 1"))
+    calibration = calibrated(judged_by(trees, rows.filter("part = 2")))
     rows.unpersist()
     return Model(lexicon, trees, calibration, base)
 
 
+def fit_crossed(sample: DataFrame, base: float) -> Model:
+    """Fit on few labels of a kind: every row teaches, and none is judged for the calibration by what it taught."""
+    ids = sample.select("doc_id", "toxic").distinct()
+    rarest = min((r["count"] for r in ids.groupBy("toxic").count().collect()), default=0)
+    folds = min(CROSSED_FOLDS, rarest)
+    if folds < 2 or ids.select("toxic").distinct().count() < 2:
+        return Model({}, None, None, base)
+    # ids only, within the bound of the sample
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
+    dealt = ids.select("doc_id", F.pmod(F.row_number().over(order), F.lit(folds)).alias("fold"))
+    sample = stored(sample.join(dealt, "doc_id"), "folds")
+    parts = [described(sample.filter(F.col("fold") == k), learn_lexicon(sample.filter(F.col("fold") != k), support=2), "fold") for k in range(folds)]
+    rows = stored(reduce(DataFrame.unionByName, parts), "features").coalesce(4)
+    rows = rows.withColumn("features", array_to_vector("x")).cache()
+    least = max(1, min(5, rarest // 4))
+    raw = [judged_by(grown(rows.filter(F.col("fold") != k), least), rows.filter(F.col("fold") == k)) for k in range(folds)]
+    calibration = calibrated(stored(reduce(DataFrame.unionByName, raw), "raw"))
+    trees = grown(rows, least)
+    rows.unpersist()
+    return Model(learn_lexicon(sample, support=2), trees, calibration, base)
+
+
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     """All columns of ``docs`` and the calibrated score. Trees and calibration run inside Spark's own expressions."""
     if model.trees is None:
         return docs.withColumn(into, F.lit(float(model.base)))
     vector, raw, level = OWN + "vector", OWN + "raw", OWN + "level"
-    described = docs.withColumn(vector, array_to_vector(features(model.lexicon)(whole("text"))))
+    known = docs.withColumn(vector, array_to_vector(features(model.lexicon)(whole("text"))))
     trees = (model.trees.copy().setFeaturesCol(vector).setProbabilityCol(OWN + "p").setRawPredictionCol(OWN + "r")
              .setPredictionCol(OWN + "c"))
     calibration = model.calibration.copy().setFeaturesCol(raw).setPredictionCol(level)
-    judged = trees.transform(described).withColumn(raw, vector_to_array(OWN + "p")[1])
+    judged = trees.transform(known).withColumn(raw, vector_to_array(OWN + "p")[1])
     # the steps of the calibration tie many scores; a trace of the trees' own score keeps their order
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col(level) + 0.01 * F.col(raw)))
     return calibration.transform(judged).withColumn(into, value).select(*docs.columns, into)

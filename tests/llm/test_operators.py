@@ -109,6 +109,20 @@ def test_toxicity(spark, docs):
     assert {r[OWN + "score"] for r in toxicity.toxicity(docs(EDGE), labels.filter("doc_id < 4")).collect()} != set()
 
 
+def test_toxicity_of_few_and_of_rare_labels(spark, docs):
+    bad = ["vile", "rotten", "filthy"]
+    toxic = {i for i in range(600) if i % 40 == 0}
+    table = docs([(i, f"you are so {' and '.join(bad)} today {i}" if i in toxic else f"you are so calm and kind today {i}", "s") for i in range(600)])
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(600)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled(table, labels, 100).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    n = {r["toxic"]: (r["n"], r["w"]) for r in sample}
+    taught = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert n[1] == (len(toxic & set(taught)), len(toxic & set(taught)))
+    assert n[0][0] < 130 and n[0][1] == pytest.approx(len(set(taught) - toxic), rel=0.3)
+    got = {r["doc_id"]: r[OWN + "score"] for r in toxicity.toxicity(table, labels).collect()}
+    assert all((got[i] >= toxicity.REJECT) == (i in toxic) for i in range(600))
+
+
 def test_quality_rows(docs):
     good = " ".join(f"The word{i} stands here." for i in range(30))
     rows = EDGE + [(100 + i, good + f" Number {i}.", "s") for i in range(40)] + [(200 + i, "Buy! " * 60, "s") for i in range(5)]
