@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat_format, html_blocks, order_minhash, packing, probminhash, repair, site_lines, toxicity, weak_rules, wfst)
+from . import (alignment, bit_codes, chat_format, html_blocks, order_minhash, packing, probminhash, repair, site_lines, toxicity, weak_rules, wfst,
+               whitening)
 from .common import OWN, table
 
 
@@ -58,6 +59,20 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compared(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_codes.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(table(spark, sf_dir, "documents"))
+
+
+def op13_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # beyond the range of a long (some million vectors) the exact figure is only in the operator's decimal
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_repair_ids, op2_wfst_pieces, op3_probminhash, op4_toxicity, op5_weak_rules, op6_best_two_fit, op7_block_rules,
-           op8_chat_format, op9_site_lines, op10_order_minhash, pipeline)
+           op8_chat_format, op9_site_lines, op10_order_minhash, op11_bit_codes, op12_merge_path, op13_multiplicity_whitening,
+           pipeline)
     return {run.__name__: run for run in own}
 
 
@@ -99,7 +115,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM runs GROUP BY conv_id"""
 
 
+NEAREST_SQL = """
+WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+fit AS (SELECT vec_id, v FROM vectors WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(v, lambda c: c <> 0)) > 0 AND len(v) = (SELECT mode(len(v)) FROM vectors)),
+pairs AS (SELECT q.vec_id AS query_id, x.vec_id, min(list_distance(q.v, x.v)) AS score FROM fit AS q JOIN fit AS x ON q.vec_id <> x.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
-    own = {"op8_chat_format": CHAT_SQL, "op9_site_lines": SITE_LINES_SQL}
+    own = {"op8_chat_format": CHAT_SQL, "op9_site_lines": SITE_LINES_SQL, "op11_bit_codes": NEAREST_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -3,7 +3,8 @@
 The pre-tokenizer of the byte-level vocabulary always starts a new piece at a single space or line feed between two
 characters that are no white space, and such a line feed is a piece of its own. So the ids of a text are the ids of its
 words (each with the space or line feed before it), one after the other, and the library has to be asked once per
-distinct word. A text with any other white space next to a space or line feed is given to the library as a whole.
+distinct word. A text with any other white space next to a space or line feed is given to the library as a whole, and
+so is a text that holds the string of a special token where the library reads these strings as their tokens.
 """
 
 from __future__ import annotations
@@ -36,27 +37,34 @@ def words_of(text: str) -> list[str] | None:
 
 
 class Encoder:
-    """Ids of many texts at once. Memory is bounded: the memo is emptied when it holds ``memo_words`` words."""
+    """Ids of many texts at once. Memory is bounded: the memo is emptied when it holds ``memo_words`` words.
 
-    def __init__(self, path: str, memo_words: int = 900_000):
+    Strings of special tokens inside a text become their ids, as is the library's default, unless ``special_as_text``.
+    """
+
+    def __init__(self, path: str, memo_words: int = 200_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.library.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         lengths = np.zeros(size, np.int64)
         for token, i in self.library.get_vocab().items():
             lengths[i] = len(token)  # one character stands for one byte
         self.byte_lengths, self.memo_words = lengths, memo_words
-        self._empty()
+        self.empty()
 
-    def _empty(self):
+    def empty(self):
         self.memo = _Memo()
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
+    def words(self, text: str) -> list[str] | None:
+        return None if not text or any(s in text for s in self.special) else words_of(text)
+
     def _learn(self):
         """Ask the library for the words that the memo met since last time, many in one text."""
         new, self.memo.fresh = self.memo.fresh, []
@@ -73,10 +81,10 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
         if len(self.memo) > self.memo_words:
-            self._empty()
+            self.empty()
         numbers: list[np.ndarray | None] = []
         for text in texts:
-            words = words_of(text) if text else None
+            words = self.words(text)
             numbers.append(None if words is None else np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
         self._learn()
         tail = np.array([end_id] if end_id is not None else [], np.int32)
@@ -115,7 +123,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, kept between its tasks."""
+    """One encoder per Python worker, kept between its tasks; what it learnt is bounded by ``memo_words``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
