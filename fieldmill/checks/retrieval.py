@@ -25,9 +25,9 @@ def bm25_ctes(corpus: str, queries: str) -> str:
   raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1) AS d, st),
   idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
   qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({words('query')}) AS term FROM queries) AS x GROUP BY 1, 2),
-  bs AS (SELECT query_id, tf.doc_id, round(sum(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))), 6) AS score
+  bs AS (SELECT query_id, tf.doc_id, sum(CAST(qtf * idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS DECIMAL(28, 15))) AS score
          FROM qt JOIN idf ON idf.term = qt.term JOIN tf ON tf.term = qt.term JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY 1, 2),
-  bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs WHERE score <> 0)"""
+  bm AS (SELECT query_id, doc_id, round(CAST(bs.score AS DOUBLE), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY bs.score DESC, doc_id) AS rank FROM bs WHERE bs.score <> 0)"""
 
 
 COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
@@ -35,7 +35,7 @@ DOCS = "SELECT doc_id, text FROM documents"
 BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 # nearest vectors of the vectors that stand for the queries
 DENSE = f"""
-  dsc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({COSINE}, 6) AS score FROM embeddings AS a, embeddings AS b
+  dsc AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {COSINE} AS score FROM embeddings AS a, embeddings AS b
           WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
   dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dsc)"""
 
@@ -71,7 +71,7 @@ def index_of(docs):
 
 
 def bm25_hits(t, k):
-    return B.bm25_topk(bench_queries(t), B.bm25_index(t.documents, "doc_id", "text"), k)
+    return B.bm25_topk(bench_queries(t), index_of(t.documents), k)
 
 
 def query_vectors(t):
@@ -126,28 +126,27 @@ def f4(t):
 
 
 @check("f5_knn", f"""
-SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 6) AS score FROM embeddings AS a, embeddings AS b) AS s) AS r WHERE rank <= 5""")
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings AS a, embeddings AS b) AS s) AS r WHERE rank <= 5""")
 def f5(t):
     queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return V.knn(queries, t.embeddings, 5)
 
 
 @check("f5_knn_prefiltered", f"""
-SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 6) AS score FROM embeddings AS a JOIN embeddings AS b
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings AS a JOIN embeddings AS b
     ON b.label = a.label OR b.label = (a.label + 1) % 10) AS s) AS r WHERE rank <= 15""")
 def f5_filtered(t):
-    label = F.col("label").cast("string")
-    queries = t.embeddings.select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"),
-        F.array(label, ((F.col("label") + 1) % 10).cast("string")).alias("labels"))
-    return V.knn(queries, t.embeddings.withColumn("label", label), 15, facet="label", query_facets="labels")
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    wanted = asked.select("query_id", F.explode(F.array("label", (F.col("label") + 1) % 10)).alias("number"))
+    queries = asked.join(V.facet_bits(wanted, "query_id", "number"), "query_id")
+    return V.knn(queries, t.embeddings, 15, facet="label", query_facets="facets")
 
 
 @check("f5_knn_among", f"""
-SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 6) AS score FROM embeddings AS a JOIN embeddings AS b ON b.label = a.label
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM embeddings AS a JOIN embeddings AS b ON b.label = a.label
     WHERE a.vec_id IN (SELECT item_id FROM benchmark)) AS s) AS r WHERE rank <= 15""")
 def f5_among(t):
     queries = query_vectors(t)
@@ -187,7 +186,9 @@ def f7_stats(t):
 
 @check("f8_bm25_topk_stored", INDEX + "SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 15")
 def f8_stored(t):
-    return B.bm25_topk(bench_queries(t), index_of(t.documents), 15)
+    path = fresh_path(t.spark, "bm25")
+    B.stored_index(t.documents, "doc_id", "text", path)
+    return B.bm25_topk(bench_queries(t), B.read_index(t.spark, path), 15)
 
 
 @check("f8_bm25_topk", INDEX + "SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 45")
@@ -197,12 +198,13 @@ def f8(t):
 
 @check("f9_post_filter", f"""
 WITH r AS ({ASKED}), i AS {{items}}, ok AS (SELECT r.query_id, i.item_id AS doc_id FROM r, i WHERE {eligible('r', 'i')}), {bm25_ctes(DOCS, BENCH)}
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-FROM (SELECT query_id, doc_id, score FROM bm WHERE rank <= 45 AND (query_id, doc_id) IN (SELECT query_id, doc_id FROM ok)) AS x
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY was) AS rank
+FROM (SELECT query_id, doc_id, score, rank AS was FROM bm WHERE rank <= 45 AND (query_id, doc_id) IN (SELECT query_id, doc_id FROM ok)) AS x
 QUALIFY rank <= 15""")
 def f9(t):
-    allowed = E.eligible_pairs(asked(t), t.items, request_id="query_id").withColumnRenamed("item_id", "doc_id")
-    return B.post_filter(bm25_hits(t, 45), allowed, 15)
+    hits = bm25_hits(t, 45)
+    fit = M.eligible_hits(hits.withColumn("item_id", F.col("doc_id")), asked(t), t.items)
+    return B.post_filter(hits, fit, 15)
 
 
 RRF = f"""
@@ -285,14 +287,15 @@ def f14(t):
 
 MATCH = f"""
 WITH r AS ({ASKED}), i AS {{items}},
-  ch AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-  asked AS (SELECT r.*, e.embedding FROM r JOIN embeddings AS e ON e.vec_id = r.query_id),
+  ch AS (SELECT doc_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+  asked AS (SELECT r.*, e.embedding FROM r LEFT JOIN embeddings AS e ON e.vec_id = r.query_id),
   ok AS (SELECT r.query_id, i.item_id FROM r, i WHERE {eligible('r', 'i')}),
-  ds AS (SELECT a.query_id, b.doc_id, round({COSINE}, 6) AS score FROM asked AS a JOIN ok ON ok.query_id = a.query_id JOIN ch AS b ON b.doc_id = ok.item_id),
+  ds AS (SELECT a.query_id, b.doc_id, {COSINE} AS score FROM asked AS a JOIN ok ON ok.query_id = a.query_id JOIN ch AS b ON b.doc_id = ok.item_id
+         WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
   dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 15),
   {bm25_ctes('SELECT doc_id, text FROM ch', 'SELECT query_id, search_query AS query FROM asked')},
-  sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-         FROM (SELECT bm.query_id, bm.doc_id, bm.score FROM bm JOIN ok ON ok.query_id = bm.query_id AND ok.item_id = bm.doc_id WHERE rank <= 45) AS z QUALIFY rank <= 15),
+  sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY was) AS rank
+         FROM (SELECT bm.query_id, bm.doc_id, bm.rank AS was FROM bm JOIN ok ON ok.query_id = bm.query_id AND ok.item_id = bm.doc_id WHERE rank <= 45) AS z QUALIFY rank <= 15),
   u AS (SELECT query_id, doc_id, rank AS dr, NULL AS sr FROM dn UNION ALL SELECT query_id, doc_id, NULL, rank FROM sp),
   fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + coalesce(dr, sr))), 9) AS score, min(dr) AS d, min(sr) AS s FROM u GROUP BY 1, 2),
   cp AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d NULLS LAST, s NULLS LAST, doc_id) <= 15),
@@ -302,10 +305,10 @@ WITH r AS ({ASKED}), i AS {{items}},
 
 
 def matched(t):
-    requests = asked(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id")
+    requests = asked(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), "query_id", "left")
     chunks = t.documents.select("doc_id", "text").join(
-        t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").withColumn("item_id", F.col("doc_id"))
-    return M.match(requests, t.items, chunks, B.bm25_index(chunks, "doc_id", "text"))
+        t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").withColumn("item_id", F.col("doc_id"))
+    return M.match(requests, t.items, chunks, index_of(chunks))
 
 
 @check("f15_match", MATCH + """

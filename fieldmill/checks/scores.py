@@ -91,13 +91,7 @@ def i6(t):
 WITH r AS ({RT.ASKED}), i AS {{items}} SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_leaks FROM r, i WHERE {RT.eligible('r', 'i')}""")
 def i7(t):
     """The facet join of the filter against the row predicate, over all requests and items: no row may leak."""
-    asked = RT.asked(t).withColumn("session_id", F.col("query_id").cast("string"))
-    pairs = EL.eligible_pairs(asked, t.items)
-    requests = asked.withColumnRenamed("academic_level", "profile_level")
-    items = t.items.withColumnRenamed("academic_level", "item_level").drop("academic_major")
-    rule = EL.is_eligible("nationality", "profile_level", "bypass_filters", "target_funding")
-    leaks = E.filter_leaks(pairs, requests, items, rule).agg(F.count("*")).scalar()
-    return pairs.agg(F.count("*").alias("n_pairs")).withColumn("n_leaks", leaks)
+    return EL.leak_counts(RT.asked(t), t.items)
 
 
 @check("i8_hit_diagnostics", RT.HITS + """

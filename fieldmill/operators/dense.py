@@ -1,95 +1,224 @@
-"""Exact nearest neighbours over vector columns, many queries at once."""
+"""Exact nearest neighbours over vector columns, many queries at once, in cells with a bound on their cosines."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import dot, norm
+from ..session import written
 from .ranking import top_n
 
+#: Rows that a cell is meant to hold, cells at most, and the sample that their centroids are fitted on.
+CELL_ROWS, MAX_CELLS, SAMPLE_ROWS, FIT_ROUNDS = 4_096, 512, 8_192, 8
+#: Bounds on the vectors in a part of a cell and on the queries that meet a part at once.
+PART_ROWS, BLOCK_QUERIES = 4_096, 256
+#: Bounds and matrix products are taken with this allowance; ranks come from exact scores.
+SLACK, ANGLE_SLACK = 1e-9, 1e-7
 
-SLICE_ROWS = 20_000
-BLOCK_ROWS = 4_096
 
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
-def layout(queries: DataFrame, vectors: DataFrame) -> tuple[int, int]:
-    """(slices, blocks) that keep a slice and a block within their row bounds. Counts of files come from footers."""
-    return (max(1, math.ceil(vectors.count() / SLICE_ROWS)), max(1, math.ceil(queries.count() / BLOCK_ROWS)))
 
+def matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec",
-        vec_id: str = "vec_id", vec: str = "embedding", facet: str | None = None, query_facets: str | None = None,
-        slices: int | None = None, blocks: int | None = None, digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): the ``k`` best cosine scores per query, exact.
 
-    Vectors are hashed into slices and queries into blocks, both of bounded size; a task multiplies one block by
-    one slice as two matrices and keeps ``k`` rows per query, so no query-vector pair becomes a row and nothing
-    passes through the driver or a broadcast. Vectors are copied once per query block only. Ids are unique, so
-    slices are even. ``slices`` and ``blocks`` follow from row counts (see ``layout``) unless given.
+def fit_centroids(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centroids by spherical k-means on a bounded sample. Any centroids give exact results; good ones prune."""
+    unit = unit_rows(sample)
+    centroids = unit[np.random.default_rng(5).permutation(len(unit))[:cells]]
+    for _ in range(FIT_ROUNDS if cells > 1 else 1):
+        own = np.argmax(unit @ centroids.T, axis=1)
+        total = np.zeros_like(centroids)
+        np.add.at(total, own, unit)
+        moved = unit_rows(total)
+        centroids = np.where(np.abs(moved).sum(1, keepdims=True) > 0, moved, centroids)
+    return centroids
+
+
+def angles(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centroids.T, -1.0, 1.0))
+
+
+def facet_bits(pairs: DataFrame, key: str, number: str) -> DataFrame:
+    """``(key, facets)``: the facet numbers (0 and up) of each key as bitmaps of 32,768 numbers each, by bucket.
+
+    Aggregated map-side; a key holds one bit for a facet instead of its name.
+    """
+    n = F.col(number) + 1
+    bits = pairs.groupBy(key, F.bitmap_bucket_number(n).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+    return bits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("facets"))
+
+
+def allowed(numbers: np.ndarray, facets) -> np.ndarray:
+    """Which facet numbers (negative: none) the bitmaps hold."""
+    out = np.zeros(len(numbers), bool)
+    for entry in [] if facets is None else facets:
+        here = np.flatnonzero((numbers >= 0) & (numbers // 32_768 + 1 == entry["bucket"]))
+        flags = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), bitorder="little")
+        out[here] = flags[numbers[here] % 32_768] == 1
+    return out
+
 
-    With ``facet`` (a column of the vectors) and ``query_facets`` (an array column of the queries) only vectors
-    whose facet is in the query's list take part: the filter runs before the ranking, inside the task.
+def in_cells(vectors: DataFrame, centroids: np.ndarray, id_type: str) -> DataFrame:
+    """(vec_id, vec, facet, cell, angle): every vector in the cell of its nearest centroid. No shuffle."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), PART_ROWS):
+                part = frame.iloc[at:at + PART_ROWS]
+                apart = angles(unit_rows(matrix(part["vec"])), centroids)
+                cell = apart.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), angle=apart[np.arange(len(cell)), cell])
+
+    vec_type = vectors.schema["vec"].dataType.simpleString()
+    return vectors.mapInPandas(run, f"vec_id {id_type}, vec {vec_type}, facet bigint, cell int, angle double")
+
+
+def packed(cells: DataFrame, sizes: Column, id_type: str) -> DataFrame:
+    """(cell, part, ids, facets, vectors): large cells dealt into parts of a bounded size, a row per part."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id", kind="stable")
+        return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "part": [frame["part"].iloc[0]], "ids": [frame["vec_id"].tolist()],
+                             "facets": [frame["facet"].tolist()], "vectors": [matrix(frame["vec"]).tobytes()]})
+
+    part = F.pmod(F.xxhash64("vec_id"), F.element_at(sizes, F.col("cell") + 1)).cast("int")
+    return cells.withColumn("part", part).groupBy("cell", "part").applyInPandas(
+        run, f"cell int, part int, ids array<{id_type}>, facets array<bigint>, vectors binary")
+
+
+def scored(blocks: DataFrame, k: int, filtered: bool, q_type: str, v_type: str) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` best of a part per query of a block, by the exact score.
+
+    One matrix product finds what may be among them; those are scored row by row, so equal vectors score alike.
     """
-    if not slices or not blocks:
-        slices, blocks = layout(queries, vectors)
-    v = vectors.select(
-        F.pmod(F.xxhash64(vec_id), F.lit(slices)).alias("slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.col(vec_id).alias("vec_id"), F.col(vec).alias("v"),
-        (F.col(facet) if facet else F.lit(None).cast("string")).alias("facet"))
-    q = queries.select(
-        F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"),
-        F.col(query_id).alias("query_id"), F.col(query_vec).alias("q"),
-        (F.col(query_facets) if query_facets else F.lit(None).cast("array<string>")).alias("facets"))
-
-    def unit(column: pd.Series) -> np.ndarray:
-        rows = np.stack([np.asarray(x, dtype=np.float64) for x in column])
-        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        return np.divide(rows, length, out=np.full_like(rows, np.nan), where=length > 0)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left[left["v"].notna()], right[right["q"].notna()]
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": right["query_id"].iloc[:0], "vec_id": left["vec_id"].iloc[:0],
-                                 "score": pd.Series([], dtype=float)})
-        left = left.sort_values("vec_id", kind="stable").reset_index(drop=True)
-        matrix = unit(left["v"])
-        facet_codes, names = pd.factorize(left["facet"])
-        out = []
-        for start in range(0, len(right), 256):  # bounds the score matrix
-            part = right.iloc[start:start + 256]
-            scores = np.round(unit(part["q"]) @ matrix.T, digits)
-            for row, qid, accepted in zip(scores, part["query_id"], part["facets"]):
-                usable = ~np.isnan(row)
-                if facet:
-                    wanted = np.isin(np.asarray(names, dtype=object), [] if accepted is None else list(accepted))
-                    usable &= (facet_codes >= 0) & wanted[facet_codes] if len(names) else False
-                at = np.flatnonzero(usable)
-                # rows are sorted by id, so a stable sort breaks score ties by the lowest id
-                at = at[np.argsort(-row[at], kind="stable")[:k]]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": left["vec_id"].to_numpy()[at], "score": row[at]}))
-        return pd.concat(out, ignore_index=True)
+    def best(ids, vectors, facets, queries, accepted) -> Iterator[pd.DataFrame]:
+        fit = allowed(facets, accepted) if filtered else np.ones(len(ids), bool)
+        at = np.flatnonzero(fit)
+        if not len(at):
+            return
+        rows, own = vectors[at], ids[at]
+        sizes = np.sqrt((rows * rows).sum(1))
+        q = matrix([x["q"] for x in queries])
+        near = unit_rows(q) @ (rows / sizes[:, None]).T
+        for line, asked, vector in zip(near, queries, q):
+            least = -np.inf if asked["least"] is None else asked["least"]
+            if len(line) > k:
+                least = max(least, np.partition(line, len(line) - k)[len(line) - k])
+            some = np.flatnonzero(line >= least - SLACK)
+            if not len(some):
+                continue
+            score = (rows[some] * vector).sum(1) / (sizes[some] * math.sqrt((vector * vector).sum()))
+            order = np.argsort(-score, kind="stable")[:k]  # ids ascend, so ties go to the lowest
+            yield pd.DataFrame({"query_id": asked["query_id"], "vec_id": own[some[order]], "score": score[order]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                ids = np.asarray(row.ids)
+                vectors = np.frombuffer(row.vectors, np.float64).reshape(len(ids), -1)
+                found = list(best(ids, vectors, np.asarray(row.facets, np.int64), list(row.queries), row.accepted))
+                if found:
+                    yield pd.concat(found, ignore_index=True)
+
+    return blocks.select("ids", "vectors", "facets", "queries", "accepted").mapInPandas(
+        run, f"query_id {q_type}, vec_id {v_type}, score double")
+
 
+def knn(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", query_vec: str = "query_vec",
+        vec_id: str = "vec_id", vec: str = "embedding", facet: str | None = None, query_facets: str | None = None,
+        cell_rows: int = CELL_ROWS, digits: int | None = 6) -> DataFrame:
+    """(query_id, vec_id, score, rank): the ``k`` best cosine scores per query, exact. Ties go to the lowest id.
+
+    Vectors lie in cells around centroids; a cell knows the widest angle between its centroid and a member, so the
+    angle between a query and the centroid bounds every cosine in the cell. A query first meets its own cell, whose
+    k-th best score then rules out all cells with a lower bound. Vectors are shuffled once, into parts of a bounded
+    size, queries only to the cells that they visit, and a task returns ``k`` rows per query. Large cells are
+    salted. What reaches the driver is a sample of ``SAMPLE_ROWS`` vectors and one row per cell.
+
+    With ``facet`` (a number column of the vectors) and ``query_facets`` (bitmaps of numbers, see ``facet_bits``)
+    only vectors whose facet the query accepts take part: the filter runs before the ranking, inside the task.
+    Null and zero vectors and those with a null or non-finite entry take no part. ``score`` is rounded in the output only (``digits`` None: not at all).
+    """
     q_type = queries.schema[query_id].dataType.simpleString()
     v_type = vectors.schema[vec_id].dataType.simpleString()
-    near = v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInPandas(
-        best, f"query_id {q_type}, vec_id {v_type}, score double")
-    return top_n(near, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    finite = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above all numbers
+    live = finite & F.exists("vec", lambda x: x != 0)
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("vec"),
+                       (F.coalesce(F.col(facet).cast("bigint"), F.lit(-1)) if facet else F.lit(-1).cast("bigint")).alias("facet")).filter(live)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec"),
+                       (F.col(query_facets) if query_facets else F.lit(None).cast("array<struct<bucket:bigint,bits:binary>>")).alias("facets")).filter(live)
+    v = written(v, "vectors")
+    n = v.count()
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec").toPandas()["vec"]
+    if not len(sample):
+        return queries.sparkSession.createDataFrame([], f"query_id {q_type}, vec_id {v_type}, score double, rank int")
+    centroids = fit_centroids(matrix(sample), max(1, min(MAX_CELLS, math.ceil(n / cell_rows), len(sample))))
+    cells = written(in_cells(v, centroids, v_type), "cells")
+    known = {r["cell"]: (r["n"], r["wide"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("wide")).collect()}
+    parts = [max(1, math.ceil(known.get(c, (0, 0))[0] / PART_ROWS)) for c in range(len(centroids))]
+    packs = written(packed(cells, F.array(*[F.lit(p) for p in parts]), v_type), "parts")
+
+    live_cells = np.array(sorted(known))
+    wide = np.array([known[c][1] for c in live_cells])
+    blocks = max(1, math.ceil(q.count() / BLOCK_QUERIES))
+
+    def visits(asked: DataFrame, home: bool) -> DataFrame:
+        """Queries with the cells to look into: the nearest one, or all others that may hold a better score."""
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), BLOCK_QUERIES):
+                    part = frame.iloc[at:at + BLOCK_QUERIES]
+                    apart = angles(unit_rows(matrix(part["vec"])), centroids[live_cells])
+                    own = apart.argmin(axis=1)
+                    if home:
+                        chosen = [live_cells[[c]].tolist() for c in own]
+                    else:
+                        bound = np.cos(np.clip(apart - wide - ANGLE_SLACK, 0.0, np.pi))
+                        least = part["least"].fillna(-np.inf).to_numpy()[:, None]
+                        may = bound >= least - SLACK
+                        may[np.arange(len(own)), own] = False
+                        chosen = [live_cells[row].tolist() for row in may]
+                    yield part.assign(cells=chosen)
+
+        types = f"query_id {q_type}, vec array<double>, facets array<struct<bucket:bigint,bits:binary>>, least double, cells array<int>"
+        rows = asked.select("query_id", "vec", "facets", "least").mapInPandas(run, types)
+        of_cell = F.sequence(F.lit(0), F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1) - 1)
+        rows = rows.select("query_id", "vec", "facets", "least", F.explode("cells").alias("cell"))
+        rows = rows.withColumn("part", F.explode(of_cell)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        return rows.groupBy("cell", "part", "block", F.xxhash64("facets").alias("filter")).agg(
+            F.first("facets").alias("accepted"), F.collect_list(F.struct("query_id", F.col("vec").alias("q"), "least")).alias("queries"))
+
+    def search(asked: DataFrame, home: bool) -> DataFrame:
+        met = visits(asked, home).join(packs, ["cell", "part"])
+        found = scored(met, k, facet is not None, q_type, v_type)
+        return top_n(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+    near = search(q.withColumn("least", F.lit(None).cast("double")), True)
+    if len(live_cells) > 1:
+        near = written(near, "near")
+        least = near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        far = search(q.join(least, "query_id", "left"), False)
+        near = top_n(near.drop("rank").unionByName(far.drop("rank")), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return near if digits is None else near.withColumn("score", F.round("score", digits))
 
 
 def knn_among(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
               query_vec: str = "query_vec", vec_id: str = "vec_id", vec: str = "embedding",
               digits: int = 6) -> DataFrame:
     """Exact ranking of given candidate pairs only (query_id, vec_id): equi-joins and native arithmetic."""
-    scored = (pairs.select(query_id, vec_id)
-              .join(queries.select(query_id, query_vec), query_id)
-              .join(vectors.select(vec_id, vec), vec_id))
+    scored_pairs = (pairs.select(query_id, vec_id)
+                    .join(queries.select(query_id, query_vec), query_id)
+                    .join(vectors.select(vec_id, vec), vec_id))
     cosine = F.try_divide(dot(query_vec, vec), norm(query_vec) * norm(vec))
-    scored = scored.select(F.col(query_id).alias("query_id"), F.col(vec_id).alias("vec_id"),
-                           F.round(cosine, digits).alias("score")).filter("score is not null")
-    return top_n(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    scored_pairs = scored_pairs.select(F.col(query_id).alias("query_id"), F.col(vec_id).alias("vec_id"),
+                                       cosine.alias("score")).filter("score is not null")
+    ranked = top_n(scored_pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return ranked.withColumn("score", F.round("score", digits))

@@ -29,10 +29,12 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = K.RRF_K, *, query_id: str
     both = folded(dense, "dense", [dense_score] if dense_score else []).join(
         folded(sparse, "sparse"), [query_id, doc_id], "full")
     score = F.coalesce("dense_share", F.lit(0.0)) + F.coalesce("sparse_share", F.lit(0.0))
-    fused = both.select(query_id, doc_id, F.round(score, digits).alias("score"), "dense_rank", "sparse_rank",
+    # sums of fractions of ranks: 15 digits drop the noise of their order, never a difference
+    fused = both.select(query_id, doc_id, F.round(score, 15).alias("score"), "dense_rank", "sparse_rank",
                         *([dense_score] if dense_score else []))
-    return top_n(fused, [query_id], [F.desc("score"), F.asc_nulls_last("dense_rank"),
-                                     F.asc_nulls_last("sparse_rank"), F.asc(doc_id)])
+    ranked = top_n(fused, [query_id], [F.desc("score"), F.asc_nulls_last("dense_rank"),
+                                       F.asc_nulls_last("sparse_rank"), F.asc(doc_id)])
+    return ranked.withColumn("score", F.round("score", digits))
 
 
 def merge_equal_texts(hits: DataFrame, texts: DataFrame, *, query_id: str = "query_id", doc_id: str = "doc_id",

@@ -1,44 +1,79 @@
-"""BM25 over many queries at once: index tables and ranked search."""
+"""BM25 over many queries at once: an impact-ordered block index and ranked search without a scan of the corpus."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed as K
-from ..functions.text import words
+from ..functions.text import let, words
+from ..session import written
 from .ranking import broadcast_if_small, top_n
 
+#: Postings in a block of the stored index.
+BLOCK_POSTINGS = 128
+#: Scores are summed as decimals, so that equal documents have equal scores in whatever order their terms are met.
+SCORE = "decimal(28,15)"
+
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``docs(doc_id, tokens, dl)``, ``terms(term, df, idf)`` and one row ``stats(n_docs, avgdl, mean_idf)``."""
+    """``docs(doc_id, terms(term, tf), dl)``, ``terms(term, df, idf)`` and one row ``stats(n_docs, avgdl, mean_idf)``."""
 
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
+@dataclass(frozen=True)
+class BlockIndex:
+    """``terms(term, df, idf, top, head)``, ``blocks(term, block, top, doc_ids, weights)`` and ``stats``.
+
+    The postings of a term are ordered by their weight (the part of a score that does not depend on the query) and cut
+    into blocks; ``top`` is the largest weight of a block or term, ``head`` the block that holds it.
+    """
+
+    terms: DataFrame
+    blocks: DataFrame
+    stats: DataFrame
+
+
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) per distinct token: one sort inside the row, then the runs of equal tokens."""
+    def counted(s: Column) -> Column:
+        place = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(place, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), counted)).otherwise(empty)
+
+
 def tokenised(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, tokens, dl): whitespace tokens, case kept."""
-    return df.select(F.col(doc_id).alias("doc_id"), words(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    """(doc_id, terms, dl): whitespace tokens, case kept, counted inside the row; dl is null for a null text."""
+    tokens = df.select(F.col(doc_id).alias("doc_id"), words(text).alias("tokens"))
+    size = F.when(F.col("tokens").isNotNull(), F.size("tokens"))
+    return tokens.select("doc_id", term_counts(F.col("tokens")).alias("terms"), size.alias("dl"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf). The tokens of one document meet in one task, so the map-side combine does the count."""
-    return docs.select("doc_id", F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("doc_id", "term").agg(
-        F.count("*").alias("tf"))
+    """(doc_id, term, tf) of documents that ``tokenised`` has counted. No shuffle."""
+    return docs.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf")
 
 
 def index_tables(docs: DataFrame, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
-    """Term table and statistics of tokenised documents. A negative idf (a term in more than half of the
+    """Term table and statistics of counted documents. A negative idf (a term in more than half of the
     documents) becomes ``epsilon`` times the mean idf over all terms. Frequent terms are safe: df is a count with
     a map-side combine."""
     # scalar subqueries: single aggregate rows, computed once and used as literals
     size = docs.agg(F.struct(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).alias("size")).scalar()
-    counts = docs.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).filter(
-        "term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    counts = docs.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = counts.withColumn("raw_idf", F.log(size["n_docs"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = raw.agg(F.avg("raw_idf")).scalar()
     idf = F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("raw_idf"))
@@ -49,7 +84,7 @@ def index_tables(docs: DataFrame, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
 
 
 def bm25_index(df: DataFrame, doc_id: str, text: str, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
-    """Index tables as a lazy plan. Every use reads the text again; see ``stored_index`` for repeated searches."""
+    """Index tables as a lazy plan. Every use reads the text again; searches use ``stored_index``."""
     return index_tables(tokenised(df, doc_id, text), epsilon)
 
 
@@ -63,50 +98,124 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: float = K.BM25_K1, b:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def bm25_topk(queries: DataFrame, index: Bm25Index, k: int, *, query_id: str = "query_id", text: str = "query",
-              k1: float = K.BM25_K1, b: float = K.BM25_B, digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score, rank): the best ``k`` documents per query; zero scores are left out.
-
-    1. Idf table and corpus tokens are cut to the query terms (semi-join) before anything is shuffled. The term
-       set is broadcast only where the query table is small; a larger one joins by shuffle.
-    2. The surviving tokens are partitioned by document once. Term counts, document scores and the per-task
-       top-k prune all reuse that partitioning; documents are unique keys, so no partition gets hot, however
-       frequent a term is.
-    3. Only ``k`` rows per query and task travel to the final ranking.
+def in_blocks(sorted_postings: DataFrame) -> DataFrame:
+    """Consecutive postings of a term as rows of at most ``BLOCK_POSTINGS``. Streams; no shuffle."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for frame in frames:
+            if not frame.num_rows:
+                continue
+            term, ids, weights = (frame.column(name) for name in ("term", "doc_id", "weight"))
+            coded = term.dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.diff(coded, prepend=-1))
+            place = np.arange(len(coded))
+            place = place - np.repeat(new, np.diff(new, append=len(coded)))
+            starts = np.flatnonzero(place % BLOCK_POSTINGS == 0)
+            offsets = pa.array(np.append(starts, len(coded)).astype(np.int32))
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays(
+                [term.take(at), pa.array(number + np.arange(len(starts))), weights.take(at),
+                 pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, weights)],
+                ["term", "block", "top", "doc_ids", "weights"])
+            number += len(starts)
+
+    id_type = sorted_postings.schema["doc_id"].dataType.simpleString()
+    return sorted_postings.select("term", "doc_id", "weight").mapInArrow(
+        run, f"term string, block bigint, top double, doc_ids array<{id_type}>, weights array<double>")
+
+
+def stored_index(df: DataFrame, doc_id: str, text: str, path: str, epsilon: float = K.BM25_EPSILON,
+                 k1: float = K.BM25_K1, b: float = K.BM25_B) -> BlockIndex:
+    """Build and persist the block index, then hand out the stored tables: the text is read and counted once.
+
+    One range shuffle orders the postings by (term, weight, document), which deals a hot term out over many tasks;
+    files are sorted by term, so a lookup of few terms skips most row groups.
     """
-    terms = query_terms(queries, query_id, text)
-    known = broadcast_if_small(terms.select("term").distinct(), basis=queries)
-    idf = index.terms.select("term", "idf").join(known, "term", "left_semi")
-    weighted = broadcast_if_small(terms.join(idf, "term"), basis=queries)
-    avgdl = index.stats.select("avgdl").scalar()
-    tokens = index.docs.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).join(known, "term", "left_semi")
-    tf = tokens.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weight = bm25_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
-    scores = tf.join(weighted, "term").groupBy("doc_id", "query_id").agg(
-        F.round(F.sum(F.col("qtf") * F.col("idf") * weight), digits).alias("score"))
-    ranked = top_n(scores.filter("score <> 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return ranked.select("query_id", "doc_id", "score", "rank")
+    spark = df.sparkSession
+    tokenised(df, doc_id, text).write.mode("overwrite").parquet(f"{path}/docs")
+    index = index_tables(spark.read.parquet(f"{path}/docs"), epsilon)
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    avgdl = spark.read.parquet(f"{path}/stats").select("avgdl").scalar()
+    found = index.docs.select("doc_id", "dl", F.explode("terms").alias("t")).select(
+        "t.term", "doc_id", bm25_weight(F.col("t.tf"), F.col("dl"), avgdl, k1, b).alias("weight"))
+    order = ("term", F.desc("weight"), "doc_id")
+    in_blocks(found.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode("overwrite").parquet(f"{path}/blocks")
+    tops = spark.read.parquet(f"{path}/blocks").groupBy("term").agg(
+        F.max("top").alias("top"), F.max_by("block", F.struct("top", -F.col("block"))).alias("head"))
+    index.terms.join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
+    return read_index(spark, path)
 
 
-def post_filter(hits: DataFrame, allowed: DataFrame, k: int, *, query_id: str = "query_id",
-                doc_id: str = "doc_id") -> DataFrame:
-    """Keep hits whose (query, document) is allowed and rank again up to ``k``."""
-    kept = hits.drop("rank").join(allowed.select(query_id, doc_id), [query_id, doc_id], "left_semi")
-    return top_n(kept, [query_id], [F.desc("score"), F.asc(doc_id)], k)
+def read_index(spark: SparkSession, path: str) -> BlockIndex:
+    return BlockIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("terms", "blocks", "stats")))
 
 
-def stored_index(df: DataFrame, doc_id: str, text: str, path: str, epsilon: float = K.BM25_EPSILON) -> Bm25Index:
-    """Build and persist the index, then hand out the stored tables: the text is tokenised once.
+def bm25_topk(queries: DataFrame, index: BlockIndex, k: int, *, query_id: str = "query_id", text: str = "query",
+              digits: int | None = 6) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` documents per query; zero scores are left out.
+
+    1. The first block of every term of a query gives some documents a part of their score. The k-th best part is a
+       score that the k-th document reaches at least (``least``).
+    2. The terms whose largest shares together stay below ``least`` can't lift a document that has no other term
+       into the result (``dear`` false): frequent terms, as a rule. Only the blocks of the others are listed, and
+       of these only those that ``least`` can be reached from. What their documents could gain from the rest bounds
+       their scores again, and drops most of them.
+    3. The documents that are left look up their weights for the remaining terms by (term, document).
 
-    Terms are sorted inside each file, so a lookup of few terms skips most row groups.
+    Nothing is lost by these bounds, whatever the data; the corpus is not read. Ranks follow the full score (a sum
+    of decimals); ``digits`` rounds the output.
     """
-    spark = df.sparkSession
-    tokenised(df, doc_id, text).write.mode("overwrite").parquet(f"{path}/docs")
-    index = index_tables(spark.read.parquet(f"{path}/docs"), epsilon)
-    index.terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    return read_index(spark, path)
+    terms = query_terms(queries, query_id, text).join(index.terms.select("term", "idf", "top", "head"), "term")
+    weighted = terms.select("query_id", "term", "head", (F.col("qtf") * F.col("idf")).alias("w"), "top").filter("w <> 0")
+    weighted = written(weighted.withColumn("most", F.greatest(F.col("w") * F.col("top"), F.lit(0.0)))
+                       .withColumn("worst", F.least(F.col("w") * F.col("top"), F.lit(0.0))), "query-terms")
+    share = F.col("w") * F.col("p.weights")
+
+    def listed(of_terms: DataFrame, blocks: DataFrame, on) -> DataFrame:
+        """(query_id, term, doc_id, share) of the postings in the blocks that ``on`` joins."""
+        met = broadcast_if_small(of_terms, of_terms).join(blocks, on)
+        rows = met.select("query_id", "term", "w", F.explode(F.arrays_zip("doc_ids", "weights")).alias("p"))
+        return rows.select("query_id", "term", F.col("p.doc_ids").alias("doc_id"), share.alias("share"))
+
+    # negative weights (a corpus whose mean idf is negative) count in full against the parts
+    heads = listed(weighted.filter("w > 0").withColumnRenamed("head", "block").drop("top"),
+                   index.blocks.drop("top"), ["term", "block"])
+    parts = top_n(heads.groupBy("query_id", "doc_id").agg(F.sum("share").alias("part")), ["query_id"],
+                  [F.desc("part"), F.asc("doc_id")], k)
+    least = parts.filter(F.col("rank") == k).select("query_id", "part")
+    by_query = Window.partitionBy("query_id")
+    upto = by_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = weighted.join(least, "query_id", "left").select(
+        "query_id", "term", "w", "most", F.sum("most").over(upto).alias("upto"), F.sum("most").over(by_query).alias("all"),
+        (F.col("part") + F.sum("worst").over(by_query)).alias("least"))
+    plan = plan.withColumn("least", F.col("least") - F.abs("least") * 1e-9 - 1e-12)  # allows for rounding
+    dear = F.col("least").isNull() | (F.col("upto") >= F.col("least"))
+    plan = plan.withColumn("dear", dear)
+    plan = written(plan.withColumn("cheap", F.sum(F.when(~F.col("dear"), F.col("most")).otherwise(0.0)).over(by_query)), "query-plan")
+
+    reach = F.col("least").isNull() | (F.col("all") - F.col("most") + F.col("w") * F.col("top") >= F.col("least")) | (F.col("w") < 0)
+    chosen = broadcast_if_small(plan.filter("dear"), plan).join(index.blocks, "term").filter(reach)
+    rows = chosen.select("query_id", "w", "least", "cheap", F.explode(F.arrays_zip("doc_ids", "weights")).alias("p"))
+    sums = rows.groupBy("query_id", F.col("p.doc_ids").alias("doc_id")).agg(
+        F.sum(share.cast(SCORE)).alias("score"), F.first("least").alias("least"), F.first("cheap").alias("cheap"))
+    open_docs = written(sums.filter(F.col("least").isNull() | (F.col("score") + F.col("cheap") >= F.col("least")))
+                        .select("query_id", "doc_id", "score"), "candidates")
+
+    asked = plan.filter(~F.col("dear"))
+    wanted = open_docs.select("query_id", "doc_id").join(broadcast_if_small(asked.select("query_id", "term", "w"), asked), "query_id")
+    known = asked.select("term").distinct()
+    held = index.blocks.join(broadcast_if_small(known, asked), "term", "left_semi").select(
+        "term", F.explode(F.arrays_zip("doc_ids", "weights")).alias("p")).select("term", F.col("p.doc_ids").alias("doc_id"), "p.weights")
+    rest = wanted.join(held, ["term", "doc_id"]).select(
+        "query_id", "doc_id", (F.col("w") * F.col("weights")).cast(SCORE).alias("score"))
+    total = open_docs.withColumn("score", F.col("score").cast(SCORE)).unionByName(rest).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    ranked = top_n(total.filter("score <> 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    score = F.col("score").cast("double")
+    return ranked.select("query_id", "doc_id", (score if digits is None else F.round(score, digits)).alias("score"), "rank")
 
 
-def read_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "stats")))
+def post_filter(hits: DataFrame, allowed: DataFrame, k: int, *, query_id: str = "query_id",
+                doc_id: str = "doc_id") -> DataFrame:
+    """Keep hits whose (query, document) is allowed and rank again up to ``k``, in the order of their ranks."""
+    kept = hits.join(allowed.select(query_id, doc_id), [query_id, doc_id], "left_semi").withColumnRenamed("rank", "_was")
+    return top_n(kept, [query_id], [F.asc("_was")], k).drop("_was")

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..operators.dense import knn, layout
+from ..operators.dense import facet_bits, knn
 from ..operators.details import late_enrich
 from ..operators.eligibility import (accepted_facets, detect_intents, enrich_query, is_eligible, visible_items,
                                      with_facet, with_signature)
 from ..operators.fusion import blended_scorer, cap, rerank, rrf, threshold_topk
-from ..operators.lexical import Bm25Index, bm25_topk
+from ..operators.lexical import BlockIndex, bm25_topk, post_filter
 from ..operators.profiles import SEARCH_DEFAULTS
-from ..operators.ranking import broadcast_if_small, top_n
+from ..operators.ranking import broadcast_if_small
 from ..session import written
 
 
@@ -26,15 +26,29 @@ def prepare_requests(requests: DataFrame, profiles: DataFrame, *, session: str =
     return enrich_query(detect_intents(joined.withColumns(filled).drop("_known")))
 
 
-def request_facets(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Requests with the array of item facets they accept. The array holds distinct attribute combinations
-    (level x nationality x funding), not items."""
-    accepted = accepted_facets(requests, items).groupBy("signature").agg(
-        F.array_sort(F.collect_set("facet")).alias("facets"))
-    return with_signature(requests).join(accepted, "signature")
+def numbered_facets(items: DataFrame) -> DataFrame:
+    """(facet, number) of the distinct combinations of attributes that visible items have; stored, so numbers hold."""
+    return written(with_facet(visible_items(items)).select("facet").distinct().select(
+        "facet", F.monotonically_increasing_id().alias("number")), "facets")
 
 
-def match(requests: DataFrame, items: DataFrame, chunks: DataFrame, index: Bm25Index, *, top_k: int = K.TOP_K,
+def request_facets(requests: DataFrame, items: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Requests with the bitmaps of the facets they accept: one bit per distinct combination of attributes."""
+    accepted = accepted_facets(requests, items).join(broadcast_if_small(numbers), "facet")
+    return with_signature(requests).join(facet_bits(accepted, "signature", "number"), "signature")
+
+
+def eligible_hits(hits: DataFrame, requests: DataFrame, items: DataFrame) -> DataFrame:
+    """The hits (query_id, item_id, …) whose item passes the filter of their request: a predicate on these rows."""
+    attributes = items.select("item_id", F.col("academic_level").alias("item_level"), "eligible_nationality",
+                              "funding_category", "scholarship_status")
+    asked = requests.select("query_id", "nationality", F.col("academic_level").alias("profile_level"),
+                            "bypass_filters", "target_funding")
+    known = broadcast_if_small(hits, requests).join(attributes, "item_id").join(asked, "query_id")
+    return known.filter(is_eligible("nationality", "profile_level", "bypass_filters", "target_funding")).select(*hits.columns)
+
+
+def match(requests: DataFrame, items: DataFrame, chunks: DataFrame, index: BlockIndex, *, top_k: int = K.TOP_K,
           fetch_k: int = K.FETCH_K, threshold: float = K.MIN_SCORE, overfetch: int = K.OVERFETCH,
           scorer: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, item_id, rerank_score, text, …) for every request with an answer.
@@ -53,20 +67,16 @@ def match(requests: DataFrame, items: DataFrame, chunks: DataFrame, index: Bm25I
         "eligible_nationality", "funding_category", "funding_amount", "standardized_deadline",
         "scholarship_status", "application_link")
 
-    faceted = chunks.join(with_facet(visible_items(items)).select("item_id", "facet"), "item_id")
-    slices, blocks = layout(requests, chunks)
-    dense = knn(request_facets(requests, items), faceted, fetch_k, vec_id="doc_id", facet="facet",
-                query_facets="facets", slices=slices, blocks=blocks).withColumnRenamed("vec_id", "doc_id")
+    numbers = numbered_facets(items)
+    of_item = with_facet(visible_items(items)).select("item_id", "facet").join(broadcast_if_small(numbers), "facet")
+    faceted = chunks.filter("embedding IS NOT NULL").select("doc_id", "item_id", "embedding").join(of_item, "item_id")
+    dense = knn(request_facets(requests, items, numbers), faceted, fetch_k, vec_id="doc_id", facet="number",
+                query_facets="facets", digits=None).withColumnRenamed("vec_id", "doc_id")
 
     wide = bm25_topk(requests, index, fetch_k * overfetch, text="search_query")
-    asked = requests.select("query_id", "nationality", F.col("academic_level").alias("profile_level"),
-                            "bypass_filters", "target_funding")
     # hits grow with the requests alone, so a small request table lets them meet the big tables unshuffled
     known = broadcast_if_small(wide, requests).join(chunks.select("doc_id", "item_id"), "doc_id")
-    known = broadcast_if_small(known, requests).join(attributes, "item_id").join(asked, "query_id")
-    fit = known.filter(is_eligible("nationality", "profile_level", "bypass_filters", "target_funding"))
-    sparse = top_n(fit.select("query_id", "doc_id", "score"), ["query_id"],
-                   [F.desc("score"), F.asc("doc_id")], fetch_k)
+    sparse = post_filter(wide, eligible_hits(known, requests, items), fetch_k).select("query_id", "doc_id", "score", "rank")
 
     fused = cap(rrf(dense, sparse, dense_score="cosine"), fetch_k)
     pairs = broadcast_if_small(fused.select("query_id", "doc_id", "cosine"), requests).join(

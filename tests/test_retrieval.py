@@ -21,48 +21,100 @@ def corpus():
 
 
 def brute_bm25(docs, query, k):
-    tokens = {i: t.split() for i, t in docs}
-    n, avg = len(docs), sum(map(len, tokens.values())) / len(docs)
+    tokens = {i: (t or "").split() for i, t in docs}
+    n, avg = len(docs), sum(map(len, tokens.values())) / sum(t is not None for _, t in docs)
     df = Counter(w for ws in tokens.values() for w in set(ws))
     idf = {w: math.log(n - c + .5) - math.log(c + .5) for w, c in df.items()}
     mean = sum(idf.values()) / len(idf)
     idf = {w: (.25 * mean if v < 0 else v) for w, v in idf.items()}
-    score = {i: sum(idf.get(w, 0) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (.25 + .75 * len(ws) / avg)) for w in query.split())
+    score = {i: round(sum(idf.get(w, 0) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (.25 + .75 * len(ws) / avg)) for w in query.split()), 12)
              for i, ws in tokens.items()}
-    return [(i, round(s, 6)) for i, s in sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0])) if round(s, 6) != 0][:k]
+    return [(i, pytest.approx(s, abs=1e-6)) for i, s in sorted(score.items(), key=lambda x: (-x[1], x[0])) if s != 0][:k]
 
 
-def test_bm25_is_the_same_with_and_without_a_broadcast(spark, corpus, tmp_path, monkeypatch):
-    docs, queries = corpus
+def searched(spark, docs, queries, k, path):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     q = spark.createDataFrame(queries, "query_id long, query string")
+    B.stored_index(d, "doc_id", "text", path)
+    rows = B.bm25_topk(q, B.read_index(spark, path), k).orderBy("query_id", "rank").collect()
+    return {i: [(r.doc_id, r.score) for r in rows if r.query_id == i] for i, _ in queries}
 
-    def got(index):
-        rows = B.bm25_topk(q, index, 7).orderBy("query_id", "rank").collect()
-        return {i: [(r.doc_id, r.score) for r in rows if r.query_id == i] for i, _ in queries}
 
-    want = {i: brute_bm25(docs, text, 7) for i, text in queries}
-    assert got(B.bm25_index(d, "doc_id", "text")) == want
-    assert got(B.stored_index(d, "doc_id", "text", str(tmp_path / "ix"))) == want
+@pytest.mark.parametrize("block, k", [(2, 3), (5, 7), (128, 100)])
+def test_bm25_of_blocks_equals_brute_force(spark, corpus, tmp_path, monkeypatch, block, k):
+    docs, queries = corpus
+    queries = queries + [(3, " ".join(f"w{i}" for i in range(30))), (4, "w29 w28 w0 w1 w2 w29"), (5, "")]
+    docs = docs + [(100, None), (101, ""), (102, docs[5][1]), (103, docs[5][1])]
+    want = {i: brute_bm25(docs, text, k) for i, text in queries}
+    monkeypatch.setattr(B, "BLOCK_POSTINGS", block)
+    assert searched(spark, docs, queries, k, str(tmp_path / "a")) == want
     monkeypatch.setattr(ranking, "small_enough", lambda *a, **k: False)
-    assert got(B.bm25_index(d, "doc_id", "text")) == want
+    assert searched(spark, docs, queries, k, str(tmp_path / "b")) == want
+
+
+def test_bm25_with_a_negative_mean_idf(spark, tmp_path):
+    docs = [(1, "a b"), (2, "a b"), (3, "a b c"), (4, "a a b")]
+    queries = [(0, "a c"), (1, "a b")]
+    assert searched(spark, docs, queries, 2, str(tmp_path / "ix")) == {i: brute_bm25(docs, t, 2) for i, t in queries}
+
+
+def test_small_scores_are_ranked_in_full(spark, tmp_path):
+    docs = [(i, "common " + "x " * (i % 7) + f"own{i}") for i in range(40)]
+    want = brute_bm25(docs, "own3 common", 20)
+    assert searched(spark, docs, [(0, "own3 common")], 20, str(tmp_path / "ix"))[0] == want
+
+
+def test_bm25_reads_few_postings_of_frequent_terms(spark, tmp_path, monkeypatch):
+    """Every document holds the frequent term; a search for it and rare ones lists and looks up few of its postings."""
+    rng = random.Random(1)
+    docs = [(i, " ".join(["often"] * rng.randint(1, 9) + [f"r{i % 100}"] * rng.randint(1, 5) + ["z"] * rng.randint(0, 30))) for i in range(4000)]
+    docs += [(9000 + i, f"other words stand here {i}") for i in range(4500)]  # so that the frequent term has a positive idf
+    seen = []
+    real = B.written
+
+    def counted(df, label):
+        out = real(df, label)
+        seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(B, "written", counted)
+    assert searched(spark, docs, [(0, "often r7 r8")], 10, str(tmp_path / "ix"))[0] == brute_bm25(docs, "often r7 r8", 10)
+    candidates = dict(seen)["candidates"]
+    assert candidates <= 80  # the documents with a rare term, not the 4,000 of the frequent one
+    blocks = B.read_index(spark, str(tmp_path / "ix")).blocks
+    assert blocks.filter("term = 'often'").count() >= 4000 / B.BLOCK_POSTINGS and blocks.selectExpr("max(size(doc_ids)) AS n").first().n <= B.BLOCK_POSTINGS
+    tops = [r.top for r in blocks.filter("term = 'often'").orderBy("block").collect()]
+    assert tops == sorted(tops, reverse=True)
+
+
+def test_index_lookups_push_the_terms_down(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    index = B.stored_index(d, "doc_id", "text", str(tmp_path / "ix"))
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,b)]" in index.blocks.filter("term = 'b'")._jdf.queryExecution().toString()
+    searching = B.bm25_topk(spark.createDataFrame([(1, "b")], "query_id long, query string"), index, 3)._jdf.queryExecution().toString()
+    assert "/docs" not in searching  # no scan of the corpus
 
 
-@pytest.mark.parametrize("slices, blocks", [(1, 1), (5, 3)])
-def test_knn_equals_brute_force(spark, slices, blocks):
+@pytest.mark.parametrize("cell_rows, part", [(4096, 4096), (7, 5), (20, 3)])
+def test_knn_equals_brute_force(spark, monkeypatch, cell_rows, part):
     rng = np.random.default_rng(1)
-    vecs = rng.normal(size=(80, 6))
+    vecs = np.concatenate([rng.normal(size=(40, 6)), rng.normal(size=(60, 6)) * 0.05 + rng.normal(size=(4, 6)).repeat(15, 0)])
     vecs[7] = 0
-    vecs[11] = vecs[10]
-    v = spark.createDataFrame([(i, [float(x) for x in row], str(i % 4)) for i, row in enumerate(vecs)], "vec_id long, embedding array<float>, label string")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.array("label", F.lit("2")).alias("labels"))
+    vecs[11] = vecs[10] = vecs[60]
+    n = len(vecs)
+    odd = [(900, None, 0), (901, [float("nan")] * 6, 0), (902, [None] + [1.0] * 5, 0)]
+    v = spark.createDataFrame([(i, [float(x) for x in row], i % 4) for i, row in enumerate(vecs)] + odd, "vec_id long, embedding array<float>, label int")
+    asked = v.filter("vec_id < 20 OR vec_id >= 900").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    wanted = asked.select("query_id", F.explode(F.array("label", F.lit(2))).alias("no"))
+    q = asked.join(V.facet_bits(wanted, "query_id", "no"), "query_id")
     vecs = vecs.astype(np.float32).astype(np.float64)
     with np.errstate(invalid="ignore"):
         unit = vecs / np.sqrt((vecs ** 2).sum(axis=1, keepdims=True))
+    monkeypatch.setattr(V, "PART_ROWS", part)
 
     def want(qid, ok):
-        s = np.round(unit @ unit[qid], 6)
-        return [(i, float(s[i])) for i in sorted((i for i in range(80) if ok(i) and not np.isnan(s[i])), key=lambda i: (-s[i], i))[:5]]
+        s = np.round(unit @ unit[qid], 12)
+        return [(i, pytest.approx(s[i], abs=1e-6)) for i in sorted((i for i in range(n) if ok(i) and not np.isnan(s[i])), key=lambda i: (-s[i], i))[:5]]
 
     def rows(df):
         out = {i: [] for i in range(20)}
@@ -70,10 +122,53 @@ def test_knn_equals_brute_force(spark, slices, blocks):
             out[r.query_id].append((r.vec_id, r.score))
         return out
 
-    plain = rows(V.knn(q, v, 5, slices=slices, blocks=blocks))
+    plain = rows(V.knn(q, v, 5, cell_rows=cell_rows))
     assert plain == {i: want(i, lambda j: True) for i in range(20)} and plain[7] == []
-    faceted = rows(V.knn(q, v, 5, facet="label", query_facets="labels", slices=slices, blocks=blocks))
+    faceted = rows(V.knn(q, v, 5, facet="label", query_facets="facets", cell_rows=cell_rows))
     assert faceted == {i: want(i, lambda j, i=i: j % 4 in (i % 4, 2)) for i in range(20)}
+    assert V.knn(q, v.limit(0), 5).count() == 0
+
+
+def test_knn_ranks_differences_far_below_the_printed_digits(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0003]), (2, [1.0, 0.0002]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query_vec array<double>")
+    assert [r.vec_id for r in V.knn(q, v, 3).orderBy("rank").collect()] == [3, 2, 1]
+    pairs = v.select(F.lit(0).cast("long").alias("query_id"), "vec_id")
+    assert [r.vec_id for r in V.knn_among(pairs, q, v, 3).orderBy("rank").collect()] == [3, 2, 1]
+
+
+def test_cells_rule_out_what_is_far(spark, monkeypatch):
+    """Tight clusters: a query meets its own cell only, so the parts that are read do not grow with the vectors."""
+    rng = np.random.default_rng(2)
+    middle = np.eye(8)
+    rows = [(i, (middle[i % 8] + rng.normal(size=8) * 0.01).tolist()) for i in range(800)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    met = []
+    real = V.scored
+
+    def counted(blocks, *args):
+        met.append(blocks.select(F.explode("queries")).count())
+        return real(blocks, *args)
+
+    monkeypatch.setattr(V, "scored", counted)
+    monkeypatch.setattr(V, "PART_ROWS", 10_000)
+    out = V.knn(q, v, 5, cell_rows=50)
+    assert out.count() == 80 and met[0] == 16
+    assert met[1] < 16 * 15 / 2  # of fifteen other cells, those of the same cluster
+
+
+def test_contained_names(spark):
+    rng = random.Random(4)
+    places = ["Nigeria, Niger", "International / All", "", None, "Ünited", "NATION_1, NATION_12", "aaa", "x" * 50] + [
+        "".join(rng.choices("abn", k=rng.randint(1, 9))) for _ in range(60)]
+    names = ["Niger", "nigeria", "", None, "N", "al", "nation_1", "NATION_3", "ünited", "aaaa", "zzz", "%", "_"] + [
+        "".join(rng.choices("abN", k=rng.randint(1, 5))) for _ in range(60)]
+    got = E.contained_names(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in places], "place string"))
+    want = {(x, y) for x in names for y in places if x is not None and y is not None and x.lower() in y.lower()}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
 def hits(spark, rows):
@@ -128,6 +223,8 @@ def test_eligibility_quirks(spark):
     assert got == {"a": {2, 5}, "b": {3}, "c": {2, 6}, "d": {2, 5}}
     counts = {r.session_id: (r.n_eligible, r.first_item) for r in E.eligible_counts(asks, items).collect()}
     assert counts == {k: (len(v), min(v)) for k, v in got.items()}
+    sizes = E.leak_counts(asks, items).first()
+    assert (sizes.n_pairs, sizes.n_leaks) == (sum(map(len, got.values())), 0)
 
 
 def test_intents(one):
@@ -225,13 +322,13 @@ def test_top_n_prunes_before_the_shuffle(spark):
     assert plan.index("Exchange") < plan.index("Partial") and "WindowGroupLimit" in plan
 
 
-def test_bm25_plan_shuffles_tokens_once(spark, corpus, tmp_path):
+def test_bm25_plan_of_few_queries_stays_in_the_jvm(spark, corpus, tmp_path):
     docs, queries = corpus
     index = B.stored_index(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", str(tmp_path / "ix"))
     path = str(tmp_path / "q")
     spark.createDataFrame(queries, "query_id long, query string").write.parquet(path)
     plan = B.bm25_topk(spark.read.parquet(path), index, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(doc_id") == 1 and "SortMergeJoin" not in plan and "Python" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
 def test_a_request_without_profile_searches_with_the_default_one(spark):
