@@ -1,11 +1,10 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The labelled rows that may be learnt from are dealt into three folds by a hash of their id. The first teaches a
-lexicon (words and word beginnings that toxic texts use far more often than others), the second the trees over the
-features, the third the calibration. So no fold judges by what it taught. Lexicon and models have a documented bound
-on the rows they are fitted on (``FIT_ROWS``), drawn from both labels apart, toxic rows first, and weighted back to their
-shares; every document is scored on its whole text. Where a fold lacks rows of a label, folds are crossed instead: each
-is described by the lexicon and judged by the trees of the others, and all of them teach the final ones.
+The labelled rows that may be learnt from are dealt into three folds by a hash of their id. Each fold is described by a
+lexicon (words and word beginnings that toxic texts hold far more often than chance allows) that the other two taught,
+and judged by trees that they taught, so the isotonic calibration sees no row judged by what it taught. The final
+lexicon and trees come from all folds. All have a documented bound on the rows they are fitted on (``FIT_ROWS``), drawn
+from both labels apart, toxic rows first, and weighted back to their shares; every document is scored on its whole text.
 
 Features: densities of lexicon words and beginnings in the text and how many there are, lexicon words near the
 second person, shares of capitals, exclamation and other punctuation, obfuscated words (letters mixed with digits or
@@ -33,15 +32,21 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import OWN, stored, texts, whole
+from .tokens import batches
 
 #: Bound on the labelled rows that lexicon, trees and calibration are fitted on, all together.
 FIT_ROWS = 24_000
 #: Bound on the entries of the lexicon.
 LEXICON_ENTRIES = 2_000
 REJECT = 0.7
-#: Less than so many rows of one label in a fold, and the folds are crossed.
-LEAST_LABELS = 5
 CROSSED_FOLDS = 3
+#: What a Python worker keeps at once: tokens it has read (some 200 bytes each), and characters of texts.
+MEMO_TOKENS, BATCH_CHARS = 60_000, 1_000_000
+#: A key enters the lexicon if chance would put it among toxic texts as often with at most this probability (Chernoff).
+#: Of a million keys that say nothing one in twenty fits lets one in.
+CHANCE = 5e-8
+
+LEAST_TEXTS = 2
 
 BEGINNINGS = (4, 5, 6)
 # Second person in English, German, French and Spanish.
@@ -71,10 +76,12 @@ def keys_of(word: str) -> list[str]:
     return ["=" + word] + [f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n]
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES, support: int = 3) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
     """Log odds of the keys that toxic texts hold far more often; ``sample`` has ``text`` and ``toxic``.
 
-    Texts are counted per task first, so only distinct keys are shuffled. At most ``entries`` rows come back.
+    How many texts must hold a key follows from the sample: a key that few texts hold enters if none of them, or
+    hardly one, is clean. Where the sample is too small for any key, keys of ``LEAST_TEXTS`` toxic texts and no clean
+    one enter. Texts are counted per task first, so only distinct keys are shuffled. At most ``entries`` rows come back.
     """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -93,43 +100,62 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES, support: in
 
     totals = sample.groupBy().agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
-    least = max(support, math.ceil(0.015 * n_toxic))
+    if not n_toxic or not n_clean:
+        return {}
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     counted = sample.select("text", "toxic").mapInPandas(count, "key string, clean long, toxic long")
-    rows = (counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter(F.col("toxic") >= least).select("key", odds.alias("odds")).filter(F.col("odds") >= math.log(8))
-            .orderBy(F.desc("odds"), "key").limit(entries).collect())
-    return {r["key"]: r["odds"] for r in rows}
+    # the divergence of a key's share of toxic texts from that of all texts, times the texts that hold it
+    held, base = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
+    share = F.col("toxic") / held
+    apart = share * F.log(share / base) + F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    sums = (counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= math.log(8)))
+    sums = stored(sums.select("key", "odds", "clean", (held * apart).alias("evidence")), "lexicon")
+
+    def best(of: DataFrame) -> dict[str, float]:
+        return {r["key"]: r["odds"] for r in of.orderBy(F.desc("evidence"), "key").limit(entries).collect()}
+
+    return best(sums.filter(F.col("evidence") >= -math.log(CHANCE))) or best(sums.filter("clean = 0"))
 
 
-class Reader:
-    """Features of texts. What a token says is worked out once and kept, within a bound."""
+class Reader(dict):
+    """Features of texts. What a token says is worked out once and kept as a row of numbers, within ``MEMO_TOKENS``."""
 
     def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
         self.lexicon = lexicon
-        self.kept: dict[str, int] = {}
-        self.rows: list[tuple] = []
-
-    def token(self, token: str) -> int:
-        number = self.kept.get(token)
-        if number is None:
-            bare, plain = readings(token)
-            word = max(self.lexicon.get("=" + r, 0.0) for r in (bare, plain))
-            begin = max(max((self.lexicon.get(f"{n}{r[:n]}", 0.0) for n in BEGINNINGS if len(r) > n), default=0.0) for r in (bare, plain))
-            letters = sum(map(len, LETTERS.findall(token)))
-            row = (word, begin, bare in SECOND_PERSON, len(bare) > 1 and bare.upper() in token and bare.isalpha(),
-                   token.count("!"), len(token) - letters, bare != plain, len(token))
-            self.kept[token] = number = len(self.rows)
-            self.rows.append(row)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.facts = np.zeros((1_024, 8), np.float32)
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        self.fresh.append(token)
         return number
 
+    def token(self, token: str) -> tuple:
+        bare, plain = readings(token)
+        word = max(self.lexicon.get("=" + r, 0.0) for r in (bare, plain))
+        begin = max(max((self.lexicon.get(f"{n}{r[:n]}", 0.0) for n in BEGINNINGS if len(r) > n), default=0.0) for r in (bare, plain))
+        letters = sum(map(len, LETTERS.findall(token)))
+        return (word, begin, bare in SECOND_PERSON, len(bare) > 1 and bare.upper() in token and bare.isalpha(),
+                token.count("!"), len(token) - letters, bare != plain, len(token))
+
     def features(self, texts: list[str]) -> list[list[float]]:
-        if len(self.kept) > 400_000:
-            self.kept.clear()
-            self.rows.clear()
-        numbers = [[self.token(t) for t in text.split()] for text in texts]
-        facts = np.array(self.rows, np.float64).reshape(-1, 8)
-        return [describe(facts[n]) if n else [0.0] * len(FEATURES) for n in numbers]
+        if len(self) > MEMO_TOKENS:
+            self.forget()
+        known = len(self)
+        words = [text.split() for text in texts]
+        numbers = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
+        if self.fresh:
+            if len(self) > len(self.facts):
+                self.facts = np.concatenate([self.facts[:known], np.zeros((2 * len(self) - known, 8), np.float32)])
+            self.facts[known:len(self)] = [self.token(t) for t in self.fresh]
+            self.fresh = []
+        return [describe(self.facts[n]) if len(n) else [0.0] * len(FEATURES) for n in numbers]
 
 
 def describe(facts: np.ndarray) -> list[float]:
@@ -157,8 +183,8 @@ def features(lexicon: dict[str, float]):
         for texts_ in series:
             whole_texts = texts_.tolist()
             out: list[list[float]] = []
-            for at in range(0, len(whole_texts), 500):
-                out += reader.features(whole_texts[at:at + 500])
+            for a, b in batches(whole_texts, BATCH_CHARS):
+                out += reader.features(whole_texts[a:b])
             yield pd.Series(out)
 
     return F.pandas_udf(run, "array<double>")
@@ -178,7 +204,7 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """A sample of at most about ``fit_rows`` labelled texts outside the held-out fold, with its ``part`` 0, 1 or 2.
+    """A sample of at most about ``fit_rows`` labelled texts outside the held-out fold.
 
     Toxic rows come first, up to half of the bound or what clean rows leave; ``weight`` gives each label its share back.
     """
@@ -189,9 +215,10 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     toxic = min(n_toxic, max(fit_rows // 2, fit_rows - n_clean))
     share = F.when(F.col("toxic") == 1, toxic / max(n_toxic, 1)).otherwise(min(1.0, (fit_rows - toxic) / max(n_clean, 1)))
     dealt = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1_000_000_000)) / F.lit(1e9)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5))  # two fifths, two fifths, one fifth
-    picked = usable.withColumn("share", share).filter(dealt < F.col("share")).select(
-        "doc_id", "toxic", (1 / F.col("share")).alias("weight"), F.when(part < 2, 0).when(part < 4, 1).otherwise(2).alias("part"))
+    picked = stored(usable.withColumn("share", share).filter(dealt < F.col("share")).select(
+        "doc_id", "toxic", (1 / F.col("share")).alias("weight")), "picked")
+    if picked.count() <= 2 * fit_rows:  # its size is that of the bound, but for chance: no text is shuffled
+        picked = F.broadcast(picked)
     return stored(texts(docs, "doc_id").join(picked, "doc_id"), "labelled")
 
 
@@ -213,33 +240,21 @@ def calibrated(raw: DataFrame) -> IsotonicRegressionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fit by crossed folds: every row teaches, and none is judged for the calibration by what it taught."""
     sample = labelled(docs, labels, fit_rows)
-    found = sample.groupBy("part", "toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
-    counts, total = {(r["part"], r["toxic"]): r["n"] for r in found}, sum(r["w"] for r in found)
-    base = sum(r["w"] for r in found if r["toxic"]) / total if total else 0.0
-    if any(counts.get((p, t), 0) < LEAST_LABELS for p in (0, 1, 2) for t in (0, 1)):
-        return fit_crossed(sample, base)
-    lexicon = learn_lexicon(sample.filter("part = 0"))
-    rows = stored(described(sample.filter("part > 0"), lexicon, "part"), "features").coalesce(4)
-    rows = rows.withColumn("features", array_to_vector("x")).cache()
-    trees = grown(rows.filter("part = 1"))
-    calibration = calibrated(judged_by(trees, rows.filter("part = 2")))
-    rows.unpersist()
-    return Model(lexicon, trees, calibration, base)
-
-
-def fit_crossed(sample: DataFrame, base: float) -> Model:
-    """Fit on few labels of a kind: every row teaches, and none is judged for the calibration by what it taught."""
-    ids = sample.select("doc_id", "toxic").distinct()
-    rarest = min((r["count"] for r in ids.groupBy("toxic").count().collect()), default=0)
+    found = {r["toxic"]: (r["n"], r["w"]) for r in sample.groupBy("toxic").agg(
+        F.countDistinct("doc_id").alias("n"), F.sum("weight").alias("w")).collect()}
+    total = sum(w for _, w in found.values())
+    base = found[1][1] / total if 1 in found else 0.0
+    rarest = min((n for n, _ in found.values()), default=0)
     folds = min(CROSSED_FOLDS, rarest)
-    if folds < 2 or ids.select("toxic").distinct().count() < 2:
+    if folds < 2 or len(found) < 2:
         return Model({}, None, None, base)
     # ids only, within the bound of the sample
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    dealt = ids.select("doc_id", F.pmod(F.row_number().over(order), F.lit(folds)).alias("fold"))
-    sample = stored(sample.join(dealt, "doc_id"), "folds")
-    parts = [described(sample.filter(F.col("fold") == k), learn_lexicon(sample.filter(F.col("fold") != k), support=2), "fold") for k in range(folds)]
+    dealt = sample.select("doc_id", "toxic").distinct().select("doc_id", F.pmod(F.row_number().over(order), F.lit(folds)).alias("fold"))
+    sample = stored(sample.join(F.broadcast(dealt), "doc_id"), "folds")
+    parts = [described(sample.filter(F.col("fold") == k), learn_lexicon(sample.filter(F.col("fold") != k)), "fold") for k in range(folds)]
     rows = stored(reduce(DataFrame.unionByName, parts), "features").coalesce(4)
     rows = rows.withColumn("features", array_to_vector("x")).cache()
     least = max(1, min(5, rarest // 4))
@@ -247,7 +262,7 @@ def fit_crossed(sample: DataFrame, base: float) -> Model:
     calibration = calibrated(stored(reduce(DataFrame.unionByName, raw), "raw"))
     trees = grown(rows, least)
     rows.unpersist()
-    return Model(learn_lexicon(sample, support=2), trees, calibration, base)
+    return Model(learn_lexicon(sample), trees, calibration, base)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
