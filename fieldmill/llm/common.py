@@ -33,6 +33,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*spent: DataFrame) -> None:
+    """Delete tables that ``stored`` has written, once no later step reads them."""
+    for df in spent:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once for a body that uses it many times, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,38 +6,45 @@ falls into one of the signature's registers, and a register keeps the shingle th
 the latest register can't matter, so a process ends there: a text of n shingles needs little more than n arrivals.
 Two registers agree with the probability Jaccard similarity of the two weighted sets.
 
-Candidates share a band of registers. In each band the members of a bucket are compared with one of them, the first in
+A text counts by its words: a node is a distinct word sequence, named by a digest, whichever rows hold it. Candidates
+share a band of registers. In each band the members of a bucket are compared with one of them, the first in
 one random order of all documents, which links large groups through few hubs and without listing their pairs. Where members of a bucket still lie in
 different components, all their pairs across components are estimated in blocks of a bounded size, and the likely ones
 are checked there until the components are joined, so no link that would join two components goes unseen. No list of
 pairs leaves a task. Links are checked exactly on the texts.
 
 Cases: null and empty texts (no word) are alone in their class. Equal word sequences are one class without a check.
-Repeated rows of one id count once. A null id never leaves its row: its class is null. Empty table: no rows. Other
-columns are ignored. A class is named by the least id in it.
+Repeated rows of one id count once; different texts under one id are nodes of their own, and the id gets the least of
+their classes. A null id never leaves its row: its class is null. Empty table: no rows. Other columns are ignored. A
+class is named by the least id in it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, stored, texts
+from .common import OWN, discard, stored, texts, whole
 from .components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-REGISTERS = 96
-BAND_ROWS = 4
-#: Estimates this far below the threshold are not checked: of 96 registers fewer than 58 agree. For a pair of exactly
-#: the threshold that has a chance of 3.0 in a million (binomial), no more than sharing none of the 24 bands (3.2).
-MARGIN = 0.2
+REGISTERS = 160
+BAND_ROWS = 5
+#: Estimates this far below the threshold are not checked: of 160 registers fewer than 103 agree. For a pair of exactly
+#: the threshold that has a chance of 1.4 in a million (binomial), less than sharing none of the 32 bands (3.0).
+MARGIN = 0.16
 BLOCK = 512
+#: Up to so many ids of wanted texts are broadcast; more meet the texts by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Words whose numbers a Python worker keeps.
+MEMO_WORDS = 100_000
 
 WORD = re.compile(r"\w+")
 SKETCH_SCHEMA = "doc_id long, digest binary, registers binary"
@@ -62,7 +69,7 @@ class WordNumbers(dict):
     """A stable 64-bit number per word; emptied when large, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > MEMO_WORDS:
             self.clear()
         self[word] = number = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return number
@@ -71,6 +78,10 @@ class WordNumbers(dict):
 _NUMBERS = WordNumbers()
 
 
+def digest_of(words: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def shingles(words: list[str], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (ascending) and how often each occurs."""
     if not words:
@@ -125,7 +136,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
 
 
 def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
-    """Per document with a word: the digest of its word sequence and its registers. No shuffle, whole texts."""
+    """Per row the digest of its word sequence and its registers (null without a word). No shuffle, whole texts."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             names, whole = frame["doc_id"].tolist(), frame["text"].tolist()
@@ -135,12 +146,12 @@ def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
                 while at < len(names) and size < 1_000_000:
                     words = words_of(whole[at])
                     size += len(whole[at])
-                    if words:
-                        ids.append(names[at])
-                        digests.append(hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                        bags.append(shingles(words))
+                    ids.append(names[at])
+                    digests.append(digest_of(words))
+                    bags.append(shingles(words) if words else None)
                     at += 1
-                yield pd.DataFrame({"doc_id": ids, "digest": digests, "registers": [x.tobytes() for x in signatures(bags, registers)]})
+                marks = iter(signatures([b for b in bags if b is not None], registers))
+                yield pd.DataFrame({"doc_id": ids, "digest": digests, "registers": [b if b is None else next(marks).tobytes() for b in bags]})
 
     return texts(docs.filter(F.col("doc_id").isNotNull()), "doc_id").mapInPandas(run, SKETCH_SCHEMA)
 
@@ -154,13 +165,28 @@ def estimate(a: str, b: str, registers: int = REGISTERS):
     return F.pandas_udf(equal, "double")(a, b)
 
 
-def check_pairs(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Pairs ``(a, b)`` whose texts reach the threshold exactly. Texts are fetched for these ids only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = stored(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), "candidate-texts")
-    by_id = texts(held, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sides = (pairs.join(by_id.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(by_id.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"))
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` of the wanted nodes, stored: each text is fetched once.
+
+    Texts are not shuffled as long as the wanted ids fit a broadcast of ``BROADCAST_IDS``.
+    """
+    named = stored(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node"), "wanted")
+    if named.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:  # of several texts under one id the one that is meant
+            fits = [digest_of(words_of(t)) == d for t, d in zip(frame["text"], frame["digest"])]
+            yield frame.loc[fits, ["node", "text"]]
+
+    found = texts(docs, "doc_id").join(named, "doc_id").select("node", "text", "digest").mapInPandas(own, "node long, text string")
+    return stored(found.groupBy("node").agg(F.min("text").alias("text")), "wanted-texts")
+
+
+def check_pairs(pairs: DataFrame, held: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes whose texts (``held``: node, text) reach the threshold exactly."""
+    sides = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+             .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -217,11 +243,11 @@ def likely_pairs(frame: pd.DataFrame, least: float, rows: int) -> Iterator[tuple
         yield int(k), other[good], share[good]
 
 
-def links_across(buckets: DataFrame, docs: DataFrame, threshold: float, least: float, rows: int) -> DataFrame:
+def links_across(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, least: float, rows: int) -> DataFrame:
     """Links between components within buckets that hold several: (bucket, band, node, label, registers) in.
 
     First the members with a likely partner in another component are found, then these meet again with their texts
-    and the likely pairs are checked, best estimate first. Pairs that are connected already are passed over, so a
+    (``fetch`` gives them by node) and the likely pairs are checked, best estimate first. Pairs that are connected already are passed over, so a
     task returns a forest at most, whatever the number of its pairs.
     """
     def find(frame: pd.DataFrame) -> pd.DataFrame:
@@ -257,49 +283,86 @@ def links_across(buckets: DataFrame, docs: DataFrame, threshold: float, least: f
 
     met = in_blocks(buckets).groupBy("bucket", "i", "j").applyInPandas(find, "bucket long, node long").distinct()
     flagged = stored(buckets.join(met, ["bucket", "node"]), "open-buckets")
-    wanted = flagged.select(F.col("node").alias("doc_id")).distinct()
-    held = texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    return in_blocks(flagged.join(held, "node")).groupBy("bucket", "i", "j").applyInPandas(check, "a long, b long")
+    return in_blocks(flagged.join(fetch(flagged), "node")).groupBy("bucket", "i", "j").applyInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: int = REGISTERS,
-                    rows: int = BAND_ROWS) -> DataFrame:
-    """``(doc_id, class_id)`` for every distinct id (and a null row where ids are null)."""
+@dataclass
+class Classes:
+    """``sketch(doc_id, digest, registers)`` of every row with an id, and ``of(digest, doc_id, label)``: a row per distinct
+    word sequence with its least id and the label of its class."""
+    sketch: DataFrame
+    of: DataFrame
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY, registers: int = REGISTERS, rows: int = BAND_ROWS) -> Classes:
     least = threshold - MARGIN
     sketch = stored(sketches(docs, registers), "sketches")
-    # exact copies of the word sequence: one representative each
-    copies = stored(sketch.groupBy("digest").agg(F.min(F.struct("doc_id", "registers")).alias("r"))
-                    .select("digest", F.col("r.doc_id").alias("node"), F.col("r.registers").alias("registers")), "representatives")
-    nodes = copies.select("node", "registers")
-
-    buckets = band_rows(nodes, registers, rows)
-    first = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"), F.count("*").alias("n"))
-    hubs = first.filter("n > 1").select("bucket", F.col("hub.node").alias("hub"))
+    # exact copies of the word sequence: one node
+    first = sketch.filter("registers IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "registers")).alias("r"))
+    nodes = stored(first.select(F.monotonically_increasing_id().alias("node"), "digest", "r.doc_id", "r.registers"), "nodes")
+    marks = nodes.select("node", "registers")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return texts_of(wanted, nodes, docs)
+
+    buckets = band_rows(marks, registers, rows)
+    hubs = (buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"), F.count("*").alias("n"))
+            .filter("n > 1").select("bucket", F.col("hub.node").alias("hub")))
     shared = stored(buckets.join(hubs, "bucket"), "buckets")
     pairs = (shared.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    marked = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
-              .join(nodes.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b"))
+    marked = (pairs.join(marks.select(F.col("node").alias("a"), F.col("registers").alias("ra")), "a")
+              .join(marks.select(F.col("node").alias("b"), F.col("registers").alias("rb")), "b"))
     likely = stored(marked.select("a", "b", estimate("ra", "rb", registers).alias("e")).filter(F.col("e") >= least).select("a", "b"), "likely")
-    links = stored(check_pairs(likely, docs, threshold), "links").select("a", "b")
+    held = fetch(likely.select(F.explode(F.array("a", "b")).alias("node")))
+    links = stored(check_pairs(likely, held, threshold), "links").select("a", "b")
+    discard(held, likely)
     labels = components(links)
 
     # buckets whose members still lie in several components
     placed = shared.select("bucket", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    open_rows = stored(placed.join(mixed, "bucket").join(nodes, "node"), "mixed-buckets")
-    found = stored(links_across(open_rows, docs, threshold, least, rows).distinct(), "links")
+    open_rows = stored(placed.join(mixed, "bucket").join(marks, "node"), "mixed-buckets")
+    found = stored(links_across(open_rows, fetch, threshold, least, rows).distinct(), "links")
+    discard(open_rows, shared)
     if not found.isEmpty():
+        discard(labels)
         labels = components(links.unionByName(found).distinct())
+    of = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    return Classes(sketch, of)
+
 
-    classes = copies.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    grouped = (sketch.select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias("digest")).join(classes, "digest"))
-    out = docs.select("doc_id").distinct().join(grouped.select("doc_id", "class_id"), "doc_id", "left")
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, registers: int = REGISTERS,
+                    rows: int = BAND_ROWS) -> DataFrame:
+    """``(doc_id, class_id)`` for every distinct id (and a null row where ids are null)."""
+    found = classes(docs, threshold, registers, rows)
+    named = found.of.join(found.of.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("digest", "class_id")
+    grouped = found.sketch.select("doc_id", "digest").distinct().join(named, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    out = docs.select("doc_id").distinct().join(grouped, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Keeps the document with the least id of every class; its repeated rows become one. Rows without an id stay."""
-    kept = near_duplicates(docs, threshold).filter("doc_id = class_id").select("doc_id")
-    own = docs.columns
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(own).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keeps one row of every class, that of its least id, and of each id without a word. Rows without an id stay.
+
+    Which of several texts under one id is meant is told by the digest of their words; it is worked out for such ids
+    only.
+    """
+    found = classes(docs, threshold)
+    chosen = found.of.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("c")).select("c.doc_id", "c.digest")
+    wordless = found.sketch.filter("registers IS NULL").select("doc_id", "digest").distinct()
+    kept = chosen.unionByName(wordless).groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
+    several = found.sketch.groupBy("doc_id").agg((F.countDistinct("digest") > 1).alias("several"))
+    id_c, several_c, digests_c, digest_c = (OWN + c for c in ("doc_id", "several", "digests", "digest"))
+    kept = kept.join(several, "doc_id").select(F.col("doc_id").alias(id_c), F.col("several").alias(several_c),
+                                               F.when(F.col("several"), F.col("digests")).alias(digests_c))
+    met = docs.join(kept, F.col("doc_id") == F.col(id_c)).withColumn(digest_c, digest_column(F.when(F.col(several_c), whole("text"))))
+    met = met.filter(~F.col(several_c) | F.array_contains(digests_c, F.col(digest_c)))
+    return met.dropDuplicates(["doc_id", digest_c]).select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def digest_column(text):
+    """The digest of a text column's words; null for null."""
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: None if t is None else digest_of(words_of(t)))
+
+    return F.pandas_udf(run, "binary")(text)

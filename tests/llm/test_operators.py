@@ -64,16 +64,21 @@ def test_near_duplicates(docs):
     assert probminhash.near_duplicates(docs([])).count() == 0
 
 
+def fetcher(docs_frame):
+    return lambda wanted: docs_frame.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node").distinct(), "node")
+
+
 def test_a_near_copy_of_low_estimate_is_checked(spark, docs):
-    # registers of one pair of near copies that agree in 60 of 96 places only, the first band among them
+    # registers of one pair of near copies that agree in 105 of 160 places only, the first band among them
     base = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(base), "s"), (2, " ".join([*base[:100], "other", *base[101:]]), "s")]
-    a = np.arange(96, dtype=np.uint16)
-    b = np.where(np.arange(96) < 60, a, a + 1000).astype(np.uint16)
+    n = probminhash.REGISTERS
+    a = np.arange(n, dtype=np.uint16)
+    b = np.where(np.arange(n) < 105, a, a + 1000).astype(np.uint16)
     nodes = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes()))], "node long, registers binary")
     open_rows = probminhash.band_rows(nodes).join(nodes, "node").withColumn("label", F.col("node"))
     least = probminhash.SIMILARITY - probminhash.MARGIN
-    found = probminhash.links_across(open_rows, docs(rows), 0.8, least, probminhash.BAND_ROWS).distinct().collect()
+    found = probminhash.links_across(open_rows, fetcher(docs(rows)), 0.8, least, probminhash.BAND_ROWS).distinct().collect()
     assert [(r["a"], r["b"]) for r in found] == [(1, 2)]
     assert probminhash.near_duplicates(docs(rows)).columns == ["doc_id", "class_id"]
 
@@ -84,7 +89,7 @@ def test_links_across_blocks_join_what_hubs_miss(spark, docs):
     table = docs(rows)
     nodes = probminhash.sketches(table).select(F.col("doc_id").alias("node"), "registers")
     open_rows = probminhash.band_rows(nodes).join(nodes, "node").withColumn("label", F.col("node"))
-    found = probminhash.links_across(open_rows, table, 0.8, 0.6, probminhash.BAND_ROWS).collect()
+    found = probminhash.links_across(open_rows, fetcher(table), 0.8, 0.64, probminhash.BAND_ROWS).collect()
     parent = {i: i for i in range(12)}
 
     def root(x):
@@ -95,6 +100,51 @@ def test_links_across_blocks_join_what_hubs_miss(spark, docs):
     assert len({root(i) for i in range(12)}) == 1 and len(found) < 66
 
 
+def brute_classes(rows):
+    """Least id per class of rows with an id, by all pairs of texts."""
+    bags = [(i, probminhash.shingles(probminhash.words_of(t or ""))) for i, t in rows if i is not None]
+    parent = list(range(len(bags)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (i, a) in enumerate(bags):
+        for y, (j, b) in enumerate(bags[:x]):
+            if len(a[0]) and len(b[0]) and probminhash.probability_jaccard(a, b) >= 0.8 - 1e-9:
+                parent[root(x)] = root(y)
+    least = {}
+    for x, (i, _) in enumerate(bags):
+        least[root(x)] = min(i, least.get(root(x), i))
+    return {i: min(least[root(x)] for x, (j, _) in enumerate(bags) if j == i) for i, _ in bags}
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = [(r["doc_id"], r["text"]) for r in source.collect()]
+    rng = np.random.default_rng(6)
+    near = []
+    for n, (i, text) in enumerate(rows[:60]):  # edits of every weight, so that similarities lie on both sides of the bound
+        words = (text or "").split()
+        for k in rng.integers(0, max(1, len(words)), 1 + n % 5):
+            words[k:k + 1] = ["edited"]
+        near.append((10_000 + i, " ".join(words)))
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near], source.schema)
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(source.unionByName(made)).collect()}
+    assert got == brute_classes(rows + near)
+    kept = {r["doc_id"] for r in probminhash.drop_near_duplicates(source.unionByName(made)).select("doc_id").collect()}
+    assert kept == {i for i, c in got.items() if i == c}
+
+
+def test_different_texts_under_one_id_stay_apart(docs):
+    z, b = " ".join(f"z{i}" for i in range(100)), [f"b{i}" for i in range(100)]
+    rows = [(1, z, "s"), (1, " ".join(b), "s"), (2, " ".join([*b[:99], "x"]), "s"), (3, "", "s"), (3, "q r", "s"), (3, None, "s"), (3, "q r", "s")]
+    got = sorted((r["doc_id"], r["text"] or "") for r in probminhash.drop_near_duplicates(docs(rows)).collect())
+    assert got in ([(1, " ".join(b)), (1, z), (3, ""), (3, "q r")], sorted([(1, " ".join(b)), (1, z), (3, ""), (3, "q r")]))
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(docs(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_toxicity(spark, docs):
     bad = ["vile", "rotten", "filthy"]
     rows = [(i, f"you are so {bad[i % 3]} and {bad[i % 2]} today {i}" if i % 4 == 0 else f"you are so calm and kind today {i}", "s") for i in range(600)]
