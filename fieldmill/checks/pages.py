@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.html import Step
 from ..operators import pages as P
 from .base import check
 from .snippets import WS, strip as sql_strip
@@ -13,6 +14,21 @@ ENTITIES = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), (
             ("&middot;?", "·"), ("&amp;?", "&")]
 
 
+#: References of all kinds with what they stand for, stated here on their own.
+REFERENCES = [("&eacute;", "é"), ("&#233;", "é"), ("&#xE9;", "é"), ("&#8217;", "’"), ("&ndash;", "–"), ("&euro;", "€"), ("&Omega;", "Ω"),
+              ("&#x1F393;", "🎓"), ("&copy", "©"), ("&#150;", "–"), ("&amp;lt;", "&lt;"), ("&bogus;", "&bogus;"), ("&notin;", "∉")]
+
+
+def by_page(values) -> str:
+    """One of the values by page number, in SQL that both engines read."""
+    cases = " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values))
+    return f"(CASE page_id % {len(values)} {cases} END)"
+
+
+REF, CHAR = (by_page([pair[k] for pair in REFERENCES]) for k in (0, 1))
+ID = "CAST(page_id AS STRING)"
+
+
 def sql_decode(x: str) -> str:
     x = f"regexp_replace({x}, '&nbsp;?', chr(160), 'g')"
     for name, char in ENTITIES:
@@ -31,6 +47,18 @@ def b1(t):
     return P.harvest_links(t.pages, ROOT)
 
 
+@check("b1_list_links", f"""
+WITH items AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '(?is)<nav(?:\\s[^>]*)?>(.*?)</nav>', 1),
+        lambda n: regexp_extract_all(n, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1))) AS lis FROM pages),
+  found AS (SELECT page_id, list_transform(list_filter(lis, lambda x: contains(x, 'href="')), lambda x: regexp_extract(x, 'href="([^"]+)"', 1)) AS hrefs FROM items),
+  places AS (SELECT page_id, unnest(hrefs) AS href, unnest(generate_series(0, len(hrefs) - 1)) AS pos FROM found WHERE len(hrefs) > 0),
+  links AS (SELECT CASE WHEN href LIKE '/%' THEN '{ROOT}' || href ELSE href END AS link, page_id, pos FROM places),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) AS rn, count(*) OVER (PARTITION BY link) AS n FROM links)
+SELECT link, page_id AS first_page, CAST(pos AS INT) AS first_pos, n AS n_places FROM ranked WHERE rn = 1""")
+def b1_list(t):
+    return P.harvest_links(t.pages, ROOT, within=[Step("nav"), Step("ul"), Step("li"), Step("a")])
+
+
 def sql_first(tag: str) -> str:
     inner = f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)"
     text = sql_strip(sql_decode(f"regexp_replace({inner}, '<[^>]+>', '', 'g')"))
@@ -42,45 +70,58 @@ def b2_native(t):
     return P.page_titles(t.pages)
 
 
-def _with_fields(pages, labels):
-    """Pages with the blocks the sibling lookups read; without ``labels`` a third of them has a single h5."""
-    block = F.concat(
-        F.lit("<h5>$"), F.col("page_id").cast("string"), F.lit("</h5>"),
-        F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<h5>May "), F.col("page_id").cast("string"), F.lit("</h5>")))
-        .otherwise(F.lit("")),
-        F.lit("<div><div><span>Awards Available:</span></div><h5> 7 </h5></div><h5>Qualified Based On:</h5>"
-              "<div><div>Graduates</div><div>Egypt</div></div>" if labels else ""),
-        F.lit("<h2>Scholarship Description</h2><div><p> For <b>all</b></p><h2>Details</h2><p>First</p>"
-              "<h2>Eligibility</h2><ul><li>one</li><li>two</li></ul></div>"),
-        F.lit('<div class="contactDetail">Office<br>Austin, TX '), F.col("page_id").cast("string"), F.lit("</div>"))
-    return pages.withColumn("html", F.concat(block, F.col("html")))
+# what the fields of a page say, by its number and a reference; {r} is the reference or its character
+SAID = {
+    "amount": "'$' || " + ID + " || ' {r}'", "date": "'May ' || " + ID + " || ' {r}'", "awards": "CAST(page_id % 40 AS STRING)",
+    "tag1": "'Level {r} ' || CAST(page_id % 7 AS STRING)", "tag2": "'Land ' || CAST(page_id % 11 AS STRING)", "first": "'Aim ' || " + ID,
+    "second": "'{r}all'", "details": "'Details of ' || " + ID + " || ' {r}'", "one": "'one ' || " + ID, "two": "'two {r}'",
+    "steps": "'Step ' || CAST(page_id % 5 AS STRING)"}
+
+
+def said(name: str, ref: str) -> str:
+    return "(" + SAID[name].replace("{r}", "' || " + ref + " || '") + ")"
+
+
+def _with_fields(t, labels):
+    """Pages with the blocks the sibling lookups read, all of them different from page to page; without ``labels`` a
+    third of them has a single h5. Not every page has all parts."""
+    x = {name: said(name, REF) for name in SAID}
+    block = f"""'<h5>' || {x['amount']} || '</h5>' || CASE WHEN page_id % 3 > 0 THEN '<h5>' || {x['date']} || '</h5>' ELSE '' END"""
+    if labels:
+        block += f""" || '<div class="n' || {ID} || '"><div><span>Awards Available:</span></div><h5> ' || {x['awards']} || ' </h5></div><h5>Qualified Based On:</h5>'
+          || '<div><div>' || {x['tag1']} || '</div>' || CASE WHEN page_id % 4 > 0 THEN '<div> <i>' || {x['tag2']} || '</i></div>' ELSE '' END || '</div>'"""
+    block += f""" || '<h2>Scholarship Description</h2><div><p> ' || {x['first']} || ' <b>' || {x['second']} || '</b></p><h2>Details</h2><p>' || {x['details']} || '</p>'
+      || '<h2>Eligibility</h2><ul><li>' || {x['one']} || '</li><li>' || {x['two']} || '</li></ul>'
+      || CASE WHEN page_id % 5 = 0 THEN '<h2>Application Process</h2><section><p>' || {x['steps']} || '</p></section>' ELSE '' END || '</div>'
+      || '<div class="contactDetail">Office<br>Austin, TX ' || {ID} || '</div>'"""
+    return t.sql(f"SELECT page_id, url, {block} || html AS html FROM {{pages}}")
 
 
 def _fields_sql(amount: str, deadline: str, awards: str, tags: str) -> str:
-    h1 = sql_first("h1")
+    y = {name: said(name, CHAR) for name in SAID}
     return f"""
-SELECT page_id, {h1} AS scholarship_name, {amount} AS funding_type, {deadline} AS deadline, {awards} AS awards_available,
-  {tags} AS tags, 'Forall' AS description, 'First' AS scholarship_details, 'one' || chr(10) || 'two' AS eligibility,
-  'N/A' AS application_process, 'Austin, TX ' || CAST(page_id AS STRING) || ' (USA)' AS country FROM pages"""
+SELECT page_id, {sql_first('h1')} AS scholarship_name, {amount} AS funding_type, {deadline} AS deadline, {awards} AS awards_available,
+  {tags} AS tags, {y['first']} || {y['second']} AS description, {y['details']} AS scholarship_details, {y['one']} || chr(10) || {y['two']} AS eligibility,
+  CASE WHEN page_id % 5 = 0 THEN {y['steps']} ELSE 'N/A' END AS application_process, 'Austin, TX ' || {ID} || ' (USA)' AS country FROM pages"""
 
 
 def _fields(t, strict):
-    out = P.extract_fields(_with_fields(t.pages, labels=not strict), strict_pair=strict)
+    out = P.extract_fields(_with_fields(t, labels=not strict), strict_pair=strict)
     out = out.withColumn("country", P.location("contact_lines", "page_lines"))
     return out.withColumn("tags", F.array_join("tags", "|")).drop("contact_lines", "page_lines", "url")
 
 
 # the h5 after the awards label and the tags heading count as h5 elements too
 @check("b2_extract_fields", _fields_sql(
-    "'$' || CAST(page_id AS STRING)", "CASE WHEN page_id % 3 > 0 THEN 'May ' || CAST(page_id AS STRING) ELSE '7' END",
-    "'7'", "'Graduates|Egypt'"))
+    said("amount", CHAR), f"CASE WHEN page_id % 3 > 0 THEN {said('date', CHAR)} ELSE {said('awards', CHAR)} END", said("awards", CHAR),
+    f"{said('tag1', CHAR)} || CASE WHEN page_id % 4 > 0 THEN '|' || {said('tag2', CHAR)} ELSE '' END"))
 def b2(t):
     return _fields(t, False)
 
 
 @check("b2a_extract_fields_strict", _fields_sql(
-    "CASE WHEN page_id % 3 > 0 THEN '$' || CAST(page_id AS STRING) ELSE 'N/A' END",
-    "CASE WHEN page_id % 3 > 0 THEN 'May ' || CAST(page_id AS STRING) ELSE 'N/A' END", "'N/A'", "''"))
+    f"CASE WHEN page_id % 3 > 0 THEN {said('amount', CHAR)} ELSE 'N/A' END",
+    f"CASE WHEN page_id % 3 > 0 THEN {said('date', CHAR)} ELSE 'N/A' END", "'N/A'", "''"))
 def b2a(t):
     return _fields(t, True)
 
@@ -124,6 +165,14 @@ def b4(t):
     return P.page_text(t.pages, ROOT)
 
 
+@check("b4_page_text_references", f"""
+SELECT page_id, url, page_text || chr(10) || 'Prix {{ref}} ' || {ID} || chr(10) || 'voir' || chr(10) || {CHAR} AS page_text
+FROM (SELECT page_id, url, {sql_page_text()} AS page_text FROM pages) AS p""".replace("{ref}", "' || " + CHAR + " || '"))
+def b4_references(t):
+    """Named, decimal and hexadecimal references, with and without a semicolon."""
+    return P.page_text(t.sql(f"SELECT page_id, url, html || '<p>Prix ' || {REF} || ' ' || {ID} || '</p><p>voir</p><p>' || {REF} || '</p>' AS html FROM {{pages}}"), ROOT)
+
+
 @check("b4_page_text_nested", f"""
 SELECT page_id, url, page_text || chr(10) || 'kept ' || CAST(page_id AS STRING) || chr(10) || 'more [{ROOT}/x' || CAST(page_id AS STRING) || ']' AS page_text
 FROM (SELECT page_id, url, {sql_page_text()} AS page_text FROM pages) AS p""")
@@ -158,13 +207,47 @@ def b7(t):
     return t.documents.select("doc_id", P.description_or_prefix(objective, "text").alias("description"))
 
 
-BLOCK = ("'<h3>Application deadline</h3><p>Apply by <b>May</b> | ' || CAST(page_id AS STRING) || '</p><ul><li>first</li> <li>| |</li>"
-         "<li>second</li></ul>'")
+def _programs(t):
+    """Programme pages out of the given ones: their own paragraphs in containers by id, with a varying set of parts."""
+    own = "regexp_extract_all(html, '(?is)<p>([^<]*)</p>', 1)"
+    return t.sql(f"""SELECT page_id, url,
+      '<div class="x">' || CASE WHEN page_id % 6 = 5 THEN '' ELSE '<div class="tab" id=''ueberblick''><div>Intro ' || {ID} || '</div>'
+        || CASE WHEN page_id % 2 = 0 THEN '<h3><i>The Objective</i></h3><p>Aim <b>' || {ID} || '</b> ' || {REF} || '</p>' ELSE '' END
+        || '<p>' || coalesce(try_element_at({own}, 1), '') || '</p></div>' END
+      || '<div id="voraussetzungen"><ul><li>Rule ' || CAST(page_id % 9 AS STRING) || '</li></ul></div>'
+      || CASE WHEN page_id % 4 = 3 THEN '' ELSE '<div id=prozess><p>Send it</p>' || CASE WHEN page_id % 4 = 0 THEN '' ELSE
+        '<h3>Application deadline</h3><p>By <b>May</b> | ' || {ID} || '</p><ul><li>first ' || {REF} || '</li> <li>| |</li><li>second</li></ul>' END
+        || '<h2 id="next">Next</h2><p>other</p></div>' END || '</div>' || html AS html FROM {{pages}}""")
+
+
+_PARAGRAPH = sql_strip(sql_decode("coalesce(regexp_extract_all(html, '(?is)<p>([^<]*)</p>', 1)[1], '')"))
+_INTRO = "'Intro ' || " + ID
+_AIM = "'Aim' || chr(10) || " + ID + " || chr(10) || " + CHAR
+
+
+@check("b7_program_fields", f"""
+WITH p AS (SELECT page_id, url, {_PARAGRAPH} AS par FROM pages),
+  d AS (SELECT *, CASE WHEN page_id % 6 = 5 THEN 'N/A' ELSE {_INTRO} || CASE WHEN page_id % 2 = 0 THEN chr(10) || '---' || chr(10) || 'The Objective' || chr(10) || '---'
+    || chr(10) || {_AIM} ELSE '' END || CASE WHEN par <> '' THEN chr(10) || par ELSE '' END END AS details FROM p)
+SELECT page_id, url, CASE WHEN page_id % 6 = 5 THEN 'N/A' WHEN page_id % 2 = 0 THEN 'Aim' || {ID} || {CHAR} ELSE substr(details, 1, 300) || '...' END AS description,
+  details AS scholarship_details, '•' || chr(10) || 'Rule ' || CAST(page_id % 9 AS STRING) AS eligibility,
+  CASE page_id % 4 WHEN 3 THEN 'N/A' WHEN 0 THEN 'Send it' || chr(10) || '---' || chr(10) || 'Next' || chr(10) || '---' || chr(10) || 'other'
+    ELSE 'Send it' || chr(10) || '---' || chr(10) || 'Application deadline' || chr(10) || '---' || chr(10) || 'By' || chr(10) || 'May' || chr(10) || '| ' || {ID}
+      || chr(10) || '•' || chr(10) || 'first ' || {CHAR} || chr(10) || '•' || chr(10) || '| |' || chr(10) || '•' || chr(10) || 'second'
+      || chr(10) || '---' || chr(10) || 'Next' || chr(10) || '---' || chr(10) || 'other' END AS application_process,
+  CASE WHEN page_id % 4 IN (0, 3) THEN 'Not Specified' ELSE 'By | May | ' || {ID} || chr(10) || 'first ' || {CHAR} || ' | second' END AS deadline
+FROM d""")
+def b7_program(t):
+    return P.program_fields(_programs(t), ROOT)
+
+
+BLOCK = (f"'<h3>Application deadline</h3><p>Apply by <b>' || {REF} || '</b> | ' || {ID} || '</p><ul><li>first</li> <li>| |</li>"
+         f"<li>no. ' || CAST(page_id % 17 AS STRING) || '</li></ul>'")
 
 
-@check("b8_deadline_block", """
+@check("b8_deadline_block", f"""
 SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'Not Specified' ELSE
-  'Apply by | May | ' || CAST(page_id AS STRING) || chr(10) || 'first | second' END AS deadline FROM pages""")
+  'Apply by | ' || {CHAR} || ' | ' || {ID} || chr(10) || 'first | no. ' || CAST(page_id % 17 AS STRING) END AS deadline FROM pages""")
 def b8(t):
     pages = t.sql(f"""SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '' ELSE {BLOCK} END ||
         '<h2 id="next">Next</h2><p>other</p>' AS html FROM {{pages}}""")

@@ -107,6 +107,13 @@ def a9(t):
     return S.verify_store(t.items, "item_id")
 
 
+@check("a9_describe_store", """
+SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS column_type,
+  (SELECT count(*) FROM {items} AS n) AS n_rows FROM (DESCRIBE SELECT * FROM {items} AS i)""")
+def a9_describe(t):
+    return S.describe_store(t.items).join(S.verify_store(t.items, "item_id").select("n_rows"))
+
+
 @check("a9_sample_rows", """
 SELECT item_id, eligible_nationality, academic_level FROM {items} AS i ORDER BY item_id LIMIT 5""")
 def a9_sample(t):

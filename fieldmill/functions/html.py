@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as K
 from .text import alternation, as_col, decode_entities, let, strip
@@ -36,6 +37,108 @@ def start_of(tag: str, css: Sequence[str] = ()) -> str:
     return (rf"""<(?:{tag})(?=\s)[^>]*?(?<![\w-])class\s*=\s*(?:"[^">]*?{names}[^">]*"|'[^'>]*?{names}[^'>]*'|{names}(?=[\s>]))[^>]*>""")
 
 
+@dataclass(frozen=True)
+class Step:
+    """A kind of element: its tag, and one of its classes or its id where they are named."""
+
+    tag: str
+    css: str | None = None
+    id: str | None = None
+
+    def start(self) -> str:
+        """Pattern of its start tags."""
+        if self.id is None:
+            return start_of(self.tag, [self.css] if self.css else ())
+        name = alternation([self.id])
+        own = rf"""<(?:{self.tag})(?=\s)[^>]*?(?<![\w-])id\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s/>]))[^>]*>"""
+        return own if self.css is None else rf"(?={own}){start_of(self.tag, [self.css])}"
+
+
+CHUNK = 64
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to each place. Chunks keep the cost in proportion to the length, though arrays are copied to grow."""
+    def grown(values: Column) -> Column:
+        first = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(values, first, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["all"], s["sum"] + x).alias("all")))["all"]
+
+    def offset(chunks: Column) -> Column:
+        before = grown(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
+        return let(before, lambda sums: F.flatten(F.transform(chunks, lambda c, k: F.transform(
+            c, lambda x: x + F.when(k > 0, F.get(sums, k - 1)).otherwise(0)))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int"))
+    return let(F.transform(starts, lambda k: grown(F.slice(numbers, k * CHUNK + 1, F.lit(CHUNK)))), offset)
+
+
+def elements(html: Column, step: Step, outermost: bool = False) -> Column:
+    """The elements of a kind in page order, each from its start tag on without its end tag.
+
+    The page becomes a stream of its start and end tags of that name with their nesting depths. In the order of depth
+    and place every end tag follows the start tag it closes. An element that is not closed reaches to the end. Those
+    within another one follow it, or are left out with ``outermost``.
+    """
+    opens, closes = F.lit(rf"(?i)^<{step.tag}[\s/>]"), F.lit(rf"(?i)^</{step.tag}[\s/>]")
+
+    def of_pieces(pieces):
+        kinds = F.transform(pieces, lambda p: F.when(F.rlike(p, closes), -1).when(F.rlike(p, opens), 1).otherwise(0))
+
+        def of_depths(kinds, depths):
+            tags = F.filter(F.transform(kinds, lambda k, i: F.struct(
+                (F.get(depths, i) + F.when(k < 0, 1).otherwise(0)).alias("depth"), (i + 1).alias("at"), k.alias("kind"))), lambda t: t["kind"] != 0)
+
+            def of_tags(ordered):
+                def end(k):
+                    after = F.get(ordered, k + 1)
+                    own = (after["kind"] < 0) & (after["depth"] == F.get(ordered, k)["depth"])
+                    return F.when(F.coalesce(own, F.lit(False)), after["at"]).otherwise(F.size(pieces) + 1)
+
+                spans = F.transform(ordered, lambda t, k: F.struct(t["at"].alias("at"), end(k).alias("end"), t["kind"].alias("kind")))
+                fit = F.filter(spans, lambda t: (t["kind"] > 0) & F.rlike(F.get(pieces, t["at"] - 1), F.lit(f"(?is)^{step.start()}")))
+                return let(F.array_sort(fit), chosen)
+
+            def chosen(spans):
+                if outermost:
+                    first = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<at:int,end:int,kind:int>>").alias("all"))
+                    spans = F.aggregate(spans, first, lambda s, t: F.when(t["at"] >= s["upto"], F.struct(
+                        t["end"].alias("upto"), F.array_append(s["all"], t).alias("all"))).otherwise(s))["all"]
+                return F.transform(spans, lambda t: F.array_join(F.slice(pieces, t["at"], t["end"] - t["at"]), ""))
+
+            return let(F.array_sort(tags), of_tags)
+
+        return let(kinds, lambda k: let(running_sums(k), lambda d: of_depths(k, d)))
+
+    return let(cut_at(html, F.lit(step.tag)), of_pieces)
+
+
+def selected(df: DataFrame, html: Column, steps: Sequence[Step], into: str) -> DataFrame:
+    """Adds the elements of the last kind that lie within one of each kind before, outermost to innermost, in page order.
+
+    A step is a projection of its own, which keeps expressions small.
+    """
+    df = df.withColumn(into, F.array(html))
+    for k, step in enumerate(steps):
+        df = df.withColumn(into, inside(F.col(into), step, tagged=k > 0, outermost=k + 1 < len(steps)))
+    return df
+
+
+def inside(holders: Column, step: Step, tagged: bool, outermost: bool) -> Column:
+    """The elements of a kind in each of the holders, which begin with their own start tag where ``tagged``."""
+    return F.flatten(F.transform(holders, lambda h: elements(held_by(h) if tagged else h, step, outermost)))
+
+
+def held_by(element: Column) -> Column:
+    """What an element of ``elements`` holds."""
+    return F.regexp_replace(element, r"^<[^>]*>", "")
+
+
+def attribute(element: Column, name: str) -> Column:
+    """An attribute of an element of ``elements``, decoded; '' without it."""
+    raw = F.regexp_extract(element, rf"(?is)^<[^>]*?(?<![\w-]){name}\s*=\s*{VALUE}", 1)
+    return decode_entities(F.regexp_replace(raw, """^["']|["']$""", ""))
+
+
 def cut_at(html: Column, tag: Column) -> Column:
     """A page in pieces that each begin with a start or end tag of ``tag``, but for what stands before the first."""
     return F.split(html, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))

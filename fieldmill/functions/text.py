@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import html.entities
 import re
 from collections.abc import Callable, Sequence
 
@@ -108,12 +110,60 @@ def deep_links(link: Column | str, texts: Sequence[Column | str]) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != "")))
 
 
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+# references that pages use most stand first, since a map is searched in order
+COMMON_REFERENCES = ("nbsp;", "amp;", "lt;", "gt;", "quot;", "apos;", "copy;", "middot;")
+
+
+@functools.cache
+def named_references() -> tuple[str, str]:
+    """All named references of HTML with their characters, and those that are read without a semicolon, as text for
+    ``str_to_map``. They come from the standard library."""
+    order = [*COMMON_REFERENCES, *(n for n in html.entities.html5 if n not in COMMON_REFERENCES)]
+    lists = ([n for n in order if n.endswith(";")], [n for n in order if not n.endswith(";")])
+    return tuple("\x01".join(f"{n}\x02{html.entities.html5[n]}" for n in names) for names in lists)
+
+
+def code_point(number: Column) -> Column:
+    """The character of a code point. The numbers 128 to 159 mean those of the Windows code page, where it has one."""
+    windows = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    mapped = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in windows.items() if c)), F.lit("\x01"), F.lit("\x02"))
+    none = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (F.when(none, F.lit("\ufffd")).when(number.between(128, 159), F.coalesce(F.try_element_at(mapped, number.cast("string")), char))
+            .otherwise(char))
+
+
+def character_of(reference: Column) -> Column:
+    """What one match of REFERENCE stands for; an unknown name stays as it is."""
+    with_end, without = (F.str_to_map(F.lit(t), F.lit("\x01"), F.lit("\x02")) for t in named_references())
+    longest = max(len(n) for n in html.entities.html5 if not n.endswith(";"))
+
+    def named(name: Column) -> Column:
+        starts = [F.try_element_at(without, F.substring(name, 1, n)) for n in range(longest, 1, -1)]
+        rest = [F.substring(name, n + 1, 40) for n in range(longest, 1, -1)]
+        short = F.coalesce(*[F.concat(c, r) for c, r in zip(starts, rest)])
+        return F.coalesce(F.try_element_at(with_end, name), short, F.concat(F.lit("&"), name))
+
+    def numbered(digits: Column, base: int, width: int) -> Column:
+        plain = F.regexp_replace(digits, "^0+(?=.)", "")
+        number = F.when(F.length(plain) > width, F.lit(0x110000)).otherwise(F.conv(plain, base, 10).cast("int"))
+        return let(number, code_point)
+
+    decimal, hexadecimal = F.regexp_extract(reference, "^&#([0-9]+)", 1), F.regexp_extract(reference, "^&#[xX]([0-9a-fA-F]+)", 1)
+    return (F.when(F.startswith(reference, F.lit("&#")), F.when(decimal != "", numbered(decimal, 10, 7)).otherwise(numbered(hexadecimal, 16, 6)))
+            .otherwise(let(F.substring(reference, 2, 40), named)))
+
+
 def decode_entities(col: Column) -> Column:
-    """The common named character references, whose semicolon may be missing; the ampersand last so nothing is
-    decoded twice."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", K.NBSP), ("copy", "©"), ("middot", "·")):
-        col = F.regexp_replace(col, f"&{name};?", char)
-    return F.regexp_replace(F.replace(col, F.lit("&#39;"), F.lit("'")), "&amp;?", "&")
+    """The text with every character reference of HTML decoded, named, decimal or hexadecimal, in one pass, so nothing
+    is decoded twice. Older names are read without their semicolon too, as browsers do."""
+    def decoded(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+        return let(F.split(text, REFERENCE, -1), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.zip_with(
+            found, F.slice(parts, F.lit(2), F.size(parts)), lambda r, rest: F.concat(character_of(r), rest)), "")))
+
+    return let(col, lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
 def count_marker(col: Column | str, marker: str) -> Column:

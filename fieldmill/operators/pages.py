@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..functions.html import (SILENT, VALUE, cut_at, first_element_text, flat_text, from_first, after_first, html_to_text,
-                              inner_html, start_of, text_nodes)
+from ..functions.html import (SILENT, VALUE, Step, after_first, attribute, elements, first_element_text, flat_text, from_first,
+                              held_by, html_to_text, inner_html, selected, start_of, text_nodes)
 from ..functions.text import alternation, as_col, decode_entities, let, strip, strip_literal
 
 ANY_ANCHOR = rf"(?i)<a\b[^>]*(?<![\w-])href\s*=\s*{VALUE}"
@@ -16,20 +16,24 @@ ANY_ANCHOR = rf"(?i)<a\b[^>]*(?<![\w-])href\s*=\s*{VALUE}"
 QUOTES = """^["']|["']$"""
 
 
-def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, id_col: str = "page_id",
-                  html_col: str = "html") -> DataFrame:
+def harvest_links(pages: DataFrame, root: str, pattern: str = ANY_ANCHOR, *, within: Sequence[Step] = (),
+                  id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Distinct absolute links with their first place: (link, first_page, first_pos, n_places).
 
-    Group 1 of the pattern is the address; quotes around it do not count, and an empty one is no link.
+    Group 1 of the pattern is the address; quotes around it do not count, and an empty one is no link. ``within`` reads
+    the anchors of a list instead: the last step is the anchor, the steps before hold it. Then the place counts the
+    list's anchors only.
     One aggregation with a map-side combine, so a link that sits on every page stays cheap.
     """
-    found = pages.select(
-        F.col(id_col).alias("page"),
-        # outer: a plain explode makes the optimizer test the array's size first, which computes it twice
-        F.posexplode_outer(F.filter(F.transform(
-            F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)),
-            lambda href: F.regexp_replace(href, QUOTES, "")), lambda href: href != "")).alias("pos", "href")
-    ).filter("href is not null")
+    if within:
+        pages = selected(pages, F.regexp_replace(html_col, SILENT, ""), within, "_anchors")
+        hrefs = F.transform("_anchors", lambda a: attribute(a, "href"))
+    else:
+        hrefs = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)),
+                            lambda href: F.regexp_replace(href, QUOTES, ""))
+    # outer: a plain explode makes the optimizer test the array's size first, which computes it twice
+    listed = F.posexplode_outer(F.filter(hrefs, lambda href: href != "")).alias("pos", "href")
+    found = pages.select(F.col(id_col).alias("page"), listed).filter("href is not null")
     link = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(root), F.col("href"))).otherwise(F.col("href"))
     if pages.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         firsts = found.groupBy(link.alias("link")).agg(
@@ -72,11 +76,7 @@ def next_inner(html: Column) -> Column:
 
 def texts_of(html: Column, tag: str) -> Column:
     """The texts of all elements of a kind in page order, those inside another of the kind included."""
-    def each(pieces):
-        opening = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.rlike(F.get(pieces, i - 1), F.lit(rf"(?i)^<{tag}[\s/>]")))
-        return F.transform(opening, lambda i: flat_text(inner_html(F.array_join(F.slice(pieces, i, F.size(pieces)), ""), tag)))
-
-    return let(cut_at(html, F.lit(tag)), each)
+    return F.transform(elements(html, Step(tag)), lambda e: flat_text(held_by(e)))
 
 
 def extract_fields(pages: DataFrame, *, html_col: str = "html", strict_pair: bool = False) -> DataFrame:
@@ -180,6 +180,36 @@ def description_or_prefix(objective: Column | str, details: Column | str, n: int
     return F.coalesce(as_col(objective), F.concat(F.substring(as_col(details), 1, n), F.lit("...")))
 
 
+# The containers of a programme page by id, and the heading of its aim.
+OVERVIEW, REQUIREMENTS, PROCESS = "ueberblick", "voraussetzungen", "prozess"
+OBJECTIVE = "Objective"
+
+
+def program_fields(pages: DataFrame, root: str, *, html_col: str = "html", n: int = 300) -> DataFrame:
+    """Adds the fields of a programme page, read from its containers by id: ``scholarship_details``, ``eligibility`` and
+    ``application_process`` as page text, ``deadline`` from the blocks below the heading of the process container, and
+    ``description``: the paragraph after the aim's heading in the overview, else the first ``n`` characters of the
+    details. A page without a container gets 'N/A' for it ('Not Specified' as deadline).
+    """
+    keep = [c for c in pages.columns if c != html_col]
+    bare = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), SILENT, "")
+
+    def container(name):
+        return held_by(F.try_element_at(elements(F.col("_bare"), Step("div", id=name), outermost=True), F.lit(1)))
+
+    boxes = pages.withColumn("_bare", bare).withColumns({f"_{name}": container(name) for name in (OVERVIEW, REQUIREMENTS, PROCESS)})
+    texts = {column: html_to_text(f"_{name}", root) for column, name in (
+        ("scholarship_details", OVERVIEW), ("eligibility", REQUIREMENTS), ("application_process", PROCESS))}
+    out = boxes.withColumns(texts)
+    below = after_first(F.col(f"_{OVERVIEW}"), labelled("h3", [OBJECTIVE]))
+    aim = F.try_element_at(elements(below, Step("p")), F.lit(1))
+    description = F.when(F.col(f"_{OVERVIEW}").isNull(), F.lit(MISSING)).otherwise(
+        description_or_prefix(F.array_join(text_nodes(held_by(aim)), ""), "scholarship_details", n))
+    deadline = F.coalesce(deadline_block(F.col(f"_{PROCESS}")), F.lit(K.NOT_SPECIFIED))
+    return out.withColumns({"description": description, "deadline": deadline}).select(
+        *keep, "description", *texts, "deadline")
+
+
 BLOCK_END = r"(?i)</(?:p|ul|ol|div|table|section|dl)>"
 
 
