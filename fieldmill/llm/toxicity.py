@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,7 @@ LEXICON_ENTRIES = 2_000
 REJECT = 0.7
 CROSSED_FOLDS = 3
 #: What a Python worker keeps at once: tokens it has read (some 200 bytes each), and characters of texts.
-MEMO_TOKENS, BATCH_CHARS = 60_000, 1_000_000
+MEMO_TOKENS, BATCH_CHARS = 150_000, 1_000_000
 #: A key enters the lexicon if chance would put it among toxic texts as often with at most this probability (Chernoff).
 #: Of a million keys that say nothing one in twenty fits lets one in.
 CHANCE = 5e-8
@@ -55,6 +56,8 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 REPLACED = str.maketrans("013457@$!|", "oieastasil")
 
 TOKEN = re.compile(r"\S+")
+EDGES = string.punctuation
+MIXERS = frozenset("0123456789@$!*#|")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$!*#|]).+", re.DOTALL)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -76,39 +79,43 @@ def keys_of(word: str) -> list[str]:
     return ["=" + word] + [f"{n}{word[:n]}" for n in BEGINNINGS if len(word) > n]
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
-    """Log odds of the keys that toxic texts hold far more often; ``sample`` has ``text`` and ``toxic``.
-
-    How many texts must hold a key follows from the sample: a key that few texts hold enters if none of them, or
-    hardly one, is clean. Where the sample is too small for any key, keys of ``LEAST_TEXTS`` toxic texts and no clean
-    one enter. Texts are counted per task first, so only distinct keys are shuffled. At most ``entries`` rows come back.
-    """
+def key_counts(sample: DataFrame) -> DataFrame:
+    """``(key, fold, clean, toxic)``: how many texts of each label hold a key, stored; ``sample`` has ``text``, ``toxic``
+    and ``fold``. Texts are counted per task first, so only distinct keys are shuffled."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+        counts: dict[int, tuple[Counter, Counter]] = {}
         for frame in frames:
-            for text, toxic in zip(frame["text"], frame["toxic"]):
+            for text, toxic, fold in zip(frame["text"], frame["toxic"], frame["fold"]):
                 words = {r for token in set(TOKEN.findall(text)) for r in readings(token) if r}
-                counts[int(toxic)].update({k for w in words for k in keys_of(w)})
-                if len(counts[0]) + len(counts[1]) > 1_000_000:
+                counts.setdefault(int(fold), (Counter(), Counter()))[int(toxic)].update({k for w in words for k in keys_of(w)})
+                if sum(len(c) for both in counts.values() for c in both) > 600_000:
                     yield part(counts)
-                    counts[0].clear(), counts[1].clear()
+                    counts.clear()
         yield part(counts)
 
     def part(counts):
-        keys = list(counts[0].keys() | counts[1].keys())
-        return pd.DataFrame({"key": pd.Series(keys, dtype=str), "clean": [counts[0][k] for k in keys], "toxic": [counts[1][k] for k in keys]})
+        rows = [(k, fold, clean[k], toxic[k]) for fold, (clean, toxic) in counts.items() for k in clean.keys() | toxic.keys()]
+        return pd.DataFrame(rows, columns=["key", "fold", "clean", "toxic"])
+
+    counted = sample.select("text", "toxic", "fold").mapInPandas(count, "key string, fold long, clean long, toxic long")
+    return stored(counted.groupBy("key", "fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "keys")
+
+
+def learn_lexicon(counts: DataFrame, n_clean: int, n_toxic: int, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
+    """Log odds of the keys that toxic texts hold far more often, from rows of ``key_counts`` over so many texts.
 
-    totals = sample.groupBy().agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    n_toxic, n_clean = totals["t"] or 0, totals["c"] or 0
+    How many texts must hold a key follows from the sample: a key that few texts hold enters if none of them, or
+    hardly one, is clean. Where the sample is too small for any key, keys of ``LEAST_TEXTS`` toxic texts and no clean
+    one enter. At most ``entries`` rows come back.
+    """
     if not n_toxic or not n_clean:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    counted = sample.select("text", "toxic").mapInPandas(count, "key string, clean long, toxic long")
     # the divergence of a key's share of toxic texts from that of all texts, times the texts that hold it
     held, base = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
     share = F.col("toxic") / held
     apart = share * F.log(share / base) + F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    sums = (counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = (counts.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= math.log(8)))
     sums = stored(sums.select("key", "odds", "clean", (held * apart).alias("evidence")), "lexicon")
 
@@ -123,7 +130,8 @@ class Reader(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon = lexicon
+        self.words = {k[1:]: odds for k, odds in lexicon.items() if k[0] == "="}
+        self.beginnings = {k[1:]: odds for k, odds in lexicon.items() if k[0] != "="}  # their length tells them apart
         self.forget()
 
     def forget(self) -> None:
@@ -136,13 +144,22 @@ class Reader(dict):
         self.fresh.append(token)
         return number
 
+    def heaviest(self, word: str) -> tuple[float, float]:
+        """Odds of a word, and of its heaviest beginning."""
+        return (self.words.get(word, 0.0), max((self.beginnings.get(word[:n], 0.0) for n in BEGINNINGS if len(word) > n), default=0.0))
+
     def token(self, token: str) -> tuple:
+        core = token.strip(EDGES)
+        if core.isalpha() and (core is token or MIXERS.isdisjoint(token)):  # a plain word, as most tokens are
+            bare = core.lower()
+            word, begin = self.heaviest(bare)
+            return (word, begin, bare in SECOND_PERSON, len(core) > 1 and core.isupper() and bare.upper() == core, token.count("!"),
+                    len(token) - len(core), False, len(token))
         bare, plain = readings(token)
-        word = max(self.lexicon.get("=" + r, 0.0) for r in (bare, plain))
-        begin = max(max((self.lexicon.get(f"{n}{r[:n]}", 0.0) for n in BEGINNINGS if len(r) > n), default=0.0) for r in (bare, plain))
+        both = [self.heaviest(r) for r in {bare, plain}]
         letters = sum(map(len, LETTERS.findall(token)))
-        return (word, begin, bare in SECOND_PERSON, len(bare) > 1 and bare.upper() in token and bare.isalpha(),
-                token.count("!"), len(token) - letters, bare != plain, len(token))
+        return (max(w for w, _ in both), max(b for _, b in both), bare in SECOND_PERSON,
+                len(bare) > 1 and bare.upper() in token and bare.isalpha(), token.count("!"), len(token) - letters, bare != plain, len(token))
 
     def features(self, texts: list[str]) -> list[list[float]]:
         if len(self) > MEMO_TOKENS:
@@ -254,7 +271,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
     dealt = sample.select("doc_id", "toxic").distinct().select("doc_id", F.pmod(F.row_number().over(order), F.lit(folds)).alias("fold"))
     sample = stored(sample.join(F.broadcast(dealt), "doc_id"), "folds")
-    parts = [described(sample.filter(F.col("fold") == k), learn_lexicon(sample.filter(F.col("fold") != k)), "fold") for k in range(folds)]
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = key_counts(sample)
+
+    def lexicon(without: int | None = None) -> dict[str, float]:
+        n_clean, n_toxic = (sum(n for (fold, toxic), n in sizes.items() if toxic == label and fold != without) for label in (0, 1))
+        return learn_lexicon(counts if without is None else counts.filter(F.col("fold") != without), n_clean, n_toxic)
+
+    parts = [described(sample.filter(F.col("fold") == k), lexicon(k), "fold") for k in range(folds)]
     rows = stored(reduce(DataFrame.unionByName, parts), "features").coalesce(4)
     rows = rows.withColumn("features", array_to_vector("x")).cache()
     least = max(1, min(5, rarest // 4))
@@ -262,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     calibration = calibrated(stored(reduce(DataFrame.unionByName, raw), "raw"))
     trees = grown(rows, least)
     rows.unpersist()
-    return Model(learn_lexicon(sample), trees, calibration, base)
+    return Model(lexicon(), trees, calibration, base)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
