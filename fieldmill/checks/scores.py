@@ -11,8 +11,8 @@ from ..plans import etl
 from . import retrieval as RT, rules as RL
 from .base import check
 from .retrieval import BENCH, DOCS, bm25_ctes
-from .snippets import clean, words
-from .texts import SQL_DOCUMENT
+from .snippets import clean, safe_meta, words
+from .texts import OF_SECTIONS, SQL_DOCUMENT, recursive_ctes, sections_ctes
 
 TRUTH = "SELECT b.item_id AS query_id, d.doc_id FROM {benchmark} AS b JOIN {documents} AS d ON contains(d.text, b.text)"
 
@@ -163,7 +163,11 @@ def m2_list(t):
         "item_id", "host_country", "eligible_nationality")
 
 
-@check("m3_chunk_table")
+@check("m3_chunk_table", MASTER.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {sections_ctes("SELECT item_id AS doc_id, rag_document AS md FROM m WHERE trim(rag_document) <> ''")},
+  {recursive_ctes(OF_SECTIONS, 800, 100)}
+SELECT m.item_id, id.s AS section_no, chunk_no, document_title, section_title, c.text, {safe_meta('l.scholarship_name')} AS scholarship_name, m.scholarship_status
+FROM chunks AS c JOIN sections AS x ON x.doc_id = id.d AND x.section_no = id.s JOIN m ON m.item_id = id.d JOIN {{listings}} AS l ON l.item_id = m.item_id
+WHERE length(c.text) >= 30""")
 def m3(t):
     chunks = etl.chunk_table(etl.master_table(t.listings, "2026-01-01"), id_col="item_id")
     return chunks.select("item_id", "section_no", "chunk_no", "document_title", "section_title", "text",

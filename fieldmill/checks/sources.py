@@ -13,6 +13,7 @@ from ..schemas import RAW_LISTING
 from ..session import fresh_path
 from ..sources import listings as L, stores as S
 from .base import check
+from .texts import OF_SECTIONS, recursive_ctes, sections_ctes
 
 LISTING_COLS = ("scholarship_name, country, degree_level, funding_type, awards_available, deadline, description, "
                 "scholarship_details, eligibility, application_process, application_link")
@@ -76,14 +77,16 @@ def hashing_encoder(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@check("a6_chunk_store")
+@check("a6_chunk_store", f"""
+WITH RECURSIVE {sections_ctes('SELECT doc_id, text AS md FROM documents')}, {recursive_ctes(OF_SECTIONS, 800, 100)}
+SELECT id.d AS doc_id, id.s AS section_no, chunk_no, text, CAST(32 AS INT) AS dim, true AS unit FROM chunks WHERE length(text) >= 30""")
 def a6(t):
     path = fresh_path(t.spark, "chunks")
     docs = t.documents.select("doc_id", "text")
     S.write_chunks(chunk_documents(docs, text_col="text"), path, hashing_encoder)
+    norm2 = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3)
     return S.read_chunks(t.spark, path).select(
-        "doc_id", "section_no", "chunk_no", "text", F.size("embedding").alias("dim"),
-        F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm2"))
+        "doc_id", "section_no", "chunk_no", "text", F.size("embedding").alias("dim"), norm2.isin(0.0, 1.0).alias("unit"))
 
 
 @check("a7_require_and_filter", """

@@ -67,8 +67,9 @@ MARKDOWN = ("'intro ' || source || chr(10) || chr(10) || '# Title ' || CAST(doc_
             "|| chr(10) || '##' || lang || chr(10) || '## Second' || chr(10) || chr(10) || 'more  ' || chr(10) || '# Other' || chr(10) || 'tail ' || text")
 
 # An independent line-by-line formulation: headers by flags and running windows.
-SQL_SECTIONS = f"""
-WITH md AS (SELECT doc_id, {MARKDOWN} AS md FROM documents),
+def sections_ctes(source: str) -> str:
+    """CTEs ending in ``sections(doc_id, section_no, document_title, section_title, text)`` of a query (doc_id, md)."""
+    return f"""md AS ({source}),
   lines AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS raw, unnest(generate_series(1, len(string_split(md, chr(10))))) AS pos FROM md),
   l2 AS (SELECT doc_id, pos, trim(regexp_replace({strip('raw')}, '[\\x00-\\x1f\\x7f-\\x9f]', '', 'g')) AS line FROM lines),
   l3 AS (SELECT *, line = '#' OR line LIKE '# %' AS h1, line = '##' OR line LIKE '## %' AS h2 FROM l2),
@@ -85,9 +86,12 @@ WITH md AS (SELECT doc_id, {MARKDOWN} AS md FROM documents),
   nxt AS (SELECT *, last_line LIKE '#%' AND ((lead(st) OVER w IS NOT NULL AND st IS NULL) OR (lead(dt) OVER w IS NOT NULL AND dt IS NULL AND st IS NULL)) AS joins
     FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
   grp AS (SELECT *, sum(CASE WHEN pj THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY part) AS g
-    FROM (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY part), false) AS pj FROM nxt) AS x)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_no, arg_max(dt, part) AS document_title,
-  arg_max(st, part) AS section_title, string_agg(txt, '  ' || chr(10) ORDER BY part) AS text FROM grp GROUP BY doc_id, g"""
+    FROM (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY part), false) AS pj FROM nxt) AS x),
+  sections AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS section_no, arg_max(dt, part) AS document_title,
+  arg_max(st, part) AS section_title, string_agg(txt, '  ' || chr(10) ORDER BY part) AS text FROM grp GROUP BY doc_id, g)"""
+
+
+SQL_SECTIONS = f"WITH {sections_ctes(f'SELECT doc_id, {MARKDOWN} AS md FROM documents')} SELECT * FROM sections"
 
 
 def _markdown(t):
@@ -99,7 +103,37 @@ def e1(t):
     return C.split_sections(_markdown(t), "md")
 
 
-@check("e2_split_recursive")
+def recursive_ctes(source: str, size: int, overlap: int, tag: str = "") -> str:
+    """CTEs ending in ``chunks{tag}(id, chunk_no, text)`` of a query (id, text): the split said by lists of places and a
+    recursion from chunk to chunk."""
+    stages, at = [], "s0"
+    for k, mark in enumerate(C.SEPARATORS):
+        lit = " || ".join(["chr(10)"] * len(mark)) if mark.startswith("\n") else f"'{mark}'"
+        parts = (f"list_filter(list_transform(string_split(x.t, {lit}), lambda y, j: CASE WHEN j > 1 THEN {lit} || y ELSE y END), lambda y: y <> '')")
+        stages.append(f"""s{k + 1}{tag} AS (SELECT id, text, flatten(list_transform(p, lambda x, i: CASE WHEN x.small OR NOT contains(x.t, {lit}) THEN [x]
+    ELSE list_transform({parts}, lambda y: {{'t': y, 'node': '{k}:' || CAST(i AS VARCHAR), 'small': length(y) < {size}}}) END)) AS p FROM {at}{tag})""")
+        at = f"s{k + 1}"
+    return f"""src{tag} AS ({source}),
+  s0{tag} AS (SELECT id, text, [{{'t': text, 'node': '', 'small': false}}] AS p FROM src{tag} WHERE length(text) > {size}),
+  {", ".join(stages)},
+  leaf{tag} AS (SELECT id, x.node, x.small, length(x.t) AS n, k FROM (SELECT id, unnest(p) AS x, unnest(generate_series(1, len(p))) AS k FROM {at}{tag}) AS u),
+  place{tag} AS (SELECT *, CAST(sum(n) OVER w - n AS BIGINT) AS off, CASE WHEN small AND lag(small) OVER w AND lag(node) OVER w = node THEN 0 ELSE 1 END AS new
+    FROM leaf{tag} WINDOW w AS (PARTITION BY id ORDER BY k)),
+  run{tag} AS (SELECT id, r, bool_and(small) AS small, list_append(list(off ORDER BY k), max(off + n)) AS b FROM
+    (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY k) AS r FROM place{tag}) AS x GROUP BY 1, 2),
+  rec{tag} AS (SELECT id, r, b, CAST(1 AS BIGINT) AS s, greatest(len(list_filter(b, lambda v: v - b[1] <= {size})), 2) AS e FROM run{tag} WHERE small
+    UNION ALL SELECT id, r, b, s2, greatest(len(list_filter(b, lambda v: v - b[s2] <= {size})), e + 1) FROM (SELECT *, greatest(s,
+      len(list_filter(b, lambda v: v < b[e] - least({overlap}, {size} - (b[e + 1] - b[e])))) + 1) AS s2 FROM rec{tag} WHERE e < len(b)) AS z),
+  span{tag} AS (SELECT id, r, b[s] AS f, b[e] AS u FROM rec{tag} UNION ALL
+    SELECT id, r, b[1] + j * {size - overlap}, least(b[1] + j * {size - overlap} + {size}, b[2]) FROM (SELECT id, r, b,
+      unnest(generate_series(0, CAST(ceil(greatest(b[2] - b[1] - {size}, 0) / {size - overlap}) AS BIGINT))) AS j FROM run{tag} WHERE NOT small) AS g),
+  cut{tag} AS (SELECT id, r, f, {strip('substr(text, CAST(f + 1 AS BIGINT), CAST(u - f AS BIGINT))')} AS text FROM span{tag} JOIN src{tag} USING (id)
+    UNION ALL SELECT id, 0, 0, {strip('text')} FROM src{tag} WHERE length(text) <= {size}),
+  chunks{tag} AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY r, f) - 1 AS INT) AS chunk_no, text FROM cut{tag} WHERE text <> '')"""
+
+
+@check("e2_split_recursive", f"""
+WITH RECURSIVE {recursive_ctes('SELECT doc_id AS id, text FROM documents', 800, 100)} SELECT id AS doc_id, chunk_no, text FROM chunks""")
 def e2(t):
     return C.split_recursive(t.documents.select("doc_id", "text"), 800, 100)
 
@@ -145,6 +179,19 @@ def e5(t):
     return C.sweep_chunk_configs(t.documents, recursive=False, by_sections=False)
 
 
-@check("e5_sweep_recursive")
+OF_SECTIONS = "SELECT {'d': doc_id, 's': section_no} AS id, text FROM sections"
+
+
+def _sweep_recursive_sql() -> str:
+    from ..functions import fixed as K
+    ctes = ", ".join(recursive_ctes(OF_SECTIONS, size, overlap, f"_{k}") for k, (_, size, overlap) in enumerate(K.CHUNK_CONFIGS))
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS configuration, CAST({size} AS INT) AS chunk_size, CAST({overlap} AS INT) AS overlap, count(*) AS total_chunks, "
+        f"round(avg(length(text)), 2) AS avg_chunk_length FROM chunks_{k} WHERE length(trim(text, {WS})) >= 30"
+        for k, (name, size, overlap) in enumerate(K.CHUNK_CONFIGS))
+    return f"WITH RECURSIVE {sections_ctes('SELECT doc_id, text AS md FROM documents')}, {ctes} {rows}"
+
+
+@check("e5_sweep_recursive", _sweep_recursive_sql())
 def e5_recursive(t):
     return C.sweep_chunk_configs(t.documents)

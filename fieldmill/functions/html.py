@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as K
-from .text import alternation, as_col, decode_entities, let, strip
+from .text import alternation, as_col, decode_entities, let, running_sums, strip
 
 NODE = "\x01"  # separates text nodes while tags are removed
 OPEN, CLOSE = "\x02", "\x03"  # frame the text of a link, whose own nodes join without a gap
@@ -54,24 +54,6 @@ class Step:
         return own if self.css is None else rf"(?={own}){start_of(self.tag, [self.css])}"
 
 
-CHUNK = 64
-
-
-def running_sums(numbers: Column) -> Column:
-    """Sums up to each place. Chunks keep the cost in proportion to the length, though arrays are copied to grow."""
-    def grown(values: Column) -> Column:
-        first = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(values, first, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["all"], s["sum"] + x).alias("all")))["all"]
-
-    def offset(chunks: Column) -> Column:
-        before = grown(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
-        return let(before, lambda sums: F.flatten(F.transform(chunks, lambda c, k: F.transform(
-            c, lambda x: x + F.when(k > 0, F.get(sums, k - 1)).otherwise(0)))))
-
-    starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int"))
-    return let(F.transform(starts, lambda k: grown(F.slice(numbers, k * CHUNK + 1, F.lit(CHUNK)))), offset)
-
-
 def elements(html: Column, step: Step, outermost: bool = False) -> Column:
     """The elements of a kind in page order, each from its start tag on without its end tag.
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as K
-from ..functions.text import as_col, let, strip
+from ..functions.text import as_col, let, running_sums, strip
 
 SEPARATORS = ("\n\n", "\n", ".", " ")
 
@@ -90,51 +89,84 @@ def split_sections(df: DataFrame, text: str, *, id_col: str = "doc_id") -> DataF
     return rows.select(*keep, "section_no", "_s.*")
 
 
-def merge_pieces(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy runs of neighbouring pieces up to ``size``; each run restarts with the tail within ``overlap``."""
-    out, start, total = [], 0, 0
-    for end, piece in enumerate(pieces):
-        if total + len(piece) > size and end > start:
-            out.append("".join(pieces[start:end]))
-            while start < end and (total > overlap or total + len(piece) > size):
-                total -= len(pieces[start])
-                start += 1
-        total += len(piece)
-    if start < len(pieces):
-        out.append("".join(pieces[start:]))
-    return [text for text in map(str.strip, out) if text]
-
-
-def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Split at the coarsest separator that occurs, keep it at the start of its piece, go finer where needed."""
-    level = next((i for i, s in enumerate(separators) if s in text), None)
-    if level is None:
-        pieces, finer = list(text), None
-    else:
-        mark, finer = separators[level], separators[level + 1:]
-        head, *tail = text.split(mark)
-        pieces = [p for p in [head] + [mark + t for t in tail] if p]
-    out, run = [], []
-    for piece in pieces:
-        if len(piece) < size or finer is None:
-            run.append(piece)
-            continue
-        out += merge_pieces(run, size, overlap)
-        run = []
-        out += split_text(piece, size, overlap, finer)
-    return out + merge_pieces(run, size, overlap)
-
-
-def recursive_pieces(text: Column, size: Column, overlap: Column) -> Column:
-    """Chunks of a text as an array. A text within ``size`` is its own chunk and never leaves the JVM; only
-    longer ones cross to Python, in Arrow batches of the scan's partitions."""
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else split_text(t, int(n), int(o))
-                          for t, n, o in zip(texts, sizes, overlaps)], dtype=object)
-
-    whole = F.filter(F.array(strip(text)), lambda t: t != "")
-    return F.coalesce(chunks(F.when(F.length(text) > size, text), size, overlap), whole)
+LEAF = "array<struct<t:string,node:string,small:boolean>>"
+
+
+def split_leaves(leaves: Column, mark: str, level: int, size: Column) -> Column:
+    """Leaves that are still too long and hold the mark, cut before each mark. Leaves cut from one piece share a node."""
+    def cut(leaf, i):
+        parts = F.transform(F.split(leaf["t"], mark.replace(".", r"\.").replace("\n", r"\n"), -1), lambda x, j: F.when(j > 0, F.concat(F.lit(mark), x)).otherwise(x))
+        node = F.concat(F.lit(f"{level}:"), i.cast("string"))
+        pieces = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(
+            x.alias("t"), node.alias("node"), (F.length(x) < size).alias("small")))
+        return F.when(leaf["small"] | ~F.contains(leaf["t"], F.lit(mark)), F.array(leaf)).otherwise(pieces)
+
+    return F.flatten(F.transform(leaves, cut))
+
+
+def merged_spans(leaves: Column, ends: Column, size: Column, overlap: Column) -> Column:
+    """(start, end) of the chunks, as character places, from leaves and the running sums of their lengths.
+
+    A fold over the leaves of a node that follow each other: one that does not fit closes a chunk, and the next one
+    starts at the first leaf within ``overlap`` that leaves room for it. A leaf without any mark is cut by strides.
+    """
+    def span(start, end):
+        return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
+
+    def step(state, i):
+        leaf, end = F.get(leaves, i), F.get(ends, i)
+        off = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        n = end - off
+        start, out = state["start"], state["out"]
+        flushed = F.when(start < off, F.array_append(out, span(start, off))).otherwise(out)
+
+        def stride(closed):
+            last = F.ceil(F.greatest(n - size, F.lit(0)) / (size - overlap)).cast("int")
+            cut = F.transform(F.sequence(F.lit(0), last), lambda k: span(off + k * (size - overlap), F.least(off + k * (size - overlap) + size, end)))
+            return F.struct(end.alias("start"), leaf["node"].alias("node"), F.concat(closed, cut).alias("out"))
+
+        # the start may be no earlier than this, and is where a leaf begins
+        least = F.greatest(start, off - F.least(overlap, size - n))
+        first = F.greatest(i - overlap - 1, F.lit(0))
+        near = F.slice(ends, first + 1, i - first)
+        restart = F.coalesce(F.get(F.filter(near, lambda x: x >= least), F.lit(0)), off)
+        # where no leaf boundary lies before the look-back, the start of the text is one
+        restart = F.when((first == 0) & (least <= 0), F.lit(0)).otherwise(restart)
+
+        def state_of(start, out):
+            return F.struct(start.alias("start"), leaf["node"].alias("node"), out.alias("out"))
+
+        return (F.when(~leaf["small"], stride(flushed))
+                .when(leaf["node"] != state["node"], state_of(off, flushed))
+                .when((start < off) & (end - start > size), state_of(restart, F.array_append(out, span(start, off))))
+                .otherwise(state_of(start, out)))
+
+    first = F.struct(F.lit(0).alias("start"), F.lit("").alias("node"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    done = F.aggregate(F.sequence(F.lit(0), F.size(leaves) - 1), first, step)
+    total = F.get(ends, F.size(ends) - 1)
+    return let(done, lambda d: F.when(d["start"] < total, F.array_append(d["out"], span(d["start"], total))).otherwise(d["out"]))
+
+
+def recursive_pieces(df: DataFrame, text: str, size: Column, overlap: Column, into: str) -> DataFrame:
+    """Adds the chunks of a text as an array. A text within ``size`` is its own chunk.
+
+    A longer one is split at the coarsest mark that occurs, kept at the start of its piece, and finer where a piece is
+    still too long; short neighbours are merged greedily. The marks only find places: chunks are cut from the text.
+    Every step is a projection inside the row.
+    """
+    leaves, ends = "_leaves", "_ends"
+    long = F.length(text) > size
+    whole_text = F.struct(F.col(text).alias("t"), F.lit("").alias("node"), F.lit(False).alias("small"))
+    df = df.withColumn(leaves, F.when(long, F.array(whole_text)).otherwise(F.array().cast(LEAF)))
+    for level, mark in enumerate(SEPARATORS):
+        df = df.withColumn(leaves, split_leaves(F.col(leaves), mark, level, size))
+    df = df.withColumn(ends, F.when(F.size(leaves) > 0, running_sums(F.transform(leaves, lambda leaf: F.length(leaf["t"])))))
+    # the texts of the leaves are not needed any more
+    df = df.withColumn(leaves, F.transform(leaves, lambda leaf: F.struct(leaf["node"].alias("node"), leaf["small"].alias("small"))))
+    df = df.withColumn(into, F.when(F.size(leaves) > 0, merged_spans(F.col(leaves), F.col(ends), size, overlap)))
+    cut = F.transform(into, lambda x: strip(F.substr(F.col(text), x["s"] + 1, x["e"] - x["s"])))
+    chunks = F.coalesce(cut, F.array(strip(text)))
+    return df.withColumn(into, F.filter(chunks, lambda t: t != "")).drop(leaves, ends)
 
 
 def stride_pieces(text: Column, size: Column, overlap: Column) -> Column:
@@ -151,7 +183,8 @@ def _explode_pieces(df: DataFrame, pieces: Column, text_col: str) -> DataFrame:
 
 def split_recursive(df: DataFrame, size: int = 500, overlap: int = 50, *, text_col: str = "text") -> DataFrame:
     """Adds ``chunk_no`` and replaces the text by separator-aware chunks of at most ``size`` characters."""
-    return _explode_pieces(df, recursive_pieces(F.col(text_col), F.lit(size), F.lit(overlap)), text_col)
+    cut = recursive_pieces(df, text_col, F.lit(size), F.lit(overlap), "_pieces")
+    return _explode_pieces(cut, F.col("_pieces"), text_col).drop("_pieces")
 
 
 def split_stride(df: DataFrame, size: int = 500, overlap: int = 50, *, text_col: str = "text") -> DataFrame:
@@ -200,8 +233,11 @@ def sweep_chunk_configs(df: DataFrame, configs: Sequence[tuple[str, int, int]] =
     if by_sections:
         df = split_sections(df, text_col, id_col=id_col).withColumnRenamed("text", text_col)
     every = df.select(text_col, F.inline(rows))
-    cut = recursive_pieces if recursive else stride_pieces
-    pieces = cut(F.col(text_col), F.col("chunk_size"), F.col("overlap"))
+    size, overlap = F.col("chunk_size"), F.col("overlap")
+    if recursive:
+        every, pieces = recursive_pieces(every, text_col, size, overlap, "_pieces"), F.col("_pieces")
+    else:
+        pieces = stride_pieces(F.col(text_col), size, overlap)
     chunks = prune_short(_explode_pieces(every, pieces, text_col), text_col, min_length)
     return chunks.groupBy("configuration", "chunk_size", "overlap").agg(
         F.count("*").alias("total_chunks"), F.round(F.avg(F.length(text_col)), 2).alias("avg_chunk_length"))

@@ -31,16 +31,61 @@ def test_equal_titles_merge_and_fences_hide_headers(spark):
     assert sections(spark, "   ") == []
 
 
-def test_recursive_split_properties():
+def merge_pieces(pieces, size, overlap):
+    """Greedy runs of neighbouring pieces up to ``size``; each run restarts with the tail within ``overlap``."""
+    out, start, total = [], 0, 0
+    for end, piece in enumerate(pieces):
+        if total + len(piece) > size and end > start:
+            out.append("".join(pieces[start:end]))
+            while start < end and (total > overlap or total + len(piece) > size):
+                total -= len(pieces[start])
+                start += 1
+        total += len(piece)
+    if start < len(pieces):
+        out.append("".join(pieces[start:]))
+    return [text for text in map(str.strip, out) if text]
+
+
+def split_text(text, size, overlap, separators=C.SEPARATORS):
+    """The split said plainly, by recursion over lists of pieces."""
+    level = next((i for i, s in enumerate(separators) if s in text), None)
+    if level is None:
+        pieces, finer = list(text), None
+    else:
+        mark, finer = separators[level], separators[level + 1:]
+        head, *tail = text.split(mark)
+        pieces = [p for p in [head] + [mark + t for t in tail] if p]
+    out, run = [], []
+    for piece in pieces:
+        if len(piece) < size or finer is None:
+            run.append(piece)
+            continue
+        out += merge_pieces(run, size, overlap)
+        run = []
+        out += split_text(piece, size, overlap, finer)
+    return out + merge_pieces(run, size, overlap)
+
+
+def test_recursive_split_equals_the_plain_recursion(spark):
     rng = random.Random(7)
-    for _ in range(200):
-        text = "".join(rng.choice(["word ", "a. ", "\n", "\n\n", "long" * rng.randint(1, 30)]) for _ in range(rng.randint(1, 60)))
-        size, overlap = rng.choice([(40, 10), (80, 20), (120, 0)])
-        parts = C.split_text(text, size, overlap)
-        assert all(0 < len(p) <= size for p in parts)
-        assert all(p in text for p in parts)
-        squeezed = "".join(text.split())
-        assert set(squeezed) == set("".join("".join(p.split()) for p in parts))
+    parts = ["word ", "a. ", "\n", "\n\n", "\n\n\n", "x", " ", ".", "é🎓 ", "long" * 9, "y" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 120))) for _ in range(150)] + ["", " ", None, "z" * 500, "z" * 500 + " a", ". " * 90]
+    for size, overlap in ((40, 10), (80, 20), (120, 0), (50, 49), (10, 3)):
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        got = {}
+        for r in C.split_recursive(df, size, overlap).orderBy("id", "chunk_no").collect():
+            got.setdefault(r.id, []).append(r.text)
+        for i, text in enumerate(texts):
+            t = text or ""
+            want = split_text(t, size, overlap) if len(t) > size else [t.strip()] if t.strip() else []
+            assert got.get(i, []) == want, (size, overlap, t)
+            assert all(len(p) <= size for p in want)
+
+
+def test_recursive_split_of_a_very_long_text(spark):
+    text = " ".join(f"word{i}" + (".\n\n" if i % 997 == 0 else "") for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert [r.text for r in C.split_recursive(df, 800, 100).orderBy("chunk_no").collect()] == split_text(text, 800, 100)
 
 
 def test_recursive_split_matches_a_hand_worked_case(spark):
