@@ -12,14 +12,15 @@ in code points) of the formatted text: the texts of the assistant, without marke
 
 A conversation is one row of the result, so its turns meet in one task: the output is the bound.
 
-Cases: null text or role: empty. A null turn comes first; equal turns are ordered by role and text, and repeated
-rows are kept. Rows of a null conversation form one. Empty table: no rows. Other columns are ignored.
+Cases: null text or role: empty. A null turn comes first; turns of one number are ordered by their role and text as
+they are in the table, and repeated rows are kept. Rows of a null conversation form one. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import running_sums
 from .common import let
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -42,46 +43,52 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
-def merged(turns: Column) -> Column:
-    """Runs ``(role, texts)`` of neighbouring turns of one role, by array aggregation over sorted turns."""
-    def step(runs: Column, turn: Column) -> Column:
-        last = F.element_at(runs, -1)
-        grown = F.struct(last["role"].alias("role"), F.array_append(last["texts"], turn["text"]).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["role"] == turn["role"]),
-                      F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown))).otherwise(F.array_append(runs, fresh))
+def marked(turns: Column) -> Column:
+    """Sorted turns ``(role, text, learnt, first, last)``, escaped, with marks where a run of one role begins and ends."""
+    def one(turn: Column, i: Column) -> Column:
+        first = (i == 0) | (turn["role"] != F.get(turns, i - 1)["role"])
+        last = (i == F.size(turns) - 1) | (turn["role"] != F.get(turns, i + 1)["role"])
+        return F.struct(escape_role(turn["role"]).alias("role"), escape(turn["text"]).alias("text"),
+                        (turn["role"] == LEARNT).alias("learnt"), first.alias("first"), last.alias("last"))
+
+    return F.transform(turns, one)
 
-    return F.aggregate(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), step)
 
+def merged(turns: Column) -> Column:
+    """Runs ``(role, texts)`` of marked turns: each run is one slice between two marks."""
+    def runs(starts: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(turns)) - start
+            return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(F.slice(turns, start + 1, size), lambda t: t["text"]).alias("texts"))
+
+        return F.transform(starts, run)
 
-def spans(runs: Column) -> Column:
-    """(start, length) of every text of the assistant in the formatted text; starts run along by array aggregation."""
-    state = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
+    return let(F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: F.get(turns, i)["first"]), runs)
 
-    def over_run(state_: Column, run: Column) -> Column:
-        begin = state_["at"] + len(START) + F.char_length(run["role"]) + 1
 
-        def over_text(inner: Column, text: Column) -> Column:
-            length = F.char_length(text).cast("long")
-            return F.struct((inner["at"] + length + len(SEP)).alias("at"), F.when(
-                run["role"] == LEARNT, F.array_append(inner["spans"], F.struct(inner["at"].alias("start"), length.alias("length"))))
-                .otherwise(inner["spans"]).alias("spans"))
+def spans(turns: Column) -> Column:
+    """(start, length) of every text of the assistant in the formatted text, from running sums over marked turns."""
+    after = lambda t: F.when(t["last"], len(END) + 1).otherwise(0)
+    before = lambda t: F.when(t["first"], F.char_length(t["role"]) + len(START) + 1).otherwise(len(SEP))
+    ends = running_sums(F.transform(turns, lambda t: before(t) + F.char_length(t["text"]) + after(t)))
 
-        first = F.struct(begin.cast("long").alias("at"), state_["spans"].alias("spans"))
-        return let(F.aggregate(run["texts"], first, over_text), lambda done: F.struct(
-            (done["at"] - len(SEP) + len(END) + 1).alias("at"), done["spans"].alias("spans")))
+    def placed(upto: Column) -> Column:
+        every = F.transform(turns, lambda t, i: F.struct(
+            (F.get(upto, i) - after(t) - F.char_length(t["text"])).cast("long").alias("start"),
+            F.char_length(t["text"]).cast("long").alias("length"), t["learnt"].alias("learnt")))
+        learnt = F.filter(every, lambda s: s["learnt"])
+        return F.transform(learnt, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
-    return F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")).cast(state),
-                       over_run)["spans"]
+    return let(ends, placed)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """``(conv_id, formatted, loss_spans)``, one row per conversation."""
-    turn = F.struct("turn", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    sorted_turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    runs = sorted_turns.select("conv_id", merged(F.col("turns")).alias("runs"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = turns.withColumn("turns", marked(F.col("turns")))
     one = lambda run: F.concat(F.lit(START), run["role"], F.lit("\n"), F.array_join(run["texts"], SEP), F.lit(END + "\n"))
-    return runs.select("conv_id", F.array_join(F.transform("runs", one), "").alias("formatted"), spans(F.col("runs")).alias("loss_spans"))
+    return turns.select("conv_id", F.array_join(F.transform(merged(F.col("turns")), one), "").alias("formatted"), spans(F.col("turns")).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

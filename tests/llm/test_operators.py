@@ -209,6 +209,30 @@ def test_chats(spark):
     assert chat_format.digests(chat_format.format_chats(table.limit(0))).count() == 0
 
 
+def test_turns_of_one_number_are_ordered_as_they_are_in_the_table(spark):
+    rows = [(1, 0, "user", "<|a"), (1, 0, "user", "<x"), (1, 0, "user", "<\\|"), (1, None, "user", "z"), (1, 0, "a\nb", "q"), (1, 0, "a\\", "p")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    row = chat_format.format_chats(table).select(chat_format.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    want = sorted(((t is not None, t or 0, r, x) for _, t, r, x in rows))
+    assert [(r["role"], r["text"]) for r in row] == [w[2:] for w in want]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    import time
+    n = 32_000
+    table = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"),
+                                  F.concat(F.lit("text <| é🎓 "), F.col("id").cast("string")).alias("text"))
+    chat_format.digests(chat_format.format_chats(table.limit(10))).collect()
+    start = time.time()
+    row = chat_format.digests(chat_format.format_chats(table)).first()
+    took = time.time() - start
+    texts = [f"text <| é🎓 {i}" for i in range(n)]
+    loss = "".join(t for i, t in enumerate(texts) if i % 5 >= 2)
+    joined = "".join(f"{'user' if i % 5 < 2 else 'assistant'}\n{t}\n" for i, t in enumerate(texts))
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert row["turns_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and took < 20
+
+
 def test_site_lines(docs):
     rows = [(i, f"  Menu \nline {i}\n\nMenu\nline {i}", "a") for i in range(6)] + [(10, "Menu\nb", "b"), (11, None, "b"), (12, "Menu", None)]
     got = {r["doc_id"]: r for r in site_lines.cleaned(docs(rows)).collect()}
