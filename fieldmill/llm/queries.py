@@ -91,10 +91,12 @@ SITE_LINES_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
 keyed AS (SELECT *, trim(line, {BLANKS}) AS bare FROM lines),
-pages AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
-counts AS (SELECT source, bare, count(DISTINCT rid) AS n FROM keyed WHERE bare <> '' GROUP BY source, bare),
+listed AS (SELECT rid, source, coalesce(list(bare ORDER BY pos) FILTER (WHERE bare <> ''), []) AS page FROM keyed GROUP BY rid, source),
+distinct_pages AS (SELECT DISTINCT source, page FROM listed),
+pages AS (SELECT source, count(*) AS n FROM distinct_pages GROUP BY source),
+counts AS (SELECT source, bare, count(*) AS n FROM (SELECT source, unnest(list_distinct(page)) AS bare FROM distinct_pages) AS u GROUP BY source, bare),
 boilerplate AS (SELECT c.source, c.bare FROM counts AS c JOIN pages AS p ON c.source IS NOT DISTINCT FROM p.source
-  WHERE c.n >= {site_lines.LEAST_DOCUMENTS} AND c.n > {site_lines.MAX_RATIO} * p.n),
+  WHERE c.n >= {site_lines.LEAST_PAGES} AND c.n > {site_lines.MAX_RATIO} * p.n),
 marked AS (SELECT k.*, b.bare IS NOT NULL AS gone FROM keyed AS k LEFT JOIN boilerplate AS b
   ON k.source IS NOT DISTINCT FROM b.source AND k.bare = b.bare)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,

@@ -1,14 +1,14 @@
 """Boilerplate lines by site-relative frequency, with Spark expressions only.
 
-Documents are grouped by host. A line is boilerplate where the share of the host's documents that contain it exceeds
-a ratio, and it occurs on a least number of its documents; such lines are dropped from all documents of the host. Only
-distinct lines of a document count, and lines travel as hashes that are counted before they are shuffled. A host can
-have at most (mean lines per document) / (ratio) boilerplate lines, however large it is, so they fit one array.
+Documents are grouped by host. A line is boilerplate where the share of the host's pages that contain it exceeds
+a ratio, and it occurs on a least number of its pages; such lines are dropped from all documents of the host. A page is
+a distinct list of lines: copies count as one, so that no text is taken for boilerplate because it was copied. Only
+distinct lines of a page count, and lines travel as hashes that are counted before they are shuffled. A host can
+have at most (mean lines per page) / (ratio) boilerplate lines, however large it is, so they fit one array.
 
 Cases: null text: empty, no lines. Lines without a word are never counted nor dropped. A line is compared without
-the white space around it. Hosts of one or two documents show no pattern and keep their lines. Copies count like other
-documents, so a text whose copies are more than the ratio of a host's documents is taken for boilerplate of that host. A null host is a host of its own. Repeated rows count as so many documents. A document may
-lose all its lines: its text is then empty. Empty table: no rows. Other columns are kept.
+the white space around it. Hosts of one or two pages show no pattern and keep their lines. A null host is a host of
+its own. Repeated rows are one page. A document may lose all its lines: its text is then empty. Empty table: no rows. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .common import OWN, let, stored, whole
 
 # What a template puts on pages of one section or one period stands on a few per cent of a host's pages, prose does not.
 MAX_RATIO = 0.05
-# Two documents with a line in common may be a document and its copy; a third makes it a pattern of the host.
-LEAST_DOCUMENTS = 3
+# Two pages with a line in common may be a page and its edited copy; a third makes it a pattern of the host.
+LEAST_PAGES = 3
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -33,11 +33,14 @@ def line_key(line: Column) -> Column:
     return let(F.btrim(line, F.lit(BLANKS)), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", max_ratio: float = MAX_RATIO, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", max_ratio: float = MAX_RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """``(host, lines)``: the hashes of each host's boilerplate lines, from the counts over all documents."""
     host = OWN + "host"
-    read = docs.select(F.col(host_col).alias(host), F.array_compact(F.array_distinct(F.transform(lines_of("text"), line_key))).alias("keys"))
-    # a document counts once for its host and once for each of its lines: the host's total is the count of the null line
+    keyed = docs.select(F.col(host_col).alias(host), F.array_compact(F.transform(lines_of("text"), line_key)).alias("keys"))
+    # copies become one page before the shuffle, in each task: two hashes of the list of lines tell pages apart
+    pages = keyed.groupBy(host, F.xxhash64("keys").alias("p"), F.xxhash64(F.lit(1), F.size("keys"), F.reverse("keys")).alias("q")).agg(F.first("keys").alias("keys"))
+    read = pages.select(host, F.array_distinct("keys").alias("keys"))
+    # a page counts once for its host and once for each of its lines: the host's total is the count of the null line
     counted = (read.select(host, F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("line"))
                .groupBy(host, "line").agg(F.count("*").alias("n")))
     frequent = counted.filter(F.col("line").isNull() | (F.col("n") >= least))
@@ -47,7 +50,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", max_ratio: float = MA
             .agg(F.collect_list("line").alias("lines")))
 
 
-def cleaned(docs: DataFrame, host_col: str = "source", max_ratio: float = MAX_RATIO, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def cleaned(docs: DataFrame, host_col: str = "source", max_ratio: float = MAX_RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and the counts ``__llm_lines`` and ``__llm_dropped``.
 
     The boilerplate table is written first, so Spark knows its size: small, it is broadcast; large, a host that holds

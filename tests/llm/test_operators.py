@@ -254,6 +254,14 @@ def test_site_lines_go_that_stand_on_a_tenth_of_a_large_host(docs):
     assert all(got[2000 + i]["text"] == f"own {i}" for i in range(3))
 
 
+def test_copies_of_a_page_are_no_boilerplate(docs):
+    copied = "A page of its own\nwith two lines"
+    rows = [(i, copied, "host") for i in range(100)] + [(1000 + i, f"text {i}\nMenu" if i % 2 else f"text {i}", "host") for i in range(100)]
+    rows += [(2000, copied + " ", "host"), (2001, "with two lines\nMenu\nA page of its own", "host"), (3000, "alone", None)]
+    got = {r["doc_id"]: r["text"] for r in site_lines.cleaned(docs(rows)).collect()}
+    assert got[0] == copied and got[1001] == "text 1" and got[2001] == "with two lines\nA page of its own" and got[3000] == "alone"
+
+
 def brute_next(rows):
     order = sorted(rows, key=lambda r: -r[0])
     return {a[0]: b for a, b in zip(order, order[1:] + order[:1])}
