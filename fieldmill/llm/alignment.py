@@ -66,6 +66,8 @@ _BYTES = _byte_characters()
 class TwoEncoders(Encoder):
     """Ids of both tokenizers, asked once per distinct word where both take a text word by word."""
 
+    first_mark = ""  # the first word follows the added space
+
     def __init__(self, vocabulary: str, model: str):
         import sentencepiece
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -75,20 +77,19 @@ class TwoEncoders(Encoder):
         # a piece never crosses the beginning of a word or a line feed, and no normaliser looks beyond a word
         self.by_words = not any("▁" in n.lstrip("▁") or "\n" in n for n in names) and plain_model(model)
         super().__init__(vocabulary, special_as_text=True)
+        self.b_starts, self.b_counts, self.b_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.sound = np.zeros(0, bool)
         table = {i: t for t, i in self.library.get_vocab().items()}
         self.a_bytes = [byte_table(table[i]) if set(table.get(i, "")) <= _BYTES.keys() else table[i].encode("utf-8") for i in range(len(table))]
         if max(len(table), len(names)) > 1 << ID_BITS:
             raise ValueError("a vocabulary is too large for the numbers of pairs")
         self.b_lengths = np.array([len(b) for b in self.b_bytes], np.int64)
 
-    def empty(self):
-        super().empty()
-        self.b_starts, self.b_counts, self.b_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.sound = np.zeros(0, bool)
-
-    def words(self, text: str) -> list[str] | None:
-        found = super().words(text) if self.by_words else None
-        return None if found is None else [found[0][1:], *found[1:]]  # the first word follows the added space
+    def _forget(self):
+        super()._forget()
+        keep = len(self.starts)
+        self.b_starts, self.b_counts, self.sound = self.b_starts[:keep].copy(), self.b_counts[:keep].copy(), self.sound[:keep].copy()
+        self.b_ids = self.b_ids[:int(self.b_starts[-1] + self.b_counts[-1])].copy()
 
     def _learn(self):
         new = self.memo.fresh
@@ -107,13 +108,12 @@ class TwoEncoders(Encoder):
 
     def both(self, many: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Per text the ids of A and of B, or None where it has no tokens."""
-        if len(self.memo) > self.memo_words:
-            self.empty()
-        found = [self.words(t) for t in many]
-        numbers = [None if w is None else np.fromiter(map(self.memo.__getitem__, w), np.int64, len(w)) for w in found]
-        self._learn()
-        out = []
-        for text, n in zip(many, numbers):
+        split = [self.by_words and self.splits(t) for t in many]
+        numbers, cuts = self.numbered([t for t, s in zip(many, split) if s])
+        out, at = [], 0
+        for text, s in zip(many, split):
+            n = numbers[cuts[at]:cuts[at + 1]] if s else None
+            at += s
             if n is not None and self.sound[n].all():
                 out.append((gather(self.ids, self.starts[n], self.lengths[n]), gather(self.b_ids, self.b_starts[n], self.b_counts[n])))
             else:

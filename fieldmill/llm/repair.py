@@ -1,10 +1,11 @@
 """Token ids in binary shards compressed by Re-Pair, with random access to each document.
 
 A shard is one row of a Parquet file: which documents it holds and one binary payload. Re-Pair replaces frequent
-pairs of neighbouring ids by a new id (a rule) until no pair is frequent; a round counts all pairs of the shard and
-replaces every pair above the round's threshold, the more frequent one first where two overlap. A pair never crosses
-the end of a document, so a document is a slice of the compressed sequence and decodes alone: its rules are expanded
-through the stored expansion lengths.
+pairs of neighbouring ids by a new id (a rule) until no pair is frequent; a round counts the pairs of the shard and
+replaces those within 1 / ``ROUND_SHARE`` of the most frequent one, the more frequent first where two overlap. Counts
+of old pairs only fall, so later rounds look at pairs that were frequent before or hold a new id. A pair never crosses
+the end of a document, so a document is a slice of the compressed sequence and decodes alone, and so does any range of
+it: the stored expansion lengths tell which symbols hold the range.
 
 Payload, little-endian: magic ``FMRP``, then uint32 ``terminals, rules, symbols, documents``; rules as two uint32
 arrays (left, right) and one of expansion lengths; the sequence as uint32; the first symbol of each document and one
@@ -30,8 +31,9 @@ from .tokens import batches, default_vocabulary, encoder, gather
 
 MAGIC = b"FMRP"
 SHARD_TOKENS = 1 << 20
+#: A pair is frequent if a shard holds it so often.
 MIN_COUNT = 16
-ROUNDS = 12
+ROUND_SHARE = 32
 
 SHARD_SCHEMA = ("partition int, shard int, start_in_task long, n_ids long, doc_ids array<long>, n_tokens array<int>, "
                 "payload binary")
@@ -39,11 +41,31 @@ IDS_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def bucket(codes: np.ndarray) -> np.ndarray:
-    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int = MIN_COUNT,
-             rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+BUCKETS = 1 << 17
+
+
+def places_of(pairs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers): where ``codes`` holds one of the ascending ``pairs``, and which.
+
+    A table by hash gives one pair per bucket; only where several pairs share a bucket a place is searched.
+    """
+    own, hashed = bucket(pairs), bucket(codes)
+    table = np.full(BUCKETS, -1, np.int32)
+    table[own] = np.arange(len(pairs))
+    crowded = np.bincount(own.astype(np.int64), minlength=BUCKETS) > 1
+    spot = table[hashed]
+    near = np.flatnonzero(spot >= 0)
+    found = spot[near].astype(np.int64)
+    open_ = np.flatnonzero((pairs[found] != codes[near]) & crowded[hashed[near]])
+    found[open_] = np.minimum(np.searchsorted(pairs, codes[near[open_]]), len(pairs) - 1)
+    right = pairs[found] == codes[near]
+    return near[right], found[right]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (left, right, sequence, last) where ``last`` marks the last symbol of each document.
 
     ``ends`` holds one past the last id of each document; every document has an id at least.
@@ -52,29 +74,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int =
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     left, right, known = [], [], terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        codes = (seq[:-1] << 32) | seq[1:]
-        codes[last[:-1]] = -1
+    look = np.ones(len(seq), bool)  # where a pair starts that may be frequent
+    while True:
+        look &= ~last  # the last symbol of all is the last of its document
+        at = np.flatnonzero(look)
+        codes = (seq[at] << 32) | seq[at + 1]
         ordered = np.sort(codes)
-        ordered = ordered[np.searchsorted(ordered, 0):]
         starts = np.flatnonzero(np.diff(ordered, prepend=-1))
         counts = np.diff(starts, append=len(ordered))
-        top = int(counts.max(initial=0))
-        if top < min_count:
+        often = np.flatnonzero(counts >= min_count)
+        if not len(often):
             break
-        often = np.flatnonzero(counts >= max(min_count, top // 32))
         pairs, counts = ordered[starts[often]], counts[often]
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
-        # where frequent pairs stand: a table of hashes first, a search only where it says maybe
-        maybe = np.zeros(1 << 20, bool)
-        maybe[bucket(pairs)] = True
-        near = np.flatnonzero(maybe[bucket(codes)])
-        found = np.minimum(np.searchsorted(pairs, codes[near]), len(pairs) - 1)
-        right_one = pairs[found] == codes[near]
-        near, found = near[right_one], found[right_one]
+        near, found = places_of(pairs, codes)
+        look[:] = False
+        look[at[near]] = True
+        now = counts[found] >= int(counts.max()) // ROUND_SHARE
+        near, found = at[near[now]], found[now]
         # of two overlapping pairs the more frequent one is taken; in a run of one id every other pair
         key = 2 * rank[found]
         touch = np.diff(near) == 1
@@ -96,12 +114,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int =
         right.append(pairs[used] & 0xFFFFFFFF)
         seq[places] = numbers[chosen]
         last[places] = last[places + 1]
+        look[places] = True
+        look[np.maximum(places - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq, last, look = seq[keep], last[keep], look[keep]
         known += int(used.sum())
-        if len(places) * 100 < len(keep):  # the next rounds would save less than their rules take
-            break
     none = np.zeros(0, np.int64)
     return np.concatenate(left or [none]), np.concatenate(right or [none]), seq, last
 
@@ -162,22 +180,43 @@ class Shard:
         ids, starts, lengths = self._expansions()
         return gather(ids, starts[self.sequence], lengths[self.sequence])
 
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of some symbols: every pass opens one level of rules."""
+        while (rule := symbols >= self.terminals).any():
+            place = np.cumsum(1 + rule) - 1 - rule
+            out = np.empty(len(symbols) + int(rule.sum()), np.int64)
+            out[place[~rule]] = symbols[~rule]
+            numbers = symbols[rule] - self.terminals
+            out[place[rule]], out[place[rule] + 1] = self.left[numbers], self.right[numbers]
+            symbols = out
+        return symbols
+
     def document(self, k: int) -> np.ndarray:
         """The ids of one document, from its own symbols only."""
-        out, stack = [], list(self.sequence[self.first[k]:self.first[k + 1]][::-1])
-        while stack:
-            symbol = int(stack.pop())
-            if symbol < self.terminals:
-                out.append(symbol)
-            else:
-                stack += [self.right[symbol - self.terminals], self.left[symbol - self.terminals]]
-        return np.array(out, np.int64)
+        return self.expanded(self.sequence[self.first[k]:self.first[k + 1]])
+
+    def range(self, k: int, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of one document: the stored lengths find the symbols that hold them, and only
+        these are expanded."""
+        symbols = self.sequence[self.first[k]:self.first[k + 1]]
+        ends = np.cumsum(self.lengths_of(symbols))
+        start, stop = max(start, 0), min(stop, int(ends[-1]))
+        if start >= stop:
+            return symbols[:0]
+        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+        before = int(ends[a - 1]) if a else 0
+        return self.expanded(symbols[a:b])[start - before:stop - before]
+
+    def lengths_of(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for, without decoding it."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.terminals
+        out[rule] = self.rule_lengths[symbols[rule] - self.terminals]
+        return out
 
     def n_ids(self, k: int) -> int:
         """Ids of one document by the stored lengths, without decoding it."""
-        symbols = self.sequence[self.first[k]:self.first[k + 1]]
-        rules = symbols[symbols >= self.terminals] - self.terminals
-        return int(len(symbols) - len(rules) + self.rule_lengths[rules].sum())
+        return int(self.lengths_of(self.sequence[self.first[k]:self.first[k + 1]]).sum())
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None,

@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
 
@@ -25,24 +27,43 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def by_words(text: str) -> bool:
+    """Whether the ids of a text are those of its words: no white space stands next to a space or line feed."""
+    return not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
+                or _ODD.search(text) is not None)
+
+
 def words_of(text: str) -> list[str] | None:
     """The words of a text: its parts before single spaces and single line feeds, a line feed staying with its word.
 
     The first word gets a line feed too. None where white space stands next to a space or line feed.
     """
-    if ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
-            or _ODD.search(text) is not None):
-        return None
-    return ("\n" + text.replace("\n", " \n")).split(" ")
+    return ("\n" + text.replace("\n", " \n")).split(" ") if by_words(text) else None
+
+
+class Memo(dict):
+    """Numbers words in the order they are first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
 
 
 class Encoder:
-    """Ids of many texts at once. Memory is bounded: the memo is emptied when it holds ``memo_words`` words.
+    """Ids of many texts at once. Memory is bounded: of more than ``memo_words`` words the memo keeps the first half,
+    which holds the frequent ones, as they are met first.
 
     Strings of special tokens inside a text become their ids, as is the library's default, unless ``special_as_text``.
     """
 
-    def __init__(self, path: str, memo_words: int = 200_000, special_as_text: bool = False):
+    first_mark = "\n"  # stands before the first word, so that it does not take a space; its id is dropped
+
+    def __init__(self, path: str, memo_words: int = 300_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -53,17 +74,23 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             lengths[i] = len(token)  # one character stands for one byte
         self.byte_lengths, self.memo_words = lengths, memo_words
-        self.empty()
-
-    def empty(self):
-        self.memo = _Memo()
+        self.memo = Memo()
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _forget(self):
+        """Keep the words that were met first."""
+        keep = self.memo_words // 2
+        held, self.memo = self.memo, Memo()
+        self.memo.update((w, n) for w, n in held.items() if n < keep)
+        self.starts, self.lengths = self.starts[:keep].copy(), self.lengths[:keep].copy()
+        self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])].copy()
+
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def words(self, text: str) -> list[str] | None:
-        return None if not text or any(s in text for s in self.special) else words_of(text)
+    def splits(self, text: str) -> bool:
+        """Whether a text is read word by word."""
+        return bool(text) and by_words(text) and not any(s in text for s in self.special)
 
     def _learn(self):
         """Ask the library for the words that the memo met since last time, many in one text."""
@@ -78,36 +105,37 @@ class Encoder:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
 
-    def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
+
+        Arrow cuts the texts and finds the distinct words; only these are looked up one by one.
+        """
         if len(self.memo) > self.memo_words:
-            self.empty()
-        numbers: list[np.ndarray | None] = []
-        for text in texts:
-            words = self.words(text)
-            numbers.append(None if words is None else np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)))
+            self._forget()
+        lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))
         self._learn()
-        tail = np.array([end_id] if end_id is not None else [], np.int32)
-        out, offsets = [], np.zeros(len(texts) + 1, np.int64)
-        for k, (text, n) in enumerate(zip(texts, numbers)):
-            # the line feed before the first word is its first id
-            ids = self.plain(text) if n is None else gather(self.ids, self.starts[n], self.lengths[n])[1:]
-            out += [ids, tail]
-            offsets[k + 1] = offsets[k] + len(ids) + len(tail)
-        return np.concatenate(out) if out else np.zeros(0, np.int32), offsets
-
-
-class _Memo(dict):
-    """Numbers words in the order they are first met."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh = []
+        return numbers[coded.indices.to_numpy()], lists.offsets.to_numpy()
 
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
+    def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
+        split = [self.splits(t) for t in texts]
+        numbers, cuts = self.numbered([t for t, s in zip(texts, split) if s])
+        ids = gather(self.ids, self.starts[numbers], self.lengths[numbers])
+        ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])[cuts]
+        tail = np.array([end_id] if end_id is not None else [], np.int32)
+        out, sizes, at = [], np.zeros(len(texts), np.int64), 0
+        for k, (text, s) in enumerate(zip(texts, split)):
+            if s:  # the first id is that of the mark before the first word
+                own = ids[ends[at] + 1:ends[at + 1]]
+                at += 1
+            else:
+                own = self.plain(text)
+            out += [own, tail]
+            sizes[k] = len(own) + len(tail)
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

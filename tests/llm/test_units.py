@@ -206,3 +206,42 @@ def test_long_blocks_without_stop_words_stay_boilerplate_on_known_pages():
 
 def test_crc_is_little_endian():
     assert zlib.crc32(np.array([1, 0], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\0\0\0\0")
+
+
+def test_no_pair_stays_frequent_and_ranges_decode_by_lengths():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 50, rng.integers(2, 9)) for _ in range(30)]
+    docs = [np.concatenate([words[k] for k in rng.integers(0, 30, rng.integers(1, 200))]) for _ in range(60)]
+    docs += [np.full(500, 7), np.array([3]), docs[0], docs[0]]
+    ids, counts = np.concatenate(docs), np.array([len(d) for d in docs])
+    left, _, seq, last = R.compress(ids, np.cumsum(counts), 50)
+    codes = ((seq[:-1] << 32) | seq[1:])[~last[:-1]]
+    # a run of one id counts every neighbour, though it can be replaced at every other place only
+    pairs, often = np.unique(codes, return_counts=True)
+    assert len(left) and not (often[(pairs >> 32) != (pairs & 0xFFFFFFFF)] >= R.MIN_COUNT).any()
+    shard = R.Shard(R.pack(ids, counts, 50))
+    for k, d in enumerate(docs):
+        assert (shard.document(k) == d).all() and shard.n_ids(k) == len(d)
+        for a, b in rng.integers(-2, len(d) + 3, (6, 2)):
+            assert (shard.range(k, int(a), int(b)) == d[max(a, 0):max(b, 0)]).all()
+
+
+def test_places_in_crowded_buckets(monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 8)
+    monkeypatch.setattr(R, "bucket", lambda codes: codes.astype(np.uint64) % np.uint64(8))
+    pairs, codes = np.arange(0, 100, 3), np.random.default_rng(1).integers(0, 120, 1000)
+    at, found = R.places_of(pairs, codes)
+    assert at.tolist() == [i for i, c in enumerate(codes) if c < 100 and c % 3 == 0] and (pairs[found] == codes[at]).all()
+
+
+@pytest.mark.parametrize("memo", [5, 100_000])
+def test_special_strings_are_read_as_the_library_does(memo):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a b", "", "c  d", "a <|endoftext b", "a\nb c d e f g h i j"] * 2
+    plain, as_text = Encoder(default_vocabulary(), memo), Encoder(default_vocabulary(), memo, special_as_text=True)
+    from tokenizers import Tokenizer
+    for own, special in ((plain, False), (as_text, True)):
+        library = Tokenizer.from_file(default_vocabulary())
+        library.encode_special_tokens = special
+        for some in (texts[:3], texts[3:], texts):
+            ids, offsets = own.encode(some)
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [0] for t in some]
