@@ -18,19 +18,8 @@ TRUTH = "SELECT b.item_id AS query_id, d.doc_id FROM {benchmark} AS b JOIN {docu
 
 
 def truth(t):
-    """Which documents hold which benchmark text: a fixed ground truth of the given tables.
-
-    Containment is not an equi-join, so candidates meet on the benchmark text's longest word first.
-    """
-    words = F.split("text", r"\s+")
-    # inner words only: the first and last word of a passage may touch other letters inside a document
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    bench = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), longest.alias("word"))
-    docs = t.documents.select("doc_id", F.explode_outer(F.array_distinct(words)).alias("word"))
-    met = docs.join(broadcast_if_small(bench, t.benchmark), "word").select("query_id", "passage", "doc_id")
-    return t.documents.select("doc_id", "text").join(met, "doc_id").filter(F.contains("text", "passage")).select(
-        "query_id", "doc_id")
+    """Which documents hold which benchmark text: a fixed ground truth of the given tables."""
+    return E.containment_truth(RT.bench_queries(t), t.documents)
 
 
 @check("i1_with_distractors", """
@@ -50,6 +39,24 @@ def i2(t):
     return E.recall_at_k(RT.bm25_hits(t, 5), truth(t))
 
 
+# passages of one and two words, the second cut short, and one of spaces
+SHORT = """SELECT item_id AS query_id, split_part(text, ' ', 1) AS query FROM {benchmark} AS b
+  UNION ALL SELECT item_id + 100000, split_part(text, ' ', 2) || ' ' || substr(split_part(text, ' ', 3), 1, 2) FROM {benchmark} AS b
+  UNION ALL SELECT item_id + 200000, substr(text, 1, 1 + item_id % 3) FROM {benchmark} AS b
+  UNION ALL SELECT 300000, '  '"""
+
+
+@check("i2_recall_short_passages", f"""WITH {bm25_ctes(DOCS, SHORT)},
+  truth AS (SELECT q.query_id, d.doc_id FROM ({SHORT}) AS q JOIN {{documents}} AS d ON contains(d.text, q.query)),
+  j AS (SELECT t.query_id, count(DISTINCT t.doc_id) AS n_true, min(bm.rank) AS best FROM truth AS t LEFT JOIN bm ON bm.query_id = t.query_id AND bm.doc_id = t.doc_id AND bm.rank <= 5 GROUP BY 1)
+SELECT query_id, n_true, CASE WHEN best IS NULL THEN 0.0 ELSE 1.0 END AS recall FROM j""")
+def i2_short(t):
+    queries = t.sql(SHORT)
+    held = E.containment_truth(queries, t.documents)
+    hits = B.bm25_topk(queries, RT.index_of(t.documents), 5)
+    return E.recall_at_k(hits, held).join(held.groupBy("query_id").agg(F.count("*").alias("n_true")), "query_id")
+
+
 @check("i3_reciprocal_rank", JUDGED + " SELECT query_id, round(coalesce(1.0 / best, 0.0), 6) AS reciprocal_rank FROM j")
 def i3(t):
     out = E.reciprocal_rank(RT.bm25_hits(t, 5), truth(t))

@@ -339,3 +339,23 @@ def test_a_request_without_profile_searches_with_the_default_one(spark):
     got = {r["query_id"]: r for r in prepare_requests(requests, profiles).collect()}
     assert got[1]["nationality"] == "Egypt" and got[1]["academic_level"] == "PhD"
     assert got[2]["nationality"] == "Unknown" and got[2]["academic_level"] == "Bachelor" and got[2]["gpa"] == 0.0
+
+
+def test_containment_of_passages_of_any_length(spark):
+    rng = random.Random(11)
+    vocab = ["a", "ab", "of", "the", "stone", "bridge", "river", "é🎓", "x", "longer-word", "b"]
+    docs = [(i, "".join(rng.choice(vocab) + rng.choice([" ", " ", "\n", "  "]) for _ in range(rng.randint(0, 80)))) for i in range(80)] + [(900, None), (901, "")]
+    passages = []
+    for n in range(150):
+        text = rng.choice(docs[:80])[1]
+        at = rng.randint(0, max(0, len(text) - 1))
+        passages.append((n, text[at:at + rng.choice([0, 1, 2, 3, 5, 9, 20, 60, 150, 400])]))
+    passages += [(500, None), (501, "zzz"), (502, "the  stone of nothing here at all that could be anywhere in these few short texts"), (503, "  ")]
+    got = I.containment_truth(spark.createDataFrame(passages, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    want = {(q, d) for q, p in passages for d, t in docs if p is not None and t is not None and p in t}
+    assert set(rows) == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    empty = spark.createDataFrame([], "query_id long, query string")
+    assert I.containment_truth(empty, spark.createDataFrame(docs, "doc_id long, text string")).count() == 0

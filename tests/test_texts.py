@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmill.functions.html import html_to_text
+from fieldmill.functions.html import Step, elements, html_to_text
+from fieldmill.functions.text import decode_entities, running_sums
 from fieldmill.operators import chunks as C, documents as D, pages as P
 
 
@@ -216,3 +217,60 @@ def test_native_operators_stay_in_the_jvm(spark):
     df = spark.createDataFrame([(1, "# T\ntext")], "doc_id long, md string")
     plan = C.split_sections(df, "md")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_every_character_reference_is_decoded(spark):
+    import html
+    import html.entities
+    names = sorted(html.entities.html5)
+    texts = [f"a &{n} b&{n}c" for n in names] + [
+        "&#233;&#xE9;&#XE9;&#8217;&#128;&#150x;&#0;&#xD800;&#x110000;&#99999999999;&#x1F600;&#0000233;", "&notit; &ampfoo &copy2 &foo; & &; &#; &#x;",
+        "&amp;lt; &amp;amp;", "plain", "", "Universit&eacute; d&#8217;&Eacute;t&#233;", "&hellip", "1&2", "a&b;c&nbsp"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", decode_entities(F.col("t")).alias("d")).collect()}
+    assert got.pop(-1) is None
+    assert [(texts[i], d) for i, d in got.items() if d != html.unescape(texts[i])] == []
+
+
+def test_running_sums(one):
+    for n in (1, 2, 63, 64, 65, 200):
+        numbers = [(7 * i) % 11 - 5 for i in range(n)]
+        total, want = 0, []
+        for x in numbers:
+            total += x
+            want.append(total)
+        assert one(running_sums(F.array(*[F.lit(x) for x in numbers])), x=0) == want
+
+
+PAGE = ('<div id="a"><ul class="x y"><li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul></li><li><a href="/no">n</a></li></ul></div>'
+        "<ul><li class='e f'><a href='/2?a&amp;b'>q</a></ul><a href=/3>r</a><ul class=x><li class=e><a>none</a><A HREF=\"/4\">s</A></li>")
+
+
+def test_elements_end_by_depth(one):
+    assert one(elements(F.col("x"), Step("li")), x=PAGE)[:2] == ['<li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul>', '<li class="e"><a href="/1">z</a>']
+    outer = one(elements(F.col("x"), Step("li"), outermost=True), x=PAGE)
+    assert [o.count("<li") for o in outer[:2]] == [2, 1]
+    assert one(elements(F.col("x"), Step("div", id="a")), x=PAGE)[0].endswith("</ul>")
+    assert one(elements(F.col("x"), Step("div", id="b")), x=PAGE) == [] == one(elements(F.col("x"), Step("p")), x="")
+    deep = "<div>" * 300 + "x" + "</div>" * 300
+    assert [len(e) for e in one(elements(F.col("x"), Step("div")), x=deep)] == [5 + 11 * (299 - k) + 1 for k in range(300)]
+
+
+def test_links_of_a_list(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<!--" + PAGE + "-->")], "page_id long, html string")
+    steps = [Step("ul", "x"), Step("li", "e"), Step("a")]
+    rows = {(r.link, r.first_pos) for r in P.harvest_links(pages, "r:", within=steps).collect()}
+    assert rows == {("r:/1", 0), ("r:/4", 1)}
+    assert {r.link for r in P.harvest_links(pages.filter("page_id < 4"), "r:", within=[Step("li", "f"), Step("a")]).collect()} == {
+        "r:/2?a&b", "r:/3", "r:/4"}  # this item is not closed, so it reaches to the end
+
+
+def test_program_fields(spark):
+    page = ('<div id="ueberblick"><h3><b>Objective</b></h3><div>x</div><p>To <i>learn</i></p><p>more</p></div><p>Objective</p>'
+            '<div id="prozess"><div><h3>Application deadline</h3><p>1 May</p></div></div>')
+    plain = '<div id="ueberblick"><p>' + "y" * 400 + "</p></div>"
+    pages = spark.createDataFrame([(1, page), (2, plain), (3, None)], "page_id long, html string")
+    got = {r.page_id: r for r in P.program_fields(pages, "r:").collect()}
+    assert (got[1].description, got[1].deadline, got[1].eligibility) == ("Tolearn", "1 May", "N/A")
+    assert got[2].description == "y" * 300 + "..." and got[2].deadline == "Not Specified"
+    assert got[3].description == got[3].scholarship_details == "N/A"
