@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K, rules as R
-from ..functions.text import clean_text
-from ..operators import chunks as C, quality as Q
+from ..functions.text import clean_text, words as words_of
+from ..operators import chunks as C, profile_store as S, quality as Q
+from ..session import fresh_path
 from .base import check
 from .rules import SQL_DEADLINE, _deadlines
-from .snippets import clean, q, strip, wc
+from .snippets import clean, q, strip, wc, words
 from .texts import SQL_SECTIONS, _markdown
 
 TEXT_COLS = ["description", "eligibility", "scholarship_details", "application_process"]
@@ -236,3 +239,37 @@ SELECT count(*) AS n_rows, count(*) FILTER (deadline = 'Not Specified') AS n_mis
   regexp_extract_all(coalesce(eligibility, '') || coalesce(application_process, ''), '\\[(https?://[^\\s\\]]+)\\]', 1)), lambda x: x IS NOT NULL AND x <> '')))) AS BIGINT) AS n_links FROM {listings} AS l""")
 def h25(t):
     return Q.link_report(t.listings)
+
+
+def _within(column: str, measure: str) -> str:
+    """Exact figures of an integer measure, and that the merged sketches are as near as they state."""
+    return f"""SELECT '{column}' AS column_name, count(*) AS n_rows, count(*) - count({measure}) AS n_missing, round(avg({measure}), 6) AS mean,
+  CAST(min({measure}) AS BIGINT) AS low, CAST(max({measure}) AS BIGINT) AS high, true AS quantiles_near, true AS distinct_near, true AS top_exact FROM """
+
+
+@check("h12_merged_profiles", f"""
+{_within('chars', 'length(text)')} documents UNION ALL {_within('words', f"len({words('text')})")} documents UNION ALL
+SELECT 'lang', count(*), count(*) FILTER (WHERE lang IS NULL), NULL, NULL, NULL, true, true, true FROM documents""")
+def h12_profiles(t):
+    """Sketches per source are stored and merged; the exact figures of the table tell how near they are."""
+    docs, path = t.documents, fresh_path(t.spark, "profiles")
+    measures = {"chars": F.length("text"), "words": F.size(words_of("text"))}
+    S.store_profiles(S.profile_parts(docs, F.col("source"), ["lang"], measures), path)
+    changed = docs.filter("source = 'src1'")  # a part that is profiled again replaces its own rows
+    S.store_profiles(S.profile_parts(changed, F.col("source"), ["lang"], measures), path)
+    found = S.report(S.read_profiles(t.spark, path), percentiles=(0.25, 0.5, 0.95))
+    values = docs.select(F.inline(F.array(*[F.struct(F.lit(name).alias("column_name"), m.cast("string").alias("v")) for name, m in (
+        *measures.items(), ("lang", F.col("lang")))]))).filter("v IS NOT NULL")
+    ranked = values.join(F.broadcast(found.select("column_name", "p25", "p50", "p95")), "column_name")
+    shares = [(p, F.try_divide(F.count_if(F.col("v").cast("bigint") < F.col(c)), F.count("p50")), F.try_divide(
+        F.count_if(F.col("v").cast("bigint") <= F.col(c)), F.count("p50"))) for p, c in ((0.25, "p25"), (0.5, "p50"), (0.95, "p95"))]
+    number = F.col("column_name") != "lang"
+    ranked = ranked.withColumn("v", F.when(number, F.col("v")))
+    near = ranked.groupBy("column_name").agg(F.coalesce(reduce(lambda a, b: a & b, [
+        (below <= p + S.RANK_ERROR) & (upto >= p - S.RANK_ERROR) for p, below, upto in shares]), F.lit(True)).alias("quantiles_near"))
+    counts = values.groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    true = counts.groupBy("column_name").agg(F.count("*").alias("d"), F.max("n").alias("most"))
+    out = found.join(near, "column_name").join(true, "column_name")
+    return out.select("column_name", "n_rows", "n_missing", F.round("mean", 6).alias("mean"), "low", "high", "quantiles_near",
+                      (F.abs(F.col("n_distinct") - F.col("d")) <= F.greatest(S.DISTINCT_ERROR * F.col("d"), F.lit(1))).alias("distinct_near"),
+                      (F.get("top", F.lit(0))["count"] == F.col("most")).alias("top_exact"))

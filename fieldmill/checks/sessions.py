@@ -180,3 +180,19 @@ SELECT query_id, 'Student Profile:' || chr(10) || chr(10) || chr(10) || 'Student
   || 'Retrieved Scholarships Context:' || chr(10) || context AS prompt FROM ctx JOIN queries USING (query_id)""")
 def g11_answer(t):
     return H.prompts(g10(t).join(RT.bench_queries(t), "query_id"), H.ANSWER_SECTIONS).select("query_id", "prompt")
+
+
+@check("g11_letter_prompts", """
+SELECT session_id, 'Write a ' || CASE WHEN item_id % 2 = 0 THEN 'letter' ELSE 'email' END || ' for a scholarship application. Tone: ' || CASE WHEN item_id % 3 = 0 THEN 'formal' ELSE 'warm' END || '.'
+  || chr(10) || chr(10) || 'STUDENT PROFILE:' || chr(10) || 'Major: ' || p.academic_major || ', Level: ' || p.academic_level || ', Nationality: ' || nationality
+  || CASE WHEN coalesce(research_interests, '') <> '' THEN chr(10) || 'Interests: ' || research_interests ELSE '' END
+  || chr(10) || chr(10) || 'SCHOLARSHIP DETAILS:' || chr(10) || coalesce(scholarship_details, '') || chr(10) || chr(10)
+  || 'ADDITIONAL NOTES (Key points to include):' || chr(10) || CASE WHEN item_id % 4 = 0 THEN 'Mention ' || host_country ELSE '' END AS prompt
+FROM {profiles} AS p JOIN {items} AS i ON session_id = 's' || CAST(item_id AS STRING)""")
+def g11_letter(t):
+    asked = t.items.select(F.concat(F.lit("s"), F.col("item_id").cast("string")).alias("session_id"), F.col("scholarship_details").alias("details"),
+                           F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("Mention "), "host_country")).alias("notes"),
+                           F.when(F.col("item_id") % 2 == 0, "letter").otherwise("email").alias("kind"),
+                           F.when(F.col("item_id") % 3 == 0, "formal").otherwise("warm").alias("tone"))
+    rows = P.profile_text(t.profiles, "line").select("session_id", "profile_text").join(asked, "session_id")
+    return H.prompts(rows, H.LETTER_SECTIONS, instructions=H.letter_instructions("tone", "kind")).select("session_id", "prompt")

@@ -40,6 +40,31 @@ def a2(t):
     return named.select("item_id", F.rlike("source_file", F.lit(r"^part-.*\.json$")).cast("int").alias("is_part_file"))
 
 
+def _array_files(t):
+    """The listing view as one JSON array per file, some files per source, named like the deliveries."""
+    cells = [*RAW_LISTING.names, "item_id"]
+    named = t.listings.withColumn("tags", F.split("tags", ", ")).withColumn("file", F.concat(
+        F.regexp_replace("source_file", r"\.json$", ""), F.lit("_"), (F.col("item_id") % 4).cast("string"), F.lit(".json")))
+    arrays = named.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(
+        F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})), ",\n"), F.lit("]")).alias("value"))
+    folder, out = fresh_path(t.spark, "arrays"), fresh_path(t.spark, "deliveries")
+    arrays.write.partitionBy("file").text(folder)
+    fs_path = t.spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(out))
+    for found in fs.globStatus(fs_path(f"{folder}/file=*/part-*")):
+        fs.rename(found.getPath(), fs_path(out, found.getPath().getParent().getName().removeprefix("file=")))
+    return out
+
+
+@check("a1_read_arrays", f"""SELECT item_id, {LISTING_COLS}, array_to_string(string_split(tags, ', '), '|') AS tags,
+  regexp_replace(source_file, '\\.json$', '') || '_' || CAST(item_id % 4 AS STRING) || '.json' AS source_file FROM {{listings}} AS l""")
+def a1_arrays(t):
+    """JSON arrays over several lines, found by the default pattern, with the names of their files."""
+    schema = T.StructType(RAW_LISTING.fields + [T.StructField("item_id", T.LongType())])
+    return L.read_listings(t.spark, _array_files(t), schema=schema).withColumn("tags", F.array_join("tags", "|"))
+
+
 @check("a3_source_family", """
 SELECT source_file, CASE WHEN contains(lower(source_file), 'daad') THEN 'DAAD' ELSE 'Scholarships_com' END AS source_script,
        count(*) AS n FROM {listings} AS l GROUP BY 1, 2""")
@@ -89,6 +114,33 @@ def a6(t):
         "doc_id", "section_no", "chunk_no", "text", F.size("embedding").alias("dim"), norm2.isin(0.0, 1.0).alias("unit"))
 
 
+def _edited(t):
+    """The documents of a later delivery: a third changed at the end, a tenth gone."""
+    return t.sql("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' added line' ELSE text END AS text FROM {documents} WHERE doc_id % 10 <> 7""")
+
+
+def _strides(source: str) -> str:
+    return (f"SELECT doc_id, i AS chunk_no, substr(text, CAST(i * 700 + 1 AS BIGINT), 800) AS text FROM (SELECT doc_id, text, "
+            f"unnest(generate_series(0, (greatest(length(text), 1) - 1) // 700)) AS i FROM ({source}) AS s) AS c WHERE length(text) > 0")
+
+
+_LATER = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' added line' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7"
+
+
+@check("a6_chunk_sync", f"""
+WITH o AS ({_strides('SELECT doc_id, text FROM documents')}), n AS ({_strides(_LATER)}),
+  runs AS (SELECT 1 AS run, (SELECT count(*) FROM o) AS n_added, 0 AS n_dropped UNION ALL
+    SELECT 2, (SELECT count(*) FROM n ANTI JOIN o USING (doc_id, chunk_no, text)), (SELECT count(*) FROM o ANTI JOIN n USING (doc_id, chunk_no, text)))
+SELECT CAST(run AS INT) AS run, n_added, CAST(n_dropped AS BIGINT) AS n_dropped, (SELECT count(*) FROM n) AS n_live, (SELECT sum(length(text)) FROM n) AS live_chars FROM runs""")
+def a6_sync(t):
+    """Three deliveries, the third like the second: it writes nothing, so it has no row."""
+    path, keys = fresh_path(t.spark, "chunks"), ("doc_id", "chunk_no")
+    for run, docs in enumerate((t.documents.select("doc_id", "text"), _edited(t), _edited(t)), 1):
+        S.sync_chunks(split_stride(docs, 800, 100), path, hashing_encoder, run=run, keys=keys)
+    live = S.live_chunks(t.spark, path, keys).agg(F.count("*").alias("n_live"), F.sum(F.length("text")).alias("live_chars"))
+    return S.sync_history(t.spark, path).withColumns({"n_live": live.select("n_live").scalar(), "live_chars": live.select("live_chars").scalar()})
+
+
 @check("a7_require_and_filter", """
 SELECT item_id, description FROM {listings} AS l WHERE length(trim(description, ' ' || chr(9) || chr(10) || chr(13))) > 0""")
 def a7(t):

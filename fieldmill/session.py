@@ -33,10 +33,14 @@ def build_session(app: str = "fieldmill", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a fresh local folder is used.
+    Only where the session names none and all its work is in one process (tests) a fresh local folder is used: the
+    executors of a cluster would not see it, and rows would be lost.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="fieldmill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import fixed as K
@@ -46,6 +46,61 @@ def write_chunks(chunks: DataFrame, path: str, encoder: Callable[[pd.Series], pd
     encode(chunks, encoder).write.mode("overwrite").parquet(path)
 
 
+def content_digest(*cols: str) -> Column:
+    """Digest of a chunk's content; null and empty differ."""
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def live_chunks(spark: SparkSession, path: str, keys: Sequence[str] = ("doc_id", "section_no", "chunk_no")) -> DataFrame:
+    """The chunks of an incremental store: those added and not dropped by a later run."""
+    return live_chunks_of(spark.read.parquet(path), keys)
+
+
+def live_chunks_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    dropped = rows.filter("dropped").select(*keys, "digest", F.col("run").alias("_until"))
+    added = rows.filter(~F.col("dropped")).alias("a")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"d.{k}")) for k in (*keys, "digest")]
+    alive = added.join(dropped.alias("d"), [*same, F.col("d._until") > F.col("a.run")], "left_anti")
+    return alive.drop("dropped")
+
+
+def _earlier_runs(spark: SparkSession, path: str, run: int) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = spark.read.parquet(path).filter(F.col("run") < run)
+    return None if rows.isEmpty() else rows
+
+
+def sync_history(spark: SparkSession, path: str) -> DataFrame:
+    """(run, n_added, n_dropped): what every run wrote. A run without a change has no rows."""
+    return spark.read.parquet(path).groupBy("run").agg(F.count_if(~F.col("dropped")).alias("n_added"), F.count_if("dropped").alias("n_dropped"))
+
+
+def sync_chunks(chunks: DataFrame, path: str, encoder: Callable[[pd.Series], pd.Series], *, run: int,
+                keys: Sequence[str] = ("doc_id", "section_no", "chunk_no"), text_col: str = "text") -> None:
+    """Bring an incremental store to the given chunks: encode and write what is new, tombstone what is gone.
+
+    A chunk is known by its key and the digest of its text, so only changed chunks reach the encoder, and a run over
+    unchanged chunks writes none. Runs are numbered upwards by the caller; each is a folder of its own, and a run that
+    is repeated replaces its folder, so a job that died half-way can simply start again.
+    """
+    spark = chunks.sparkSession
+    new = chunks.withColumn("digest", content_digest(text_col))
+    earlier = _earlier_runs(spark, path, run)
+    if earlier is None:
+        added, gone = new, None
+    else:
+        own = live_chunks_of(earlier, keys)
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in (*keys, "digest")]
+        added = new.alias("n").join(own.select(*keys, "digest").alias("o"), same, "left_anti")
+        gone = own.select(*keys, "digest").alias("o").join(new.select(*keys, "digest").alias("n"), same, "left_anti")
+    rows = encode(added, encoder, text_col=text_col).withColumn("dropped", F.lit(False))
+    if gone is not None:
+        rows = rows.unionByName(gone.withColumn("dropped", F.lit(True)), allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -274,3 +274,59 @@ def test_program_fields(spark):
     assert (got[1].description, got[1].deadline, got[1].eligibility) == ("Tolearn", "1 May", "N/A")
     assert got[2].description == "y" * 300 + "..." and got[2].deadline == "Not Specified"
     assert got[3].description == got[3].scholarship_details == "N/A"
+
+
+def test_an_incremental_chunk_store_encodes_only_what_changed(spark, tmp_path):
+    from fieldmill.sources import stores as S
+    path, keys, seen = str(tmp_path / "store"), ("doc_id", "chunk_no"), spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        return texts.map(lambda t: [float(len(t or ""))])
+
+    def sync(run, rows):
+        before = seen.value
+        S.sync_chunks(spark.createDataFrame(rows, "doc_id long, chunk_no int, text string"), path, encoder, run=run, keys=keys)
+        live = sorted(((r.doc_id is None, r.doc_id, r.chunk_no, r.text, r.embedding) for r in S.live_chunks(spark, path, keys).collect()), key=repr)
+        assert live == sorted(((i is None, i, n, t, [float(len(t or ""))]) for i, n, t in rows), key=repr)
+        return seen.value - before
+
+    first = [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, None), (None, 0, "x"), (4, 0, "")]
+    assert sync(1, first) == 6
+    assert sync(2, first) == 0
+    second = [(1, 0, "a"), (1, 1, "B!"), (3, 0, ""), (None, 0, "x"), (4, 0, ""), (5, 0, "new")]
+    assert sync(3, second) == 3
+    assert sync(3, second) == 3  # repeated after a failure: the folder of the run is replaced
+    assert sync(4, first) == 3  # a chunk may come back
+    history = {r.run: (r.n_added, r.n_dropped) for r in S.sync_history(spark, path).collect()}
+    assert history == {1: (6, 0), 3: (3, 3), 4: (3, 3)}
+
+
+def test_merged_profiles_equal_one_profile(spark, tmp_path):
+    from fieldmill.operators import profile_store as R
+    rng = random.Random(2)
+    rows = [(f"p{rng.randint(0, 5)}", rng.choice(["a", "b", None, "N/A", f"v{i}"]), rng.choice([None, rng.randint(0, 10 ** 6)])) for i in range(4000)] + [(None, "a", 5)]
+    df = spark.createDataFrame(rows, "part string, word string, n long")
+    profile = lambda d: R.profile_parts(d, F.col("part"), ["word"], {"n": F.col("n")})
+    R.store_profiles(profile(df), str(tmp_path / "s"))
+    R.store_profiles(profile(df.filter("part = 'p1'")), str(tmp_path / "s"))  # one part again
+    got = {r.column_name: r for r in R.report(R.read_profiles(spark, str(tmp_path / "s"))).collect()}
+    numbers = sorted(n for _, _, n in rows if n is not None)
+    words = [w for _, w, _ in rows if w not in (None, "N/A")]
+    n, w = got["n"], got["word"]
+    assert (n.n_rows, n.n_missing, n.low, n.high) == (len(rows), len(rows) - len(numbers), numbers[0], numbers[-1])
+    assert n.mean == pytest.approx(sum(numbers) / len(numbers))
+    for p, value in ((0.25, n.p25), (0.5, n.p50), (0.95, n.p95)):
+        assert abs(sum(x <= value for x in numbers) / len(numbers) - p) <= R.RANK_ERROR
+    assert abs(n.n_distinct - len(set(numbers))) <= R.DISTINCT_ERROR * len(set(numbers))
+    assert abs(w.n_distinct - len(set(words))) <= R.DISTINCT_ERROR * len(set(words)) and w.low is None and w.p50 is None
+    assert {t["item"]: t["count"] for t in w.top[:2]} == {x: words.count(x) for x in ("a", "b")}
+    assert R.report(profile(df.limit(0))).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+    from fieldmill.session import shared_dir
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
