@@ -85,10 +85,9 @@ class TwoEncoders(Encoder):
             raise ValueError("a vocabulary is too large for the numbers of pairs")
         self.b_lengths = np.array([len(b) for b in self.b_bytes], np.int64)
 
-    def _forget(self):
-        super()._forget()
-        keep = len(self.starts)
-        self.b_starts, self.b_counts, self.sound = self.b_starts[:keep].copy(), self.b_counts[:keep].copy(), self.sound[:keep].copy()
+    def _keep(self, words: int) -> None:
+        super()._keep(words)
+        self.b_starts, self.b_counts, self.sound = self.b_starts[:words].copy(), self.b_counts[:words].copy(), self.sound[:words].copy()
         self.b_ids = self.b_ids[:int(self.b_starts[-1] + self.b_counts[-1])].copy()
 
     def _learn(self):

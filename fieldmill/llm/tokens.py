@@ -54,15 +54,46 @@ class Memo(dict):
         return number
 
 
-class Encoder:
-    """Ids of many texts at once. Memory is bounded: of more than ``memo_words`` words the memo keeps the first half,
-    which holds the frequent ones, as they are met first.
+class ByWords:
+    """What is known of words, looked up for many texts at once. Memory is bounded: of more than ``memo_words`` words the
+    memo keeps the first half, which holds the frequent ones, as they are met first."""
+
+    first_mark = "\n"  # stands before the first word, so that it does not take a space
+
+    def __init__(self, memo_words: int):
+        self.memo, self.memo_words = Memo(), memo_words
+
+    def _learn(self) -> None:
+        """Work out the words that ``memo.fresh`` holds, in this order, and empty it."""
+        raise NotImplementedError
+
+    def _keep(self, words: int) -> None:
+        """Drop what is known of all but the first so many words."""
+        raise NotImplementedError
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
+
+        Arrow cuts the texts and finds the distinct words; only these are looked up one by one.
+        """
+        if len(self.memo) > self.memo_words:
+            keep, held, self.memo = self.memo_words // 2, self.memo, Memo()
+            self.memo.update((w, n) for w, n in held.items() if n < keep)
+            self._keep(keep)
+        lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))
+        self._learn()
+        return numbers[coded.indices.to_numpy()], lists.offsets.to_numpy()
+
+
+class Encoder(ByWords):
+    """Ids of many texts at once.
 
     Strings of special tokens inside a text become their ids, as is the library's default, unless ``special_as_text``.
     """
 
-    first_mark = "\n"  # stands before the first word, so that it does not take a space; its id is dropped
-
     def __init__(self, path: str, memo_words: int = 300_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -73,16 +104,12 @@ class Encoder:
         lengths = np.zeros(size, np.int64)
         for token, i in self.library.get_vocab().items():
             lengths[i] = len(token)  # one character stands for one byte
-        self.byte_lengths, self.memo_words = lengths, memo_words
-        self.memo = Memo()
+        super().__init__(memo_words)
+        self.byte_lengths = lengths
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _forget(self):
-        """Keep the words that were met first."""
-        keep = self.memo_words // 2
-        held, self.memo = self.memo, Memo()
-        self.memo.update((w, n) for w, n in held.items() if n < keep)
-        self.starts, self.lengths = self.starts[:keep].copy(), self.lengths[:keep].copy()
+    def _keep(self, words: int) -> None:
+        self.starts, self.lengths = self.starts[:words].copy(), self.lengths[:words].copy()
         self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])].copy()
 
     def plain(self, text: str) -> np.ndarray:
@@ -105,20 +132,6 @@ class Encoder:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
 
-    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
-
-        Arrow cuts the texts and finds the distinct words; only these are looked up one by one.
-        """
-        if len(self.memo) > self.memo_words:
-            self._forget()
-        lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))
-        self._learn()
-        return numbers[coded.indices.to_numpy()], lists.offsets.to_numpy()
-
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
         split = [self.splits(t) for t in texts]

@@ -46,6 +46,8 @@ def test_packing_rows(docs):
 def test_pieces_rows(docs):
     rows = {r["doc_id"]: r for r in wfst.encode_documents(docs(EDGE)).collect()}
     assert all(r["restored"] for r in rows.values()) and rows[3]["n_pieces"] == 0
+    marked = wfst.encode_documents(docs([(1, "a ▁ b", "s")])).first()
+    assert not marked["restored"] and marked["n_pieces"] > 0
     assert wfst.encode_documents(docs([])).count() == 0
 
 
@@ -64,6 +66,14 @@ def test_near_duplicates(docs):
     assert probminhash.near_duplicates(docs([])).count() == 0
 
 
+def test_pieces_of_a_table_are_those_of_the_library(spark):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r["ids"] for r in wfst.encode_documents(source).collect()}
+    assert got == {r["doc_id"]: library.encode(r["text"] or "") for r in source.collect()}
+
+
 def fetcher(docs_frame):
     return lambda wanted: docs_frame.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node").distinct(), "node")
 

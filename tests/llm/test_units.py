@@ -99,25 +99,54 @@ def coder():
     return wfst.Coder(wfst.default_model())
 
 
-@settings(max_examples=80, deadline=None)
-@given(odd)
-def test_least_path_against_whole_lattice(coder, text):
-    m, normal = coder.machine, coder.machine.normalise(text)
-    best = [(0, 0)] + [(float("inf"), 0)] * len(normal)
-    for i, c in enumerate(normal):
-        if (s := m.start.arcs.get(c)) is None or s.piece < 0:
-            raw = len(c.encode())
-            best[i + 1] = min(best[i + 1], (best[i][0] + m.byte_weight * raw, best[i][1] + raw))
-        state = m.start
-        for j in range(i, len(normal)):
-            state = state.arcs.get(normal[j])
-            if state is None:
-                break
-            if state.piece >= 0:
-                best[j + 1] = min(best[j + 1], (best[i][0] + state.weight, best[i][1] + 1))
-    (ids, weight), = coder.encode([text])
-    assert (weight, len(ids)) == best[-1]
-    assert m.decode(ids) == text.replace(wfst.MARK, " ")
+@pytest.fixture(scope="module")
+def pieces():
+    import sentencepiece
+    return sentencepiece.SentencePieceProcessor(model_file=wfst.default_model())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(odd, max_size=6))
+def test_pieces_are_those_of_the_library(coder, pieces, texts):
+    for text, (ids, weight, restored) in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == pieces.encode(text)
+        assert restored == (coder.machines.decode(ids) == text) == (wfst.MARK not in text)
+        assert weight == sum(coder.machines.byte_weight if pieces.is_byte(i) else coder.machines.rank.get(pieces.id_to_piece(i), 0) for i in ids.tolist())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="▁theans日", min_size=1, max_size=9))
+def test_the_lattice_holds_one_path(coder, text):
+    """All paths of the whole lattice, brute force: exactly one has only neighbours that may stand side by side."""
+    m = coder.machines
+
+    def paths(at, last):
+        if at == len(text):
+            yield []
+        for end in range(at + 1, len(text) + 1):
+            piece = text[at:end]
+            if (end == at + 1 or piece in m.halves) and (last is None or m.neighbours(last, piece)):
+                for rest in paths(end, piece):
+                    yield [piece, *rest]
+
+    assert list(paths(0, None)) == [m.shortest_path(text)]
+
+
+def test_very_long_and_odd_texts(coder, pieces):
+    for text in ("a" * 5000, "the " * 4000, "ab" * 500 + " " * 60 + "x", "日本語" * 300, "\n" * 50, " ", "▁ ▁▁ 1", "".join(map(chr, range(32, 1500)))):
+        (ids, _, _), = coder.encode([text])
+        assert ids.tolist() == pieces.encode(text)
+
+
+def test_other_models_are_refused(tmp_path):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    with open(wfst.default_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        wfst.Machines(str(tmp_path / "m.model"))
 
 
 @settings(max_examples=80, deadline=None)
