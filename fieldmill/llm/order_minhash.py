@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash, with Spark expressions only.
 
-The k-mers of a text are its runs of ``KMER`` words, numbered by occurrence, so a repeated k-mer counts as many
-different ones. For each of ``SKETCHES`` random orders two minimal k-mers are selected, one from either half of the
+The k-mers of a text are its runs of ``KMER`` units, numbered by occurrence, so a repeated k-mer counts as many
+different ones. Units are words; a word of more than ``LONG_WORD`` characters, as in scripts without spaces, falls into
+its characters. For each of ``SKETCHES`` random orders two minimal k-mers are selected, one from either half of the
 hash space, kept in the order in which they stand in the text, and hashed as a pair. Texts that share k-mers in another
 order agree less than texts an edit away, which is what sets this apart from MinHash. The likeness of two
 fingerprints is the share of equal sketches.
@@ -12,7 +13,7 @@ row per text is shuffled and no array of k-mers is.
 The next document of the check comes from the descending order of ids. That order is found on ids alone: ranges of
 ids are windows of their own, and the last id of a range meets the first of the next through a table of one row per range.
 
-Cases: null text: empty. A text of fewer than ``KMER`` words is one k-mer of all of them; without words the
+Cases: null text: empty. A text of fewer than ``KMER`` units is one k-mer of all of them; without any the
 fingerprint is empty, and two empty ones have likeness 1. Repeated rows share a result; rows of one id with different
 texts are ordered by text hash. A null id comes last. A single document follows itself. Empty table: no rows. Other
 columns are ignored.
@@ -25,13 +26,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import let, stored, whole
 
 KMER = 3
-SKETCHES = 16
-POSITION_BITS = 24
+LONG_WORD = 32
+SKETCHES = 32
+#: A text of Spark has less than 2 ** 31 units, so places are never cut.
+POSITION_BITS = 31
 
 
 def kmers(text: Column) -> Column:
     """Occurrence-numbered k-mers of a text: structs of a hash ``h`` and the place ``i``, in any order."""
     words = F.split(F.btrim(text, F.lit(" \n\t\r")), r"[ \n\t\r]+", -1)
+    cut = lambda w: F.flatten(F.transform(w, lambda x: F.when(F.char_length(x) > LONG_WORD, F.split(x, "")).otherwise(F.array(x))))
+    units = let(words, lambda w: F.when(F.exists(w, lambda x: F.char_length(x) > LONG_WORD), cut(w)).otherwise(w))
 
     def numbered(order: Column) -> Column:
         # equal k-mers stand next to each other; the place in such a run is the occurrence
@@ -49,7 +54,7 @@ def kmers(text: Column) -> Column:
         return (F.when(last >= 0, let(F.sort_array(plain), numbered))
                 .when((F.size(w) > 1) | (F.get(w, F.lit(0)) != ""), short).otherwise(none))
 
-    return let(words, of_words)
+    return let(units, of_words)
 
 
 def packed(h: Column, place: Column, sketch: int) -> Column:

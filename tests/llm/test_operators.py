@@ -302,6 +302,74 @@ def test_order_minhash_sees_order_and_repeats(spark):
     assert len({x["h"] for x in h}) == 3
 
 
+def likeness_of(spark, pairs):
+    """Likeness of the two texts of every pair, in order."""
+    table = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "k long, text string")
+    prints = {r["k"]: r["fingerprint"] for r in order_minhash.fingerprints(table, ["k"]).collect()}
+    rows = spark.createDataFrame([(k, prints[2 * k], prints[2 * k + 1]) for k in range(len(pairs))], "k long, a string, b string")
+    return [r["n"] for r in rows.select("k", order_minhash.likeness("a", "b").alias("n")).orderBy("k").collect()]
+
+
+def test_likeness_falls_with_the_edits(spark):
+    rng = np.random.default_rng(12)
+    edits, per = (0, 1, 4, 16, 64, 200), 24
+    pairs = []
+    for n in edits:
+        for _ in range(per):
+            words = [f"w{k}" for k in rng.integers(0, 3000, 300)]
+            other = list(words)
+            for k in rng.choice(300, n, replace=False):
+                other[k] = "edited"
+            pairs.append((" ".join(words), " ".join(other)))
+    means = np.array(likeness_of(spark, pairs)).reshape(len(edits), per).mean(1)
+    assert means[0] == 1 and (np.diff(means) < 0).all() and means[1] > 0.9 and means[-1] < 0.1
+
+
+def test_likeness_without_spaces_and_of_moved_parts(spark):
+    rng = np.random.default_rng(13)
+    chinese = ["".join(map(chr, rng.integers(0x4E00, 0x5E00, 280))) for _ in range(12)]
+    near = [t[:100] + "的" + t[101:] for t in chinese]
+    far = ["".join(map(chr, rng.integers(0x6E00, 0x7E00, 280))) for _ in range(12)]
+    moved = [" ".join(f"m{k}" for k in range(200)), " ".join(f"m{k}" for k in [*range(100, 200), *range(100)])]
+    got = likeness_of(spark, [*zip(chinese, near), *zip(chinese, far), tuple(moved)])
+    assert np.mean(got[:12]) > 0.9 and max(got[12:24]) == 0 and 0 < got[24] < 0.8
+
+
+def plain_kmers(text):
+    units = [u for w in text.strip(" \n\t\r").split() for u in (w if len(w) > order_minhash.LONG_WORD else [w])]
+    seen, out = {}, []
+    for i in range(len(units) - order_minhash.KMER + 1):
+        k = tuple(units[i:i + order_minhash.KMER])
+        seen[k] = seen.get(k, -1) + 1
+        out.append((k, seen[k]))
+    return out
+
+
+def test_likeness_estimates_a_plain_order_minhash(spark):
+    """The chance that two minimal k-mers, one of either half, are the same and in the same order, by plain Python."""
+    import random
+    rng = random.Random(14)
+    a = [f"w{rng.randint(0, 900)}" for _ in range(200)]
+    pairs = [(" ".join(a), " ".join(a[:150] + [f"n{i}" for i in range(50)])), (" ".join(a), " ".join(a[100:] + a[:100]))]
+    for k, (x, y) in enumerate(pairs):
+        sides, hits, n = [plain_kmers(x), plain_kmers(y)], 0, 1500
+        for trial in range(n):
+            order, half = {}, {}
+            for key in sorted({k for s in sides for k in s}):
+                order[key], half[key] = rng.random(), rng.random() < 0.5
+            marks = []
+            for s in sides:
+                place = {key: i for i, key in enumerate(s)}
+                two = [min((key for key in s if half[key] == h), key=order.get) for h in (True, False)]
+                marks.append(tuple(sorted(two, key=place.get)))
+            hits += marks[0] == marks[1]
+        sketches = 256
+        table = spark.createDataFrame([(0, x), (1, y)], "k long, text string")
+        prints = {r["k"]: r["fingerprint"] for r in order_minhash.fingerprints(table, ["k"], sketches).collect()}
+        equal = sum(prints[0][8 * j:8 * j + 8] == prints[1][8 * j:8 * j + 8] for j in range(sketches)) / sketches
+        assert abs(equal - hits / n) < 0.12, k
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
