@@ -54,7 +54,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th
 thead title tr ul""".split())
 # what these hold is never text of the page
-SILENT = frozenset("script style noscript template iframe object svg math head title select textarea button canvas audio video".split())
+SILENT = frozenset("script style noscript template iframe object svg head title select textarea button canvas audio video".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu".split())
 CONTENT_TAGS = frozenset("article main".split())
 # of these, an article is never inside unless it has a main element of its own
@@ -63,6 +63,12 @@ BOILERPLATE_NAMES = frozenset("""ad ads adv advert adverts advertisement adverti
 consent cookie cookies disclaimer disqus footer gdpr login masthead menu menubar modal nav navbar navigation
 newsletter notification pagination pager popup promo promotion recommended replies reply respond share sharing
 signup skip social sponsor sponsored subscribe subscription toolbar topbar""".split())
+# of these, words that name other things in compounds (social-science, share-price): there they count as the last word, or
+# as the first one before a word for a part of a page
+AMBIGUOUS_NAMES = frozenset("disclaimer login notification pager promotion replies reply respond share sharing skip social sponsor subscription".split())
+PARTS = frozenset("""area bar bars block body box btn button buttons col column container content count form group header heading icon icons
+inner item items label link links list media menu message module nav network networks outer overlay panel row section strip text
+title to tool toolbar tools unit widget wrap wrapper""".split())
 # names that parts of an article and layouts bear too: what is inside is decided by its own length and links
 OPEN_NAMES = frozenset("banner discussion header notice related sidebar tags widget".split())
 # beside these a name tells of something else: has-sidebar, no-nav, comments-open
@@ -184,12 +190,14 @@ def named(attrs) -> int | None:
         if name == "role" and value and value.lower() in BOILERPLATE_ROLES:
             return NAMED
         for one in value.split() if name in ("class", "id") and value else ():
-            words = {x.lower() for x in NAME.findall(one)}
+            order = [x.lower() for x in NAME.findall(one)]
+            words = set(order)
             if not words.isdisjoint(MODIFIERS):
                 continue
-            if not words.isdisjoint(BOILERPLATE_NAMES):
+            says = words & BOILERPLATE_NAMES
+            if says - AMBIGUOUS_NAMES or (says and (order[-1] in says or (order[0] in says and order[-1] in PARTS))):
                 return NAMED
-            if not words.isdisjoint(OPEN_NAMES):
+            if says or not words.isdisjoint(OPEN_NAMES):
                 found = OPEN
     return found
 

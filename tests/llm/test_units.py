@@ -274,3 +274,13 @@ def test_special_strings_are_read_as_the_library_does(memo):
         for some in (texts[:3], texts[3:], texts):
             ids, offsets = own.encode(some)
             assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [0] for t in some]
+
+
+def test_a_word_of_a_compound_name_does_not_drop_an_article():
+    text = "The river and the bridge are in the old town, and it is said that they were built by the same people as the walls."
+    for name in ("social-science", "share-price", "skip_logic", "login-history"):
+        assert H.extract(f'<div class="{name}"><p>{text}</p></div><div class="footer"><p>{text}</p></div>') == text, name
+        assert H.extract(f'<div><p>{text}</p><p class="{name}">{text} Again.</p></div>') == f"{text}\n{text} Again.", name
+    for name in ("social", "share-buttons", "post-share", "social-media-links", "skip-link", "comment-body", "ad-slot", "site-footer"):
+        assert H.extract(f'<div><p>{text}</p><div class="{name}"><p>{text} Again.</p></div></div>') == text, name
+    assert H.extract(f"<p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>") == text + " x=2"
