@@ -229,6 +229,16 @@ def f10_equal(t):
     return U.rrf(merged.limit(0), merged)
 
 
+@check("f10_rrf_equal_texts_of_both", f"""
+WITH {bm25_ctes(DOCS, BENCH)}, {DENSE},
+  hits AS (SELECT query_id, doc_id, rank AS dr, NULL AS sr FROM dn WHERE rank <= 15 UNION ALL SELECT query_id, doc_id, NULL, rank FROM bm WHERE rank <= 45),
+  low AS (SELECT query_id, dr, sr, min(doc_id) OVER (PARTITION BY query_id, text) AS doc_id FROM (SELECT * FROM hits JOIN corpus USING (doc_id)) AS h),
+  fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + coalesce(dr, sr))), 9) AS score, min(dr) AS dense_rank, min(sr) AS sparse_rank FROM low GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, doc_id) AS rank FROM fu""")
+def f10_equal_of_both(t):
+    return U.rrf(*U.merge_equal_texts_of(dense_hits(t, 15), bm25_hits(t, 45), t.documents))
+
+
 @check("f11_cap", RRF + " SELECT query_id, doc_id, rank FROM rk WHERE rank <= 15")
 def f11(t):
     return U.cap(U.rrf(dense_hits(t, 15), bm25_hits(t, 15))).select("query_id", "doc_id", "rank")

@@ -46,6 +46,15 @@ def merge_equal_texts(hits: DataFrame, texts: DataFrame, *, query_id: str = "que
     return keyed.join(lowest, [query_id, "_h"]).withColumn(doc_id, F.col("_low")).drop("_h", "_low")
 
 
+def merge_equal_texts_of(dense: DataFrame, sparse: DataFrame, texts: DataFrame, *, query_id: str = "query_id",
+                         doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Both lists with equal texts as one id, the lowest in either list, so that the lists meet on a text."""
+    cells = [query_id, doc_id, "rank", "score"]
+    both = dense.select(*cells, F.lit(True).alias("_dense")).unionByName(sparse.select(*cells, F.lit(False).alias("_dense")))
+    merged = merge_equal_texts(both, texts, query_id=query_id, doc_id=doc_id, text=text)
+    return merged.filter("_dense").drop("_dense"), merged.filter("NOT _dense").drop("_dense")
+
+
 def cap(hits: DataFrame, n: int = K.FETCH_K) -> DataFrame:
     return hits.filter(F.col("rank") <= n)
 
