@@ -338,10 +338,10 @@ def cross_align(docs: DataFrame, vocabulary: str | None = None, model: str | Non
     common = links.join(F.broadcast(head), "pair")
     rare = links.join(F.broadcast(head.select("pair")), "pair", "left_anti").join(tail, "pair")
 
-    def summed(df):
-        return df.groupBy("row").agg(F.sum(F.col("times") * F.col("count")).alias("count_sum"),
-                                     F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
-
-    sums = summed(common).unionByName(summed(rare)).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+    # one aggregation over both: two aggregates side by side would share their partitioning, which adaptive execution
+    # may coalesce apart
+    met = common.select("row", "times", "count", "best").unionByName(rare.select("row", "times", "count", "best"))
+    sums = met.groupBy("row").agg(F.sum(F.col("times") * F.col("count")).alias("count_sum"),
+                                  F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
     out = own.filter("part = 0").drop("pairs", "times", "part").join(sums, "row", "left").na.fill(0, ["count_sum", "n_best"])
     return out.select(*COLUMNS)
