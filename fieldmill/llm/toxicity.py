@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,8 @@ FIT_ROWS = 24_000
 LEXICON_ENTRIES = 2_000
 REJECT = 0.7
 CROSSED_FOLDS = 3
-#: What a Python worker keeps at once: tokens it has read (some 200 bytes each), and characters of texts.
-MEMO_TOKENS, BATCH_CHARS = 150_000, 1_000_000
+#: What a Python worker keeps at once: tokens it has read and keys it counts (some 200 bytes each), characters of texts.
+MEMO_TOKENS, MEMO_KEYS, BATCH_CHARS = 100_000, 200_000, 1_000_000
 #: A key enters the lexicon if chance would put it among toxic texts as often with at most this probability (Chernoff).
 #: Of a million keys that say nothing one in twenty fits lets one in.
 CHANCE = 5e-8
@@ -88,14 +89,19 @@ def key_counts(sample: DataFrame) -> DataFrame:
             for text, toxic, fold in zip(frame["text"], frame["toxic"], frame["fold"]):
                 words = {r for token in set(TOKEN.findall(text)) for r in readings(token) if r}
                 counts.setdefault(int(fold), (Counter(), Counter()))[int(toxic)].update({k for w in words for k in keys_of(w)})
-                if sum(len(c) for both in counts.values() for c in both) > 600_000:
-                    yield part(counts)
+                if sum(len(c) for both in counts.values() for c in both) > MEMO_KEYS:
+                    yield from rows_of(counts)
                     counts.clear()
-        yield part(counts)
-
-    def part(counts):
-        rows = [(k, fold, clean[k], toxic[k]) for fold, (clean, toxic) in counts.items() for k in clean.keys() | toxic.keys()]
-        return pd.DataFrame(rows, columns=["key", "fold", "clean", "toxic"])
+        yield from rows_of(counts)
+
+    def rows_of(counts) -> Iterator[pd.DataFrame]:
+        for fold, both in counts.items():
+            for toxic, counter in enumerate(both):
+                keys = iter(counter.items())
+                while some := list(islice(keys, 50_000)):
+                    names, n = zip(*some)
+                    zero = [0] * len(n)
+                    yield pd.DataFrame({"key": names, "fold": fold, "clean": zero if toxic else n, "toxic": n if toxic else zero})
 
     counted = sample.select("text", "toxic", "fold").mapInPandas(count, "key string, fold long, clean long, toxic long")
     return stored(counted.groupBy("key", "fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "keys")

@@ -370,14 +370,32 @@ def test_likeness_estimates_a_plain_order_minhash(spark):
         assert abs(equal - hits / n) < 0.12, k
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+def test_pipeline_from_the_first_stage_to_the_last(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
     raw = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, raw.withColumn("score", F.lit(1)), folder)
-        assert out.columns == list(corpus_pipeline.DOCUMENT_COLUMNS), name
-    assert len(corpus_pipeline.STAGES) == 5
+    docs, kept = raw.withColumn("score", F.lit(1)), []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stored(stage(spark, docs, folder), name)
+        assert docs.columns == list(corpus_pipeline.DOCUMENT_COLUMNS), name
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    before = {r["doc_id"]: r["text"] for r in raw.collect()}
+    for held in kept:
+        assert held.keys() <= before.keys()
+        before = held
+    scores = {r["doc_id"]: r[OWN + "score"] for r in toxicity.toxicity(raw.select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    assert kept[0].keys() == {i for i, x in scores.items() if x < toxicity.REJECT}
+    assert kept[3].keys() == {i for i, c in brute_classes(list(kept[2].items())).items() if i == c}
+    rows = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
+    assert {r["doc_id"] for r in rows} == kept[3].keys()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert ends[-1] <= 2048 and [o for o, _ in sorted(pieces)] == [0, *ends[:-1]]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, raw.limit(0), folder).count() == 0, name
 
 
 @pytest.mark.parametrize("n", [0, 1])
