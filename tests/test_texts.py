@@ -242,22 +242,22 @@ def test_running_sums(one):
         assert one(running_sums(F.array(*[F.lit(x) for x in numbers])), x=0) == want
 
 
-PAGE = ('<div id="a"><ul class="x y"><li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul></li><li><a href="/no">n</a></li></ul></div>'
+LISTED = ('<div id="a"><ul class="x y"><li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul></li><li><a href="/no">n</a></li></ul></div>'
         "<ul><li class='e f'><a href='/2?a&amp;b'>q</a></ul><a href=/3>r</a><ul class=x><li class=e><a>none</a><A HREF=\"/4\">s</A></li>")
 
 
 def test_elements_end_by_depth(one):
-    assert one(elements(F.col("x"), Step("li")), x=PAGE)[:2] == ['<li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul>', '<li class="e"><a href="/1">z</a>']
-    outer = one(elements(F.col("x"), Step("li"), outermost=True), x=PAGE)
+    assert one(elements(F.col("x"), Step("li")), x=LISTED)[:2] == ['<li class="e">1<ul><li class="e"><a href="/1">z</a></li></ul>', '<li class="e"><a href="/1">z</a>']
+    outer = one(elements(F.col("x"), Step("li"), outermost=True), x=LISTED)
     assert [o.count("<li") for o in outer[:2]] == [2, 1]
-    assert one(elements(F.col("x"), Step("div", id="a")), x=PAGE)[0].endswith("</ul>")
-    assert one(elements(F.col("x"), Step("div", id="b")), x=PAGE) == [] == one(elements(F.col("x"), Step("p")), x="")
+    assert one(elements(F.col("x"), Step("div", id="a")), x=LISTED)[0].endswith("</ul>")
+    assert one(elements(F.col("x"), Step("div", id="b")), x=LISTED) == [] == one(elements(F.col("x"), Step("p")), x="")
     deep = "<div>" * 300 + "x" + "</div>" * 300
     assert [len(e) for e in one(elements(F.col("x"), Step("div")), x=deep)] == [5 + 11 * (299 - k) + 1 for k in range(300)]
 
 
 def test_links_of_a_list(spark):
-    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<!--" + PAGE + "-->")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, LISTED), (2, None), (3, ""), (4, "<!--" + LISTED + "-->")], "page_id long, html string")
     steps = [Step("ul", "x"), Step("li", "e"), Step("a")]
     rows = {(r.link, r.first_pos) for r in P.harvest_links(pages, "r:", within=steps).collect()}
     assert rows == {("r:/1", 0), ("r:/4", 1)}
