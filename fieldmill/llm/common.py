@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
@@ -42,6 +47,27 @@ def discard(*spent: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+        trim(0)
+
+
+def releasing(run):
+    """A function over the batches of a task that gives memory back at its end: Python workers outlive their tasks, and
+    what they keep adds up from stage to stage."""
+    @functools.wraps(run)
+    def whole_task(frames):
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return whole_task
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once for a body that uses it many times, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, stored, texts
+from .common import OWN, releasing, stored, texts
 from .tokens import batches, default_vocabulary, encoder
 
 SEQUENCE_TOKENS = 2048
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str | N
     """The pieces of every whole text, with the checksum of their ids. No shuffle."""
     vocabulary = vocabulary or default_vocabulary()
 
+    @releasing
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         for frame in frames:
@@ -51,6 +52,7 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str | N
                 out = pd.DataFrame(dict(zip(("piece", "start", "length", "ids_crc32"), cells)))
                 out.insert(0, "doc_id", names.iloc[list(at)].array)
                 yield out
+        encode.shrink()
 
     return texts(docs, "doc_id").mapInPandas(run, PIECE_SCHEMA)
 

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, discard, stored, texts, whole
+from .common import OWN, discard, releasing, stored, texts, whole
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -137,6 +137,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
 
 def sketches(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
     """Per row the digest of its word sequence and its registers (null without a word). No shuffle, whole texts."""
+    @releasing
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             names, whole = frame["doc_id"].tolist(), frame["text"].tolist()
@@ -174,6 +175,7 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if named.count() <= BROADCAST_IDS:
         named = F.broadcast(named)
 
+    @releasing
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:  # of several texts under one id the one that is meant
             fits = [digest_of(words_of(t)) == d for t, d in zip(frame["text"], frame["digest"])]
@@ -188,6 +190,7 @@ def check_pairs(pairs: DataFrame, held: DataFrame, threshold: float = SIMILARITY
     sides = (pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
              .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
+    @releasing
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             known: dict[str, tuple] = {}  # within a batch; many pairs share a text

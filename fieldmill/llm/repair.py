@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from .common import texts
+from .common import releasing, texts
 from .tokens import batches, default_vocabulary, encoder, gather
 
 MAGIC = b"FMRP"
@@ -228,6 +228,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None,
     """
     vocabulary = vocabulary or default_vocabulary()
 
+    @releasing
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, partition, shard = encoder(vocabulary), TaskContext.get().partitionId(), 0
         terminals = encode.library.get_vocab_size()
@@ -254,6 +255,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None,
                     yield close()
         if held:
             yield close()
+        encode.shrink()
 
     ordered = texts(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)

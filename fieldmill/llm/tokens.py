@@ -71,15 +71,20 @@ class ByWords:
         """Drop what is known of all but the first so many words."""
         raise NotImplementedError
 
+    def shrink(self, keep: int = 30_000) -> None:
+        """Keep the words that were met first; at the end of a task few, as the worker may go on with other work."""
+        if len(self.memo) > keep > 0:
+            held, self.memo = self.memo, Memo()
+            self.memo.update((w, n) for w, n in held.items() if n < keep)
+            self._keep(keep)
+
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
 
         Arrow cuts the texts and finds the distinct words; only these are looked up one by one.
         """
         if len(self.memo) > self.memo_words:
-            keep, held, self.memo = self.memo_words // 2, self.memo, Memo()
-            self.memo.update((w, n) for w, n in held.items() if n < keep)
-            self._keep(keep)
+            self.shrink(self.memo_words // 2)
         lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()

@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import OWN, stored, texts, whole
+from .common import OWN, releasing, stored, texts, whole
 from .tokens import batches
 
 #: Bound on the labelled rows that lexicon, trees and calibration are fitted on, all together.
@@ -83,6 +83,7 @@ def keys_of(word: str) -> list[str]:
 def key_counts(sample: DataFrame) -> DataFrame:
     """``(key, fold, clean, toxic)``: how many texts of each label hold a key, stored; ``sample`` has ``text``, ``toxic``
     and ``fold``. Texts are counted per task first, so only distinct keys are shuffled."""
+    @releasing
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[int, tuple[Counter, Counter]] = {}
         for frame in frames:
@@ -201,6 +202,7 @@ def describe(facts: np.ndarray) -> list[float]:
 
 def features(lexicon: dict[str, float]):
     """Column function: the dense features of a text column."""
+    @releasing
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(lexicon)
         for texts_ in series:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import OWN, stored, whole
+from .common import OWN, releasing, stored, whole
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -176,6 +176,7 @@ def posteriors(patterns: np.ndarray, good: float, chances: np.ndarray) -> np.nda
 
 def measured(docs: DataFrame, into: str = OWN + "m") -> DataFrame:
     """All columns of ``docs`` and a struct of the measures with the encoded votes. No shuffle, whole texts."""
+    @releasing
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in series:
             frame = pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES)).astype("int64")
