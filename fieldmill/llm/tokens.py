@@ -99,7 +99,7 @@ class Encoder(ByWords):
     Strings of special tokens inside a text become their ids, as is the library's default, unless ``special_as_text``.
     """
 
-    def __init__(self, path: str, memo_words: int = 300_000, special_as_text: bool = False):
+    def __init__(self, path: str, memo_words: int = 200_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -127,8 +127,8 @@ class Encoder(ByWords):
     def _learn(self):
         """Ask the library for the words that the memo met since last time, many in one text."""
         new, self.memo.fresh = self.memo.fresh, []
-        for at in range(0, len(new), 50_000):
-            some = [w if w[:1] == "\n" else " " + w for w in new[at:at + 50_000]]
+        for at in range(0, len(new), 20_000):
+            some = [w if w[:1] == "\n" else " " + w for w in new[at:at + 20_000]]
             ids = self.plain("".join(some))
             ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) for w in some), np.int64, len(some)))
             cuts = np.searchsorted(np.cumsum(self.byte_lengths[ids]), ends) + 1
@@ -175,7 +175,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts, limit: int = 4_000_000):
+def batches(texts, limit: int = 1_000_000):
     """Index ranges of about ``limit`` characters, at least one text each."""
     start = size = 0
     for k, text in enumerate(texts):
