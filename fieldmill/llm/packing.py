@@ -16,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import OWN, releasing, stored, texts
-from .tokens import batches, default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, runs
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 16_384
@@ -39,22 +41,23 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str | N
     vocabulary = vocabulary or default_vocabulary()
 
     @releasing
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for frame in frames:
-            names, whole = frame["doc_id"].astype("Int64"), frame["text"].tolist()
-            for a, b in batches(whole):
-                ids, offsets = encode.encode(whole[a:b])
+            names, column = frame.column("doc_id").cast(pa.int64()), frame.column("text")
+            for a, b in runs(pc.utf8_length(column).to_numpy()):
+                whole = column.slice(a, b - a).to_pylist()  # only these texts are Python's at a time
+                ids, offsets = encode.encode(whole)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 rows = [(a + k, i, start, length, zlib.crc32(raw[4 * (offsets[k] + start):4 * (offsets[k] + start + length)]))
                         for k in range(b - a) for i, (start, length) in enumerate(cut(int(offsets[k + 1] - offsets[k]), capacity))]
-                at, *cells = zip(*rows)
-                out = pd.DataFrame(dict(zip(("piece", "start", "length", "ids_crc32"), cells)))
-                out.insert(0, "doc_id", names.iloc[list(at)].array)
-                yield out
+                at, piece, start, length, crc = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"])
         encode.shrink()
 
-    return texts(docs, "doc_id").mapInPandas(run, PIECE_SCHEMA)
+    return texts(docs, "doc_id").mapInArrow(run, PIECE_SCHEMA)
 
 
 class Shelf:

@@ -175,13 +175,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts, limit: int = 1_000_000):
-    """Index ranges of about ``limit`` characters, at least one text each."""
+def runs(lengths, limit: int = 1_000_000):
+    """Index ranges of about ``limit`` characters, at least one text each, from the lengths of texts."""
     start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > limit:
+    for k, n in enumerate(lengths):
+        if size and size + n > limit:
             yield start, k
             start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += int(n)
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def batches(texts, limit: int = 1_000_000):
+    """Index ranges of about ``limit`` characters, at least one text each."""
+    return runs([len(text) for text in texts], limit)
