@@ -52,7 +52,7 @@ def term_counts(tokens: Column) -> Column:
             F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
 
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), counted)).otherwise(empty)
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), counted)).otherwise(empty)
 
 
 def tokenised(df: DataFrame, doc_id: str, text: str) -> DataFrame:
