@@ -359,3 +359,35 @@ def test_containment_of_passages_of_any_length(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     empty = spark.createDataFrame([], "query_id long, query string")
     assert I.containment_truth(empty, spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+def test_a_search_deals_every_posting_out_once(spark, tmp_path, monkeypatch):
+    """Many queries that ask for the same frequent terms: only the postings are shuffled, not a row per query and posting."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(["a", "b", "c", "d"], k=6) + [f"r{i}"])) for i in range(400)]
+    docs += [(900 + i, f"x{i}") for i in range(500)]  # so that the frequent terms have a positive idf
+    queries = [(i, f"a b c d r{i}") for i in range(40)]
+    asked = []
+    real = B.met_postings
+
+    def met(weighted, index, pairs):
+        out = real(weighted, index, pairs)
+        asked.append((pairs, out.count(), out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id")))
+        return out
+
+    monkeypatch.setattr(B, "met_postings", met)
+    monkeypatch.setattr(B, "TASK_ROWS", 500)
+    got = searched(spark, docs, queries, 4, str(tmp_path / "ix"))
+    assert got == {i: brute_bm25(docs, t, 4) for i, t in queries}
+    (pairs, rows, exchanges), = asked
+    assert pairs == rows > 40 * 400 and exchanges == 1
+    assert B.tasks(pairs) > 30 and B.tasks(0) == B.tasks(None) == 1  # more tasks for more postings
+
+
+@pytest.mark.parametrize("long_terms", [0, 9_000])
+def test_bm25_sums_of_many_terms_tie(spark, tmp_path, monkeypatch, long_terms):
+    """Documents with equal shares of different terms tie, whatever the order of their sums."""
+    monkeypatch.setattr(B, "LONG_TERMS", long_terms)
+    docs = [(10 - i, " ".join(f"{c}{i}" for c in "pqrstuv")) for i in range(6)] + [(50 + i, "other") for i in range(9)]
+    query = " ".join(f"{c}{i}" for i in range(6) for c in "pqrstuv")
+    got = searched(spark, docs, [(0, query)], 4, str(tmp_path / "ix"))[0]
+    assert [d for d, _ in got] == [5, 6, 7, 8] and len({s for _, s in got}) == 1 and got == brute_bm25(docs, query, 4)
