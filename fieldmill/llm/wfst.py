@@ -11,7 +11,8 @@ model's encoding. Which pieces may be neighbours is worked out when a pair is fi
 
 The lattice falls apart where a word begins, if no piece runs across, so every distinct word is searched once.
 
-Decoding inverts the machines: byte pieces back to characters, marks back to spaces, the added first mark dropped.
+Decoding inverts the machines: byte pieces back to characters, marks back to spaces, the added first mark dropped. The
+pieces of every text are decoded again, also where its words were looked up.
 
 Cases: null or empty text: no pieces, weight 0. A literal mark in a text is read as a space, as the model defines it, so
 such a text is not ``restored``. Repeated rows are encoded alike. Empty table: no rows. Other columns are ignored. A model
@@ -219,11 +220,11 @@ class Coder(ByWords):
             if s:
                 n = numbers[cuts[at]:cuts[at + 1]]
                 at += 1
-                out.append((gather(self.ids, self.starts[n], self.lengths[n]), int(self.weights[n].sum()), True))  # every piece reads back
+                ids, weight = gather(self.ids, self.starts[n], self.lengths[n]), int(self.weights[n].sum())
             else:
                 ids, weight = self.machines.encode(self.machines.normalise(text))
                 ids = np.array(ids, np.int64)
-                out.append((ids, weight, self.machines.decode(ids) == text))
+            out.append((ids, weight, self.machines.decode(ids) == text))
         return out
 
 

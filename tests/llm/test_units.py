@@ -138,6 +138,19 @@ def test_very_long_and_odd_texts(coder, pieces):
         assert ids.tolist() == pieces.encode(text)
 
 
+def test_every_text_is_decoded(monkeypatch):
+    """``restored`` comes from the decoded pieces, for texts read word by word and for others."""
+    coder, many = wfst.Coder(wfst.default_model()), ["two words", "two words\nagain", "two  words", ""]
+    seen, real = [], coder.machines.decode
+    monkeypatch.setattr(coder.machines, "decode", lambda ids: seen.append(ids.tolist()) or real(ids))
+    found = coder.encode(many)
+    assert seen == [ids.tolist() for ids, _, _ in found] and [restored for _, _, restored in found] == [True] * 4
+    at = coder.machines.value_starts[found[0][0][0]]
+    coder.machines.values = coder.machines.values.copy()
+    coder.machines.values[at + 1] ^= 1  # the first piece no longer reads back
+    assert [restored for _, _, restored in coder.encode(many)] == [False, False, False, True]
+
+
 def test_other_models_are_refused(tmp_path):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     model = pb.ModelProto()
