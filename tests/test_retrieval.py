@@ -158,6 +158,33 @@ def test_cells_rule_out_what_is_far(spark, monkeypatch):
     assert met[1] < 16 * 15 / 2  # of fifteen other cells, those of the same cluster
 
 
+def test_queries_and_vectors_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    """Forty cells in two bundles, many blocks in three groups: a query goes to a bundle once, its filter does not go along."""
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(200, 5))
+    v = spark.createDataFrame([(i, row.tolist(), i % 3) for i, row in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    q = asked.join(V.facet_bits(asked.select("query_id", F.col("label").alias("no")), "query_id", "no"), "query_id")
+    plans, real = [], V.scored
+
+    def kept(blocks, *args):
+        plans.append(blocks._jdf.queryExecution().executedPlan().toString())
+        return real(blocks, *args)
+
+    monkeypatch.setattr(V, "scored", kept)
+    for name, value in (("BUNDLES", 2), ("GROUPS", 3), ("BLOCK_QUERIES", 7)):
+        monkeypatch.setattr(V, name, value)
+    got = {}
+    for r in V.knn(q, v, 4, facet="label", query_facets="facets", cell_rows=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = unit @ unit.T
+    assert got == {i: [j for j in np.argsort(-near[i], kind="stable").tolist() if j % 3 == i % 3][:4] for i in range(200)}
+    for plan in plans:
+        assert "hashpartitioning(bundle" in plan and "hashpartitioning(cell" not in plan and "facet_bits" not in plan
+        assert not [x for x in plan.split("\n") if "bitmap" in x.lower()]  # the bitmaps of the filters are joined to the blocks
+
+
 def test_contained_names(spark):
     rng = random.Random(4)
     places = ["Nigeria, Niger", "International / All", "", None, "Ünited", "NATION_1, NATION_12", "aaa", "x" * 50] + [
