@@ -418,3 +418,25 @@ def test_bm25_sums_of_many_terms_tie(spark, tmp_path, monkeypatch, long_terms):
     query = " ".join(f"{c}{i}" for i in range(6) for c in "pqrstuv")
     got = searched(spark, docs, [(0, query)], 4, str(tmp_path / "ix"))[0]
     assert [d for d, _ in got] == [5, 6, 7, 8] and len({s for _, s in got}) == 1 and got == brute_bm25(docs, query, 4)
+
+
+def test_fewer_hits_are_the_first_of_more_where_ids_repeat(spark, tmp_path):
+    """A document that comes twice scores twice, more than any one posting of its terms lets expect."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choices([f"w{j}" for j in range(12)], weights=[12 - j for j in range(12)], k=rng.randint(2, 9)))) for i in range(80)]
+    docs = docs + docs[::3] + [(500 + i, f"x{i}") for i in range(120)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(12)], k=7))) for i in range(6)], "query_id long, query string")
+    index = B.stored_index(d, "doc_id", "text", str(tmp_path / "ix"))
+    few, many = ({(r.query_id, r.rank): (r.doc_id, r.score) for r in B.bm25_topk(q, index, k).collect()} for k in (3, 1000))
+    assert len(few) == 18 and few == {key: many[key] for key in few}
+
+
+def test_texts_are_not_winnowed_where_passages_are_broadcast(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(40))), (2, "w3 w4"), (3, None)], "doc_id long, text string")
+    path, calls, real = str(tmp_path / "p"), [], I.winnowed
+    spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(3, 30)))], "query_id long, query string").write.parquet(path)
+    monkeypatch.setattr(I, "winnowed", lambda w: calls.append(w) or real(w))
+    assert [tuple(r) for r in I.containment_truth(spark.read.parquet(path), docs).collect()] == [(7, 1)] and len(calls) == 1  # the passages
+    monkeypatch.setattr(I, "small_enough", lambda *a: False)
+    assert [tuple(r) for r in I.containment_truth(spark.read.parquet(path), docs).collect()] == [(7, 1)] and len(calls) == 3
