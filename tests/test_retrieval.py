@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -410,6 +411,33 @@ def test_a_search_deals_every_posting_out_once(spark, tmp_path, monkeypatch):
     assert B.tasks(pairs) > 30 and B.tasks(0) == B.tasks(None) == 1  # more tasks for more postings
 
 
+def test_bm25_index_is_built_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    """Segments of a few texts, blocks of two postings, odd white space, ids that are strings or null or come twice."""
+    rng = random.Random(5)
+    docs = [(f"d{i:02}", "".join(w + rng.choice([" ", "\t\x0b", "\r\n", "\f ", " \x1f\u00a0"]) for w in rng.choices([f"w{j}" for j in range(9)], k=rng.randint(0, 14))))
+            for i in range(40)]
+    docs += [("e0", " \n "), ("e1", ""), ("e2", None), ("e3", " w0 \u2003w1"), ("r0", "rare"), ("r1", "rare")] + [(f"x{i}", f"own{i}") for i in range(50)]
+    monkeypatch.setattr(B, "BLOCK_POSTINGS", 2)
+    monkeypatch.setattr(B, "SEGMENT_BYTES", 200, raising=False)
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(type(spark.range(0)), name, lambda *a: pytest.fail("postings are shuffled"))
+    d = spark.createDataFrame(docs, "doc_id string, text string").union(spark.createDataFrame([(None, "rare w0"), ("d01", docs[1][1])], "doc_id string, text string"))
+    index = B.stored_index(d, "doc_id", "text", str(tmp_path / "ix"))
+    kept = Counter((r.term, r.doc_id) for r in index.blocks.selectExpr("term", "explode(doc_ids) AS doc_id").collect())
+    rows = [*docs, (None, "rare w0"), docs[1]]
+    split = re.compile("[ \t\n\x0b\f\r]+")
+    want = Counter((w, i) for i, t in rows for w in {*split.split(t or "")} - {""})
+    assert kept == want
+    assert {r.term: r.df for r in index.terms.collect()} == Counter(w for w, _ in want.elements())
+    sizes = [len({*split.split(t)} - {""}) and len([w for w in split.split(t) if w]) for _, t in rows if t is not None]
+    stats = index.stats.first()
+    assert (stats.n_docs, stats.avgdl) == (len(rows), pytest.approx(sum(sizes) / len(sizes)))
+    for r in index.terms.filter("df > 2").collect():  # blocks are numbered from the largest weight down
+        own = index.blocks.filter(F.col("term") == r.term).orderBy("block").collect()
+        assert [b.top for b in own] == sorted((b.top for b in own), reverse=True) and own[0].block == r.head
+        assert all(b.top == max(b.weights) and len(b.doc_ids) <= 2 for b in own)
+
+
 @pytest.mark.parametrize("long_terms", [0, 9_000])
 def test_bm25_sums_of_many_terms_tie(spark, tmp_path, monkeypatch, long_terms):
     """Documents with equal shares of different terms tie, whatever the order of their sums."""
