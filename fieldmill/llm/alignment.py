@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, texts
-from .tokens import Encoder, default_vocabulary, gather
+from .tokens import Encoder, default_vocabulary, gather, picked
 
 PIECE = 1 << 15
 TEXT_CHARS = 1_000_000
@@ -85,10 +85,10 @@ class TwoEncoders(Encoder):
             raise ValueError("a vocabulary is too large for the numbers of pairs")
         self.b_lengths = np.array([len(b) for b in self.b_bytes], np.int64)
 
-    def _keep(self, words: int) -> None:
+    def _keep(self, words: np.ndarray) -> None:
         super()._keep(words)
-        self.b_starts, self.b_counts, self.sound = self.b_starts[:words].copy(), self.b_counts[:words].copy(), self.sound[:words].copy()
-        self.b_ids = self.b_ids[:int(self.b_starts[-1] + self.b_counts[-1])].copy()
+        self.sound = self.sound[words]
+        self.b_ids, self.b_starts, self.b_counts = picked(self.b_ids, self.b_starts[words], self.b_counts[words])
 
     def _learn(self):
         new = self.memo.fresh

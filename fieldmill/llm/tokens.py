@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,41 +44,41 @@ def words_of(text: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """Numbers words in the order they are first met."""
+    """Words by number, in the order they are first met."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__(zip(words, count()))
         self.fresh: list[str] = []
 
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
+    def add(self, words: list[str]) -> None:
+        self.update(zip(words, count(len(self))))
+        self.fresh += words
 
 
 class ByWords:
     """What is known of words, looked up for many texts at once. Memory is bounded: of more than ``memo_words`` words the
-    memo keeps the first half, which holds the frequent ones, as they are met first."""
+    memo keeps those that were met again, half as many at most; the first ones are the frequent ones."""
 
     first_mark = "\n"  # stands before the first word, so that it does not take a space
 
     def __init__(self, memo_words: int):
         self.memo, self.memo_words = Memo(), memo_words
+        self.again = np.zeros(0, bool)  # which words of the memo a later call met
 
     def _learn(self) -> None:
         """Work out the words that ``memo.fresh`` holds, in this order, and empty it."""
         raise NotImplementedError
 
-    def _keep(self, words: int) -> None:
-        """Drop what is known of all but the first so many words."""
+    def _keep(self, words: np.ndarray) -> None:
+        """Drop what is known of all but the words of these numbers, which are ascending."""
         raise NotImplementedError
 
     def shrink(self, keep: int = 30_000) -> None:
-        """Keep the words that were met first; at the end of a task few, as the worker may go on with other work."""
+        """Keep words that were met again; at the end of a task few, as the worker may go on with other work."""
         if len(self.memo) > keep > 0:
-            held, self.memo = self.memo, Memo()
-            self.memo.update((w, n) for w, n in held.items() if n < keep)
-            self._keep(keep)
+            kept, words = np.flatnonzero(self.again)[:keep], list(self.memo)
+            self.memo, self.again = Memo(words[n] for n in kept.tolist()), self.again[kept]
+            self._keep(kept)
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
@@ -87,8 +89,13 @@ class ByWords:
             self.shrink(self.memo_words // 2)
         lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.memo.__getitem__, known), np.int64, len(known))
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        numbers = np.fromiter(map(self.memo.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(numbers < 0)
+        self.again[numbers[numbers >= 0]] = True
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        numbers[new] = len(self.memo) + np.arange(len(new))
+        self.memo.add([known[k] for k in new.tolist()])
         self._learn()
         return numbers[coded.indices.to_numpy()], lists.offsets.to_numpy()
 
@@ -113,9 +120,8 @@ class Encoder(ByWords):
         self.byte_lengths = lengths
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _keep(self, words: int) -> None:
-        self.starts, self.lengths = self.starts[:words].copy(), self.lengths[:words].copy()
-        self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])].copy()
+    def _keep(self, words: np.ndarray) -> None:
+        self.ids, self.starts, self.lengths = picked(self.ids, self.starts[words], self.lengths[words])
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -130,7 +136,7 @@ class Encoder(ByWords):
         for at in range(0, len(new), 20_000):
             some = [w if w[:1] == "\n" else " " + w for w in new[at:at + 20_000]]
             ids = self.plain("".join(some))
-            ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) for w in some), np.int64, len(some)))
+            ends = np.cumsum(pc.binary_length(pa.array(some, pa.large_string())).to_numpy())
             cuts = np.searchsorted(np.cumsum(self.byte_lengths[ids]), ends) + 1
             lengths = np.diff(cuts, prepend=0)
             self.starts = np.concatenate([self.starts, len(self.ids) + cuts - lengths])
@@ -165,6 +171,11 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(shift, lengths) + np.arange(total)]
 
 
+def picked(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that ``gather`` takes, with their new starts and their lengths."""
+    return gather(values, starts, lengths).copy(), np.cumsum(lengths) - lengths, lengths
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .tokens import ByWords, batches, by_words, gather
+from .tokens import ByWords, batches, by_words, gather, picked
 
 MARK = "▁"
 #: Pairs of neighbours whose verdict a worker keeps.
@@ -196,9 +196,9 @@ class Coder(ByWords):
         self.machines = Machines(path)
         self.ids, self.starts, self.lengths, self.weights = (np.zeros(0, np.int64) for _ in range(4))
 
-    def _keep(self, words: int) -> None:
-        self.starts, self.lengths, self.weights = (x[:words].copy() for x in (self.starts, self.lengths, self.weights))
-        self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])].copy()
+    def _keep(self, words: np.ndarray) -> None:
+        self.weights = self.weights[words]
+        self.ids, self.starts, self.lengths = picked(self.ids, self.starts[words], self.lengths[words])
 
     def _learn(self) -> None:
         fresh, self.memo.fresh = self.memo.fresh, []

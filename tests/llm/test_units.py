@@ -297,3 +297,14 @@ def test_a_word_of_a_compound_name_does_not_drop_an_article():
     for name in ("social", "share-buttons", "post-share", "social-media-links", "skip-link", "comment-body", "ad-slot", "site-footer"):
         assert H.extract(f'<div><p>{text}</p><div class="{name}"><p>{text} Again.</p></div></div>') == text, name
     assert H.extract(f"<p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>") == text + " x=2"
+
+
+def test_the_memo_keeps_words_that_come_again():
+    encode, asked = Encoder(default_vocabulary(), 20), []
+    real = encode.plain
+    encode.plain = lambda text: asked.append(text) or real(text)
+    for text in ("a " + " ".join(f"once{i}" for i in range(15)), "a late other", "a other late x", "a " + " ".join(f"new{i}" for i in range(9)), "a late once3 other"):
+        ids, _ = encode.encode([text], None)
+        assert ids.tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    assert asked[-1].split() == ["once3"] and encode.starts.tolist() == (np.cumsum(encode.lengths) - encode.lengths).tolist()
+    assert len(encode.memo) == len(encode.starts) == len(encode.again) and list(encode.memo.values()) == list(range(len(encode.memo)))
