@@ -41,3 +41,11 @@ def test_items_are_cut_to_the_hits_below_their_own_joins(spark, folder):
     rows = sorted(map(repr, plain.select(columns).collect()))
     assert sorted(map(repr, found.select(columns).collect())) == rows
     assert len(rows) > hits.count()  # document 5 and its labels come more than once
+
+
+def test_scored_texts_are_cut_to_the_hits(spark, folder):
+    t = Tables(spark, folder)
+    found = R.scored(t)
+    assert first_join_above_texts(found).startswith("Join LeftSemi")
+    plain = R.bm25_hits(t, 15).join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "rank", "text")
+    assert sorted(map(repr, found.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
