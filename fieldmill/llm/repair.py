@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
 from .common import releasing, texts
-from .tokens import batches, default_vocabulary, encoder, gather
+from .tokens import ENCODE_CHARS, batches, default_vocabulary, encoder, gather, runs
 
 MAGIC = b"FMRP"
 SHARD_TOKENS = 1 << 20
@@ -245,14 +245,16 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None,
 
         for frame in frames:
             names, whole = [None if pd.isna(x) else int(x) for x in frame["doc_id"]], frame["text"].tolist()
-            for a, b in batches(whole):
+            for a, b in batches(whole, ENCODE_CHARS):
                 ids, offsets = encode.encode(whole[a:b])
-                held_ids.append(ids)
-                held_docs += names[a:b]
-                held_counts.append(np.diff(offsets))
-                held += len(ids)
-                if held >= shard_tokens:
-                    yield close()
+                counts = np.diff(offsets)
+                for c, d in runs(counts, shard_tokens // 4):
+                    held_ids.append(ids[offsets[c]:offsets[d]])
+                    held_docs += names[a + c:a + d]
+                    held_counts.append(counts[c:d])
+                    held += int(offsets[d] - offsets[c])
+                    if held >= shard_tokens:
+                        yield close()
         if held:
             yield close()
         encode.shrink()

@@ -3,8 +3,10 @@
 The pre-tokenizer of the byte-level vocabulary always starts a new piece at a single space or line feed between two
 characters that are no white space, and such a line feed is a piece of its own. So the ids of a text are the ids of its
 words (each with the space or line feed before it), one after the other, and the library has to be asked once per
-distinct word. A text with any other white space next to a space or line feed is given to the library as a whole, and
-so is a text that holds the string of a special token where the library reads these strings as their tokens.
+distinct word. It starts a new piece between a letter or digit and a punctuation mark as well, so a word that ends in
+marks is asked without them, and the marks on their own. A text with any other white space next to a space or line feed
+is given to the library as a whole, and so is a text that holds the string of a special token where the library reads
+these strings as their tokens.
 """
 
 from __future__ import annotations
@@ -20,9 +22,18 @@ import pyarrow.compute as pc
 
 END_ID = 0
 
+#: Characters of texts that are encoded at once: the more, the fewer words are looked up twice.
+ENCODE_CHARS = 4_000_000
+#: Words that the encoder of a Python worker keeps.
+WORKER_WORDS = 300_000
+
 # White space (or what some Unicode versions count as such) next to which a space or line feed may not start a piece.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
+# Marks that are cut off the end of a word; an apostrophe may belong to the letters after it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -32,7 +43,8 @@ def default_vocabulary() -> str:
 def by_words(text: str) -> bool:
     """Whether the ids of a text are those of its words: no white space stands next to a space or line feed."""
     return not ("  " in text or "\n\n" in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
-                or _ODD.search(text) is not None)
+                # what counts as printable holds none of them, and is told faster
+                or not text.replace("\n", " ").isprintable() and _ODD.search(text) is not None)
 
 
 def words_of(text: str) -> list[str] | None:
@@ -73,31 +85,40 @@ class ByWords:
         """Drop what is known of all but the words of these numbers, which are ascending."""
         raise NotImplementedError
 
-    def shrink(self, keep: int = 30_000) -> None:
-        """Keep words that were met again; at the end of a task few, as the worker may go on with other work."""
+    def shrink(self, keep: int = 150_000) -> None:
+        """Keep words that were met again; at the end of a task fewer, as the worker may go on with other work."""
         if len(self.memo) > keep > 0:
             kept, words = np.flatnonzero(self.again)[:keep], list(self.memo)
             self.memo, self.again = Memo(words[n] for n in kept.tolist()), self.again[kept]
             self._keep(kept)
 
-    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo.
+    def distinct(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words, places, offsets): the distinct words of texts that are read word by word, and where they stand.
 
         Arrow cuts the texts and finds the distinct words; only these are looked up one by one.
         """
-        if len(self.memo) > self.memo_words:
-            self.shrink(self.memo_words // 2)
         lists = pc.split_pattern(pa.array([self.first_mark + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
-        numbers = np.fromiter(map(self.memo.get, known, repeat(-1)), np.int64, len(known))
+        return coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()
+
+    def known(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words in the memo, which learns those it does not hold."""
+        if len(self.memo) > self.memo_words:
+            self.shrink(self.memo_words // 2)
+        asked = words.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        numbers = np.fromiter(map(self.memo.get, asked, repeat(-1)), np.int64, len(asked))
         new = np.flatnonzero(numbers < 0)
         self.again[numbers[numbers >= 0]] = True
         self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         numbers[new] = len(self.memo) + np.arange(len(new))
-        self.memo.add([known[k] for k in new.tolist()])
+        self.memo.add([asked[k] for k in new.tolist()])
         self._learn()
-        return numbers[coded.indices.to_numpy()], lists.offsets.to_numpy()
+        return numbers
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, offsets): the words of texts that are read word by word, by their numbers in the memo."""
+        words, places, offsets = self.distinct(texts)
+        return self.known(words)[places], offsets
 
 
 class Encoder(ByWords):
@@ -143,12 +164,27 @@ class Encoder(ByWords):
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
 
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths): the ids of distinct words, those of their last marks from the memo on their own."""
+        stems, cut, marks = without_marks(words)
+        # after a line feed marks are pieces of their own, so its id comes before theirs
+        feed, nothing = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        parts = pa.concat_arrays([stems, pc.binary_join_element_wise(feed, marks, nothing)]).dictionary_encode()
+        numbers = self.known(parts.dictionary)[parts.indices.to_numpy()]
+        skip = (np.arange(len(numbers)) >= len(words)).astype(np.int64)
+        order = np.argsort(np.concatenate([np.arange(len(words)), cut]), kind="stable")  # marks behind their stem
+        starts, lengths = (self.starts[numbers] + skip)[order], (self.lengths[numbers] - skip)[order]
+        own = self.lengths[numbers[:len(words)]]
+        own[cut] += self.lengths[numbers[len(words):]] - 1
+        return gather(self.ids, starts, lengths), np.cumsum(own) - own, own
+
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text k are ``ids[offsets[k]:offsets[k + 1]]``."""
         split = [self.splits(t) for t in texts]
-        numbers, cuts = self.numbered([t for t, s in zip(texts, split) if s])
-        ids = gather(self.ids, self.starts[numbers], self.lengths[numbers])
-        ends = np.concatenate([[0], np.cumsum(self.lengths[numbers])])[cuts]
+        words, places, cuts = self.distinct([t for t, s in zip(texts, split) if s])
+        ids, starts, lengths = self.of_words(words)
+        ids = gather(ids, starts[places], lengths[places])
+        ends = np.concatenate([[0], np.cumsum(lengths[places])])[cuts]
         tail = np.array([end_id] if end_id is not None else [], np.int32)
         out, sizes, at = [], np.zeros(len(texts), np.int64), 0
         for k, (text, s) in enumerate(zip(texts, split)):
@@ -162,6 +198,28 @@ class Encoder(ByWords):
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def without_marks(words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(stems, cut, marks): words without the marks at their end, which words were cut, and the marks of these.
+
+    Only words are cut whose marks follow an ASCII letter or digit or a letter of two bytes from À to ÿ.
+    """
+    stems = pc.ascii_rtrim(words, characters=MARKS)
+    sizes, left = pc.binary_length(words).to_numpy(), pc.binary_length(stems).to_numpy()
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1:words.offset + 1 + len(words)]
+    cut = np.flatnonzero((left < sizes) & (left > 1))
+    at = ends[cut] - sizes[cut] + left[cut]  # where the marks begin
+    last, before = raw[at - 1], raw[at - 2]
+    cut = cut[_ALNUM[last] | ((before == 0xC3) & (last != 0x97) & (last != 0xB7))]
+    lengths = sizes[cut] - left[cut]
+    marks = gather(raw, ends[cut] - lengths, lengths)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    is_cut = np.zeros(len(words), bool)
+    is_cut[cut] = True
+    return (pc.if_else(pa.array(is_cut), stems, words), cut,
+            pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(offsets), pa.py_buffer(marks.tobytes())))
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs ``values[start:start + length]``, one after the other."""
     total = int(lengths.sum())
@@ -182,7 +240,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker, kept between its tasks; what it learnt is bounded by ``memo_words``."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, WORKER_WORDS)
     return _ENCODERS[path]
 
 

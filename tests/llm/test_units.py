@@ -308,3 +308,16 @@ def test_the_memo_keeps_words_that_come_again():
         assert ids.tolist() == encode.library.encode(text, add_special_tokens=False).ids
     assert asked[-1].split() == ["once3"] and encode.starts.tolist() == (np.cumsum(encode.lengths) - encode.lengths).tolist()
     assert len(encode.memo) == len(encode.starts) == len(encode.again) and list(encode.memo.values()) == list(range(len(encode.memo)))
+
+
+def test_last_marks_of_a_word_are_asked_on_their_own():
+    encode, asked = Encoder(default_vocabulary()), []
+    real = encode.plain
+    encode.plain = lambda text: asked.append(text) or real(text)
+    odd = ["a, ab, é, aé. a× ×, a×, a÷! don't. x'. 'll, (b), 1.5%% 3,\n,\nab.%%%\n... ,ab .. ß?! œ, ж, 汉, 汉。 é, ²³, _x_, <|x|>, a<|endoftext|"]
+    for texts in (["house, tree."], ["house. tree!!"], odd, ["", "house,"], ["."]):
+        ids, cuts = encode.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[cuts[k]:cuts[k + 1]].tolist() == encode.library.encode(text, add_special_tokens=False).ids + [0]
+    assert sum("house" in text for text in asked) == 1
+    assert not any("house." in text or "house," in text for text in asked)
