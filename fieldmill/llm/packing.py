@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import OWN, releasing, stored, texts
-from .tokens import default_vocabulary, encoder, runs
+from .tokens import ENCODE_CHARS, default_vocabulary, encoder, runs
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 16_384
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, vocabulary: str | N
         encode = encoder(vocabulary)
         for frame in frames:
             names, column = frame.column("doc_id").cast(pa.int64()), frame.column("text")
-            for a, b in runs(pc.utf8_length(column).to_numpy()):
+            for a, b in runs(pc.utf8_length(column).to_numpy(), ENCODE_CHARS):
                 whole = column.slice(a, b - a).to_pylist()  # only these texts are Python's at a time
                 ids, offsets = encode.encode(whole)
                 raw = memoryview(ids.astype("<u4").tobytes())
