@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import OWN, discard, releasing, stored, texts, whole
 from .components import components
+from .tokens import gather, runs
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -41,6 +42,9 @@ BAND_ROWS = 5
 #: the threshold that has a chance of 1.4 in a million (binomial), less than sharing none of the 32 bands (3.0).
 MARGIN = 0.16
 BLOCK = 512
+#: Pairs whose registers are compared at once, and distinct shingles of texts that a task keeps while it checks pairs.
+PAIRS_AT_ONCE = 32_768
+HELD_SHINGLES = 1_000_000
 #: Up to so many ids of wanted texts are broadcast; more meet the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose numbers a Python worker keeps.
@@ -225,25 +229,56 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     dealt = sized.withColumn("own", own).withColumn(key, F.explode(met))
-    return dealt.select(*buckets.columns, "own", f"{key}.i", f"{key}.j").repartition("bucket", "i", "j")
+    dealt = dealt.select(*buckets.columns, "own", f"{key}.i", f"{key}.j").repartition("bucket", "i", "j")
+    return dealt.sortWithinPartitions("bucket", "i", "j", "own")
 
 
-def likely_pairs(frame: pd.DataFrame, least: float, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per row of the left block: the rows of the right block in another component whose estimate reaches ``least``.
+def whole_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task, in frames that hold whole pairs of blocks; one pair of blocks is kept back at most."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if len(frame):
+            begin = int(block_starts(frame)[-1])
+            if begin:
+                yield frame.iloc[:begin]
+            rest = frame.iloc[begin:].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
+def block_starts(frame: pd.DataFrame) -> np.ndarray:
+    """Where each pair of blocks begins."""
+    keys = frame[["bucket", "i", "j"]].to_numpy(np.int64)
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+
+
+def likely_pairs(frame: pd.DataFrame, least: float, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of left blocks, rows of right blocks, estimates) of the pairs in different components whose estimate reaches
+    ``least``, of a bounded number of pairs at a time.
 
     A pair that shares several bands is looked at in the first of them only.
     """
     marks = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), -1)
-    label, own, band = frame["label"].to_numpy(), frame["own"].to_numpy(), int(frame["band"].iloc[0])
-    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-    right = np.flatnonzero(own == j)
-    for k in np.flatnonzero(own == i):
-        other = right[(label[right] != label[k]) & ((right > k) if i == j else True)]
-        same = marks[other] == marks[k]
-        share = same.mean(1)
-        before = same[:, :band * rows].reshape(len(other), band, rows).all(2).any(1)
-        good = (share >= least) & ~before
-        yield int(k), other[good], share[good]
+    label, own, band, i, j = (frame[c].to_numpy() for c in ("label", "own", "band", "i", "j"))
+    starts = block_starts(frame)
+    sizes = np.diff(starts, append=len(frame))
+    # the rows of the left block come first, so a row's partners are those behind it that are of the right block
+    rights = np.repeat(starts + np.add.reduceat((own != j).astype(np.int64), starts), sizes)
+    left = np.flatnonzero(own == i)
+    begin, end = np.maximum(left + 1, rights[left]), np.repeat(starts + sizes, sizes)[left]
+    for a, b in runs(end - begin, PAIRS_AT_ONCE):
+        n = (end - begin)[a:b]
+        x, y = np.repeat(left[a:b], n), gather(np.arange(len(frame)), begin[a:b], n)
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        same = marks[x] == marks[y]
+        share = np.count_nonzero(same, axis=1) / marks.shape[1]
+        good = np.flatnonzero(share >= least)
+        equal = same[good].reshape(len(good), marks.shape[1] // rows, rows).all(2)
+        first = np.where(equal.any(1), equal.argmax(1), equal.shape[1])
+        good = good[first >= band[x[good]]]
+        yield x[good], y[good], share[good]
 
 
 def links_across(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: float, least: float, rows: int) -> DataFrame:
@@ -251,42 +286,52 @@ def links_across(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], th
 
     First the members with a likely partner in another component are found, then these meet again with their texts
     (``fetch`` gives them by node) and the likely pairs are checked, best estimate first. Pairs that are connected already are passed over, so a
-    task returns a forest at most, whatever the number of its pairs.
+    task returns a forest at most, whatever the number of its pairs. Small buckets are compared many at a time.
     """
-    def find(frame: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(frame), bool)
-        for k, others, _ in likely_pairs(frame, least, rows):
-            hit[others] = True
-            hit[k] |= len(others) > 0
-        return frame.loc[hit, ["bucket", "node"]].drop_duplicates()
-
-    def check(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = [(-s, k, o) for k, others, share in likely_pairs(frame, least, rows) for o, s in zip(others.tolist(), share.tolist())]
-        node, label = frame["node"].to_numpy(), frame["label"].tolist()
-        above = {x: x for x in label}
+    @releasing
+    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_blocks(frames):
+            hit = np.zeros(len(frame), bool)
+            for k, others, _ in likely_pairs(frame, least, rows):
+                hit[k] = hit[others] = True
+            yield frame.loc[hit, ["bucket", "node"]].drop_duplicates()
+
+    @releasing
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[int, int] = {}  # of joined labels only
         bags: dict[int, tuple] = {}
+        held = 0
 
         def root(x):
-            while above[x] != x:
-                above[x] = x = above[above[x]]
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
             return x
 
         def bag(k):
-            if k not in bags:
-                bags[k] = shingles(words_of(frame["text"].iloc[k]))
-            return bags[k]
-
-        out = []
-        for _, k, o in sorted(pairs):
-            a, b = root(label[k]), root(label[o])
-            if a != b and probability_jaccard(bag(k), bag(o)) >= threshold - 1e-9:
-                above[a] = b
-                out.append((min(node[k], node[o]), max(node[k], node[o])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    met = in_blocks(buckets).groupBy("bucket", "i", "j").applyInPandas(find, "bucket long, node long").distinct()
+            nonlocal held
+            if (name := int(node[k])) not in bags:
+                if held > HELD_SHINGLES:
+                    bags.clear()
+                    held = 0
+                bags[name] = shingles(words_of(text[k]))
+                held += len(bags[name][0])
+            return bags[name]
+
+        for frame in whole_blocks(frames):
+            node, label, text = frame["node"].to_numpy(), frame["label"].tolist(), frame["text"].tolist()
+            out = []
+            for left, right, share in likely_pairs(frame, least, rows):
+                order = np.argsort(-share, kind="stable")
+                for k, o in zip(left[order].tolist(), right[order].tolist()):
+                    a, b = root(label[k]), root(label[o])
+                    if a != b and probability_jaccard(bag(k), bag(o)) >= threshold - 1e-9:
+                        above[a] = b
+                        out.append((min(node[k], node[o]), max(node[k], node[o])))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    met = in_blocks(buckets).mapInPandas(find, "bucket long, node long").distinct()
     flagged = stored(buckets.join(met, ["bucket", "node"]), "open-buckets")
-    return in_blocks(flagged.join(fetch(flagged), "node")).groupBy("bucket", "i", "j").applyInPandas(check, "a long, b long")
+    return in_blocks(flagged.join(fetch(flagged), "node")).mapInPandas(check, "a long, b long")
 
 
 @dataclass

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -321,3 +322,34 @@ def test_last_marks_of_a_word_are_asked_on_their_own():
             assert ids[cuts[k]:cuts[k + 1]].tolist() == encode.library.encode(text, add_special_tokens=False).ids + [0]
     assert sum("house" in text for text in asked) == 1
     assert not any("house." in text or "house," in text for text in asked)
+
+
+def test_likely_pairs_are_those_of_a_plain_comparison():
+    rng = np.random.default_rng(7)
+    rows = []
+    for bucket in range(30):
+        blocks = 1 + bucket % 2
+        marks = rng.integers(0, 3, (12, 20)).astype(np.uint16)
+        marks[1::3] = marks[0]
+        marks[1::3, 7] = 9
+        own = rng.integers(0, blocks, 12)
+        for i, j in {(0, 0)} if blocks == 1 else {(0, 0), (0, 1), (1, 1)}:
+            rows += [(bucket, i, j, int(own[k]), bucket % 4, 100 * bucket + k, k % 5, marks[k].tobytes()) for k in range(12) if own[k] in (i, j)]
+    frame = pd.DataFrame(sorted(rows), columns=["bucket", "i", "j", "own", "band", "node", "label", "registers"])
+    want = set()
+    for _, block in frame.groupby(["bucket", "i", "j"]):
+        for x in block.itertuples():
+            for y in block.itertuples():
+                a, b = np.frombuffer(x.registers, np.uint16), np.frombuffer(y.registers, np.uint16)
+                met = x.own == x.i and y.own == y.j and (x.i != x.j or x.node < y.node)
+                earlier = (a == b).reshape(-1, 5).all(1)[:x.band].any()
+                if met and x.label != y.label and (a == b).mean() >= 0.5 and not earlier:
+                    want.add((min(x.node, y.node), max(x.node, y.node)))
+    for size in (1, 7, 50, len(frame)):  # blocks are put together again wherever frames end
+        got = set()
+        for part in P.whole_blocks(frame.iloc[a:a + size] for a in range(0, len(frame), size)):
+            for left, right, share in P.likely_pairs(part, 0.5, 5):
+                node = part["node"].to_numpy()
+                got |= {(min(a, b), max(a, b)) for a, b in zip(node[left].tolist(), node[right].tolist())}
+                assert (share >= 0.5).all()
+        assert got == want and len(want) > 20
