@@ -186,6 +186,62 @@ def test_queries_and_vectors_are_shuffled_a_bounded_number_of_times(spark, monke
         assert not [x for x in plan.split("\n") if "bitmap" in x.lower()]  # the bitmaps of the filters are joined to the blocks
 
 
+def test_a_task_returns_the_best_of_its_bundle_not_of_every_part(spark, monkeypatch):
+    """Forty cells in two bundles: at most k rows a query and bundle leave the search, and a query comes to a bundle as one row."""
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(240, 6)).astype(np.float32)
+    vecs[100:110] = vecs[7]
+    v = spark.createDataFrame([(i, row.tolist(), i % 3) for i, row in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
+    # most queries share a filter, the others have one each
+    wanted = asked.select("query_id", F.explode(F.when(F.col("query_id") < 200, F.array(F.lit(1))).otherwise(F.array("label", F.col("query_id").cast("int")))).alias("no"))
+    q = asked.join(V.facet_bits(wanted, "query_id", "no"), "query_id")
+    made, real = [], V.scored
+
+    def counted(blocks, *args):
+        out = real(blocks, *args)
+        made.append((blocks.select(F.explode("queries")).count(), out.count()))
+        return out
+
+    monkeypatch.setattr(V, "scored", counted)
+    for name, value in (("BUNDLES", 2), ("GROUPS", 3), ("BLOCK_QUERIES", 16), ("TILE_ROWS", 4), ("HELD_HITS", 50), ("EXACT_NUMBERS", 60)):
+        monkeypatch.setattr(V, name, value, raising=False)
+    unit = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 12)
+
+    def found(df):
+        got = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        return got
+
+    def want(ok):
+        return {i: [j for j in np.argsort(-near[i], kind="stable").tolist() if ok(i, j)][:3] for i in range(240)}
+
+    assert found(V.knn(q, v, 3, cell_rows=6)) == want(lambda i, j: True)
+    assert found(V.knn(q, v, 3, facet="label", query_facets="facets", cell_rows=6)) == want(lambda i, j: j % 3 == (1 if i < 200 else i % 3))
+    for queries, hits in made:
+        assert queries <= 2 * 240 and hits <= 3 * queries
+
+
+def test_single_precision_bounds_lose_nothing(spark, monkeypatch):
+    """Cosines that differ by less than single precision tells, in many tiles; ids that are names."""
+    monkeypatch.setattr(V, "TILE_ROWS", 8, raising=False)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16)
+    vecs = base + rng.normal(size=(300, 16)) * 1e-5
+    v = spark.createDataFrame([(f"n{i:03d}", row.tolist()) for i, row in enumerate(vecs)], "vec_id string, embedding array<double>")
+    q = spark.createDataFrame([("q", base.tolist()), (None, vecs[5].tolist())], "query_id string, query_vec array<double>")
+    got = {}
+    for r in V.knn(q, v, 7, digits=None).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    sizes = np.sqrt((vecs * vecs).sum(1))
+    for name, asked in (("q", base), (None, vecs[5])):
+        score = (vecs * asked).sum(1) / (sizes * np.sqrt((asked * asked).sum()))
+        order = np.argsort(-score, kind="stable")[:7]
+        assert got[name] == [(f"n{i:03d}", score[i]) for i in order]
+
+
 def test_contained_names(spark):
     rng = random.Random(4)
     places = ["Nigeria, Niger", "International / All", "", None, "Ünited", "NATION_1, NATION_12", "aaa", "x" * 50] + [
